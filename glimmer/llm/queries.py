@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import decontamination, packing, quality, url_rules
+from glimmer.llm import chunks, decontamination, jaccard, packing, quality, url_rules
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,15 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_rid")
 
 
+def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = chunks.substring_dedup(_table(spark, sf_dir, "documents"))
+    return found.drop("spans")
+
+
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_rules.RULES), "verdict string, host string, path string")
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -41,6 +50,8 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op4_chunk_dedup": op4_chunk_dedup,
+        "op5_jaccard_join": op5_jaccard_join,
         "op7_url_rules": op7_url_rules,
         "op8_quality_rules": op8_quality_rules,
         "op10_packing": op10_packing,
