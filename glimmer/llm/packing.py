@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.common import pieces_of, stored, whole
-from glimmer.llm.tokens import WordIds
+from glimmer.llm.tokens import word_ids
 
 WINDOW = 4096
 END_ID = 2
@@ -22,7 +22,7 @@ _PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long
 
 def _cut(path: str, end_id: int, window: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def cut(batches):
-        ids_of, part, seen = WordIds(path), TaskContext.get().partitionId(), defaultdict(int)
+        ids_of, part, seen = word_ids(path), TaskContext.get().partitionId(), defaultdict(int)
         end = np.asarray([end_id], "<u4").tobytes()
         for batch in pieces_of(batches):
             rows = []
