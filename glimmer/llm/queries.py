@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import chunks, decontamination, jaccard, packing, quality, url_rules
+from glimmer.llm import chunks, decontamination, jaccard, packing, quality, toxicity, url_rules, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_rid")
 
 
+def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.main_text(_table(spark, sf_dir, "pages"))
+
+
 def op4_chunk_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = chunks.substring_dedup(_table(spark, sf_dir, "documents"))
     return found.drop("spans")
@@ -33,6 +37,10 @@ def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.jaccard_join(_table(spark, sf_dir, "documents"))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.toxicity(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+
+
 def op7_url_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(list(url_rules.RULES), "verdict string, host string, path string")
     return url_rules.judge_urls(_table(spark, sf_dir, "pages"), rules)
@@ -50,8 +58,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op3_wrappers": op3_wrappers,
         "op4_chunk_dedup": op4_chunk_dedup,
         "op5_jaccard_join": op5_jaccard_join,
+        "op6_toxicity": op6_toxicity,
         "op7_url_rules": op7_url_rules,
         "op8_quality_rules": op8_quality_rules,
         "op10_packing": op10_packing,
