@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import chunks, decontamination, jaccard, packing, quality, toxicity, url_rules, wrappers
+from glimmer.llm import chunks, decontamination, jaccard, packing, quality, repeats, toxicity, url_rules, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,6 +24,10 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.drop("_rid")
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.suffix_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op3_wrappers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wrappers.main_text(_table(spark, sf_dir, "pages"))
 
@@ -58,6 +62,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
+        "op2_suffix_dedup": op2_suffix_dedup,
         "op3_wrappers": op3_wrappers,
         "op4_chunk_dedup": op4_chunk_dedup,
         "op5_jaccard_join": op5_jaccard_join,
