@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import chunks, decontamination, jaccard, packing, quality, repeats, toxicity, url_rules, wrappers
+from glimmer.llm import chunks, decontamination, jaccard, lm, packing, quality, repeats, toxicity, url_rules, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -55,6 +55,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.drop("removed_lines")
 
 
+def op9_lm_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.lm_scores(_table(spark, sf_dir, "documents"), tokenizer())
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
 
@@ -69,6 +73,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_toxicity": op6_toxicity,
         "op7_url_rules": op7_url_rules,
         "op8_quality_rules": op8_quality_rules,
+        "op9_lm_scores": op9_lm_scores,
         "op10_packing": op10_packing,
     }
 
