@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
-from glimmer.operators import layout, neighbours, stats, windows
+from glimmer.operators import graph, layout, neighbours, stats, windows
 from glimmer.sources.adapters import HEIGHT, pixels, samples, traces
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -332,6 +332,11 @@ def footprint_label(spark, d):
     return j.groupBy("neuron").agg(F.mode("label", deterministic=True).alias("label"), F.count("*").alias("n"))
 
 
+@query(f"{_FP}, e AS (SELECT DISTINCT a.neuron AS a, b.neuron AS b FROM (SELECT a.neuron AS x, b.neuron AS y, sum(a.val * b.val) AS g FROM f a JOIN f b USING (pix) WHERE a.neuron < b.neuron GROUP BY 1, 2) p JOIN (SELECT neuron, sqrt(sum(val * val)) AS n FROM f GROUP BY neuron) a ON a.neuron = x JOIN (SELECT neuron, sqrt(sum(val * val)) AS n FROM f GROUP BY neuron) b ON b.neuron = y WHERE {r('g / (a.n * b.n)')} >= 0.24), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e) SELECT CAST(id AS INT) AS id, CAST(min(label) AS INT) AS label FROM (WITH RECURSIVE t(id, label) AS (SELECT a, a FROM s UNION SELECT s.b, t.label FROM t JOIN s ON s.a = t.id) SELECT * FROM t) GROUP BY id")
+def components(spark, d):
+    return graph.connected_components(C.overlap_cosine(_footprints(spark, d), 0.24))
+
+
 # Sets of components
 
 
