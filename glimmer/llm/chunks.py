@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import pieces_of, sized, stored, whole
+from glimmer.llm.common import pieces_of, stored, whole
 
 #: A cut falls where the low bits of the gear hash are 0: chunks have MIN + 2**BITS bytes on average.
 BITS = 6
@@ -92,7 +92,7 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = stored(chunks, "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "start")
     first = stored(chunks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first"), "chunk-repeats")
-    later = chunks.join(sized(first), ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
+    later = chunks.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
     return later.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "length")).alias("parts"))
 
 
