@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import BROADCAST_ROWS, pieces_of, sized, stored, whole
+from glimmer.llm.common import pieces_of, sized, stored, whole
 
 LENGTH = 200
 NAME = 80
@@ -203,8 +203,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     large = compare.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("name", F.lit(True).alias("large"))
     compare = compare.join(large, "name", "left").select("doc_id", "k", F.struct("name", "first", "n", (~F.col("again")).alias("open"), F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
     wanted = stored(compare.groupBy("doc_id", "k").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"doc_id": "_id", "k": "_k"}), "repeats-wanted")
-    n = wanted.agg(F.sum(F.size("wanted"))).head()[0] or 0
-    texts = keyed.join(F.broadcast(wanted) if n <= 2 * BROADCAST_ROWS else wanted, keyed["k"].eqNullSafe(F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id")))
+    texts = keyed.join(wanted, keyed["k"].eqNullSafe(F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id")))
     # Rows repeated whole meet as copies: one of them is enough here, and more do no harm but work.
     contexts = stored(texts.select("doc_id", "k", "text", "wanted").mapInArrow(_contexts, _CONTEXT), "repeats-contexts")
     spans = "doc_id long, k long, start int, length int"
