@@ -84,7 +84,7 @@ _SAMPLE = "doc_id long, k long, name long, high long, low long, first int, n int
 
 
 def _sample(batches: Iterator[pa.RecordBatch]):
-    """A row for each different context of a text; times: 2 if it is there more often (its other places come as times 0)."""
+    """A row for each different context of a text; times: 2 if it is there more often (its other places come as times 0: they repeat for sure and need no sorting)."""
     import xxhash
 
     digest = xxhash.xxh3_128_intdigest
@@ -193,7 +193,7 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     sample = stored(once.select("doc_id", "k", "text").mapInArrow(_sample, _SAMPLE), "repeats-sample")
 
     same, named = Window.partitionBy("name", "high", "low"), Window.partitionBy("name")
-    s = sample.withColumns({"low0": F.min("low").over(named), "low1": F.max("low").over(named), "high0": F.min("high").over(named), "high1": F.max("high").over(named)})
+    s = sample.where("times > 0").withColumns({"low0": F.min("low").over(named), "low1": F.max("low").over(named), "high0": F.min("high").over(named), "high1": F.max("high").over(named)})
     s = s.withColumns({"all": F.sum("times").over(same), "rank": F.row_number().over(same.orderBy(F.desc("times"), "doc_id", "k", "first"))})
     several = (F.col("low0") != F.col("low1")) | (F.col("high0") != F.col("high1"))
     s = s.select("doc_id", "k", "name", "first", "n", (F.col("all") > 1).alias("again"), (several & (F.col("rank") == 1)).alias("compare"))
@@ -211,7 +211,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     near = contexts.where("part < 0").select("doc_id", "k", "name", "first", "n", "open", "context").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_compare, spans)
     strings = contexts.where("part >= 0")
     far = strings.join(strings.groupBy("name", "string_hash").agg(F.count("*").alias("c")).where("c > 1"), ["name", "string_hash"]).where("open").select("doc_id", "k", (F.col("first") + F.col("part")).cast("int").alias("start"), F.lit(LENGTH).alias("length"))
-    return s.where("again").select("doc_id", "k", F.col("first").alias("start"), (F.col("n") + LENGTH - 1).cast("int").alias("length")).unionByName(near).unionByName(far)
+    sure = s.where("again").select("doc_id", "k", "first", "n").unionByName(sample.where("times = 0").select("doc_id", "k", "first", "n"))
+    return sure.select("doc_id", "k", F.col("first").alias("start"), (F.col("n") + LENGTH - 1).cast("int").alias("length")).unionByName(near).unionByName(far)
 
 
 def copied_texts(docs: DataFrame) -> DataFrame:
