@@ -124,9 +124,10 @@ def cut_out(data: bytes, spans: list[tuple[int, int]]) -> bytes:
 
 
 def _with_parts(docs: DataFrame) -> DataFrame:
-    parts = stored(repeated_chunks(docs).withColumnsRenamed({"doc_id": "_id", "k": "_k2"}), "chunk-parts")
-    keyed = docs.withColumn("_k", _row_key())
-    return keyed.join(parts, keyed["_k"].eqNullSafe(F.col("_k2")) & keyed["doc_id"].eqNullSafe(F.col("_id")), "left").drop("_id", "_k2")
+    """(row, parts): the rows of docs as structs, so that no column of theirs clashes with ours, and their repeated chunks."""
+    parts = stored(repeated_chunks(docs).withColumnsRenamed({"doc_id": "id2", "k": "k2"}), "chunk-parts")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id1"), _row_key().alias("k1"))
+    return keyed.join(parts, F.col("k1").eqNullSafe(F.col("k2")) & F.col("id1").eqNullSafe(F.col("id2")), "left").select("row", "parts")
 
 
 def _digests(min_run: int):
@@ -151,7 +152,7 @@ def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     texts lose nothing, an empty table gives an empty result, other columns are ignored.
     """
     d = _with_parts(docs.select("doc_id", "text"))
-    return d.select("doc_id", whole().alias("text"), "parts").mapInArrow(_digests(min_run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,length:int>>")
+    return d.select("row.doc_id", whole("row.text").alias("text"), "parts").mapInArrow(_digests(min_run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,length:int>>")
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
@@ -166,5 +167,6 @@ def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, docs_columns)
 
     docs_columns = docs.columns
-    out = _with_parts(docs).select(*docs.columns, F.col("parts").alias("_parts")).mapInArrow(kept, docs.schema)
+    parts = F.col("parts").alias("_" + "_".join(docs_columns))  # the last column, of a name that docs cannot have
+    out = _with_parts(docs).select("row.*", parts).mapInArrow(kept, docs.schema)
     return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])

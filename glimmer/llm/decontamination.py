@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import pieces_of, whole
+from glimmer.llm.common import pieces_of, sized, stored, whole
 
 #: Edits allowed, as a share of the item's characters.
 MAX_EDITS = 0.08
@@ -144,9 +144,7 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, max_edits: float =
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
     """The documents in which no benchmark item is found; null ids are judged by their own text."""
-    from glimmer.llm.common import sized, stored
-
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", whole()))
-    found = benchmark_matches(keyed.select(F.col("_k").alias("doc_id"), "text"), benchmark, **limits)
-    bad = stored(found.select(F.col("doc_id").alias("_k")).distinct(), "contaminated")
-    return keyed.join(sized(bad), "_k", "left_anti").select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", whole()).alias("k"))  # no column of theirs clashes with ours
+    found = benchmark_matches(rows.select(F.col("k").alias("doc_id"), "row.text"), benchmark, **limits)
+    bad = stored(found.select(F.col("doc_id").alias("k")).distinct(), "contaminated")
+    return rows.join(sized(bad), "k", "left_anti").select("row.*")

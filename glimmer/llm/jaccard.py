@@ -168,8 +168,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, words: int =
     shared = stored(bucket.groupBy("h").agg(F.min("th").alias("root"), F.count("*").alias("n")).where("n > 1").select("h", "root"), "jaccard-buckets")
     edges = bucket.join(sized(shared), "h").where("th <> root").select(F.col("th").alias("a"), F.col("root").alias("b"))
     groups = connected(edges, "jaccard-candidates")
-    size = groups.groupBy("label").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks"))
-    members = stored(groups.join(size, "label").join(texts.select(F.col("th").alias("node"), "copies"), "node").select(F.col("node").alias("th"), "label", "copies", "blocks"), "jaccard-members")
+    size = stored(groups.groupBy("label").agg(F.ceil(F.count("*") / F.lit(float(block))).cast("int").alias("blocks")), "jaccard-sizes")
+    members = stored(groups.join(sized(size), "label").join(texts.select(F.col("th").alias("node"), "copies"), "node").select(F.col("node").alias("th"), "label", "copies", "blocks"), "jaccard-members")
 
     full = keyed.select("th", "text").join(sized(members), "th").mapInArrow(_shingle_rows(words), "label string, th string, copies long, blocks int, shingles array<long>")
     full = full.dropDuplicates(["th"]).withColumn("block", F.pmod(F.xxhash64("th"), F.col("blocks")).cast("int"))
@@ -203,16 +203,14 @@ def jaccard_join(docs: DataFrame, **options) -> DataFrame:
 def without_near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """One document of each class: the row with its class_id (of repeated rows one). Texts without words all stay."""
     found = stored(near_duplicates(docs, **options), "jaccard-found")
-    keyed = docs.withColumn("_th", text_hash(whole()))
-    rows = keyed.select(F.col("_th").alias("th"), "doc_id")
-    first = rows.join(found.where("has_words and (copies > 1 or th <> class_th)"), "th")
+    keyed = docs.select(F.struct(*docs.columns).alias("row"), F.col("doc_id").alias("id"), text_hash(whole()).alias("th"))  # no column of theirs clashes with ours
+    first = keyed.select("id", "th").join(found.where("has_words and (copies > 1 or th <> class_th)"), "th")
     # What goes: other texts of a class, and copies of its first text under another id. Copies under the same id: all but one.
-    gone = stored(first.where("th <> class_th or not doc_id <=> class_id").select(F.col("th").alias("_th"), F.col("doc_id").alias("_id")).distinct(), "jaccard-gone")
-    twice = stored(first.where("th = class_th and doc_id <=> class_id").groupBy(F.col("th").alias("_th"), F.col("doc_id").alias("_id")).count().where("count > 1").select("_th", "_id"), "jaccard-twice")
-    same = (keyed["_th"] == F.col("t._th")) & keyed["doc_id"].eqNullSafe(F.col("t._id"))
-    kept = keyed.join(sized(gone).alias("t"), same, "left_anti")
-    if not twice.head(1):
-        return kept.select(*docs.columns)
-    same = (kept["_th"] == F.col("t._th")) & kept["doc_id"].eqNullSafe(F.col("t._id"))
-    once = kept.join(sized(twice).alias("t"), same, "left_anti")
-    return once.unionByName(kept.join(sized(twice).alias("t"), same, "left_semi").dropDuplicates(["_th", "doc_id"])).select(*docs.columns)
+    here = F.col("th") == F.col("class_th")
+    gone = stored(first.where(~here | ~F.col("id").eqNullSafe(F.col("class_id"))).select(F.col("th").alias("th2"), F.col("id").alias("id2")).distinct(), "jaccard-gone")
+    twice = stored(first.where(here & F.col("id").eqNullSafe(F.col("class_id"))).groupBy(F.col("th").alias("th2"), F.col("id").alias("id2")).count().where("count > 1").select("th2", "id2"), "jaccard-twice")
+    same = (F.col("th") == F.col("th2")) & F.col("id").eqNullSafe(F.col("id2"))
+    kept = keyed.join(sized(gone), same, "left_anti")
+    if twice.head(1):
+        kept = kept.join(sized(twice), same, "left_anti").unionByName(kept.join(sized(twice), same, "left_semi").dropDuplicates(["th", "id"]))
+    return kept.select("row.*")

@@ -101,11 +101,13 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MA
 
 def clean_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
     """The documents that quality_rules keeps, without their lines above the limit; n_chars follows the text."""
-    # Rows with the same id and text get the same judgement, so one of each is enough to look it up.
-    keyed = docs.withColumn("_k", F.xxhash64("doc_id", whole(), host))
-    judged = quality_rules(keyed.withColumns({"_id": F.col("doc_id"), "doc_id": F.col("_k")}), host, **limits)
-    judged = judged.where("kept").groupBy("doc_id").agg(F.first("removed_lines").alias("_gone")).withColumnRenamed("doc_id", "_k")
-    is_gone = lambda line: F.array_contains("_gone", line_hash(F.lower(F.array_join(_words(line), " "))))
-    text = F.when(F.size("_gone") == 0, F.col("text")).otherwise(F.array_join(F.filter(F.split("text", "\n"), lambda x: ~is_gone(x)), "\n"))
-    out = keyed.join(judged, "_k").withColumn("text", text)
-    return out.select(*[F.length("text").cast("long").alias(c) if c == "n_chars" else F.col(c) for c in docs.columns])
+    # Rows with the same id, text and host get the same judgement, so one of each is enough to look it up.
+    key = F.xxhash64("doc_id", whole(), host)
+    judged = quality_rules(docs.select(key.alias("doc_id"), "text", F.col(host).alias("source")), **limits)
+    judged = judged.where("kept").groupBy(F.col("doc_id").alias("k")).agg(F.first("removed_lines").alias("gone"))
+    is_gone = lambda line: F.array_contains("gone", line_hash(F.lower(F.array_join(_words(line), " "))))
+    text = F.when(F.size("gone") == 0, F.col("row.text")).otherwise(F.array_join(F.filter(F.split("row.text", "\n"), lambda x: ~is_gone(x)), "\n"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), key.alias("k"))  # as structs: no column of theirs clashes with ours
+    out = rows.join(judged, "k").select("row", text.alias("text"))
+    new = {"text": F.col("text"), "n_chars": F.length("text").cast("long")}
+    return out.select(*[new.get(c, F.col("row")[c]).alias(c) for c in docs.columns])
