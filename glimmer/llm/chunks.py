@@ -16,8 +16,8 @@ from glimmer.llm.common import pieces_of, stored, whole
 BITS = 6
 MIN_CHUNK = 16
 MAX_CHUNK = 1024
-#: Repeated chunks go only in runs of so many bytes: about half of a passage of 50 words.
-MIN_RUN = 128
+#: Repeated chunks go only in runs of so many bytes: what is left of a passage of 50 words between its first and last cut.
+MIN_RUN = 96
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _SPAN = 1 << 22
 
