@@ -31,6 +31,40 @@ def noise_level(y: np.ndarray, band: tuple[float, float] = (0.25, 0.5), method:
     return np.sqrt(np.exp(np.log(np.maximum(half, 1e-300)).mean(1)))
 
 
+def periodogram_noise(y: np.ndarray, band: tuple[float, float] = (0.25, 0.5)) -> np.ndarray:
+    """As noise_level, from one plain periodogram; the band is open below."""
+    y = np.atleast_2d(np.asarray(y, float))
+    n = y.shape[1]
+    f = np.fft.rfftfreq(n)
+    power = np.abs(np.fft.rfft(y)) ** 2 / n
+    power[:, 1 : (n + 1) // 2] *= 2
+    half = power[:, (f > band[0]) & (f <= band[1])] / 2
+    return np.sqrt(np.exp(np.log(np.maximum(half, 1e-300)).mean(1)))
+
+
+def histogram_baseline(y: np.ndarray, rounds: int = 3) -> tuple[float, float]:
+    """(baseline, noise): a Gaussian fitted to the main peak of the histogram, by a parabola on its logarithm."""
+    y = np.asarray(y, float)
+    deciles = np.quantile(y, np.arange(1, 10) / 10, method="hazen")
+    width = max(np.min(np.diff(deciles)) / 3, np.ptp(y) / 1000)
+    if not width > 0:
+        return float(np.median(y)), 0.0
+    edges = np.arange(y.min() - width / 2, y.max() + width, width)
+    count, _ = np.histogram(y, edges)
+    x = (edges[:-1] + edges[1:]) / 2
+    keep = count > 0.3 * count.max()
+    mean, sd = float(np.median(y)), float(np.std(y))
+    for _ in range(rounds):
+        if keep.sum() < 3:
+            break
+        p = np.polyfit(x[keep], np.log(count[keep]), 2, w=count[keep])
+        if p[0] >= 0:
+            break
+        mean, sd = float(-p[1] / (2 * p[0])), float(np.sqrt(-0.5 / p[0]))
+        keep = (count > 0) & (np.abs(x - mean) <= 1.5 * sd)
+    return mean, sd
+
+
 def ar_coefficients(y: np.ndarray, p: int, sn: float, lags: int = 5, fudge: float = 1.0) -> np.ndarray:
     """AR(p) coefficients by the Yule-Walker equations with the noise taken off lag 0; unstable roots are pulled inside."""
     y = np.asarray(y, float) - np.mean(y)

@@ -123,3 +123,13 @@ def order_by_snr(neurons: DataFrame) -> DataFrame:
     """(neuron, snr, rank): variance of the trace over that of the rest, largest first."""
     w = Window.orderBy(F.desc("snr"), "neuron")
     return neurons.select("neuron", A.rounded(F.col("signal") / F.when(F.col("rest") != 0, F.col("rest"))).alias("snr")).withColumn("rank", F.row_number().over(w))
+
+
+def search_ellipses(footprints: DataFrame, smallest: float, largest: float) -> DataFrame:
+    """(neuron, cr, cc, a, b, angle): centre, clamped half axes and direction of each footprint's weighted covariance."""
+    w, r, c = F.col("val"), F.col("r"), F.col("c")
+    m = footprints.groupBy("neuron").agg((F.sum(w * r) / F.sum(w)).alias("cr"), (F.sum(w * c) / F.sum(w)).alias("cc"), (F.sum(w * r * r) / F.sum(w)).alias("rr"), (F.sum(w * r * c) / F.sum(w)).alias("rc"), (F.sum(w * c * c) / F.sum(w)).alias("ccc"))
+    m = m.withColumns({"vr": F.col("rr") - F.pow("cr", 2), "vc": F.col("ccc") - F.pow("cc", 2), "cov": F.col("rc") - F.col("cr") * F.col("cc")})
+    half, spread = (F.col("vr") + F.col("vc")) / 2, F.sqrt(F.pow((F.col("vr") - F.col("vc")) / 2, 2) + F.pow("cov", 2))
+    axis = lambda v: F.sqrt(F.least(F.greatest(v, F.lit(smallest**2)), F.lit(largest**2)))
+    return m.select("neuron", A.rounded(F.col("cr")).alias("cr"), A.rounded(F.col("cc")).alias("cc"), A.rounded(axis(half + spread)).alias("a"), A.rounded(axis(half - spread)).alias("b"), A.rounded(F.atan2(2 * F.col("cov"), F.col("vr") - F.col("vc")) / 2).alias("angle"))

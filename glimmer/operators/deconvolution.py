@@ -20,6 +20,17 @@ def noise(traces: DataFrame, key: str, method: str = "logmexp") -> DataFrame:
     return traces.select(key, F.round(level("y"), 6).alias("sn"))
 
 
+def histogram_noise(traces: DataFrame, key: str) -> DataFrame:
+    """(key, baseline, sn, sn_plain): by the histogram's peak, and the noise by a plain periodogram."""
+
+    @F.pandas_udf("struct<baseline: double, sn: double, sn_plain: double>")
+    def fit(y: pd.Series) -> pd.DataFrame:
+        rows = [(*K.histogram_baseline(x), float(K.periodogram_noise(x)[0])) for x in (np.nan_to_num(np.asarray(x, float)) for x in y)]
+        return pd.DataFrame(rows, columns=["baseline", "sn", "sn_plain"])
+
+    return traces.where(F.size("y") > 3).select(key, fit("y").alias("f")).select(key, *[F.round(f"f.{x}", 6).alias(x) for x in ("baseline", "sn", "sn_plain")])
+
+
 def time_constants(traces: DataFrame, key: str, p: int = 2) -> DataFrame:
     """(key, sn, g): AR coefficients of each trace."""
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from glimmer.functions import arrays as A
+
 
 def patches(spark: SparkSession, height: int, width: int, size: int, halo: int) -> DataFrame:
     """(patch, r0, r1, c0, c1, br0, br1, bc0, bc1): the patches of an image and the blocks with their halo."""
@@ -44,3 +46,21 @@ def batches(lengths: DataFrame, frames: int) -> DataFrame:
     edge = lambda i: F.round(1 + (F.col("n") - 1) * i / F.col("k")).cast("int")
     d = lengths.withColumn("k", n).select("file", "n", "k", F.explode(F.sequence(F.lit(1), F.col("k"))).alias("batch"))
     return d.select("file", "batch", edge(F.col("batch") - 1).alias("t0"), (edge(F.col("batch")) - F.when(F.col("batch") < F.col("k"), 1).otherwise(0)).alias("t1"))
+
+
+def coverage_mean(values: DataFrame) -> DataFrame:
+    """Where blocks overlap, the mean of what they say: (pix, v, n) from (patch, pix, v)."""
+    return values.groupBy("pix").agg(A.rounded(F.avg("v")).alias("v"), F.count("*").alias("n"))
+
+
+def distribute(pixels: DataFrame, path: str, height: int, size: int, halo: int) -> DataFrame:
+    """The pixels by block, written once under path with a folder for each patch: (patch, inside, pix, r, c, y).
+
+    A later call with the same path reads what is there. Reading a patch prunes all other folders.
+    """
+    spark = pixels.sparkSession
+    there = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
+    if not there.getFileSystem(spark._jsc.hadoopConfiguration()).exists(there):
+        blocks = block_members(pixels, height, size, halo).join(pixels.select("pix", "r", "c", "y"), "pix")
+        blocks.repartition("patch").write.mode("overwrite").partitionBy("patch").parquet(path)
+    return spark.read.parquet(path)

@@ -63,3 +63,10 @@ def border_excluded(pixels: DataFrame, bd: int) -> DataFrame:
     """Pixels that lie bd or more from all four sides of the image."""
     edge = pixels.agg(F.max("r").alias("r1"), F.max("c").alias("c1"))  # one row
     return pixels.join(F.broadcast(edge)).where((F.col("r") >= bd) & (F.col("c") >= bd) & (F.col("r") <= F.col("r1") - bd) & (F.col("c") <= F.col("c1") - bd)).select("pix", "r", "c")
+
+
+def median_filtered(pixels: DataFrame, column: str, reach: int = 1) -> DataFrame:
+    """Median of the square around each pixel, as far as it lies in the image: (pix, m, n)."""
+    square = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
+    pairs = neighbour_pairs(pixels.select("pix", "r", "c", column), square, column)
+    return pairs.groupBy("pix").agg(A.rounded(F.expr(f"percentile(n_{column}, 0.5)")).alias("m"), F.count("*").alias("n"))

@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
+from glimmer.functions import basis
 from glimmer.operators import components as C
 from glimmer.operators import graph, layout, neighbours, stats, windows
 from glimmer.sources.adapters import HEIGHT, pixels, samples, traces
@@ -219,9 +221,45 @@ def ols_extract(spark, d):
     return x.groupBy("user_id").agg(A.rounded(F.regr_slope("y", "x")).alias("slope"), A.rounded(F.regr_intercept("y", "x")).alias("intercept"), F.regr_count("y", "x").alias("n"))
 
 
+_BASIS = basis.b_splines(64, 5)
+
+
+def _list(rows) -> str:
+    return "[" + ", ".join(f"CAST({float(x)!r} AS DOUBLE)" for x in rows) + "]"
+
+
+_FIT = ", ".join(f"list_dot_product(v, {_list(row)})" for row in np.linalg.pinv(_BASIS))
+_ROWS = ", ".join(_list(row) for row in _BASIS)
+
+
+@query(f"{_PX}, v AS (SELECT pix, CAST(embedding AS DOUBLE[]) AS v FROM p), w AS (SELECT pix, v, [{_FIT}] AS w FROM v) SELECT pix, CAST(t AS INT) AS t, {r('v[t] - list_dot_product(w, ([' + _ROWS + '])[t])')} AS z FROM w, range(1, 65) AS g(t)")
+def spline_detrend(spark, d):
+    z = pixels(spark, d).select("pix", basis.without_trend(F.col("y"), _BASIS).alias("z"))
+    return z.select("pix", F.posexplode("z").alias("t", "z")).select("pix", (F.col("t") + 1).alias("t"), A.rounded(F.col("z")).alias("z"))
+
+
+@query(f"{_PX}, m AS (SELECT pix, r, c, avg(y) AS m FROM px GROUP BY pix, r, c) SELECT a.pix, {r('quantile_cont(b.m, 0.5)')} AS m, count(*) AS n FROM m a JOIN m b ON b.r BETWEEN a.r - 1 AND a.r + 1 AND b.c BETWEEN a.c - 1 AND a.c + 1 GROUP BY a.pix")
+def median_filter(spark, d):
+    return neighbours.median_filtered(pixels(spark, d).withColumn("m", A.mean(F.col("y"))), "m")
+
+
+@query(f"{_PX}, m AS (SELECT pix, r, c, avg(y) AS m FROM px GROUP BY pix, r, c), g AS (SELECT i, j FROM range(0, 4) a(i), range(0, 100000) b(j) WHERE j <= (SELECT max(c) // 8 FROM p)), v AS (SELECT pix, m * (1 + (j * 4 + i) % 3) AS v FROM g JOIN m ON r BETWEEN i * 8 - 2 AND i * 8 + 9 AND c BETWEEN j * 8 - 2 AND j * 8 + 9) SELECT pix, {r('avg(v)')} AS v, count(*) AS n FROM v GROUP BY pix")
+def coverage_mean(spark, d):
+    p = pixels(spark, d)
+    last = p.agg(F.floor(F.max("c") / 8).alias("last"))  # one row
+    m = layout.block_members(p, HEIGHT, 8, 2).join(F.broadcast(last)).where(F.floor(F.col("patch") / 4) <= F.col("last"))
+    v = m.join(p.select("pix", A.mean(F.col("y")).alias("m")), "pix")
+    return layout.coverage_mean(v.select("patch", "pix", (F.col("m") * (1 + F.col("patch") % 3)).alias("v")))
+
+
 # Components
 
 
+@query(f"{_FP}, m AS (SELECT neuron, sum(val * r) / sum(val) AS cr, sum(val * c) / sum(val) AS cc, sum(val * r * r) / sum(val) AS rr, sum(val * r * c) / sum(val) AS rc, sum(val * c * c) / sum(val) AS ccc FROM f GROUP BY neuron), v AS (SELECT neuron, cr, cc, rr - cr * cr AS vr, ccc - cc * cc AS vc, rc - cr * cc AS cov FROM m), e AS (SELECT *, (vr + vc) / 2 AS h, sqrt(pow((vr - vc) / 2, 2) + cov * cov) AS s FROM v) SELECT CAST(neuron AS INT) AS neuron, {r('cr')} AS cr, {r('cc')} AS cc, {r('sqrt(least(greatest(h + s, 9), 64))')} AS a, {r('sqrt(least(greatest(h - s, 9), 64))')} AS b, {r('atan2(2 * cov, vr - vc) / 2')} AS angle FROM e")
+def search_ellipse(spark, d):
+    return C.search_ellipses(_footprints(spark, d), 3, 8)
+
+
 @query(f"{_FP} SELECT CAST(neuron AS INT) AS neuron, {r('sum(r * val) / sum(val)')} AS cr, {r('sum(c * val) / sum(val)')} AS cc, count(*) AS n_pixels FROM f GROUP BY neuron")
 def center_of_mass(spark, d):
     return C.centre_of_mass(_footprints(spark, d))

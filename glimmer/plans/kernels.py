@@ -23,6 +23,10 @@ def noise_psd(spark: SparkSession, d: str) -> DataFrame:
     return deconvolution.noise(pixels(spark, d), "pix")
 
 
+def noise_histogram(spark: SparkSession, d: str) -> DataFrame:
+    return deconvolution.histogram_noise(pixels(spark, d), "pix")
+
+
 def ar_time_constants(spark: SparkSession, d: str) -> DataFrame:
     return deconvolution.time_constants(pixels(spark, d), "pix", 2)
 
@@ -100,4 +104,4 @@ def event_types(spark: SparkSession, d: str) -> DataFrame:
     return KMeans(k=2, seed=1, initMode="k-means||").fit(v).transform(v).select("user_id", F.col("prediction").alias("cluster"))
 
 
-QUERIES = {f.__name__: f for f in (noise_psd, ar_time_constants, oasis_ar1, constrained_ar1, thresholded_ar1, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types)}
+QUERIES = {f.__name__: f for f in (noise_psd, noise_histogram, ar_time_constants, oasis_ar1, constrained_ar1, thresholded_ar1, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types)}

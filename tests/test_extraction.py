@@ -65,3 +65,31 @@ def test_commands(spark):
     assert rows(commands.merge(f, [1, 2])) == [(1, 1, 1.0), (1, 2, 5.0), (3, 9, 1.0)]
     assert rows(commands.trim(f, 1, mask)) == [(1, 2, 2.0), (2, 2, 3.0), (3, 9, 1.0)]
     assert rows(commands.split(f, 1, mask, 7)) == [(1, 1, 1.0), (2, 2, 3.0), (3, 9, 1.0), (7, 2, 2.0)]
+
+
+def test_blocks_are_written_once_and_pruned(spark, tmp_path):
+    from glimmer.operators import layout
+
+    pixels, _ = movie(spark, 16, 5)
+    d = layout.distribute(pixels, str(tmp_path / "m"), 16, 8, 2).where("patch < 4")
+    assert d.count() == 400
+    again = layout.distribute(pixels.limit(0), str(tmp_path / "m"), 16, 8, 2)
+    assert again.where("patch = 1 and inside").count() == 64
+    assert "PartitionFilters: [isnotnull(patch" in again.where("patch = 1")._jdf.queryExecution().toString()
+
+
+def test_histogram_baseline_and_periodogram_noise():
+    from glimmer.functions import kernels as K
+
+    y = 3 + 0.5 * np.random.default_rng(1).standard_normal(4000)
+    y[::40] += 8
+    assert K.histogram_baseline(y) == pytest.approx((3, 0.5), abs=0.08)
+    assert K.periodogram_noise(np.random.default_rng(0).standard_normal(4096))[0] == pytest.approx(np.exp(-0.5772 / 2), abs=0.05)
+
+
+def test_splines_add_up_to_one():
+    from glimmer.functions.basis import b_splines
+
+    b = b_splines(50, 6)
+    assert b.shape == (50, 8)
+    assert b.sum(1) == pytest.approx(np.ones(50))
