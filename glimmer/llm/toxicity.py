@@ -87,12 +87,13 @@ def fit(rows: list[tuple[list[int], list[int] | None, int]], epochs: int = 8, l1
     rows: (features, features after the swap or None, label). Both labels weigh the same.
     """
     told = telling([(x, y) for x, _, y in rows])
-    rows = [([f for f in x if told[f]], None if s is None else [f for f in s if told[f]], y) for x, s, y in rows]
+    some = lambda x: x[told[x]]
+    rows = [(some(np.asarray(x, np.int64)), None if s is None else some(np.asarray(s, np.int64)), y) for x, s, y in rows]
     z, n = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     bias_z, bias_n, beta = 0.0, 1e-8, 1.0
     share = {v: sum(r[2] == v for r in rows) for v in (0, 1)}
     gain = {v: len(rows) / (2 * c) if c else 1.0 for v, c in share.items()}
-    data = [(*np.unique(np.asarray(x, np.int64), return_counts=True), None if s is None else np.unique(np.asarray(s, np.int64), return_counts=True), y) for x, s, y in rows]
+    data = [(*np.unique(x, return_counts=True), None if s is None else np.unique(s, return_counts=True), y) for x, s, y in rows]
     rng = np.random.default_rng(5)
 
     def weights(i):
@@ -154,6 +155,17 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
 
 
+def _training_rows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray | None, int]]:
+    """In an order of their own: by id, and of several rows of an id the one with the smallest features."""
+    rows: dict[int, tuple] = {}
+    for doc, x, s, y in zip(*(table[n] for n in ("doc_id", "x", "s", "toxic")), strict=True):
+        x = x.values.to_numpy()
+        old = rows.get(doc.as_py())
+        if old is None or x.tobytes() < old[0].tobytes():
+            rows[doc.as_py()] = (x, s.values.to_numpy() if s.is_valid and len(s.values) else None, y.as_py())
+    return [rows[k] for k in sorted(rows)]
+
+
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """(doc_id, held_out, score, predicted) for every row of docs.
 
@@ -181,9 +193,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
 
     picked = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
     rows = picked.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, "doc_id long, x array<int>, s array<int>, toxic int")
-    got = sorted((r["doc_id"], r["x"], r["s"] or [], r["toxic"]) for r in rows.collect())
-    got = [r for i, r in enumerate(got) if not i or got[i - 1][0] != r[0]]
-    weights, bias = fit([(x, s or None, y) for _, x, s, y in got]) if got else (np.zeros(BUCKETS), 0.0)
+    got = _training_rows(rows.toArrow())
+    weights, bias = fit(got) if got else (np.zeros(BUCKETS), 0.0)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
 
     def score(batches: Iterator[pa.RecordBatch]):

@@ -25,6 +25,10 @@ NOT_ARTICLE_NAMES = set("ad ads adv advert advertisement adverts banner breadcru
 # End of fixed values.
 #: Up to so many units of a repeated group are looked for.
 LONGEST_GROUP = 4
+#: Elements nested more deeply are empty, and what is in them belongs to the last one that is not.
+DEEPEST = 100
+#: Longer lists of nodes are aligned by key and not by their longest common subsequence.
+LONGEST_ALIGNED = 400
 _TOKEN = re.compile(
     r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
     re.S | re.I,
@@ -82,7 +86,7 @@ def parse(text: str) -> Node:
                 leave(t, {"table"})
         node = Node(tag, m[4])
         stack[-1].children.append(node)
-        if tag not in VOID and not m[4].rstrip().endswith("/"):
+        if tag not in VOID and not m[4].rstrip().endswith("/") and len(stack) < DEEPEST:
             stack.append(node)
     put(len(text))
     return root
@@ -144,6 +148,18 @@ def merge(a: list, b: list) -> list:
 def _aligned(a: list, b: list) -> list:
     if [n[0] for n in a] == [n[0] for n in b]:
         return [merge(x, y) for x, y in zip(a, b, strict=True)]
+    optional = lambda x: [x[0], True, *x[2:]]
+    if max(len(a), len(b)) > LONGEST_ALIGNED:
+        place, out = {}, list(a)
+        for i, x in enumerate(a):
+            place.setdefault(x[0], i)
+        for x in b:
+            if x[0] in place:
+                out[place[x[0]]] = merge(out[place[x[0]]], x)
+            else:
+                place[x[0]] = len(out)
+                out.append(optional(x))
+        return out
     # Longest common subsequence of the keys.
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
@@ -151,7 +167,6 @@ def _aligned(a: list, b: list) -> list:
         for j in range(m - 1, -1, -1):
             best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
     out, i, j = [], 0, 0
-    optional = lambda x: [x[0], True, *x[2:]]
     while i < n or j < m:
         if i < n and j < m and a[i][0] == b[j][0]:
             out.append(merge(a[i], b[j]))

@@ -331,6 +331,15 @@ def test_wrapper_has_slots_options_and_repeats():
     assert [n[0] for n in group] == ["()"]
 
 
+def test_deep_wide_and_broken_pages():
+    assert wrappers.extract("<div>" * 5000 + "deep" + "</div>" * 5000, None) == "deep"
+    wide = "<body>" + "".join(f"<x{i}>a</x{i}>" for i in range(900)) + "</body>"
+    merged = wrappers.merge(wrappers._outline(wrappers.parse(wide)), wrappers._outline(wrappers.parse(wide + "<y>b</y>")))
+    assert merged[5][0][0] == "body"
+    for broken in ("<", "<a href='x", "<script>never", "<!-- never", "</p></p>", "<p a=\"b>c", "&#xZZ; &#99999999999;", "<p>a<table><tr><td>b<p>c"):
+        assert isinstance(wrappers.extract(broken, "/article"), str)
+
+
 def test_main_text_of_the_table_is_the_article(spark):
     got = {r["page_id"]: r["text"] for r in queries.op3_wrappers(spark, SF).collect()}
     import html
