@@ -89,7 +89,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     spark = pages.sparkSession
     url = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
     url = url.select(host_key(F.col("host")).alias("key"), "path", F.lit(None).cast("string").alias("verdict"), F.lit(None).cast("string").alias("rule"), F.lit(True).alias("is_url"), "page_id", "host")
-    r = rules.select("verdict", F.lower("host").alias("host"), F.coalesce("path", F.lit("/")).alias("path")).where("host <> ''")
+    r = rules.select("verdict", ascii_lower(F.col("host")).alias("host"), F.coalesce("path", F.lit("/")).alias("path")).where("host <> ''")
     r = r.select(host_key(F.col("host")).alias("key"), "path", "verdict", F.concat("host", "path").alias("rule"), F.lit(False).alias("is_url"), F.lit(None).cast("long").alias("page_id"), F.lit(None).cast("string").alias("host"))
     n = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 1)
     both = url.unionByName(r).repartitionByRange(n, "key", "is_url", "path", F.coalesce("page_id", F.lit(-1)), F.xxhash64("path", "page_id", "key")).withColumn("part", F.spark_partition_id())
