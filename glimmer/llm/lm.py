@@ -17,11 +17,9 @@ from glimmer.llm.tokens import word_ids
 
 #: The commonest words, at most so many, travel to the texts; the occurrences of the others travel to their counts.
 COMMON_WORDS = 400_000
-#: Rounds of training, each on one of SHARES parts of the training texts (fewer parts, so that one has LEAST_WORDS, if
-#: there are not so many words). A task trains on about TASK_WORDS words; then the tasks' weights are averaged.
+#: The training texts are dealt over so many rounds, so that every text is learnt from once at every size. A task trains
+#: on about TASK_WORDS words; then the tasks' weights are averaged.
 ROUNDS = 2
-SHARES = 32
-LEAST_WORDS = 2_000_000
 TASK_WORDS = 800_000
 TOKENS, BEGIN, END = 49_408, 49_406, 49_407
 _ROWS_A_PART = 4096
@@ -112,15 +110,14 @@ def _average(group):
 
 
 def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds: int = ROUNDS):
-    """A broadcast (weights, class of each token, log10 probability in the class), trained on docs of n_words words."""
+    """A broadcast (weights, class of each token, log10 probability in the class), trained once on every row of docs, of n_words words."""
     spark = docs.sparkSession
-    shares = min(SHARES, max(1, n_words // LEAST_WORDS))
-    tasks = max(1, round(n_words / shares / TASK_WORDS))
+    tasks = max(1, round(n_words / rounds / TASK_WORDS))
     of, within = attention.token_classes(counts)
     weights = attention.first_weights(TOKENS, of, counts)
     model = spark.sparkContext.broadcast((weights, of, within))
     for r in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(shares)) == r % shares).select(whole().alias("text")).repartition(tasks)
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select(whole().alias("text")).repartition(tasks)
         trained = part.mapInArrow(_train(path, model), "name string, part int, value binary, share binary")
         rows = trained.groupBy("name", "part").applyInArrow(_average, "name string, part int, value binary").collect()  # one set of weights
         weights = {n: x.copy() for n, x in weights.items()}

@@ -444,6 +444,25 @@ def test_base_scores_agree_with_brute_force(spark, odd, common, monkeypatch):
         assert r["score"] < 0
 
 
+@pytest.mark.parametrize("n_words", [1000, 64_000_000])
+def test_model_learns_from_every_training_text_once(spark, n_words, monkeypatch):
+    docs = spark.createDataFrame([(i if i % 50 else None, f"text {i}") for i in range(400)], "doc_id long, text string")
+    texts, total = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(path, model):
+        def run(batches):
+            for batch in batches:
+                texts.add(batch.num_rows)
+                total.add(sum(int(t.split()[1]) for t in batch.column(0).to_pylist()))
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(lm, "_train", counted)
+    lm.train(docs, queries.tokenizer(), np.ones(lm.TOKENS), n_words)
+    assert (texts.value, total.value) == (400, sum(range(400)))
+
+
 # Edges
 
 
