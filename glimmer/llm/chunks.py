@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -12,21 +13,24 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.common import pieces_of, stored, whole
 
-#: A cut falls where the low bits of the gear hash are 0: chunks have MIN + 2**BITS bytes on average.
-BITS = 6
-MIN_CHUNK = 16
+#: A cut falls where BITS bits of the gear hash of the last WINDOW bytes are 0: chunks have MIN + 2**BITS bytes on average.
+BITS = 4
+WINDOW = 16
+MIN_CHUNK = 8
 MAX_CHUNK = 1024
-#: Repeated chunks go only in runs of so many bytes: what is left of a passage of 50 words between its first and last cut.
+#: Repeated chunks go only in runs of so many bytes: less than is left of a passage of 50 words between its first and last cut.
 MIN_RUN = 96
 _GEAR = np.random.default_rng(20).integers(0, 2**32, 256, dtype=np.uint32)
 _SPAN = 1 << 22
+#: Digests are compared in so many parts, one after another, so that only a part of the chunks is shuffled at once.
+SLICES = 4
 
 
 def gear_hashes(data: np.ndarray) -> np.ndarray:
-    """h[i] = sum of gear[data[i - j]] << j over the last 32 bytes, modulo 2**32, by doubling the span."""
+    """h[i] = sum of gear[data[i - j]] << j over the last WINDOW bytes, modulo 2**32, by doubling the span."""
     h = _GEAR[data]
     width = 1
-    while width < 32:
+    while width < WINDOW:
         h[width:] += h[:-width] << np.uint32(width)
         width *= 2
     return h
@@ -35,9 +39,9 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of data: content decides, so bytes put in before a passage move its cuts along."""
     n, ends, last = len(data), [], 0
-    mask = np.uint32((1 << BITS) - 1) << np.uint32(32 - BITS)
-    for a in range(0, n, _SPAN):  # 31 bytes before the span give it its hashes
-        b = max(0, a - 31)
+    mask = np.uint32((1 << BITS) - 1) << np.uint32(WINDOW - BITS)  # the highest bits that all bytes of the window reach from below
+    for a in range(0, n, _SPAN):  # the bytes before the span give it its hashes
+        b = max(0, a - WINDOW + 1)
         at = np.flatnonzero((gear_hashes(np.frombuffer(data[b : a + _SPAN], np.uint8)) & mask) == 0) + b
         for i in at[at >= a].tolist():
             end = i + 1
@@ -91,8 +95,12 @@ def repeated_chunks(docs: DataFrame) -> DataFrame:
     chunks = docs.select("doc_id", _row_key().alias("k"), whole().alias("text")).mapInArrow(_chunk_rows, "doc_id long, k long, high long, low long, start int, length int")
     chunks = stored(chunks, "chunks")
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "k", "start")
-    first = stored(chunks.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first"), "chunk-repeats")
-    later = chunks.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first")))
+    found = []
+    for i in range(SLICES):
+        some = chunks.where(F.pmod("low", F.lit(SLICES)) == i)
+        first = stored(some.groupBy("high", "low").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("high", "low", "first"), "chunk-repeats")
+        found.append(stored(some.join(first, ["high", "low"]).where(~place.eqNullSafe(F.col("first"))).select("doc_id", "k", "start", "length"), "chunk-later"))
+    later = reduce(DataFrame.union, found)
     return later.groupBy("doc_id", "k").agg(F.collect_set(F.struct("start", "length")).alias("parts"))
 
 

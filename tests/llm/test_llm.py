@@ -202,6 +202,27 @@ def test_chunk_repeats_agree_with_brute_force(spark):
     assert got == want
 
 
+def test_single_passages_of_51_words_go_nearly_whole():
+    whole = gone = missed = 0
+    for i in range(300):
+        words = prose(51, 10_000 + i)
+        one, two = (f"{prose(90, 20_000 + 2 * i + j)} {words} {prose(90, 50_000 + 2 * i + j)}".encode() for j in range(2))
+        last, seen = 0, set()
+        for end in chunks.cuts(one):
+            seen.add(one[last:end])
+            last = end
+        last, parts = 0, []
+        for end in chunks.cuts(two):
+            if two[last:end] in seen:
+                parts.append({"start": last, "length": end - last})
+            last = end
+        n = sum(length for _, length in chunks.runs_of(parts))
+        whole, gone, missed = whole + len(words), gone + n, missed + (n == 0)
+    print("share of bytes", gone / whole, "missed", missed)
+    assert missed <= 1
+    assert gone > 0.75 * whole
+
+
 # Jaccard
 
 
