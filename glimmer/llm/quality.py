@@ -44,8 +44,13 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
+def _least_window(w: Column) -> Column:
+    """The smallest hash of a line's windows of three words: lines that differ in a word mostly share it."""
+    return F.array_min(F.transform(w, lambda x, i: F.xxhash64(F.lower(x), F.lower(F.get(w, i + 1)), F.lower(F.get(w, i + 2)))))
+
+
 def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Per document: rid, the columns doc_id and host, the base counts, and lines: (hash, words) of each line with a word."""
+    """Per document: rid, the columns doc_id and host, the base counts, and lines: (hash, words, smallest window) of each line with a word."""
     # Only named columns are kept, so further columns of docs cannot clash.
     d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(host).alias("host"), whole().alias("text"))
     bare = F.col("text")
@@ -56,7 +61,7 @@ def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
     d = d.withColumn("parts", F.filter(F.transform("raw", _words), lambda w: F.size(w) > 0))
     d = d.select(
         "rid", "doc_id", "host", "n_symbols", F.flatten("parts").alias("w"),
-        F.transform("parts", lambda w: F.struct(line_hash(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"))).alias("lines"),
+        F.transform("parts", lambda w: F.struct(line_hash(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"), _least_window(w).alias("m"))).alias("lines"),
         _given(F.filter("raw", lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     d = d.select("rid", "doc_id", "host", "n_symbols", "lines", "n_dup_lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("one"))
@@ -69,13 +74,21 @@ def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
 def frequent_lines(features: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
     """(host, h, n_documents) of the lines in more than max_documents different documents of a host.
 
-    Documents whose smallest other line hash agrees count once, so that the copies of a document, exact or near, do not
-    make its own lines frequent.
+    Documents of the same lines count once, and so do those whose rarest lines share their smallest window, so that the
+    copies of a document, exact or near, do not make its own lines frequent. What stands on many pages of a host is not
+    their rarest line, so it does not make different documents one.
     """
-    d = features.select("host", F.sort_array(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("hs"))
-    d = d.select("host", F.explode("hs").alias("h"), F.get("hs", F.lit(0)).alias("first"), F.get("hs", F.lit(1)).alias("second"))
-    d = d.select("host", "h", F.coalesce(F.when(F.col("h") == F.col("first"), F.col("second")).otherwise(F.col("first")), F.lit(-1)).alias("other"))
-    return d.groupBy("host", "h").agg(F.countDistinct("other").alias("n_documents")).where(F.col("n_documents") > max_documents)
+    h = F.transform("lines", lambda x: x["h"])
+    d = features.select("host", F.xxhash64(h).alias("text"), F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["m"].alias("m"))))).alias("x"))
+    d = stored(d.select("host", "text", "x.h", "x.m").groupBy("host", "text", "h").agg(F.min("m").alias("m")), "quality-pairs")
+    counts = stored(d.groupBy(F.col("host").alias("chost"), F.col("h").alias("ch")).agg(F.count("*").alias("times")).where("times > 1"), "quality-counts")
+    same = F.col("host").eqNullSafe(F.col("chost")) & (F.col("h") == F.col("ch"))
+    common, few = sized(counts.where(F.col("times") > max_documents)), counts.where(F.col("times") <= max_documents)
+    often = d.join(common, same).select("host", "text", "times", "m", "h")
+    rest = d.join(common, same, "left_anti").join(few, same, "left").select("host", "text", F.coalesce("times", F.lit(1)).alias("times"), "m", F.lit(None).cast("long").alias("h"))
+    one = often.union(rest).groupBy("host", "text").agg(F.min(F.struct("times", "m")).alias("rarest"), F.collect_list("h").alias("hs"))
+    one = one.select("host", F.explode("hs").alias("h"), "rarest.m")
+    return one.groupBy("host", "h").agg(F.countDistinct("m").alias("n_documents")).where(F.col("n_documents") > max_documents)
 
 
 def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:

@@ -298,6 +298,15 @@ def test_frequent_lines_go_and_depleted_documents_too(spark):
     assert 100 not in clean
 
 
+def test_lines_that_stand_together_do_not_hide_each_other(spark):
+    menu = [prose(8, 700 + j) for j in range(10)]
+    rows = [(i, "\n".join([*menu, prose(60, 3000 + i)]), "a") for i in range(300)]
+    features = quality.line_features(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    got = quality.frequent_lines(features).collect()
+    assert len(got) == 10
+    assert min(r["n_documents"] for r in got) >= 290
+
+
 # URL rules
 
 
