@@ -80,7 +80,7 @@ def merge_components(spark: SparkSession, d: str) -> DataFrame:
 
 
 def streamed_calcium(spark: SparkSession, d: str) -> DataFrame:
-    """The series of the events table as a stream: the final frames after all of its files."""
+    """The series of the events table as a stream: every frame, after its files and a closing row for each series."""
     from glimmer.streaming.online import online_calcium
 
     folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
@@ -88,8 +88,12 @@ def streamed_calcium(spark: SparkSession, d: str) -> DataFrame:
     traces(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "t", "y").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("user_id long, t int, y double").parquet(f"{base}/in")
     out = online_calcium(stream, 0.9, look_back=8)
-    query = out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start()
-    query.awaitTermination()
+    run = lambda: out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
+    run()
+    closing = spark.read.parquet(f"{base}/in").select("user_id", F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("y")).distinct()
+    closing.write.parquet(f"{base}/closing")
+    spark.read.parquet(f"{base}/closing").write.mode("append").parquet(f"{base}/in")
+    run()
     done = spark.read.schema(out.schema).parquet(f"{base}/out")
     return done.select("user_id", "t", A.rounded(F.col("c")).alias("c"), A.rounded(F.col("spike")).alias("spike"))
 

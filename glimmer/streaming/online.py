@@ -15,14 +15,24 @@ def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: i
     """(user_id, t, c, spike) of the frames that are final, from a stream of (user_id, t, y) in time order per series.
 
     The state of a series is its open pools and frame count. A pool that a later sample would reach further back than
-    look_back pools is final as it stands.
+    look_back pools is final as it stands. A row without t ends its series: all its pools are final then.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         count, values, weights, starts, lengths, before = state.get if state.exists else (0, [], [], [], [], 0.0)
         pools = [list(p) for p in zip(values, weights, starts, lengths, strict=True)]
         rows = []
-        for y in pd.concat(list(frames)).sort_values("t")["y"]:
+
+        def leave() -> None:
+            nonlocal before
+            v, w, t, n = pools.pop(0)
+            c = max(0.0, v / w)
+            for i in range(n):
+                rows.append((key[0], t + i + 1, c * g**i, max(0.0, c - g * before) if i == 0 and t else 0.0))
+            before = c * g ** (n - 1)
+
+        frames = pd.concat(list(frames)).sort_values("t")
+        for y in frames["y"][frames["t"].notna()]:
             pools.append([float(y), 1.0, count, 1])
             count += 1
             while len(pools) > 1:
@@ -32,13 +42,15 @@ def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: i
                 v2, w2, _, n2 = pools.pop()
                 pools[-1] = [v + v2 * g**n, w + w2 * g ** (2 * n), t, n + n2]
             while len(pools) > look_back:
-                v, w, t, n = pools.pop(0)
-                c = max(0.0, v / w)
-                for i in range(n):
-                    rows.append((key[0], t + i + 1, c * g**i, max(0.0, c - g * before) if i == 0 and t else 0.0))
-                before = c * g ** (n - 1)
-        columns = [list(x) for x in zip(*pools, strict=True)]
-        state.update((count, *columns, before))
+                leave()
+        if frames["t"].isna().any():
+            while pools:
+                leave()
+            if state.exists:
+                state.remove()
+        else:
+            columns = [list(x) for x in zip(*pools, strict=True)]
+            state.update((count, *columns, before))
         yield pd.DataFrame(rows, columns=["user_id", "t", "c", "spike"])
 
     out = "user_id long, t long, c double, spike double"

@@ -129,6 +129,13 @@ def test_streamed_frames_agree_with_the_whole_trace(spark):
     assert near > 0.98 * len(got)  # a look-back of 8 pools seldom is too short
 
 
+def test_streamed_frames_are_all_there(spark):
+    from glimmer.sources.adapters import traces
+
+    got = sorted((r["user_id"], r["t"]) for r in plans.streamed_calcium(spark, f"{DATA}/sf0.001").collect())
+    assert got == sorted((r["user_id"], r["t"]) for r in traces(spark, f"{DATA}/sf0.001").collect())
+
+
 @pytest.mark.parametrize("name", plans.QUERIES)
 def test_kernel_queries_run(spark, name):
     assert plans.QUERIES[name](spark, f"{DATA}/sf0.001").count() >= 0
