@@ -24,11 +24,12 @@ def _image(group: pd.DataFrame):
     return group, np.nan_to_num(np.vstack(group["y"].to_list()))
 
 
-def seeds(blocks: DataFrame, radius: int, min_score: float, most: int) -> DataFrame:
+def seeds(blocks: DataFrame, radius: int, min_score: float, most: int | None = None) -> DataFrame:
     """Greedy seeding: (patch, rank, pix, score, trace).
 
     Takes the pixel of the best correlation with its neighbours times peak-to-noise ratio, explains the pixels within
-    the radius by its trace, subtracts that, and looks again. A seed in the halo belongs to another patch and is left out.
+    the radius by its trace, subtracts that, and looks again, until no score is min_score or, if it is given, `most`
+    seeds are found. A seed in the halo belongs to another patch and is left out.
     """
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
@@ -37,7 +38,7 @@ def seeds(blocks: DataFrame, radius: int, min_score: float, most: int) -> DataFr
         near = (np.abs(r[:, None] - r) <= 1) & (np.abs(c[:, None] - c) <= 1) & ((r[:, None] != r) | (c[:, None] != c))
         left = np.ones(len(y), bool)
         y = y - np.median(y, 1, keepdims=True)
-        for rank in range(1, most + 1):
+        for rank in range(1, (len(y) if most is None else most) + 1):  # a pixel is a seed once at most
             sd = y.std(1)
             z = (y - y.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1)[:, None]
             cn = ((near @ z) * z).mean(1) / np.maximum(near.sum(1), 1)

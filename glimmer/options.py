@@ -29,7 +29,7 @@ class Options:
     nsd: float = 3.0
     nfr: int = 5
     patch: int = 64
-    seeds_per_patch: int = 20
+    seeds_per_patch: int | None = None
 
 
 # End of fixed values.

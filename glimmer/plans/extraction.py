@@ -24,11 +24,10 @@ def extract(pixels: DataFrame, height: int, options: Options | None = None) -> d
     found = patches.seeds(patches.blocks(centred, height, o.patch, min(radius, o.patch)), radius, o.min_corr * o.min_pnr, o.seeds_per_patch)
     seeds = found.join(pixels.select("pix", "r", "c"), "pix").select(F.col("pix").alias("neuron"), "r", "c", "trace", "score")
 
-    # Footprint: each pixel near a seed regressed on the traces of the seeds near it, one after another by score.
+    # Footprint: each pixel near a seed regressed on the trace of each seed near it.
     near = _near(centred, seeds, radius)
-    order = Window.partitionBy("pix").orderBy(F.desc("score"), "neuron")
     val = F.greatest(A.dot(F.col("y"), F.col("trace")) / A.dot(F.col("trace"), F.col("trace")), F.lit(0.0))
-    footprints = near.withColumn("k", F.row_number().over(order)).where("k <= 3").select("neuron", "pix", "r", "c", val.alias("val"))
+    footprints = near.select("neuron", "pix", "r", "c", val.alias("val"))
     footprints = footprints.withColumn("top", F.max("val").over(Window.partitionBy("neuron"))).where("val > 0.1 * top").drop("top")
 
     pairs = C.overlap_cosine(footprints, 0.1).join(seeds.select(F.col("neuron").alias("a"), F.col("trace").alias("x")), "a").join(seeds.select(F.col("neuron").alias("b"), F.col("trace").alias("z")), "b")

@@ -50,7 +50,7 @@ def kernel_nnls(spark: SparkSession, d: str) -> DataFrame:
 
 
 def greedy_seeds(spark: SparkSession, d: str) -> DataFrame:
-    found = patches.seeds(patches.blocks(pixels(spark, d), HEIGHT, 8, 2), 2, 0.2, 5)
+    found = patches.seeds(patches.blocks(pixels(spark, d), HEIGHT, 8, 2), 2, 0.2)
     return found.select("patch", "rank", "pix", "score")
 
 

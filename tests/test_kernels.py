@@ -93,6 +93,23 @@ def test_greedy_seeds_find_planted_sources(spark):
     assert set(centres) <= set(found["pix"])
 
 
+def test_greedy_seeds_go_on_until_the_score_is_low(spark):
+    rng = np.random.default_rng(7)
+    rows = []
+    spots = [(r, c) for r in range(1, 24, 3) for c in range(1, 24, 3)]
+    traces = [planted(200, 0.8, 0, seed=100 + k)[0] for k in range(len(spots))]
+    for c in range(24):
+        for r in range(24):
+            y = 0.02 * rng.standard_normal(200)
+            k = spots.index((r // 3 * 3 + 1, c // 3 * 3 + 1))
+            rows.append((c * 24 + r, r, c, (y + traces[k]).tolist()))
+    pixels = spark.createDataFrame(rows, "pix long, r long, c long, y array<double>")
+    blocks = patches.blocks(pixels, 24, 8, 2)
+    found = patches.seeds(blocks, 2, 1.0).toPandas()
+    places = {(p % 24 // 3 * 3 + 1, p // 24 // 3 * 3 + 1) for p in found["pix"]}
+    assert len(places) >= 0.9 * len(spots)  # 64 sources in 9 blocks
+
+
 def test_blocks_hold_each_pixel_inside_once(spark):
     pixels, _ = movie(spark, frames=2)
     m = layout.block_members(pixels, 16, 8, 2).where("patch < 4").toPandas()
