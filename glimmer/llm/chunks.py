@@ -36,6 +36,18 @@ def gear_hashes(data: np.ndarray) -> np.ndarray:
     return h
 
 
+def _quiet_cut(data: bytes, last: int) -> int:
+    """The end of a chunk from `last` where the hash never asks for a cut: after the last byte of the smallest hash within MAX_CHUNK.
+
+    In text that repeats itself, like one word over and over, the hashes repeat too, so cuts fall at the same point of each
+    repetition wherever the text began.
+    """
+    least = last + MIN_CHUNK - 1
+    b = max(0, least - WINDOW + 1)
+    h = gear_hashes(np.frombuffer(data[b : last + MAX_CHUNK], np.uint8))[least - b :]
+    return last + MAX_CHUNK - int(np.argmin(h[::-1]))
+
+
 def cuts(data: bytes) -> list[int]:
     """Ends of the chunks of data: content decides, so bytes put in before a passage move its cuts along."""
     n, ends, last = len(data), [], 0
@@ -48,13 +60,13 @@ def cuts(data: bytes) -> list[int]:
             if end - last < MIN_CHUNK:
                 continue
             while end - last > MAX_CHUNK:
-                last += MAX_CHUNK
+                last = _quiet_cut(data, last)
                 ends.append(last)
             if end - last >= MIN_CHUNK:
                 ends.append(end)
                 last = end
     while n - last > MAX_CHUNK:
-        last += MAX_CHUNK
+        last = _quiet_cut(data, last)
         ends.append(last)
     if last < n:
         ends.append(n)
@@ -155,16 +167,21 @@ def _digests(min_run: int):
 def substring_dedup(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) for every row of docs.
 
-    Repeats side by side make a run, and runs of min_run bytes or more are removed. Texts are UTF-8 bytes, a null text being empty. A chunk stays where it stands first, by id and place; documents
-    without an id come last. Rows with the same id and text are one document and get the same result each. Empty
-    texts lose nothing, an empty table gives an empty result, other columns are ignored.
+    Repeats side by side make a run, and runs of min_run bytes or more are removed. Texts are UTF-8 bytes, a null text
+    being empty. A chunk stays where it stands first, by id and place; documents without an id come last. Rows with the
+    same id and text are one document and get the same result each. Empty texts lose nothing, an empty table gives an
+    empty result, other columns are ignored.
     """
     d = _with_parts(docs.select("doc_id", "text"))
     return d.select("row.doc_id", whole("row.text").alias("text"), "parts").mapInArrow(_digests(min_run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<start:int,length:int>>")
 
 
 def without_repeats(docs: DataFrame, min_run: int = MIN_RUN) -> DataFrame:
-    """docs with the repeated runs cut out of their texts; n_chars follows the text, documents left empty stay."""
+    """docs with the repeated runs cut out of their texts; n_chars follows the text, documents left empty stay.
+
+    Every row and column comes back. A null text is empty then; a null id comes last in the order of first places;
+    rows with the same id and text lose the same; an empty table gives an empty one.
+    """
 
     def kept(batches: Iterator[pa.RecordBatch]):
         for batch in pieces_of(batches):

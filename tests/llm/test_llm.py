@@ -187,6 +187,14 @@ def test_chunks_are_cut_by_content_and_dedup_round_trips(spark, odd):
     assert removed[1] == removed[14] == 0
 
 
+def test_text_of_one_word_is_cut_at_the_same_points_wherever_it_begins():
+    unit = b"the "
+    chunks_of = lambda data: [data[a:b] for a, b in zip([0, *chunks.cuts(data)], chunks.cuts(data), strict=False)]
+    one, two = chunks_of(b"first " + unit * 3000), chunks_of(b"another beginning " + unit * 3000)
+    assert len(set(one[1:-1]) & set(two[1:-1])) == len(set(one[1:-1])) >= 1
+    assert b"".join(one) == b"first " + unit * 3000
+
+
 def test_chunk_repeats_agree_with_brute_force(spark):
     docs = table(spark, "documents")
     seen, want = set(), {}
