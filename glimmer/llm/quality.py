@@ -7,8 +7,10 @@ from pyspark.sql import functions as F
 
 from glimmer.llm.common import BLANKS, sized, stored, whole
 
-#: A line is above the limit if more than so many different documents of a host have it.
+#: A line is above the limit if more than so many different documents of a host have it,
 MAX_DOCUMENTS = 30
+#: or, for a large host, more than this share of its different documents.
+MAX_SHARE = 0.001
 #: A document is depleted if less than this share of its words is left.
 MIN_LEFT = 0.3
 MIN_WORDS = 50
@@ -44,13 +46,8 @@ def line_hash(line: Column) -> Column:
     return F.conv(F.substring(F.md5(line), 1, 15), 16, 10).cast("long")
 
 
-def _least_window(w: Column) -> Column:
-    """The smallest hash of a line's windows of three words: lines that differ in a word mostly share it."""
-    return F.array_min(F.transform(w, lambda x, i: F.xxhash64(F.lower(x), F.lower(F.get(w, i + 1)), F.lower(F.get(w, i + 2)))))
-
-
 def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
-    """Per document: rid, the columns doc_id and host, the base counts, and lines: (hash, words, smallest window) of each line with a word."""
+    """Per document: rid, the columns doc_id and host, the base counts, and lines: (hash, words) of each line with a word."""
     # Only named columns are kept, so further columns of docs cannot clash.
     d = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.col(host).alias("host"), whole().alias("text"))
     bare = F.col("text")
@@ -61,7 +58,7 @@ def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
     d = d.withColumn("parts", F.filter(F.transform("raw", _words), lambda w: F.size(w) > 0))
     d = d.select(
         "rid", "doc_id", "host", "n_symbols", F.flatten("parts").alias("w"),
-        F.transform("parts", lambda w: F.struct(line_hash(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"), _least_window(w).alias("m"))).alias("lines"),
+        F.transform("parts", lambda w: F.struct(line_hash(F.lower(F.array_join(w, " "))).alias("h"), F.size(w).alias("n"))).alias("lines"),
         _given(F.filter("raw", lambda x: F.length(F.trim(x, F.lit(BLANKS))) > 0), lambda x: F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines"),
     )
     d = d.select("rid", "doc_id", "host", "n_symbols", "lines", "n_dup_lines", F.size("w").cast("long").alias("n_words"), F.length(F.array_join("w", "")).cast("long").alias("word_chars"), F.transform("w", lambda x: F.xxhash64(x)).alias("one"))
@@ -71,37 +68,33 @@ def line_features(docs: DataFrame, host: str = "source") -> DataFrame:
     return d.select("rid", "doc_id", "host", "lines", "word_chars", "n_symbols", "n_dup_lines", "n_words", repeated.alias("n_repeat_words"))
 
 
-def frequent_lines(features: DataFrame, max_documents: int = MAX_DOCUMENTS) -> DataFrame:
-    """(host, h, n_documents) of the lines in more than max_documents different documents of a host.
+def frequent_lines(features: DataFrame, max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE) -> DataFrame:
+    """(host, h, n_documents) of the lines in more different documents of a host than its limit.
 
-    Documents of the same lines count once, and so do those whose rarest lines share their smallest window, so that the
-    copies of a document, exact or near, do not make its own lines frequent. What stands on many pages of a host is not
-    their rarest line, so it does not make different documents one.
+    Documents of the same lines are one document, so that exact copies do not make their own lines frequent. The limit is
+    max_documents, or max_share of the host's different documents where that is more.
     """
-    h = F.transform("lines", lambda x: x["h"])
-    d = features.select("host", F.xxhash64(h).alias("text"), F.explode(F.array_distinct(F.transform("lines", lambda x: F.struct(x["h"].alias("h"), x["m"].alias("m"))))).alias("x"))
-    d = stored(d.select("host", "text", "x.h", "x.m").groupBy("host", "text", "h").agg(F.min("m").alias("m")), "quality-pairs")
-    counts = stored(d.groupBy(F.col("host").alias("chost"), F.col("h").alias("ch")).agg(F.count("*").alias("times")).where("times > 1"), "quality-counts")
-    same = F.col("host").eqNullSafe(F.col("chost")) & (F.col("h") == F.col("ch"))
-    common, few = sized(counts.where(F.col("times") > max_documents)), counts.where(F.col("times") <= max_documents)
-    often = d.join(common, same).select("host", "text", "times", "m", "h")
-    rest = d.join(common, same, "left_anti").join(few, same, "left").select("host", "text", F.coalesce("times", F.lit(1)).alias("times"), "m", F.lit(None).cast("long").alias("h"))
-    one = often.union(rest).groupBy("host", "text").agg(F.min(F.struct("times", "m")).alias("rarest"), F.collect_list("h").alias("hs"))
-    one = one.select("host", F.explode("hs").alias("h"), "rarest.m")
-    return one.groupBy("host", "h").agg(F.countDistinct("m").alias("n_documents")).where(F.col("n_documents") > max_documents)
-
-
-def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, min_left: float = MIN_LEFT) -> DataFrame:
+    text = F.xxhash64(F.transform("lines", lambda x: x["h"])).alias("text")
+    sizes = features.groupBy(F.col("host").alias("shost")).agg(F.countDistinct(text).alias("size"))
+    d = features.select("host", text, F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
+    # Distinct (line, text) pairs are made before they are counted, so a line that all documents have is no single group.
+    often = d.groupBy("host", "h").agg(F.countDistinct("text").alias("n_documents")).where(F.col("n_documents") > max_documents)
+    large = sized(stored(sizes.where(F.col("size") * max_share > max_documents), "quality-sizes"))
+    found = often.join(large, F.col("host").eqNullSafe(F.col("shost")), "left")
+    return found.where(F.col("size").isNull() | (F.col("n_documents") > F.col("size") * max_share)).select("host", "h", "n_documents")
+
+
+def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MAX_DOCUMENTS, max_share: float = MAX_SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """One row per row of docs: the base counts, n_removed_words, removed_lines (hashes) and kept.
 
     The words of a text are split at white space; lines are split at \\n, lower-cased and given single spaces. A line in
-    more than max_documents different documents of its host is removed. kept is false for base failures (fewer than 50
+    more than max_documents different documents of its host, and in more than max_share of them, is removed. kept is false for base failures (fewer than 50
     words, or over half of them in repeated 3-word windows) and for documents with less than min_left of their words
     left. Null texts count as empty (no words: not kept), a null host is a host like others, repeated rows give repeated
     results, an empty table gives an empty result; other columns are ignored.
     """
     features = stored(line_features(docs, host), "quality-features")
-    frequent = sized(stored(frequent_lines(features, max_documents).select("host", "h"), "quality-lines"))
+    frequent = sized(stored(frequent_lines(features, max_documents, max_share).select("host", "h"), "quality-lines"))
     lines = features.select("rid", "host", F.explode(F.array_distinct(F.transform("lines", lambda x: x["h"]))).alias("h"))
     hits = lines.join(frequent.select(F.col("host").alias("fhost"), F.col("h").alias("fh")), F.col("host").eqNullSafe(F.col("fhost")) & (F.col("h") == F.col("fh"))).groupBy("rid").agg(F.collect_set("h").alias("removed_lines"))
     d = features.join(hits, "rid", "left").withColumn("removed_lines", F.coalesce("removed_lines", F.array().cast("array<bigint>")))
@@ -113,7 +106,11 @@ def quality_rules(docs: DataFrame, host: str = "source", max_documents: int = MA
 
 
 def clean_documents(docs: DataFrame, host: str = "source", **limits) -> DataFrame:
-    """The documents that quality_rules keeps, without their lines above the limit; n_chars follows the text."""
+    """The documents that quality_rules keeps, without their lines above the limit; n_chars follows the text.
+
+    All columns come back. Null and empty texts have no words and go; a null host is a host like others, null ids are
+    kept, repeated rows stay repeated, an empty table gives an empty one.
+    """
     # Rows with the same id, text and host get the same judgement, so one of each is enough to look it up.
     key = F.xxhash64("doc_id", whole(), host)
     judged = quality_rules(docs.select(key.alias("doc_id"), "text", F.col(host).alias("source")), **limits)

@@ -101,13 +101,14 @@ w AS (SELECT rid, list_filter(regexp_split_to_array(text, '[ \t\n\x0b\f\r]+'), l
 windows AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS k FROM w, unnest(generate_series(1, len(w) - 2)) AS t(i)),
 twice AS (SELECT rid, i FROM (SELECT rid, i, count(*) OVER (PARTITION BY rid, k) AS n FROM windows) WHERE n > 1),
 repeated AS (SELECT rid, count(DISTINCT i + j) AS n FROM twice, (VALUES (0), (1), (2)) AS o(j) GROUP BY rid),
-raw AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line FROM d),
+raw AS (SELECT rid, source, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM d),
 lines AS (
-  SELECT rid, source, line, len(ws) AS n, ('0x' || substr(md5(lower(array_to_string(ws, ' '))), 1, 15))::BIGINT AS h
-  FROM (SELECT rid, source, line, list_filter(regexp_split_to_array(line, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM raw) WHERE len(ws) > 0),
-ranked AS (SELECT *, row_number() OVER (PARTITION BY rid ORDER BY h) AS k FROM (SELECT DISTINCT rid, source, h FROM lines)),
-other AS (SELECT a.source, a.h, coalesce(b.h, -1) AS o FROM ranked a LEFT JOIN ranked b ON a.rid = b.rid AND b.k = CASE WHEN a.k = 1 THEN 2 ELSE 1 END),
-frequent AS (SELECT source, h FROM other GROUP BY source, h HAVING count(DISTINCT o) > 30),
+  SELECT rid, source, i, line, len(ws) AS n, ('0x' || substr(md5(lower(array_to_string(ws, ' '))), 1, 15))::BIGINT AS h
+  FROM (SELECT rid, source, i, line, list_filter(regexp_split_to_array(line, '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS ws FROM raw) WHERE len(ws) > 0),
+same AS (SELECT rid, source, list(h ORDER BY i) AS text FROM lines GROUP BY rid, source),
+sizes AS (SELECT source, count(DISTINCT text) AS size FROM (SELECT source, text FROM same UNION ALL SELECT source, [] FROM d WHERE rid NOT IN (SELECT rid FROM lines)) GROUP BY source),
+counted AS (SELECT l.source, l.h, count(DISTINCT s.text) AS n FROM lines l JOIN same s USING (rid) GROUP BY l.source, l.h),
+frequent AS (SELECT c.source, h FROM counted c JOIN sizes s ON c.source IS NOT DISTINCT FROM s.source WHERE n > greatest(30, 0.001 * size)),
 gone AS (SELECT l.rid, sum(l.n) AS n FROM lines l JOIN frequent f ON l.source IS NOT DISTINCT FROM f.source AND l.h = f.h GROUP BY l.rid),
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS n FROM lines GROUP BY rid),
 base AS (

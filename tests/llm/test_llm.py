@@ -191,7 +191,8 @@ def test_text_of_one_word_is_cut_at_the_same_points_wherever_it_begins():
     unit = b"the "
     chunks_of = lambda data: [data[a:b] for a, b in zip([0, *chunks.cuts(data)], chunks.cuts(data), strict=False)]
     one, two = chunks_of(b"first " + unit * 3000), chunks_of(b"another beginning " + unit * 3000)
-    assert len(set(one[1:-1]) & set(two[1:-1])) == len(set(one[1:-1])) >= 1
+    assert sum(x in set(two) for x in one) >= len(one) - 4  # all but the beginning and the end
+    assert len(one) > 10
     assert b"".join(one) == b"first " + unit * 3000
 
 
@@ -294,13 +295,16 @@ def test_base_counts_agree_with_brute_force(spark, odd):
 def test_frequent_lines_go_and_depleted_documents_too(spark):
     menu = prose(60, 500)
     rows = [(i, prose(200, i) + "\n" + menu.upper() + "  ", "a") for i in range(40)] + [(100 + i, menu + "\n" + prose(10, 900 + i), "a") for i in range(3)]
-    near = prose(300, 77).split(" ")
-    rows += [(200 + i, "\n".join(" ".join(near[k : k + 20]) for k in range(0, 300, 20)).replace(near[25], f"{near[25]}{i}", 1), "a") for i in range(40)]
+    copy = "\n".join(prose(20, 800 + k) for k in range(15))
+    rows += [(200 + i, copy, "a") for i in range(40)] + [(300 + i, menu + "\n" + prose(60, 2000 + i), "b") for i in range(30)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
     got = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=30).collect()}
     assert all(got[i]["kept"] and got[i]["n_removed_words"] == 60 for i in range(40))
     assert not any(got[100 + i]["kept"] or got[100 + i]["base_failed"] for i in range(3))
-    assert all(got[200 + i]["kept"] and not got[200 + i]["n_removed_words"] for i in range(40))  # copies do not count
+    assert all(got[200 + i]["kept"] and not got[200 + i]["n_removed_words"] for i in range(40))  # copies are one document
+    assert all(got[300 + i]["kept"] and not got[300 + i]["n_removed_words"] for i in range(30))  # another host, at the limit
+    large = {r["doc_id"]: r for r in quality.quality_rules(docs, max_documents=30, max_share=0.99).collect()}
+    assert not large[0]["n_removed_words"]  # the limit grows with the host
     clean = {r["doc_id"]: r["text"] for r in quality.clean_documents(docs, max_documents=30).collect()}
     assert clean[0] == prose(200, 0)
     assert 100 not in clean
@@ -312,7 +316,7 @@ def test_lines_that_stand_together_do_not_hide_each_other(spark):
     features = quality.line_features(spark.createDataFrame(rows, "doc_id long, text string, source string"))
     got = quality.frequent_lines(features).collect()
     assert len(got) == 10
-    assert min(r["n_documents"] for r in got) >= 290
+    assert {r["n_documents"] for r in got} == {300}
 
 
 # URL rules
