@@ -10,13 +10,14 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: The white space of the contracts: \x20 and \x09-\x0D.
 BLANKS = " \t\n\x0b\x0c\r"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
-#: A side of a join is broadcast only below so many counted rows of a few longs each; beyond, both sides are shuffled.
-BROADCAST_ROWS = 200_000
+#: A side of a join is broadcast only below so many measured bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 8 << 20
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -37,9 +38,19 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def sized(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """df with a broadcast hint if it has been counted and is small; df must be cheap to count (a stored table)."""
-    return F.broadcast(df) if (df.count() if rows is None else rows) <= BROADCAST_ROWS else df
+def sized(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if it is small: its rows and the bytes in them are counted, so df must be a stored table."""
+
+    def size(column: Column, kind: T.DataType) -> Column:
+        if isinstance(kind, T.ArrayType):
+            each = F.aggregate(F.transform(column, lambda x: size(x, kind.elementType)), F.lit(0).cast("long"), lambda s, x: s + x) if isinstance(kind.elementType, (T.StringType, T.BinaryType, T.ArrayType)) else 8 * F.size(column)
+            return F.coalesce(each, F.lit(0)) + 16
+        if isinstance(kind, T.StructType):
+            return sum((size(column[f.name], f.dataType) for f in kind), F.lit(0))
+        return (F.coalesce(F.octet_length(column), F.lit(0)) if isinstance(kind, (T.StringType, T.BinaryType)) else F.lit(0)) + 16
+
+    bytes_ = df.agg(F.sum(sum((size(F.col(f.name), f.dataType) for f in df.schema), F.lit(0)).cast("long"))).head()[0] or 0
+    return F.broadcast(df) if bytes_ <= BROADCAST_BYTES else df
 
 
 def whole(text: str | Column = "text") -> Column:

@@ -23,10 +23,18 @@ def normal(text: str) -> str:
     return " ".join(text.lower().split())
 
 
-def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
-    """(distance, end) of the substring of text that is nearest to a pattern of m characters (Myers 1999).
+def places(pattern: str) -> dict[str, int]:
+    """character -> bits of its places in the pattern."""
+    masks: dict[str, int] = defaultdict(int)
+    for j, c in enumerate(pattern):
+        masks[c] |= 1 << j
+    return dict(masks)
 
-    masks: character -> bits of the places where the pattern has it. Python's integers hold any pattern in one word.
+
+def best_match(masks: dict[str, int], m: int, text: str, anchored: bool = False) -> tuple[int, int]:
+    """(distance, end) of the substring of text that is nearest to a pattern of m characters (Myers 1999); the first of equals.
+
+    anchored: the substring begins where text does. masks: character -> bits of the places where the pattern has it. Python's integers hold any pattern in one word.
     """
     full, top = (1 << m) - 1, 1 << (m - 1)
     up, down, score = full, 0, m
@@ -44,7 +52,7 @@ def best_match(masks: dict[str, int], m: int, text: str) -> tuple[int, int]:
             score -= 1
             if score < best:
                 best, at = score, j
-        plus = (plus << 1) & full  # a match may start anywhere: no 1 is carried in
+        plus = ((plus << 1) | anchored) & full  # a match may start anywhere: no 1 is carried in
         up = ((minus << 1) & full) | (full & ~(xv | plus))
         down = plus & xv
     return best, at
@@ -54,29 +62,26 @@ def _matcher(items: list[tuple[int, str]], max_edits: float):
     """Finds items in a normalised text: yields (item_id, distance, first, last) with the best place of each."""
     import ahocorasick
 
-    patterns, pieces = [], defaultdict(list)
+    patterns, pieces = [], defaultdict(list)  # pieces: text -> [(pattern, end of the piece in it)]
     for item_id, raw in items:
         text = normal(raw)
         if text:
             m = len(text)
             k = int(max_edits * m)
-            masks: dict[str, int] = defaultdict(int)
-            for j, c in enumerate(text):
-                masks[c] |= 1 << j
-            patterns.append((item_id, text, k, dict(masks)))
+            patterns.append((item_id, text, k, places(text)))
             for j in range(k + 1):  # k edits leave one of k + 1 pieces whole
                 a, b = j * m // (k + 1), (j + 1) * m // (k + 1)
                 pieces[text[a:b]].append((len(patterns) - 1, b))
     automaton = ahocorasick.Automaton()
-    for piece, places in pieces.items():
-        automaton.add_word(piece, places)
+    for piece, found in pieces.items():
+        automaton.add_word(piece, found)
     if pieces:
         automaton.make_automaton()
 
     def find(text: str):
         starts = defaultdict(set)
-        for end, places in automaton.iter(text) if pieces else ():
-            for p, b in places:
+        for end, hits in automaton.iter(text) if pieces else ():
+            for p, b in hits:
                 starts[p].add(end + 1 - b)
         for p, found in starts.items():
             item_id, pattern, k, masks = patterns[p]
@@ -96,7 +101,10 @@ def _matcher(items: list[tuple[int, str]], max_edits: float):
                     reach = (a, b)
                 best = _searched(masks, m, k, text, reach, best)
             if best:
-                yield item_id, best[0], best[1], best[2]
+                distance, first, last = best
+                if distance:  # run backwards from the end, the match tells its start
+                    first = last - best_match(places(pattern[::-1]), m, text[max(0, last - m - k) : last][::-1], anchored=True)[1]
+                yield item_id, distance, first, last
 
     return find
 
@@ -105,7 +113,7 @@ def _searched(masks, m, k, text, reach, best):
     distance, end = best_match(masks, m, text[reach[0] : reach[1]])
     if distance <= k:
         last = reach[0] + end
-        found = (distance, max(0, last - m), last)
+        found = (distance, max(0, last - m), last)  # the start is found once the best end is known
         return found if best is None else min(best, found)
     return best
 
@@ -123,8 +131,8 @@ def _search(items: list[tuple[int, str]], max_edits: float) -> Callable[[Iterato
 def benchmark_matches(docs: DataFrame, benchmark: DataFrame, max_edits: float = MAX_EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """(_rid, doc_id, item_id, distance, first_char, last_char) for each document and item within max_edits of its length.
 
-    Texts are compared lower-cased with single spaces, and places count characters of that form; the start of an inexact
-    match is its end less the item's length. An item is looked for in every document, whole: the items are broadcast in
+    Texts are compared lower-cased with single spaces, and places count characters of that form; of places of the same
+    distance the first end counts, of starts that reach it the last. An item is looked for in every document, whole: the items are broadcast in
     blocks of bounded size, and every block is searched for over all documents. _rid tells repeated rows apart; rows
     without text (null, empty) match nothing, items without text are no items, null ids are carried, and an empty table
     on either side gives no rows. Other columns are ignored.
@@ -143,7 +151,11 @@ def benchmark_matches(docs: DataFrame, benchmark: DataFrame, max_edits: float =
 
 
 def without_benchmark(docs: DataFrame, benchmark: DataFrame, **limits) -> DataFrame:
-    """The documents in which no benchmark item is found; null ids are judged by their own text."""
+    """The documents in which no benchmark item is found, with all their columns.
+
+    Null ids are judged by their own text, null and empty texts stay, repeated rows stay or go together, and an empty
+    table or benchmark leaves everything as it is.
+    """
     rows = docs.select(F.struct(*docs.columns).alias("row"), F.xxhash64("doc_id", whole()).alias("k"))  # no column of theirs clashes with ours
     found = benchmark_matches(rows.select(F.col("k").alias("doc_id"), "row.text"), benchmark, **limits)
     bad = stored(found.select(F.col("doc_id").alias("k")).distinct(), "contaminated")
