@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from glimmer.llm.common import pieces_of, whole
+from glimmer.llm.common import pieces_of, stored, whole
 
 #: Labelled rows that the classifier is fitted on: at most so many of each label, those of the smallest hash.
 SAMPLE = 4000
@@ -50,8 +50,10 @@ def _features(word: str) -> list[int]:
     return [zlib.crc32(x.encode()) % BUCKETS for x in names]
 
 
-def document_features(text: str) -> list[int]:
-    return sorted(f for w in {_core(raw) for raw in set(text.split())} - {""} for f in _features(w))
+def document_features(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(buckets, how many of the text's distinct words have each)."""
+    found = [f for w in {_core(raw) for raw in set(text.split())} - {""} for f in _features(w)]
+    return np.unique(np.array(found, np.int64), return_counts=True)
 
 
 def swapped(text: str) -> str | None:
@@ -71,29 +73,31 @@ def swapped(text: str) -> str | None:
     return out if found else None
 
 
-def telling(rows: list[tuple[list[int], int]]) -> np.ndarray:
+def telling(rows: DataFrame) -> np.ndarray:
     """Boolean per bucket: the feature is in MIN_ROWS rows or more, and more or less often toxic than chance explains."""
-    count = np.zeros((2, BUCKETS))
-    for x, y in rows:
-        count[y, np.unique(np.asarray(x, np.int64))] += 1
-    n, share = count.sum(0), sum(y for _, y in rows) / max(len(rows), 1)
-    spread = np.sqrt(np.maximum(n * share * (1 - share), 1e-9))
-    return (n >= MIN_ROWS) & (np.abs(count[1] - n * share) >= MIN_DEVIATION * spread)
+    total = rows.agg(F.count("*").alias("n"), F.coalesce(F.sum("toxic"), F.lit(0)).alias("toxic")).head()
+    share = total["toxic"] / max(total["n"], 1)
+    seen = rows.select(F.explode("x.f").alias("f"), "toxic").groupBy("f").agg(F.count("*").alias("n"), F.sum("toxic").alias("t")).where(F.col("n") >= MIN_ROWS)
+    spread = F.sqrt(F.greatest(F.col("n") * share * (1 - share), F.lit(1e-9)))
+    told = np.zeros(BUCKETS, bool)
+    for r in seen.where(F.abs(F.col("t") - F.col("n") * share) >= MIN_DEVIATION * spread).select("f").collect():  # at most BUCKETS
+        told[r["f"]] = True
+    return told
 
 
-def fit(rows: list[tuple[list[int], list[int] | None, int]], epochs: int = 8, l1: float = 0.5, alpha: float = 0.3, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
+Counted = tuple[np.ndarray, np.ndarray]
+
+
+def fit(rows: list[tuple[Counted, Counted | None, int]], epochs: int = 8, l1: float = 0.5, alpha: float = 0.3, penalty: float = COUNTERFACTUAL) -> tuple[np.ndarray, float]:
     """(weights, bias) by follow-the-regularised-leader on the log loss plus penalty * (score - swapped score)**2.
 
-    rows: (features, features after the swap or None, label). Both labels weigh the same.
+    rows: (buckets and counts, those after the swap or None, label). Both labels weigh the same.
     """
-    told = telling([(x, y) for x, _, y in rows])
-    some = lambda x: x[told[x]]
-    rows = [(some(np.asarray(x, np.int64)), None if s is None else some(np.asarray(s, np.int64)), y) for x, s, y in rows]
     z, n = np.zeros(BUCKETS), np.full(BUCKETS, 1e-8)
     bias_z, bias_n, beta = 0.0, 1e-8, 1.0
     share = {v: sum(r[2] == v for r in rows) for v in (0, 1)}
     gain = {v: len(rows) / (2 * c) if c else 1.0 for v, c in share.items()}
-    data = [(*np.unique(x, return_counts=True), None if s is None else np.unique(s, return_counts=True), y) for x, s, y in rows]
+    data = [(*x, s, y) for x, s, y in rows]
     rng = np.random.default_rng(5)
 
     def weights(i):
@@ -155,15 +159,38 @@ def held_out():
     return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
 
 
-def _training_rows(table: pa.Table) -> list[tuple[np.ndarray, np.ndarray | None, int]]:
-    """In an order of their own: by id, and of several rows of an id the one with the smallest features."""
-    rows: dict[int, tuple] = {}
-    for doc, x, s, y in zip(*(table[n] for n in ("doc_id", "x", "s", "toxic")), strict=True):
-        x = x.values.to_numpy()
-        old = rows.get(doc.as_py())
-        if old is None or x.tobytes() < old[0].tobytes():
-            rows[doc.as_py()] = (x, s.values.to_numpy() if s.is_valid and len(s.values) else None, y.as_py())
-    return [rows[k] for k in sorted(rows)]
+_COUNTED = "struct<f:array<int>,n:array<int>>"
+
+
+def _featured(batches: Iterator[pa.RecordBatch]):
+    kind = pa.struct([("f", pa.list_(pa.int32())), ("n", pa.list_(pa.int32()))])
+    for batch in pieces_of(batches):
+        xs, ss = [], []
+        for text in batch.column(1).to_pylist():
+            swap = swapped(text)
+            xs.append(dict(zip("fn", map(np.ndarray.tolist, document_features(text)), strict=True)))
+            ss.append(None if swap is None else dict(zip("fn", map(np.ndarray.tolist, document_features(swap)), strict=True)))
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, kind), pa.array(ss, kind), batch.column(2)], ["doc_id", "x", "s", "toxic"])
+
+
+def _restricted(told):
+    """Rows with the telling features alone: what is sent to the driver does not grow with the texts."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            columns = [batch.column(0)]
+            for name in ("x", "s"):
+                out = []
+                for x in batch.column(name).to_pylist():
+                    if x is not None:
+                        f, n = np.array(x["f"], np.int64), np.array(x["n"], np.int64)
+                        keep = told.value[f]
+                        x = {"f": f[keep].tolist(), "n": n[keep].tolist()}
+                    out.append(x)
+                columns.append(pa.array(out, batch.column(name).type))
+            yield pa.RecordBatch.from_arrays([*columns, batch.column(3)], ["doc_id", "x", "s", "toxic"])
+
+    return run
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
@@ -182,19 +209,14 @@ def toxicity(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFr
         part = known.where(F.col("toxic") == label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
         chosen = part if chosen is None else chosen.unionByName(part)
 
-    def features(batches: Iterator[pa.RecordBatch]):
-        for batch in pieces_of(batches):
-            xs, ss = [], []
-            for text in batch.column(1).to_pylist():
-                swap = swapped(text)
-                xs.append(document_features(text))
-                ss.append(None if swap is None else document_features(swap))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(xs, pa.list_(pa.int32())), pa.array(ss, pa.list_(pa.int32())), batch.column(2)], ["doc_id", "x", "s", "toxic"])
-
     picked = docs.select("doc_id", whole().alias("text")).join(F.broadcast(chosen), "doc_id")  # at most 2 * sample rows
-    rows = picked.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(features, "doc_id long, x array<int>, s array<int>, toxic int")
-    got = _training_rows(rows.toArrow())
-    weights, bias = fit(got) if got else (np.zeros(BUCKETS), 0.0)
+    rows = picked.select("doc_id", "text", F.col("toxic").cast("int").alias("toxic")).mapInArrow(_featured, f"doc_id long, x {_COUNTED}, s {_COUNTED}, toxic int")
+    # Of several rows of an id one, whichever way they are dealt.
+    rows = stored(rows.groupBy("doc_id").agg(F.min(F.struct("x", "s", "toxic")).alias("r")).select("doc_id", "r.*"), "toxicity-rows")
+    told = spark.sparkContext.broadcast(telling(rows))
+    got = rows.mapInArrow(_restricted(told), rows.schema).orderBy("doc_id").collect()
+    pair = lambda x: None if x is None else (np.array(x["f"], np.int64), np.array(x["n"], np.float64))
+    weights, bias = fit([(pair(r["x"]), pair(r["s"]), r["toxic"]) for r in got]) if got else (np.zeros(BUCKETS), 0.0)
     model = spark.sparkContext.broadcast((weights.astype(np.float32), bias))
 
     def score(batches: Iterator[pa.RecordBatch]):
