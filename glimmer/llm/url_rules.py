@@ -32,48 +32,34 @@ def host_key(host: Column) -> Column:
     return F.when(host == "", F.lit("")).otherwise(F.concat(F.array_join(F.reverse(F.split(host, r"\.")), END), F.lit(END)))
 
 
-def _sweep(carried: dict[int, list[tuple[str, str, str, str]]]):
+def _sweep(batches: Iterator[pa.RecordBatch]):
     """Sorted rows in, judged URLs out. The stack holds the rule hosts whose interval the sweep is in, outermost first."""
-
-    def sweep(batches: Iterator[pa.RecordBatch]):
-        stack: list[tuple[str, dict[str, tuple[str, str]]]] = []
-        part = None
-
-        def push(key, path, verdict, rule):
+    stack: list[tuple[str, dict[str, tuple[str, str]], set[int]]] = []
+    for batch in batches:
+        rules, verdicts = [], []
+        cols = [batch.column(n).to_pylist() for n in ("key", "path", "verdict", "rule", "is_url")]
+        for key, path, verdict, rule, is_url in zip(*cols, strict=True):
             while stack and not key.startswith(stack[-1][0]):
                 stack.pop()
-            if not stack or stack[-1][0] != key:
-                stack.append((key, {}))
-            old = stack[-1][1].get(path)
-            if old is None or verdict > old[0]:  # of two equal rules, block stands
-                stack[-1][1][path] = (verdict, rule)
-
-        for batch in batches:
-            rules, verdicts = [], []
-            cols = [batch.column(n).to_pylist() for n in ("key", "path", "verdict", "rule", "is_url", "part")]
-            for key, path, verdict, rule, is_url, at in zip(*cols, strict=True):
-                if part is None:
-                    part = at
-                    for x in carried.get(part, ()):
-                        push(*x)
-                if not is_url:
-                    push(key, path, verdict, rule)
-                    continue
-                while stack and not key.startswith(stack[-1][0]):
-                    stack.pop()
-                best = None
-                for _, paths in stack:
-                    fits = (p for p in paths if path.startswith(p)) if len(paths) <= 64 else (path[:n] for n in {*map(len, paths)} if path[:n] in paths)
-                    for p in fits:
-                        found = (len(paths[p][1]), *paths[p])
+            if not is_url:
+                if not stack or stack[-1][0] != key:
+                    stack.append((key, {}, set()))
+                _, paths, lengths = stack[-1]
+                if path not in paths or verdict > paths[path][0]:  # of two equal rules, block stands
+                    paths[path] = (verdict, rule)
+                    lengths.add(len(path))
+                continue
+            best = None
+            for _, paths, lengths in stack:
+                for n in lengths:
+                    if (fit := paths.get(path[:n])) and n <= len(path):
+                        found = (len(fit[1]), *fit)
                         if best is None or found > best:
                             best = found
-                verdicts.append(best[1] if best else None)
-                rules.append(best[2] if best else None)
-            urls = batch.filter(batch.column("is_url"))
-            yield pa.RecordBatch.from_arrays([urls.column("page_id"), urls.column("host"), urls.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
-
-    return sweep
+            verdicts.append(best[1] if best else None)
+            rules.append(best[2] if best else None)
+        urls = batch.filter(batch.column("is_url"))
+        yield pa.RecordBatch.from_arrays([urls.column("page_id"), urls.column("host"), urls.column("path"), pa.array(rules, pa.string()), pa.array(verdicts, pa.string())], ["page_id", "host", "path", "rule", "verdict"])
 
 
 def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> DataFrame:
@@ -82,7 +68,7 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     rules: (verdict, host, path). A rule fits a URL of its host or a subdomain whose path starts with the rule's; of the
     rules that fit, the one with the longest text wins, of equal ones block. URLs and rules are sorted together by
     reversed host in ranges, the rows of a host being split by path and page id; each range begins with the rules whose
-    interval it lies in, which are looked up by the prefixes of its first key. Null URLs and those without :// have empty
+    interval it lies in, which a join finds by the prefixes of its first key and puts before its rows. Null URLs and those without :// have empty
     host and path and get the default verdict, as do all others that no rule fits; null ids and repeated rows stay,
     empty tables are fine, other columns are ignored. Rules of null or empty host are ignored, a null path is "/".
     """
@@ -97,30 +83,24 @@ def judge_urls(pages: DataFrame, rules: DataFrame, default: str = DEFAULT) -> Da
     # The first key of each range: as many rows as ranges.
     firsts = ranged.groupBy("part").agg(F.min("key").alias("first"))
     prefixes = firsts.select("part", "first", F.explode(F.transform(F.sequence(F.lit(1), F.size(F.split("first", END))), lambda i: F.concat(F.array_join(F.slice(F.split("first", END), F.lit(1), i), END), F.lit(END)))).alias("key"))
-    held = prefixes.join(ranged.where("not is_url").select("key", "path", "verdict", "rule", F.col("part").alias("own")), "key").where("own < part").select("part", "key", "path", "verdict", "rule")
-    carried: dict[int, list] = {}
-    for x in held.orderBy("part", "key", "path").collect():  # ranges times rules of a host's parents
-        carried.setdefault(x["part"], []).append((x["key"], x["path"], x["verdict"], x["rule"]))
-    schema = T.StructType.fromDDL("page_id long, host string, path string, rule string, verdict string")
-    ordered = ranged.repartition(n, "part").sortWithinPartitions("part", "key", "is_url", "path")
-    judged = ordered.mapInArrow(_by_part(carried), schema)
+    carried = prefixes.join(ranged.where("not is_url").withColumnRenamed("part", "own"), "key").where("own < part").select(*ranged.columns, F.lit(0).alias("turn"))
+    every = ranged.withColumn("turn", F.lit(1)).unionByName(carried)
+    ordered = every.repartition(n, "part").sortWithinPartitions("part", "turn", "key", "is_url", "path")
+    judged = ordered.mapInArrow(_by_part, T.StructType.fromDDL("page_id long, host string, path string, rule string, verdict string"))
     return judged.withColumn("verdict", F.coalesce("verdict", F.lit(default)))
 
 
-def _by_part(carried):
+def _by_part(batches: Iterator[pa.RecordBatch]):
     """Several ranges may meet in one task: each is swept on its own."""
 
-    def swept(batches):
-        def runs():
-            for batch in batches:
-                parts = batch.column("part").to_pylist()
-                start = 0
-                for i in range(1, len(parts) + 1):
-                    if i == len(parts) or parts[i] != parts[start]:
-                        yield parts[start], batch.slice(start, i - start)
-                        start = i
-
-        for _, group in itertools.groupby(runs(), key=lambda x: x[0]):
-            yield from _sweep(carried)(b for _, b in group)
-
-    return swept
+    def runs():
+        for batch in batches:
+            parts = batch.column("part").to_pylist()
+            start = 0
+            for i in range(1, len(parts) + 1):
+                if i == len(parts) or parts[i] != parts[start]:
+                    yield parts[start], batch.slice(start, i - start)
+                    start = i
+
+    for _, group in itertools.groupby(runs(), key=lambda x: x[0]):
+        yield from _sweep(b for _, b in group)
