@@ -65,19 +65,26 @@ def windows_of(texts: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndar
 
 
 def _attend(w: dict[str, np.ndarray], x: np.ndarray):
-    z = w["e"][np.maximum(x, 0)] + w["p"]
-    zq = np.ascontiguousarray(z[:, CONTEXT:])
-    q, k, v = zq @ w["q"], z @ w["k"], z @ w["v"]
+    """(embeddings, queries, keys and values, attention, what it gathers, states at the places to be scored)."""
+    z = w["e"][np.maximum(x, 0)]
+    z += w["p"]
+    zq = np.ascontiguousarray(z[:, CONTEXT:]).reshape(-1, DIM)
+    kv = (z.reshape(-1, DIM) @ np.hstack([w["k"], w["v"]])).reshape(len(x), WINDOW, 2 * DIM)
+    k, v = np.ascontiguousarray(kv[:, :, :DIM]), np.ascontiguousarray(kv[:, :, DIM:])
+    q = (zq @ (w["q"] * np.float32(DIM**-0.5))).reshape(len(x), STEP, DIM)
     a = q @ k.transpose(0, 2, 1)
-    a *= DIM**-0.5
     a += _CAUSAL
-    a += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    a -= a.max(-1, keepdims=True)
+    if x.min(initial=0) < 0:
+        a += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    if a.max(initial=0) > 60:  # else no exponential overflows
+        a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
-    a /= a.sum(-1, keepdims=True)
+    share = a.sum(-1, keepdims=True)
+    np.reciprocal(np.maximum(share, np.float32(1e-30), out=share), out=share)
     o = a @ v
-    h = zq + o @ w["o"]
-    return z, zq, q, k, v, a, o, h
+    o *= share
+    o = o.reshape(-1, DIM)
+    return z.reshape(-1, DIM), zq, q, k, v, a, share, o, zq + o @ w["o"]
 
 
 def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
@@ -89,31 +96,11 @@ def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return value - np.log(np.maximum(logits.sum(1), 1e-37))
 
 
-def _states(w: dict[str, np.ndarray], x: np.ndarray) -> np.ndarray:
-    """What _attend ends with, by fewer passes over the scores."""
-    z = w["e"][np.maximum(x, 0)]
-    z += w["p"]
-    zq = np.ascontiguousarray(z[:, CONTEXT:])
-    flat = z.reshape(-1, DIM)
-    k, v = (flat @ w["k"]).reshape(z.shape), (flat @ w["v"]).reshape(z.shape)
-    q = (zq.reshape(-1, DIM) @ (w["q"] * np.float32(DIM**-0.5))).reshape(zq.shape)
-    a = q @ k.transpose(0, 2, 1)
-    a += _CAUSAL
-    if x.min(initial=0) < 0:
-        a += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
-    if a.max(initial=0) > 60:
-        a -= a.max(-1, keepdims=True)
-    np.exp(a, out=a)
-    o = a @ v
-    o /= np.maximum(a.sum(-1, keepdims=True), np.float32(1e-30))
-    return zq.reshape(-1, DIM) + o.reshape(-1, DIM) @ w["o"]
-
-
 def class_log10(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
     """log10 probability of each target's class given the inputs up to its place; 0 where there is no target."""
     out = np.zeros(y.shape, np.float32)
     for i in range(0, len(x), _CHUNK):
-        h = _states(w, x[i : i + _CHUNK])
+        h = _attend(w, x[i : i + _CHUNK])[-1]
         t = y[i : i + _CHUNK].reshape(-1)
         group, member = np.divmod(of[np.maximum(t, 0)], MEMBERS)
         score = _log_softmax(h @ w["c"] + w["b"], group)
@@ -137,52 +124,65 @@ class Learner:
         self.g = {n: np.full(x.shape, 1e-4, np.float32) for n, x in weights.items()}
         self.rate, self.seen = rate, np.zeros(len(weights["e"]), np.float32)
 
-    def _step(self, name: str, grad: np.ndarray, rows=slice(None)) -> None:
-        self.g[name][rows] += grad * grad
-        self.w[name][rows] -= self.rate * grad / np.sqrt(self.g[name][rows])
+    def _step(self, name: str, grad: np.ndarray, rows=None) -> None:
+        if rows is None:
+            self.g[name] += grad * grad
+            self.w[name] -= self.rate * grad / np.sqrt(self.g[name])
+        else:
+            square = self.g[name][rows] + grad * grad
+            self.g[name][rows] = square
+            self.w[name][rows] -= self.rate * grad / np.sqrt(square)
 
     def learn(self, x: np.ndarray, y: np.ndarray, of: np.ndarray) -> None:
         w = self.w
-        z, zq, q, k, v, a, o, h = _attend(w, x)
+        z, zq, q, k, v, a, share, o, h = _attend(w, x)
+        a *= share
         t = y.reshape(-1)
         real = t >= 0
-        n = max(int(real.sum()), 1)
-        flat = h.reshape(-1, DIM)
+        weight = real.astype(np.float32) / np.float32(max(int(real.sum()), 1))
         group, member = np.divmod(of[np.maximum(t, 0)], MEMBERS)
-        weight = (real / np.float32(n))[:, None]
 
         def error(logits, chosen, weight):
-            p = np.exp(logits - logits.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(p)), chosen] -= 1
-            return p * weight
-
-        p = error(flat @ w["c"] + w["b"], group, weight)
+            if logits.max(initial=0) > 60:
+                logits -= logits.max(1, keepdims=True)
+            np.exp(logits, out=logits)
+            logits *= (weight / np.maximum(logits.sum(1), np.float32(1e-30)))[:, None]
+            logits[np.arange(len(logits)), chosen] -= weight
+            return logits
+
+        p = error(h @ w["c"] + w["b"], group, weight)
         dh = p @ w["c"].T
         c2, b2 = np.zeros_like(w["c2"]), np.zeros_like(w["b2"])
         order = np.argsort(group.astype(np.uint8), kind="stable")
         edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
+        sorted_h, member, weight, second = h[order], member[order], weight[order], np.empty_like(h)
         for g in range(GROUPS):
-            rows = order[edges[g] : edges[g + 1]]
-            if len(rows):
-                e = error(flat[rows] @ w["c2"][g] + w["b2"][g], member[rows], weight[rows])
-                c2[g], b2[g] = flat[rows].T @ e, e.sum(0)
-                dh[rows] += e @ w["c2"][g].T
-        dh = dh.reshape(h.shape)
+            i, j = edges[g], edges[g + 1]
+            if j > i:
+                e = error(sorted_h[i:j] @ w["c2"][g] + w["b2"][g], member[i:j], weight[i:j])
+                c2[g], b2[g] = sorted_h[i:j].T @ e, e.sum(0)
+                second[i:j] = e @ w["c2"][g].T
+        dh[order] += second
         do = dh @ w["o"].T
-        da = do @ v.transpose(0, 2, 1)
-        ds = a * (da - (da * a).sum(-1, keepdims=True)) * np.float32(DIM**-0.5)
-        dq, dk, dv = ds @ k, ds.transpose(0, 2, 1) @ q, a.transpose(0, 2, 1) @ do
-        dz = dk @ w["k"].T + dv @ w["v"].T
-        dz[:, CONTEXT:] += dh + dq @ w["q"].T
-        grads = {"c": flat.T @ p, "b": p.sum(0), "c2": c2, "b2": b2, "o": o.reshape(-1, DIM).T @ dh.reshape(-1, DIM), "q": zq.reshape(-1, DIM).T @ dq.reshape(-1, DIM), "k": z.reshape(-1, DIM).T @ dk.reshape(-1, DIM), "v": z.reshape(-1, DIM).T @ dv.reshape(-1, DIM), "p": dz.sum(0)}
-        ids, place = np.unique(x, return_inverse=True)
-        order = np.argsort(place.reshape(-1), kind="stable")
-        first = np.searchsorted(place.reshape(-1)[order], np.arange(len(ids)))
-        de = np.add.reduceat(dz.reshape(-1, DIM)[order], first, axis=0)
+        gathered = (do * o).sum(1).reshape(len(x), STEP, 1)  # what the attention's own change of sum takes back
+        do = do.reshape(len(x), STEP, DIM)
+        ds = do @ v.transpose(0, 2, 1)
+        ds -= gathered
+        ds *= a
+        # q is scaled already; the scale of its own gradient comes with the weights.
+        dq = (ds @ k).reshape(-1, DIM) * np.float32(DIM**-0.5)
+        dk, dv = (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM), (a.transpose(0, 2, 1) @ do).reshape(-1, DIM)
+        dz = dk @ w["k"].T
+        dz += dv @ w["v"].T
+        dz.reshape(len(x), WINDOW, DIM)[:, CONTEXT:] += (dh + dq @ w["q"].T).reshape(len(x), STEP, DIM)
+        for name, grad in {"c": h.T @ p, "b": p.sum(0), "c2": c2, "b2": b2, "o": o.T @ dh, "q": zq.T @ dq, "k": z.T @ dk, "v": z.T @ dv, "p": dz.reshape(len(x), WINDOW, DIM).sum(0)}.items():
+            self._step(name, grad)
+        ids = x.reshape(-1) + 1  # 0: nothing there
+        order = np.argsort(ids.astype(np.uint16) if len(w["e"]) < 65_535 else ids, kind="stable")
+        ids = ids[order]
+        first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
+        de, ids = np.add.reduceat(dz[order], first, axis=0), ids[first] - 1
         if ids[0] < 0:
             ids, de = ids[1:], de[1:]
-        for name, grad in grads.items():
-            self._step(name, grad)
         self._step("e", de, ids)
         self.seen[ids] += 1

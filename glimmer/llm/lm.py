@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -84,29 +85,42 @@ def _train(path: str, model):
                 learner.learn(x[order[a : a + 256]], y[order[a : a + 256]], of)
             n += len(x)
         if n:
-            names, parts, values, shares = [], [], [], []
+            names, parts, totals, shares = [], [], [], []
             for name, value in learner.w.items():
                 step = _ROWS_A_PART if name == "e" else len(value)
                 for i in range(0, len(value), step):
+                    # An embedding counts as often as the task has met its token.
+                    share = learner.seen[i : i + step] if name == "e" else np.full(1, n, np.float32)
                     names.append(name)
                     parts.append(i)
-                    values.append(value[i : i + step].tobytes())
-                    # An embedding counts as often as the task has met its token.
-                    shares.append((learner.seen[i : i + step] if name == "e" else np.full(1, n, np.float32)).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts, pa.int32()), pa.array(values, pa.binary()), pa.array(shares, pa.binary())], ["name", "part", "value", "share"])
+                    totals.append((value[i : i + step].reshape(len(share), -1) * share[:, None]).tobytes())
+                    shares.append(share.tobytes())
+            task = pa.array([TaskContext.get().partitionId()] * len(names), pa.int32())
+            yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(parts, pa.int32()), task, pa.array(totals, pa.binary()), pa.array(shares, pa.binary())], ["name", "part", "task", "total", "share"])
 
     return run
 
 
-def _average(group):
-    """The mean of the tasks' weights; rows are added up one task at a time."""
-    total = share = None
-    for value, s in zip(group["value"], group["share"], strict=True):
-        s = np.frombuffer(s.as_py(), np.float32).astype(np.float64)[:, None]
-        v = np.frombuffer(value.as_py(), np.float32).astype(np.float64).reshape(len(s) if len(s) > 1 else 1, -1)
-        total, share = (v * s, s) if total is None else (total + v * s, share + s)
-    mean = np.where(share > 0, total / np.maximum(share, 1e-9), np.nan).astype(np.float32)
-    return pa.table({"name": [group["name"][0].as_py()], "part": pa.array([group["part"][0].as_py()], pa.int32()), "value": pa.array([mean.tobytes()], pa.binary())})
+_SHARE = "name string, part int, task int, total binary, share binary"
+#: Tasks whose weights are added up at once.
+FAN_IN = 64
+
+
+def _added(group):
+    """Weighted weights and their shares, added up over tasks."""
+    total, share = ([np.frombuffer(x.as_py(), np.float32) for x in group[n]] for n in ("total", "share"))
+    out = {n: [group[n][0].as_py()] for n in ("name", "part", "task")}
+    out |= {n: [np.sum(x, 0, np.float64).astype(np.float32).tobytes()] for n, x in (("total", total), ("share", share))}
+    return pa.table(out, pa.schema([("name", pa.string()), ("part", pa.int32()), ("task", pa.int32()), ("total", pa.binary()), ("share", pa.binary())]))
+
+
+def averaged(trained: DataFrame, tasks: int) -> DataFrame:
+    """One row for each part of the weights: tasks are added up FAN_IN at a time, level by level."""
+    while True:
+        trained = trained.withColumn("task", F.floor(F.col("task") / FAN_IN).cast("int")).groupBy("name", "part", "task").applyInArrow(_added, _SHARE)
+        tasks = -(-tasks // FAN_IN)
+        if tasks <= 1:
+            return trained
 
 
 def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds: int = ROUNDS):
@@ -118,15 +132,14 @@ def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds:
     model = spark.sparkContext.broadcast((weights, of, within))
     for r in range(rounds):
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select(whole().alias("text")).repartition(tasks)
-        trained = part.mapInArrow(_train(path, model), "name string, part int, value binary, share binary")
-        rows = trained.groupBy("name", "part").applyInArrow(_average, "name string, part int, value binary").collect()  # one set of weights
+        rows = averaged(part.mapInArrow(_train(path, model), _SHARE), tasks).collect()  # one set of weights
         weights = {n: x.copy() for n, x in weights.items()}
         for row in rows:
-            value = np.frombuffer(row["value"], np.float32)
-            old = weights[row["name"]].reshape(len(weights[row["name"]]), -1)
-            new = value.reshape(-1, old.shape[1])
-            place = slice(row["part"], row["part"] + len(new))
-            old[place] = np.where(np.isnan(new), old[place], new)
+            share = np.frombuffer(row["share"], np.float32)[:, None]
+            old = weights[row["name"]].reshape(len(weights[row["name"]]), -1) if row["name"] == "e" else weights[row["name"]].reshape(1, -1)
+            new = np.frombuffer(row["total"], np.float32).reshape(len(share), -1)
+            place = slice(row["part"], row["part"] + len(share)) if row["name"] == "e" else slice(None)
+            old[place] = np.where(share > 0, new / np.maximum(share, np.float32(1e-9)), old[place])
         model = spark.sparkContext.broadcast((weights, of, within))
     return model
 
