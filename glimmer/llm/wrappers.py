@@ -1,10 +1,20 @@
-"""HTML extraction: union-free expressions (slots, optional and repeated groups) inferred per host by alignment."""
+"""HTML extraction: union-free regular expressions, inferred per host by aligning the token streams of its pages.
+
+A page is a stream of tokens: tags open and close, texts stand between them. Streams of a host are aligned one after
+another, level by level. Where texts differ, the wrapper gets a slot; where tags differ, what only some pages have
+becomes an optional group; tags that follow each other again and again become a repeated group. The wrapper then tells
+the article from the template: the article is where the slots hold most text, and a text in it that all pages of the host
+share belongs to the template.
+"""
 
 from __future__ import annotations
 
+import difflib
 import html
 import json
 import re
+import sys
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -16,301 +26,527 @@ from glimmer.llm.url_rules import host_of
 
 # Names that HTML gives to elements, and names that sites give to what is not the article.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style noscript template iframe textarea svg math object canvas".split()
-INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr".split())
+RAW_TEXT = set("script style textarea title xmp iframe noembed noframes".split())
+INLINE = set("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q s samp small span strike strong sub sup time tt u var wbr math mi mn mo ms mtext mrow mfrac msup msub msqrt".split())
 CLOSES_P = set("address article aside blockquote details div dl dd dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr li main menu nav ol p pre section table ul".split())
+SCOPES = set("table td th caption template object".split())
 HEADINGS = set("h1 h2 h3 h4 h5 h6".split())
-NOT_ARTICLE = set("nav header footer aside form head title button select dialog menu option".split())
-NOT_ARTICLE_NAMES = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related replies reply respond share sharing sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget".split())
+NOT_ARTICLE = set("nav footer aside form head button select dialog menu option noscript template svg object canvas".split())
+NOT_ARTICLE_NAMES = set("ad ads adv advert advertisement adverts banner breadcrumb breadcrumbs comment comments consent cookie cookies copyright disqus footer header login masthead modal nav navbar navigation newsletter notice notices notification pagination pager popup promo promotion related sharing share sidebar signup skyscraper social sponsor sponsored subscribe toolbar widget menu".split())
+NEUTRAL_NAMES = set("site page global main top bottom left right inner outer wrapper wrap container box bar block list area section post posts item items button buttons link links form primary secondary text entry content thread row col column holder panel unit slot".split())
 # End of fixed values.
-#: Up to so many units of a repeated group are looked for.
-LONGEST_GROUP = 4
-#: Elements nested more deeply are empty, and what is in them belongs to the last one that is not.
-DEEPEST = 100
-#: Longer lists of nodes are aligned by key and not by their longest common subsequence.
-LONGEST_ALIGNED = 400
+#: A text is the template's if this share of the pages that have its place, and at least so many, have it there.
+SHARED, MIN_PAGES = 0.9, 3
+#: Up to so many pages all texts of a place are remembered, and beyond those that are shared so far.
+FIRST_PAGES = 8
+#: Template texts are left out of an article only if its slots hold this share of its text.
+MIN_SLOTS = 0.2
+#: Pages that are aligned one after another, and wrappers that are; their results are aligned in their turn.
+PAGES_AT_ONCE, WRAPPERS_AT_ONCE = 256, 64
+#: A part that under this share of the host's pages have is left out of the wrapper, which so stays bounded.
+RARE = 0.01
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(RAW) + r")\b(?:[^>\"']++|\"[^\"]*\"|'[^']*'|[\"'])*?>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<[!?][^>]*>",
-    re.S | re.I,
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    r"|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"'=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+')|[=\"'])*+)>"
+    r"|<[!?/][^>]*>",
+    re.S,
 )
-_NAME = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+_NAME = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
+
+
+def _hash(text: str) -> int:
+    import xxhash
+
+    return xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")) - (1 << 63)
+
+
+def _not_article(name: str) -> bool:
+    """The name says that an element is not the article: one of its parts does, and no other part says anything else."""
+    parts = [p for p in re.split(r"[-_\d]+", name) if p]
+    return any(p in NOT_ARTICLE_NAMES for p in parts) and all(p in NOT_ARTICLE_NAMES or p in NEUTRAL_NAMES for p in parts)
 
 
 class Node:
-    """An element: key (tag and names), children (nodes and texts)."""
+    """An element: key (tag and class names, without numbers), children (nodes, and texts with whether they are links)."""
 
-    __slots__ = ("children", "key", "outside", "tag")
+    __slots__ = ("children", "holds", "key", "named", "outside", "size", "tag")
 
     def __init__(self, tag: str, attributes: str = ""):
-        names = sorted({w for m in _NAME.finditer(attributes) for w in re.split(r"\s+", (m[1] or m[2] or m[3] or "").lower()) if w}) if "=" in attributes else []
-        self.tag, self.children = tag, []
-        self.key = tag if not names else f"{tag}.{'.'.join(names)}"
-        self.outside = tag in NOT_ARTICLE or any(p in NOT_ARTICLE_NAMES for n in names for p in re.split(r"[-_]", n))
+        found = [(m[1].lower(), (m[2] or m[3] or m[4] or "").lower().split()) for m in _NAME.finditer(attributes)] if "=" in attributes else []
+        self.tag = "main" if any(k == "role" and "main" in v for k, v in found) else tag
+        self.children, self.size, self.holds = [], 0, False
+        classes = sorted({re.sub(r"\d+", "0", w) for k, v in found if k == "class" for w in v})
+        self.key = self.tag if not classes or self.tag in ("html", "body", "article", "main", "p") or self.tag in HEADINGS else f"{self.tag}.{'.'.join(classes)}"
+        self.named = self.tag not in ("html", "body", "main", *HEADINGS) and any(_not_article(w) for _, v in found for w in v)
+        self.outside = self.tag in NOT_ARTICLE
 
 
 def parse(text: str) -> Node:
-    """The tree of a page; wrongly nested and unclosed elements end where their parents do."""
+    """The tree of a page; wrongly nested and unclosed elements end where their parents do, at any depth."""
     root = Node("")
-    stack, last = [root], 0
-
-    def put(end: int) -> None:
-        if end > last:
-            stack[-1].children.append(text[last:end])
+    stack, opened, at, link = [root], Counter(), 0, 0
 
     def leave(tag: str, walls: set[str]) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag == tag:
-                del stack[i:]
-                return
-            if stack[i].tag in walls:
-                return
-
-    for m in _TOKEN.finditer(text):
-        put(m.start())
-        last = m.end()
-        tag = m[3] and m[3].lower()
-        if not tag:
-            if m[0][:2] == "<!" or m[1]:
-                stack[-1].children.append(" " if m[1] else "")
+        nonlocal link
+        if opened[tag]:
+            for i in range(len(stack) - 1, 0, -1):
+                if stack[i].tag == tag:
+                    opened.subtract(n.tag for n in stack[i:])
+                    del stack[i:]
+                    if len(stack) < link:
+                        link = 0
+                    return
+                if stack[i].tag in walls:
+                    return
+
+    while m := _TOKEN.search(text, at):
+        if m.start() > at:
+            stack[-1].children.append((text[at : m.start()], link > 0))
+        at = m.end()
+        if not m[2]:
             continue
-        if m[2]:
-            if tag not in VOID:
-                leave(tag, {"table", "article"} if tag in INLINE or tag == "p" else set())
+        tag = m[2].lower()
+        if tag == "a":
+            link = 0 if m[1] else len(stack)
+        if m[1]:
+            if tag == "br":
+                stack[-1].children.append((" ", False))
+            elif tag not in VOID and tag not in INLINE:
+                leave(tag, SCOPES if tag not in SCOPES else set())
+            continue
+        if tag in RAW_TEXT:
+            end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(text, at)
+            at = end.end() if end else len(text)
+            continue
+        if tag == "br":
+            stack[-1].children.append((" ", False))
+        if tag in INLINE or (tag in VOID and tag != "hr"):
             continue
         if tag in CLOSES_P:
             leave("p", {"article", "div", "section", "td", "th", "li", "blockquote", "main", "body", "table", "aside"})
-        if tag == "li":
-            leave("li", {"ul", "ol", "menu"})
+        if tag in ("li", "option"):
+            leave(tag, {"ul", "ol", "menu", "select"})
+        elif tag in ("dt", "dd"):
+            leave("dt", {"dl"})
+            leave("dd", {"dl"})
         elif tag in ("td", "th", "tr"):
             for t in ("td", "th") if tag != "tr" else ("td", "th", "tr"):
                 leave(t, {"table"})
-        node = Node(tag, m[4])
+        node = Node(tag, m[3])
         stack[-1].children.append(node)
-        if tag not in VOID and not m[4].rstrip().endswith("/") and len(stack) < DEEPEST:
+        if tag != "hr" and not (m[3].rstrip().endswith("/") and (tag in ("svg", "math", "object", "path") or "-" in tag)):
             stack.append(node)
-    put(len(text))
+            opened[node.tag] += 1
+    if at < len(text):
+        stack[-1].children.append((text[at:], link > 0))
+    _judge(root)
     return root
 
 
-# A wrapper is a list [key, optional, repeated, slot, mass, children]: slot is the text that all pages have there (None: no
-# text, True: it differs), mass the characters that differ between pages in it and below.
+def _judge(root: Node) -> None:
+    """Names put an element outside of the article unless it holds the article: an article or main element, or else a first heading or most of the text."""
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        order.append(node)
+        stack += [c for c in node.children if isinstance(c, Node) and not c.outside]
+    for node in reversed(order):
+        for c in node.children:
+            if isinstance(c, Node):
+                node.size += c.size
+                node.holds |= c.holds or (c.tag in ("article", "main", "h1") and not c.named and not c.outside)
+            else:
+                node.size += len(c[0]) - c[0].count(" ")
+    for node in order:
+        if node.named and not node.holds and node.size < 0.8 * root.size:
+            node.outside = True
+
 
+Token = tuple[int, str, int]
 
-def _outline(node: Node) -> list:
-    """A page's own wrapper: in-line elements dissolve into text, equal neighbours become repeated groups."""
-    texts, children = [], []
 
-    def walk(parent: Node) -> None:
-        for c in parent.children:
-            if isinstance(c, str):
-                if c and not c.isspace():
-                    texts.append(c)
-            elif c.tag in INLINE:
-                walk(c)
-            elif not c.outside:
-                children.append(_outline(c))
+def tokens(root: Node) -> list[Token]:
+    """(1, key, 0) and (-1, key, 0) where an element opens and closes, (0, text, characters in links) for the text of a block.
 
-    walk(node)
-    text = " ".join("".join(texts).split()) or None
-    return [node.key, False, False, text, 0 if text is None else len(text), _grouped(children)]
+    What is outside of the article has no tokens, and of headers in an article the headings alone.
+    """
+    out: list[Token] = []
+    run: list[str] = []
+    links = 0
+
+    def flush() -> None:
+        nonlocal links
+        text = "".join(run)
+        text = " ".join((html.unescape(text) if "&" in text else text).split())
+        if text:
+            out.append((0, text, min(links, len(text))))
+        run.clear()
+        links = 0
+
+    # Node, next child, whether it is in an article, whether only headings count.
+    stack: list[list] = [[root, 0, False, False]]
+    while stack:
+        node, i, inside, only = top = stack[-1]
+        if i == len(node.children):
+            flush()
+            stack.pop()
+            if stack:
+                out.append((-1, node.key, 0))
+            continue
+        top[1] += 1
+        child = node.children[i]
+        if not isinstance(child, Node):
+            if not only:
+                run.append(child[0])
+                links += len(child[0]) if child[1] else 0
+        elif not child.outside and (inside or child.tag != "header"):
+            flush()
+            out.append((1, child.key, 0))
+            stack.append([child, 0, inside or child.tag in ("article", "main", "section"), (only or child.tag == "header") and child.tag not in HEADINGS])
+    return out
+
+
+class Part:
+    """A part of a wrapper: an element, a text ("#") or a group of several parts ("(...)").
+
+    slot: whether pages have different texts there; value: hashes of the texts that they share, each with its number of
+    pages. pages: how many have the part; mass and links: their characters, and those in links.
+    """
+
+    __slots__ = ("children", "key", "links", "mass", "optional", "pages", "repeated", "slot", "value")
+
+    def __init__(self, key, optional=False, repeated=False, slot=False, value=None, pages=1, mass=0, links=0, children=None):
+        self.key, self.optional, self.repeated, self.slot, self.value = key, optional, repeated, slot, value or {}
+        self.pages, self.mass, self.links, self.children = pages, mass, links, [] if children is None else children
+
+
+def outline(stream: list[Token]) -> Part:
+    """A page's own wrapper: its token stream with tandem repeats folded into repeated groups."""
+    root = Part("")
+    stack, deepest = [root], 1
+    for kind, what, links in stream:
+        if kind > 0:
+            part = Part(what)
+            stack[-1].children.append(part)
+            stack.append(part)
+            deepest = max(deepest, len(stack))
+            if deepest > 500:
+                _allow(deepest)
+        elif kind < 0:
+            part = stack.pop()
+            part.children = _folded(part.children)
+        else:
+            stack[-1].children.append(Part("#", value={_hash(what): 1}, mass=len(what), links=links))
+    root.children = _folded(root.children)
+    return root
 
 
-def _grouped(nodes: list) -> list:
-    """Tandem repeats become one repeated node; of several nodes, a repeated group with the key ()."""
-    for width in range(1, LONGEST_GROUP + 1):
+def _allow(depth: int) -> None:
+    """Parts are walked by functions that call themselves once a level; such calls take no room on the machine's stack."""
+    if sys.getrecursionlimit() < 8 * depth + 5000:
+        sys.setrecursionlimit(16 * depth + 10_000)
+
+
+def _folded(parts: list[Part]) -> list[Part]:
+    """Tandem repeats of any length become one repeated part, or a repeated group of several parts; single parts first."""
+    while True:
+        single: list[Part] = []
+        for p in parts:
+            if single and single[-1].key == p.key:
+                single[-1] = _joined(single[-1], p, True)
+                single[-1].repeated = True
+            else:
+                single.append(p)
+        parts = single
+        keys = [p.key for p in parts]
+        if len(set(keys)) == len(keys):
+            return parts
+        later: dict[str, list[int]] = {}
+        for i, k in enumerate(keys):
+            later.setdefault(k, []).append(i)
         out, i = [], 0
-        while i < len(nodes):
-            unit = nodes[i : i + width]
-            keys, j = [n[0] for n in unit], i + width
-            while len(unit) == width and [n[0] for n in nodes[j : j + width]] == keys:
-                unit = [merge(a, b) for a, b in zip(unit, nodes[j : j + width], strict=True)]
-                j += width
-            if len(unit) == width and j > i + width:
-                if width == 1:
-                    unit[0][2] = True
-                    out.append(unit[0])
-                else:
-                    out.append(["()", False, True, None, 0, unit])
+        while i < len(parts):
+            for j in later[keys[i]]:
+                width = j - i
+                if width <= 0:
+                    continue
+                if keys[i:j] != keys[j : j + width]:
+                    continue
+                unit = parts[i:j]
+                while keys[j : j + width] == keys[i : i + width]:
+                    unit = [_joined(a, b, True) for a, b in zip(unit, parts[j : j + width], strict=True)]
+                    j += width
+                out.append(Part(f"({','.join(keys[i : i + width])})", repeated=True, pages=max(p.pages for p in unit), children=unit))
                 i = j
+                break
             else:
-                out.append(nodes[i])
+                out.append(parts[i])
                 i += 1
-        nodes = out
-    return nodes
-
-
-def merge(a: list, b: list) -> list:
-    """The wrapper of what a and b describe, both of one key: mismatches become slots and optional nodes."""
-    slot = a[3] if a[3] == b[3] else True
-    return [a[0], a[1] or b[1], a[2] or b[2], slot, a[4] + b[4], _aligned(a[5], b[5])]
-
-
-def _aligned(a: list, b: list) -> list:
-    if [n[0] for n in a] == [n[0] for n in b]:
-        return [merge(x, y) for x, y in zip(a, b, strict=True)]
-    optional = lambda x: [x[0], True, *x[2:]]
-    if max(len(a), len(b)) > LONGEST_ALIGNED:
-        place, out = {}, list(a)
-        for i, x in enumerate(a):
-            place.setdefault(x[0], i)
-        for x in b:
-            if x[0] in place:
-                out[place[x[0]]] = merge(out[place[x[0]]], x)
-            else:
-                place[x[0]] = len(out)
-                out.append(optional(x))
-        return out
-    # Longest common subsequence of the keys.
-    n, m = len(a), len(b)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            best[i][j] = best[i + 1][j + 1] + 1 if a[i][0] == b[j][0] else max(best[i + 1][j], best[i][j + 1])
+        if len(out) == len(parts):
+            return out
+        parts = out
+
+
+def _joined(a: Part, b: Part, same_page: bool) -> Part:
+    """What describes both parts. On one page texts add up; texts that differ between pages make a slot."""
+    slot, value = a.slot or b.slot, a.value
+    if b.value or not same_page:
+        slot = slot or (not same_page and a.value.keys() != b.value.keys())
+        value = dict(a.value)
+        for h, n in b.value.items():
+            value[h] = max(value.get(h, 0), n) if same_page else value.get(h, 0) + n
+    pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
+    if pages > FIRST_PAGES and not same_page:
+        value = {h: n for h, n in value.items() if n >= SHARED * pages}
+    return Part(a.key, a.optional or b.optional, a.repeated or b.repeated, slot, value, pages, a.mass + b.mass, a.links + b.links, _aligned(a.children, b.children, same_page))
+
+
+def merge(a: Part, b: Part) -> Part:
+    """The wrapper of all pages that a and b describe."""
+    return _joined(a, b, False)
+
+
+def _aligned(a: list[Part], b: list[Part], same_page: bool) -> list[Part]:
+    """Two streams of one level: common parts are joined, and what lies between them becomes optional."""
+    ka, kb = [p.key for p in a], [p.key for p in b]
+    if ka == kb:
+        return [_joined(x, y, same_page) for x, y in zip(a, b, strict=True)]
     out, i, j = [], 0, 0
-    while i < n or j < m:
-        if i < n and j < m and a[i][0] == b[j][0]:
-            out.append(merge(a[i], b[j]))
-            i, j = i + 1, j + 1
-        elif j == m or (i < n and best[i + 1][j] >= best[i][j + 1]):
-            out.append(optional(a[i]))
-            i += 1
+    for x, y, n in difflib.SequenceMatcher(None, ka, kb, autojunk=False).get_matching_blocks():
+        for part in (*a[i:x], *b[j:y]):
+            part.optional = True
+            out.append(part)
+        for k in range(n):
+            out.append(_joined(a[x + k], b[y + k], same_page))
+        i, j = x + n, y + n
+    return _folded(out)
+
+
+def pruned(wrapper: Part) -> Part:
+    """Without the parts that few of its pages have."""
+    if wrapper.pages * RARE > 1:
+        stack = [wrapper]
+        while stack:
+            part = stack.pop()
+            part.children = [c for c in part.children if c.pages >= wrapper.pages * RARE]
+            stack += part.children
+    return wrapper
+
+
+def dumped(wrapper: Part) -> str:
+    """In the order of the stream, each part with its number of children."""
+    rows, stack = [], [wrapper]
+    while stack:
+        p = stack.pop()
+        rows.append([len(p.children), p.key, int(p.optional), int(p.repeated), int(p.slot), list(p.value.items()), p.pages, p.mass, p.links])
+        stack += reversed(p.children)
+    return json.dumps(rows, separators=(",", ":"))
+
+
+def loaded(text: str) -> Part:
+    root, open_parts = None, []
+    for n, key, optional, repeated, slot, value, pages, mass, links in json.loads(text):
+        part = Part(key, bool(optional), bool(repeated), bool(slot), dict(value), pages, mass, links)
+        while open_parts and not open_parts[-1][1]:
+            open_parts.pop()
+        if open_parts:
+            open_parts[-1][0].children.append(part)
+            open_parts[-1][1] -= 1
         else:
-            out.append(optional(b[j]))
-            j += 1
-    return _grouped(out)
-
+            root = part
+        open_parts.append([part, n])
+        if len(open_parts) > 500:
+            _allow(len(open_parts))
+    return root
 
-def article_path(wrapper: list) -> str:
-    """The keys down to the node that holds the article: an article or main element, or else down to where the text parts."""
 
-    def mass(node: list) -> float:
-        own = node[4] if node[3] is True else 0.2 * node[4]  # what all pages have counts little
-        return own + sum(map(mass, node[5]))
+def expression(wrapper: Part) -> str:
+    """The wrapper as a regular expression: # is a slot, = a fixed text, ? and + follow optional and repeated groups."""
+    out: list[str] = []
+    stack: list[Part | str] = [wrapper]
+    while stack:
+        p = stack.pop()
+        if isinstance(p, str):
+            out.append(p)
+            continue
+        mark = ("+" if p.repeated else "") + ("?" if p.optional else "")
+        group = p.key.startswith("(") or (mark and p.key)
+        if p.key == "#":
+            out.append(("#" if p.slot else "=") + mark)
+        else:
+            tag = "" if p.key.startswith("(") else p.key
+            out.append(("(" if group else "") + (f"<{tag}>" if tag else ""))
+            stack.append((f"</{tag}>" if tag else "") + (f"){mark}" if group else ""))
+            stack += reversed(p.children)
+    return "".join(out)
 
-    best: list[tuple[float, str]] = []
 
-    def named(node: list, path: str) -> None:
-        here = path if node[0] in ("", "()") else f"{path}/{node[0]}"
-        if re.match(r"(article|main)\b", node[0]) or re.search(r"\.main\b", node[0]):
-            best.append((mass(node), here))
-        for c in node[5]:
-            named(c, here)
+def below(path: int, key: str) -> int:
+    """The path of an element in the element of a path; groups are no elements."""
+    return path if key in ("", "#") or key.startswith("(") else _hash(f"{path}/{key}")
 
-    named(wrapper, "")
-    if best and max(best)[0] >= 0.3 * mass(wrapper):
-        inner = [x for x in best if x[0] >= 0.8 * max(best)[0]]
-        return max(inner, key=lambda x: x[1].count("/"))[1]
-    path, node = "", wrapper
-    while True:
-        down = max(node[5], key=mass, default=None)
-        if down is None or down[2] or down[0].split(".")[0] in {"p", *HEADINGS} or mass(down) < 0.7 * mass(node):
-            return path
-        path, node = path if down[0] == "()" else f"{path}/{down[0]}", down
 
+def article(wrapper: Part) -> tuple[int, list[int]]:
+    """(path of the article, marks of the template's texts).
 
-def blocks(node: Node, headings_only: bool = False) -> list[str]:
-    """The texts of the blocks below a node, in page order."""
+    The article is an article or main element if one holds much of the slots' text, or else the element down to which
+    the text does not part. Text in links counts nothing, fixed text little.
+    """
+    order: list[tuple[Part, int, int]] = []
+    stack = [(wrapper, 0, 0)]
+    while stack:
+        part, path, depth = stack.pop()
+        path = below(path, part.key)
+        order.append((part, path, depth))
+        stack += [(c, path, depth + 1) for c in part.children]
+
+    def fixed(part: Part) -> bool:
+        return not part.slot and part.pages >= MIN_PAGES
+
+    text: dict[int, float] = {}
+    for part, _, _ in reversed(order):
+        own = (part.mass - part.links) * (0.2 if fixed(part) else 1.0) if part.key == "#" else 0.0
+        text[id(part)] = own + sum([text[id(c)] for c in part.children])
+    total = text[id(wrapper)]
+    named = [(part, path, depth) for part, path, depth in order if part.key in ("article", "main")]
+    most = max((text[id(x[0])] for x in named), default=0)
+    if named and most >= 0.3 * total:
+        part, path, _ = max((x for x in named if text[id(x[0])] >= 0.8 * most), key=lambda x: x[2])
+    else:
+        part, path = wrapper, 0
+        while True:
+            down = max(part.children, key=lambda c: text[id(c)], default=None)
+            if down is None or down.repeated or down.key in ("#", "p", *HEADINGS) or text[id(down)] < 0.7 * text[id(part)]:
+                break
+            part, path = down, below(path, down.key)
+
+    slots = share = 0
+    stack = [part]
+    while stack:
+        x = stack.pop()
+        stack += x.children
+        if x.key == "#":
+            share += x.mass
+            slots += 0 if fixed(x) else x.mass
+    shared = [(at, h) for x, at, _ in order if x.key == "#" for h, n in x.value.items() if n >= max(MIN_PAGES, SHARED * x.pages)]
+    return path, sorted({_hash(f"{at}#{h}") for at, h in shared}) if slots >= MIN_SLOTS * share else []
+
+
+def _blocks(stream: list[Token], path: int, template: set[int]) -> list[str]:
+    """The texts below the elements of a path, in page order, without the template's.
+
+    A heading of the template stays if text of the page follows under it.
+    """
+    found: list[tuple[str, int, bool]] = []
+    paths, heading, inside = [0], 0, 1 if path == 0 else 0
+    for kind, what, _ in stream:
+        if kind > 0:
+            paths.append(below(paths[-1], what))
+            inside += paths[-1] == path
+            heading = int(what[1]) if what in HEADINGS else heading
+        elif kind < 0:
+            inside -= paths.pop() == path
+            heading = 0 if what in HEADINGS else heading
+        elif inside:
+            found.append((what, heading, _hash(f"{paths[-1]}#{_hash(what)}") in template))
     out: list[str] = []
-    run: list[str] = []
-
-    def end() -> None:
-        text = " ".join(html.unescape("".join(run)).split())
-        run.clear()
-        if text:
+    following = 7  # the level of the last heading that is already open below, or 0 if text of the page is
+    for text, level, shared in reversed(found):
+        if not shared:
             out.append(text)
-
-    def walk(parent: Node, only: bool) -> None:
-        for c in parent.children:
-            if isinstance(c, str):
-                if not only:
-                    run.append(c)
-            elif c.tag == "br":
-                run.append(" ")
-            elif c.tag in INLINE and not c.outside:
-                walk(c, only)
-            elif c.tag == "header":  # an article's own header holds its title
-                end()
-                walk(c, True)
-                end()
-            elif not c.outside:
-                end()
-                walk(c, only and c.tag not in HEADINGS)
-                end()
-
-    walk(node, headings_only)
-    end()
-    return out
+            following = level or 0
+        elif level and following < level:
+            out.append(text)
+            following = level
+        elif level:
+            following = max(following, level)
+    return out[::-1]
 
 
-def extract(text: str, path: str | None) -> str:
-    root = parse(text)
-    for where in (path, None):
-        if where is None:
-            where = article_path(_outline(root))
-        found: list[Node] = []
+def extract(text: str, path: int | None = None, template: frozenset[int] | set[int] = frozenset()) -> str:
+    """The article of a page by its host's wrapper; by the page's own outline if the wrapper's article is not in it."""
+    stream = tokens(parse(text))
+    out = _blocks(stream, path, template) if path is not None else []
+    if not out:
+        out = _blocks(stream, article(outline(stream))[0], set()) or _blocks(stream, 0, set())
+    return "\n".join(out)
 
-        def seek(node: Node, at: str, where=where, found=found) -> None:
-            here = f"{at}/{node.key}" if node.key else at
-            if here == where:
-                found.append(node)
-            elif where.startswith(here):
-                for c in node.children:
-                    if isinstance(c, Node):
-                        seek(c, here)
 
-        seek(root, "")
-        if out := [b for n in found for b in blocks(n)]:
-            return "\n".join(out)
-    return "\n".join(blocks(root))
+def _outlines(batches: Iterator[pa.RecordBatch]):
+    for batch in pieces_of(batches, "html"):
+        streams = [dumped(outline(tokens(parse(t)))) for t in batch.column(2).to_pylist()]
+        yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array(streams, pa.string())], ["host", "place", "wrapper"])
 
 
-def _partial(batches: Iterator[pa.RecordBatch]):
-    """The wrapper of each host over the pages of a task."""
-    wrappers: dict[str, list] = {}
-    for batch in pieces_of(batches, "html"):
-        for host, text in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            page = _outline(parse(text))
-            wrappers[host] = merge(wrappers[host], page) if host in wrappers else page
-        if len(wrappers) >= 5000:  # what a task holds stays bounded; the host's wrappers meet again below
-            yield _rows(wrappers)
-            wrappers = {}
-    yield _rows(wrappers)
+def _merged(batches: Iterator[pa.RecordBatch]):
+    """Rows sorted by host, bucket and place in; one wrapper for each host and bucket out. Pages that are the same count once."""
+    key = wrapper = last = None
 
+    def row():
+        return pa.RecordBatch.from_arrays([pa.array([key[0]], pa.string()), pa.array([key[1]], pa.int64()), pa.array([dumped(pruned(wrapper))], pa.string())], ["host", "place", "wrapper"])
 
-def _rows(wrappers: dict[str, list]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(wrappers.keys(), pa.string()), pa.array([json.dumps(w) for w in wrappers.values()], pa.string())], ["host", "wrapper"])
+    for batch in batches:
+        for host, bucket, place, text in zip(*(batch.column(n).to_pylist() for n in ("host", "bucket", "place", "wrapper")), strict=True):
+            if (host, bucket) != key:
+                if key:
+                    yield row()
+                key, wrapper, last = (host, bucket), loaded(text), place
+            elif place != last:
+                wrapper, last = merge(wrapper, loaded(text)), place
+    if key:
+        yield row()
 
 
-def _joined(group):
-    wrapper = None
-    for w in group["wrapper"]:
-        page = json.loads(w.as_py())
-        wrapper = page if wrapper is None else merge(wrapper, page)
-    return pa.table({"host": [group["host"][0].as_py()], "wrapper": [json.dumps(wrapper)], "path": [article_path(wrapper)]})
+def _articles(batches: Iterator[pa.RecordBatch]):
+    for batch in batches:
+        found = [article(loaded(t)) for t in batch.column("wrapper").to_pylist()]
+        yield pa.RecordBatch.from_arrays([batch.column("host"), batch.column("wrapper"), pa.array([p for p, _ in found], pa.int64()), pa.array([m for _, m in found], pa.list_(pa.int64()))], ["host", "wrapper", "path", "template"])
 
 
 def infer_wrappers(pages: DataFrame) -> DataFrame:
-    """(host, wrapper, path): a host's wrapper over all its pages, and the path of the article in it.
+    """(host, wrapper, path, template): a host's wrapper over all its pages, and what article() reads from it.
 
-    Each task aligns the pages it reads, so a large host is spread over tasks and only wrappers are shuffled.
+    A host's pages are dealt to buckets of about PAGES_AT_ONCE by their hash and aligned in its order, then the buckets'
+    wrappers WRAPPERS_AT_ONCE at a time: no task holds a host's pages, and the result does not depend on how rows lie.
     """
-    partial = pages.select(host_of(F.col("url")).alias("host"), whole("html").alias("html")).mapInArrow(_partial, "host string, wrapper string")
-    return partial.groupBy("host").applyInArrow(_joined, "host string, wrapper string, path string")
+    wide = "host string, place long, wrapper string"
+    keyed = pages.select(host_of(F.col("url")).alias("host"), F.xxhash64(whole("html")).alias("place"), whole("html").alias("html"))
+    counts = stored(keyed.groupBy("host").agg(F.ceil(F.count("*") / F.lit(PAGES_AT_ONCE)).alias("buckets")), "wrapper-hosts")
+    buckets = counts.agg(F.max("buckets")).head()[0] or 1
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def aligned(df: DataFrame) -> DataFrame:
+        return df.repartition(parts, "host", "bucket").sortWithinPartitions("host", "bucket", "place").mapInArrow(_merged, wide)
+
+    rows = keyed.mapInArrow(_outlines, wide).join(sized(counts), "host").withColumn("bucket", F.pmod("place", "buckets")).drop("buckets")
+    rows = aligned(rows)
+    while buckets > 1:
+        rows = aligned(rows.withColumn("bucket", F.floor(F.col("place") / WRAPPERS_AT_ONCE)))
+        buckets = -(-buckets // WRAPPERS_AT_ONCE)
+    return rows.mapInArrow(_articles, "host string, wrapper string, path long, template array<long>")
 
 
 def main_text(pages: DataFrame) -> DataFrame:
     """(page_id, url, text, n_chars) for every row of pages: the article's blocks, one a line.
 
     Null html counts as empty and gives an empty text; a null url or one without host belongs to the host "". A page
-    without its host's article path is read by its own outline. Repeated rows and ids stay, an empty table is fine,
-    other columns are ignored.
+    without its host's article is read by its own outline. Repeated rows and ids stay, an empty table is fine, other
+    columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
+        known: dict[tuple[int, ...], frozenset[int]] = {}
         for batch in pieces_of(batches, "html"):
-            texts = [extract(t, p) for t, p in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            texts = []
+            for page, path, template in zip(*(batch.column(n).to_pylist() for n in ("html", "path", "template")), strict=True):
+                marks = tuple(template or ())
+                if marks not in known:
+                    if len(known) > 1000:
+                        known.clear()
+                    known[marks] = frozenset(marks)
+                texts.append(extract(page, path, known[marks]))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    paths = sized(stored(infer_wrappers(pages).select("host", "path"), "wrapper-paths"))
+    found = sized(stored(infer_wrappers(pages).select("host", "path", "template"), "wrapper-paths"))
     keyed = pages.select("page_id", "url", whole("html").alias("html"), host_of(F.col("url")).alias("host"))
-    return keyed.join(paths, "host", "left").select("page_id", "url", "html", "path").mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return keyed.join(found, "host", "left").select("page_id", "url", "html", "path", "template").mapInArrow(run, "page_id long, url string, text string, n_chars long")

@@ -253,7 +253,7 @@ def test_jaccard_join_agrees_with_brute_force(spark):
         label = [min([label[i], *(label[j] for j in range(len(every)) if near[i][j])]) for i in range(len(every))]
     ids = {k: min((every[i][0] for i in range(len(every)) if label[i] == k and every[i][0] is not None), default=None) for k in set(label)}
     want = collections.Counter((d, ids[label[i]] if len(s) else d, sum(near[i])) for i, (d, s) in enumerate(every))
-    for block in (512, 4):
+    for block in (1 << 18, 1 << 12):  # the second cuts groups into blocks
         assert collections.Counter(map(tuple, jaccard.jaccard_join(docs, block=block).collect())) == want
 
 
@@ -361,25 +361,56 @@ def test_main_text_leaves_out_what_is_not_the_article(spark):
     assert len(got) == len(rows)
 
 
+def outlined(page):
+    return wrappers.outline(wrappers.tokens(wrappers.parse(page)))
+
+
 def test_wrapper_has_slots_options_and_repeats():
-    a = wrappers._outline(wrappers.parse("<body><h1>A</h1><ul><li>1</li><li>2</li></ul><p>same</p></body>"))
-    b = wrappers._outline(wrappers.parse("<body><h1>B</h1><ul><li>3</li></ul><table></table><p>same</p></body>"))
-    _, h1, ul, other, p = [None, *wrappers.merge(a, b)[5][0][5]]
-    assert h1[3] is True
-    assert ul[5][0][2]
-    assert other[0] == "table" and other[1]
-    assert p[3] == "same"
-    group = wrappers._outline(wrappers.parse("<body><dt>a</dt><dd>b</dd><dt>c</dt><dd>d</dd></body>"))[5][0][5]
-    assert [n[0] for n in group] == ["()"]
+    a = outlined("<body><h1>A</h1><ul><li>1</li><li>2</li></ul><p>same</p></body>")
+    b = outlined("<body><h1>B</h1><ul><li>3</li></ul><table></table><p>same</p></body>")
+    merged = wrappers.merge(a, b)
+    assert wrappers.expression(merged) == "<body><h1>#</h1><ul>(<li>#</li>)+</ul>(<table></table>)?<p>=</p></body>"
+    assert wrappers.dumped(wrappers.loaded(wrappers.dumped(merged))) == wrappers.dumped(merged)
+    long = "".join(f"<h2>{i}</h2><p>a</p><p>b</p><ul></ul><dl></dl><table></table><pre></pre>" for i in range(3))
+    assert wrappers.expression(outlined(long)) == "(<h2>=</h2>(<p>=</p>)+<ul></ul><dl></dl><table></table><pre></pre>)+"
 
 
 def test_deep_wide_and_broken_pages():
-    assert wrappers.extract("<div>" * 5000 + "deep" + "</div>" * 5000, None) == "deep"
-    wide = "<body>" + "".join(f"<x{i}>a</x{i}>" for i in range(900)) + "</body>"
-    merged = wrappers.merge(wrappers._outline(wrappers.parse(wide)), wrappers._outline(wrappers.parse(wide + "<y>b</y>")))
-    assert merged[5][0][0] == "body"
+    assert wrappers.extract("<div>" * 5000 + "deep" + "</div>" * 5000) == "deep"
+    inside = "<div>" * 110 + "<nav>MENU</nav><form>f</form><aside>x</aside><p>text</p>" + "</div>" * 110
+    assert wrappers.extract(inside) == "text"
+    deep = outlined("<div>" * 5000 + "deep" + "</div>" * 5000)
+    assert wrappers.dumped(wrappers.loaded(wrappers.dumped(wrappers.merge(deep, deep))))
+    wide = "<body>" + "".join(f"<h{i % 4 + 1}>a</h{i % 4 + 1}><t{i}x>a</t{i}x>" for i in range(900)) + "</body>"
+    merged = wrappers.merge(outlined(wide), outlined(wide + "<y>b</y>"))
+    assert merged.children[0].key == "body"
     for broken in ("<", "<a href='x", "<script>never", "<!-- never", "</p></p>", "<p a=\"b>c", "&#xZZ; &#99999999999;", "<p>a<table><tr><td>b<p>c"):
-        assert isinstance(wrappers.extract(broken, "/article"), str)
+        assert isinstance(wrappers.extract(broken, 5), str)
+
+
+def test_raw_elements_names_and_comments_end_where_html_ends_them():
+    page = "<article><h1>T</h1><p>A <svg class='i'/> B</p><p>C <object-view/>D<!-->E<math><mi>x</mi></math></p><style-note>n</style-note><style>p{}</style></article>"
+    assert wrappers.extract(page) == "T\nA B\nC\nDEx\nn"
+    assert wrappers.extract("<article><section class='share-of-market'>s</section><div class='reply'>r</div><div class='site-comments'>no</div><p>x</p></article>") == "s\nr\nx"
+    assert wrappers.extract("<body class='has-sidebar'><div class='content no-sidebar'><p>x y z</p></div><div class=sidebar>side</div></body>") == "x y z"
+    assert wrappers.extract("<article class='post comments-open'><p>all of it</p></article>") == "all of it"
+
+
+def test_what_all_pages_of_a_host_have_is_the_template(spark):
+    def page(i):
+        body = "".join(f"<p>Body {i} {j} of the page {prose(9, 40 * i + j)}</p>" for j in range(i % 5 + 1))
+        return f"<html><body><header><h1>Site</h1></header><div>Our site since 1999</div><div id=post-{i} class='post post-{i}'><h2>Title {i}</h2><h3>Summary</h3>{body}<p>Subscribe to us</p><h3>Read on</h3></div><div>All rights</div></body></html>"
+
+    rows = [(i, f"http://one.org/{i}", page(i)) for i in range(600)] + [(1000 + i, "http://two.org/", page(7)) for i in range(20)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r["page_id"]: r["text"] for r in wrappers.main_text(df).collect()}
+    for i in range(600):
+        assert got[i] == "\n".join([f"Title {i}", "Summary", *(f"Body {i} {j} of the page {prose(9, 40 * i + j)}" for j in range(i % 5 + 1))])
+    assert "Body 7 0" in got[1000]  # copies of one page are one page and no template
+    wrapper = {r["host"]: r["wrapper"] for r in wrappers.infer_wrappers(df).collect()}["one.org"]
+    assert len(wrapper) < 3000  # it does not grow with the pages
+    other = {r["page_id"]: r["text"] for r in wrappers.main_text(df.repartition(7)).collect()}
+    assert got == other
 
 
 def test_main_text_of_the_table_is_the_article(spark):
