@@ -15,6 +15,8 @@ CLASSES = GROUPS * MEMBERS
 #: The commonest ids have a class each; the classes of the last group hold all others.
 SINGLE = CLASSES - MEMBERS
 _CHUNK = 512
+#: Sums over short rows are products with ones, which numpy does faster.
+_ONES = np.ones((max(WINDOW, GROUPS, MEMBERS, DIM), 1), np.float32)
 _CAUSAL = np.where(np.arange(WINDOW)[None, :] <= np.arange(CONTEXT, WINDOW)[:, None], 0.0, -1e9).astype(np.float32)
 
 
@@ -66,11 +68,11 @@ def windows_of(texts: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndar
 
 def _attend(w: dict[str, np.ndarray], x: np.ndarray):
     """(embeddings, queries, keys and values, attention, what it gathers, states at the places to be scored)."""
-    z = w["e"][np.maximum(x, 0)]
+    z = np.take(w["e"], np.maximum(x, 0), axis=0)
     z += w["p"]
     zq = np.ascontiguousarray(z[:, CONTEXT:]).reshape(-1, DIM)
     kv = (z.reshape(-1, DIM) @ np.hstack([w["k"], w["v"]])).reshape(len(x), WINDOW, 2 * DIM)
-    k, v = np.ascontiguousarray(kv[:, :, :DIM]), np.ascontiguousarray(kv[:, :, DIM:])
+    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
     q = (zq @ (w["q"] * np.float32(DIM**-0.5))).reshape(len(x), STEP, DIM)
     a = q @ k.transpose(0, 2, 1)
     a += _CAUSAL
@@ -79,7 +81,7 @@ def _attend(w: dict[str, np.ndarray], x: np.ndarray):
     if a.max(initial=0) > 60:  # else no exponential overflows
         a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
-    share = a.sum(-1, keepdims=True)
+    share = (a.reshape(-1, WINDOW) @ _ONES[:WINDOW]).reshape(len(x), STEP, 1)
     np.reciprocal(np.maximum(share, np.float32(1e-30), out=share), out=share)
     o = a @ v
     o *= share
@@ -93,7 +95,7 @@ def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
         logits -= top
         value = value - top
     np.exp(logits, out=logits)
-    return value - np.log(np.maximum(logits.sum(1), 1e-37))
+    return value - np.log(np.maximum(logits @ _ONES[: logits.shape[1]], np.float32(1e-37)))[:, 0]
 
 
 def class_log10(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
@@ -106,7 +108,7 @@ def class_log10(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, of: np.n
         score = _log_softmax(h @ w["c"] + w["b"], group)
         order = np.argsort(group.astype(np.uint8), kind="stable")
         edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        h, m, second = h[order], member[order], np.empty(len(t), np.float32)
+        h, m, second = np.take(h, order, axis=0), member[order], np.empty(len(t), np.float32)
         for g in range(GROUPS):
             a, b = edges[g], edges[g + 1]
             if b > a:
@@ -129,7 +131,7 @@ class Learner:
             self.g[name] += grad * grad
             self.w[name] -= self.rate * grad / np.sqrt(self.g[name])
         else:
-            square = self.g[name][rows] + grad * grad
+            square = np.take(self.g[name], rows, axis=0) + grad * grad
             self.g[name][rows] = square
             self.w[name][rows] -= self.rate * grad / np.sqrt(square)
 
@@ -146,7 +148,7 @@ class Learner:
             if logits.max(initial=0) > 60:
                 logits -= logits.max(1, keepdims=True)
             np.exp(logits, out=logits)
-            logits *= (weight / np.maximum(logits.sum(1), np.float32(1e-30)))[:, None]
+            logits *= weight[:, None] / np.maximum(logits @ _ONES[: logits.shape[1]], np.float32(1e-30))
             logits[np.arange(len(logits)), chosen] -= weight
             return logits
 
@@ -155,16 +157,18 @@ class Learner:
         c2, b2 = np.zeros_like(w["c2"]), np.zeros_like(w["b2"])
         order = np.argsort(group.astype(np.uint8), kind="stable")
         edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        sorted_h, member, weight, second = h[order], member[order], weight[order], np.empty_like(h)
+        sorted_h, member, weight, second = np.take(h, order, axis=0), member[order], weight[order], np.empty_like(h)
         for g in range(GROUPS):
             i, j = edges[g], edges[g + 1]
             if j > i:
                 e = error(sorted_h[i:j] @ w["c2"][g] + w["b2"][g], member[i:j], weight[i:j])
                 c2[g], b2[g] = sorted_h[i:j].T @ e, e.sum(0)
                 second[i:j] = e @ w["c2"][g].T
-        dh[order] += second
+        back = np.empty_like(order)
+        back[order] = np.arange(len(order))
+        dh += np.take(second, back, axis=0)
         do = dh @ w["o"].T
-        gathered = (do * o).sum(1).reshape(len(x), STEP, 1)  # what the attention's own change of sum takes back
+        gathered = ((do * o) @ _ONES[:DIM]).reshape(len(x), STEP, 1)  # what the attention's own change of sum takes back
         do = do.reshape(len(x), STEP, DIM)
         ds = do @ v.transpose(0, 2, 1)
         ds -= gathered
@@ -181,7 +185,7 @@ class Learner:
         order = np.argsort(ids.astype(np.uint16) if len(w["e"]) < 65_535 else ids, kind="stable")
         ids = ids[order]
         first = np.flatnonzero(np.concatenate([[True], ids[1:] != ids[:-1]]))
-        de, ids = np.add.reduceat(dz[order], first, axis=0), ids[first] - 1
+        de, ids = np.add.reduceat(np.ascontiguousarray(np.take(dz, order, axis=0).T), first, axis=1).T, ids[first] - 1
         if ids[0] < 0:
             ids, de = ids[1:], de[1:]
         self._step("e", de, ids)
