@@ -20,7 +20,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.llm.common import pieces_of, sized, stored, whole
@@ -28,7 +28,7 @@ from glimmer.llm.common import pieces_of, sized, stored, whole
 LENGTH = 200
 NAME = 80
 _WIDTH = LENGTH - NAME + 1
-#: A name with more different contexts is compared by Spark, string by string, and not in one task.
+#: A name with more different contexts than a task should hold is compared string by string, which Spark spreads over tasks.
 LARGE = 20_000
 _P = 0x9E3779B97F4A7C15
 _BYTES = np.random.default_rng(11).integers(0, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -192,26 +192,24 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     once = keyed.join(sized(copied), "th", "left").where(F.col("first_id").isNull() | F.col("doc_id").eqNullSafe(F.col("first_id")))
     sample = stored(once.select("doc_id", "k", "text").mapInArrow(_sample, _SAMPLE), "repeats-sample")
 
-    same, named = Window.partitionBy("name", "high", "low"), Window.partitionBy("name")
-    s = sample.where("times > 0").withColumns({"low0": F.min("low").over(named), "low1": F.max("low").over(named), "high0": F.min("high").over(named), "high1": F.max("high").over(named)})
-    s = s.withColumns({"all": F.sum("times").over(same), "rank": F.row_number().over(same.orderBy(F.desc("times"), "doc_id", "k", "first"))})
-    several = (F.col("low0") != F.col("low1")) | (F.col("high0") != F.col("high1"))
-    s = s.select("doc_id", "k", "name", "first", "n", (F.col("all") > 1).alias("again"), (several & (F.col("rank") == 1)).alias("compare"))
-    s = stored(s.where("again or compare"), "repeats-found")
-
-    compare = s.where("compare")
+    # Equal contexts are added up before anything is told of a name, so that a passage of many documents is few rows.
+    place = F.struct((-F.col("times")).alias("order"), "doc_id", "k", "first", "n")
+    contexts = stored(sample.where("times > 0").groupBy("name", "high", "low").agg(F.sum("times").alias("all"), F.min(place).alias("at")), "repeats-equal")
+    again = stored(sample.where("times > 0").join(contexts.where(F.col("all") > 1).select("name", "high", "low"), ["name", "high", "low"]).select("doc_id", "k", "first", "n"), "repeats-again")
+    several = contexts.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    compare = stored(contexts.join(several, "name").select("at.doc_id", "at.k", "name", "at.first", "at.n", (F.col("all") > 1).alias("again")), "repeats-compare")
     large = compare.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("name", F.lit(True).alias("large"))
     compare = compare.join(large, "name", "left").select("doc_id", "k", F.struct("name", "first", "n", (~F.col("again")).alias("open"), F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
     wanted = stored(compare.groupBy("doc_id", "k").agg(F.collect_list("w").alias("wanted")).withColumnsRenamed({"doc_id": "_id", "k": "_k"}), "repeats-wanted")
     texts = keyed.join(wanted, keyed["k"].eqNullSafe(F.col("_k")) & keyed["doc_id"].eqNullSafe(F.col("_id")))
     # Rows repeated whole meet as copies: one of them is enough here, and more do no harm but work.
-    contexts = stored(texts.select("doc_id", "k", "text", "wanted").mapInArrow(_contexts, _CONTEXT), "repeats-contexts")
+    around = stored(texts.select("doc_id", "k", "text", "wanted").mapInArrow(_contexts, _CONTEXT), "repeats-contexts")
     spans = "doc_id long, k long, start int, length int"
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    near = contexts.where("part < 0").select("doc_id", "k", "name", "first", "n", "open", "context").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_compare, spans)
-    strings = contexts.where("part >= 0")
+    near = around.where("part < 0").select("doc_id", "k", "name", "first", "n", "open", "context").repartition(parts, "name").sortWithinPartitions("name").mapInArrow(_compare, spans)
+    strings = around.where("part >= 0")
     far = strings.join(strings.groupBy("name", "string_hash").agg(F.count("*").alias("c")).where("c > 1"), ["name", "string_hash"]).where("open").select("doc_id", "k", (F.col("first") + F.col("part")).cast("int").alias("start"), F.lit(LENGTH).alias("length"))
-    sure = s.where("again").select("doc_id", "k", "first", "n").unionByName(sample.where("times = 0").select("doc_id", "k", "first", "n"))
+    sure = again.unionByName(sample.where("times = 0").select("doc_id", "k", "first", "n"))
     return sure.select("doc_id", "k", F.col("first").alias("start"), (F.col("n") + LENGTH - 1).cast("int").alias("length")).unionByName(near).unionByName(far)
 
 
