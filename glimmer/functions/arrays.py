@@ -42,6 +42,18 @@ def quantile(y: Column, q: float) -> Column:
     return given(F.sort_array(y), at)
 
 
+def hazen(y: Column, q: float) -> Column:
+    """Linear interpolation with the k-th sorted value at (k - 1/2) / n, the first and last beyond their places."""
+
+    def at(s: Column) -> Column:
+        place = F.least(F.greatest(F.size(s) * F.lit(q) - 0.5, F.lit(0.0)), (F.size(s) - 1).cast("double"))
+        low = F.floor(place).cast("int")
+        a, b = F.get(s, low), F.get(s, F.least(low + 1, F.size(s) - 1))
+        return a + (b - a) * (place - low)
+
+    return given(F.sort_array(y), at)
+
+
 def median(y: Column) -> Column:
     return quantile(y, 0.5)
 

@@ -7,13 +7,13 @@ from statistics import NormalDist
 import numpy as np
 
 
-def welch_density(y: np.ndarray, segments: int = 8) -> tuple[np.ndarray, np.ndarray]:
+def welch_density(y: np.ndarray, segments: int = 8, size: int | None = None, points: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """One-sided power density of the rows of y over half-overlapping Hamming windows, by frequency in cycles a sample."""
     y = np.atleast_2d(np.asarray(y, float))
-    size = max(int(2 * y.shape[1] / (segments + 1)), 2)
+    size = max(int(2 * y.shape[1] / (segments + 1)) if size is None else size, 2)
     step = max(size - size // 2, 1)
     window = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
-    n = max(256, 1 << (size - 1).bit_length())
+    n = points or max(256, 1 << (size - 1).bit_length())
     starts = range(0, y.shape[1] - size + 1, step)
     power = sum(np.abs(np.fft.rfft(y[:, a : a + size] * window, n)) ** 2 for a in starts) / len(starts) / (window @ window)
     power[:, 1:-1] *= 2
@@ -31,6 +31,13 @@ def noise_level(y: np.ndarray, band: tuple[float, float] = (0.25, 0.5), method:
     return np.sqrt(np.exp(np.log(np.maximum(half, 1e-300)).mean(1)))
 
 
+def short_window_noise(y: np.ndarray, band: tuple[float, float] = (0.25, 0.5)) -> np.ndarray:
+    """As noise_level, from windows of an eighth of the trace and 1000 points; the band is open below."""
+    f, power = welch_density(y, size=max(round(np.shape(y)[-1] / 8), 2), points=max(1000, round(np.shape(y)[-1] / 8)))
+    half = power[:, (f > band[0]) & (f <= band[1])] / 2
+    return np.sqrt(np.exp(np.log(np.maximum(half, 1e-300)).mean(1)))
+
+
 def periodogram_noise(y: np.ndarray, band: tuple[float, float] = (0.25, 0.5)) -> np.ndarray:
     """As noise_level, from one plain periodogram; the band is open below."""
     y = np.atleast_2d(np.asarray(y, float))
@@ -65,22 +72,29 @@ def histogram_baseline(y: np.ndarray, rounds: int = 3) -> tuple[float, float]:
     return mean, sd
 
 
+# What roots above 1 and below 0 become, and the order from which on there is no model.
+ROOT_ABOVE, ROOT_BELOW, NO_ORDER = 0.95, 0.15, 5
+# End of fixed values.
+
+
 def ar_coefficients(y: np.ndarray, p: int, sn: float, lags: int = 5, fudge: float = 1.0) -> np.ndarray:
-    """AR(p) coefficients by the Yule-Walker equations with the noise taken off lag 0; unstable roots are pulled inside."""
+    """AR(p) coefficients by the Yule-Walker equations with the noise taken off lag 0.
+
+    With an unstable root the order goes up by one, and from NO_ORDER on there is no model (0). Of complex roots the real
+    part counts.
+    """
     y = np.asarray(y, float) - np.mean(y)
-    while p <= 4:
-        m = lags + p
-        full = np.correlate(y, y, "full") / len(y)
-        mid = len(y) - 1
-        ac = lambda k: full[mid + k] if abs(k) <= mid else 0.0  # noqa: B023, E731
-        a = np.array([[ac(i - j) - (sn**2 if i == j else 0.0) for j in range(1, p + 1)] for i in range(1, m + 1)])
-        g = np.linalg.pinv(a) @ np.array([ac(k) for k in range(1, m + 1)])
+    full, mid = np.correlate(y, y, "full") / len(y), len(y) - 1
+    for order in range(p, NO_ORDER):
+        lags += order
+        ac = np.array([full[mid + k] if k <= mid else 0.0 for k in range(lags + 1)])
+        a = ac[np.abs(np.arange(lags)[:, None] - np.arange(order))] - sn**2 * np.eye(lags, order)
+        g = np.linalg.pinv(a) @ ac[1:]
         roots = np.roots(np.concatenate([[1.0], -g]))
-        if not np.iscomplexobj(roots) or np.all(np.isreal(roots)):
+        if (np.abs(roots) <= 1).all():
             roots = np.real(roots)
-            roots = np.where(roots > 1, 0.95, np.where(roots < 0, 0.15, roots))
+            roots = np.where(roots > 1, ROOT_ABOVE, np.where(roots < 0, ROOT_BELOW, roots))
             return -np.poly(fudge * roots)[1:]
-        p += 1
     return np.zeros(1)
 
 
@@ -212,8 +226,11 @@ def nnls(gram: np.ndarray, target: np.ndarray, tol: float = 1e-9, most: int | No
     return x
 
 
-def sliding_nnls(y: np.ndarray, kernel: np.ndarray, window: int = 200, shift: int = 100) -> np.ndarray:
-    """Non-negative spikes for any kernel, window by window; what a window's first `shift` spikes explain is taken off."""
+def sliding_nnls(y: np.ndarray, kernel: np.ndarray, window: int = 200, shift: int = 100, lam: float = 0.0, allowed: np.ndarray | None = None) -> np.ndarray:
+    """Non-negative spikes for any kernel, window by window; what a window's first `shift` spikes explain is taken off.
+
+    lam is a penalty on spikes; if allowed is given, spikes may stand only there.
+    """
     y, n = np.array(y, float), len(y)
     s = np.zeros(n)
     for a in range(0, n, shift):
@@ -222,7 +239,9 @@ def sliding_nnls(y: np.ndarray, kernel: np.ndarray, window: int = 200, shift: in
         for j in range(m):
             h = kernel[: m - j]
             k[j : j + len(h), j] = h
-        x = nnls(k.T @ k, k.T @ y[a : a + m])
+        free = np.ones(m, bool) if allowed is None else allowed[a : a + m]
+        x = np.zeros(m)
+        x[free] = nnls(k[:, free].T @ k[:, free], k[:, free].T @ y[a : a + m] - lam)
         keep = m if a + m >= n else min(shift, m)
         s[a : a + keep] = x[:keep]
         for j in np.flatnonzero(x[:keep]):
@@ -233,6 +252,44 @@ def sliding_nnls(y: np.ndarray, kernel: np.ndarray, window: int = 200, shift: in
     return s
 
 
+def exp2_kernel(decay: float, rise: float, n: int) -> np.ndarray:
+    """(d**t - r**t) / (d - r) with d and r the decay of a frame, t = 1 .. n."""
+    d, r, t = np.exp(-1 / decay), np.exp(-1 / rise), np.arange(1, n + 1)
+    return (d**t - r**t) / (d - r)
+
+
+def deconvolve_kernel(y: np.ndarray, kernel: np.ndarray, method: str = "foopsi", sn: float | None = None, lam: float = 0.0, smin: float = 0.0, baseline: bool = True) -> dict:
+    """As deconvolve_ar1 for the response `kernel` to one spike: of an AR(2) model, of two exponentials or any other."""
+    y = np.nan_to_num(np.asarray(y, float))
+    n, sn = len(y), float(noise_level(y)[0]) if sn is None else sn
+    b = float(np.quantile(y, 0.15, method="hazen")) if baseline else 0.0
+
+    def solve(lam: float, smin: float):
+        s = sliding_nnls(y - b, kernel, lam=lam)
+        if smin > 0:  # spikes under smin go, and the others are fitted again
+            s = sliding_nnls(y - b, kernel, lam=lam, allowed=s >= smin)
+        c = np.convolve(s, kernel)[:n]
+        return s, c, float(((y - b - c) ** 2).sum())
+
+    norm = float(np.linalg.norm(kernel))
+    for _ in range(2 if baseline else 1):
+        if method == "foopsi":
+            s, c, _ = solve(lam, smin)
+        else:
+            low = sn / norm * NormalDist().inv_cdf(0.9999) if method == "thresholded" else 0.0
+            high = max(low, float(np.max(kernel[: n] @ kernel[: n] if method == "thresholded" else norm) * np.ptp(y))) + 1e-9
+            at = (lambda x: solve(0.0, x)) if method == "thresholded" else (lambda x: solve(x, smin))
+            s, c, rss = at(low)
+            for _ in range(12 if rss < sn**2 * n else 0):
+                mid = (low + high) / 2
+                found = at(mid)
+                low, high = (mid, high) if found[2] <= sn**2 * n else (low, mid)
+                s, c = found[:2] if found[2] <= sn**2 * n else (s, c)
+            lam, smin = (lam, low) if method == "thresholded" else (low, smin)
+        b = float(np.mean(y - c)) if baseline else b
+    return {"c": c, "s": s, "b": b, "g": float("nan"), "sn": sn, "lam": lam, "smin": smin}
+
+
 def hals(u: np.ndarray, v: np.ndarray, x: np.ndarray, rounds: int = 3, mask: np.ndarray | None = None) -> np.ndarray:
     """x >= 0 (rows k) for sums u = sum(data * factor) and v = factor's Gram matrix, one row after another."""
     x = x.copy()

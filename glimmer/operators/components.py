@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
+from glimmer.operators.neighbours import neighbour_pairs, ring
+from glimmer.operators.shared import ranked
 
 
 def footprints(samples: DataFrame, level: float) -> DataFrame:
@@ -34,10 +36,52 @@ def label_traces(samples: DataFrame) -> DataFrame:
     return mean.groupBy("label").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("trace"))
 
 
-def trace_correlation(components: DataFrame, least: float) -> DataFrame:
-    """(a, b, corr) of component pairs with similar traces; components are few, and each carries its trace."""
-    a, b = components.select(F.col("label").alias("a"), F.col("trace").alias("x")), components.select(F.col("label").alias("b"), F.col("trace").alias("z"))
-    return a.join(b, F.col("a") < F.col("b")).select("a", "b", A.rounded(A.correlation(F.col("x"), F.col("z"))).alias("corr")).where(F.col("corr") >= least)
+def adjacent_labels(pixels: DataFrame) -> DataFrame:
+    """(a, b) of the labels that touch each other in the image, a < b: an equi join on shifted positions."""
+    pairs = neighbour_pairs(pixels.select("pix", "r", "c", "label"), ring(1, 2), "label")
+    return pairs.where("label < n_label").select(F.col("label").alias("a"), F.col("n_label").alias("b")).distinct()
+
+
+def trace_correlation(components: DataFrame, pairs: DataFrame, least: float, key: str = "label") -> DataFrame:
+    """(a, b, corr) of the given pairs whose traces are similar."""
+    a, b = components.select(F.col(key).alias("a"), F.col("trace").alias("x")), components.select(F.col(key).alias("b"), F.col("trace").alias("z"))
+    d = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return d.select("a", "b", A.rounded(A.correlation(F.col("x"), F.col("z"))).alias("corr")).where(F.col("corr") >= least)
+
+
+def spikes(trace: Column, g: float) -> Column:
+    """What a trace rises over its own decay, from its second frame on."""
+    return F.transform(trace, lambda x, i: F.when(i > 0, F.greatest(x - g * F.get(trace, i - 1), F.lit(0.0))).otherwise(0.0))
+
+
+def decay_time(trace: Column) -> Column:
+    """-1 / ln(g) with g the correlation of a trace with itself a frame later, between 0.01 and 0.99."""
+    n = F.size(trace) - 1
+    g = A.correlation(F.slice(trace, 1, n), F.slice(trace, 2, n))
+    return -1 / F.ln(F.least(F.greatest(g, F.lit(0.01)), F.lit(0.99)))
+
+
+def overlapping_and_similar(footprints: DataFrame, traces: DataFrame, overlap: float, corr: float, spike_corr: float, g: float) -> DataFrame:
+    """Merge candidates (a, b, cosine, corr, spike_corr): footprints, traces and spikes are all alike.
+
+    traces: (neuron, trace). Pairs come from a join on pix; a trace that does not vary is like no other.
+    """
+    t = traces.select("neuron", "trace", spikes(F.col("trace"), g).alias("s"))
+    side = lambda k: t.select(F.col("neuron").alias(k), F.col("trace").alias(f"c{k}"), F.col("s").alias(f"s{k}"))
+    d = overlap_cosine(footprints, overlap).join(side("a"), "a").join(side("b"), "b")
+    d = d.select("a", "b", "cosine", A.rounded(A.correlation(F.col("ca"), F.col("cb"))).alias("corr"), A.rounded(A.correlation(F.col("sa"), F.col("sb"))).alias("spike_corr"))
+    return d.where((F.col("corr") >= corr) & (F.col("spike_corr") >= spike_corr))
+
+
+def near_and_similar(footprints: DataFrame, traces: DataFrame, reach: float, corr: float, most_delta: float) -> DataFrame:
+    """Merge candidates (a, b, dist, corr, delta_tau): centres within reach, traces alike, decay times within most_delta."""
+    mass = lambda x: (F.sum(F.col(x) * F.col("val")) / F.sum("val")).alias(x)
+    centres = footprints.groupBy(F.col("neuron").alias("id")).agg(mass("r"), mass("c"))
+    t = traces.select("neuron", "trace", decay_time(F.col("trace")).alias("tau"))
+    side = lambda k: t.select(F.col("neuron").alias(k), F.col("trace").alias(f"c{k}"), F.col("tau").alias(f"t{k}"))
+    d = near_pairs(centres, reach).join(side("a"), "a").join(side("b"), "b")
+    d = d.select("a", "b", "dist", A.rounded(A.correlation(F.col("ca"), F.col("cb"))).alias("corr"), A.rounded(F.abs(F.col("ta") - F.col("tb")), 4).alias("delta_tau"))
+    return d.where((F.col("corr") >= corr) & (F.col("delta_tau") < most_delta))
 
 
 def near_pairs(points: DataFrame, reach: float) -> DataFrame:
@@ -100,17 +144,34 @@ def residual_energy(samples: DataFrame) -> DataFrame:
     return d.rollup("label").agg(F.grouping("label").cast("int").alias("is_total"), A.rounded(F.sum(F.pow(F.col("y") - F.col("m"), 2)), 4).alias("rss"))
 
 
-def spatial_sums(samples: DataFrame, traces: DataFrame) -> DataFrame:
-    """U = Y C' without the means: (pix, label, u) from the samples and (label, t, x); partial sums before the shuffle."""
-    n = F.count("*")
-    j = samples.select("pix", "t", "y").join(F.broadcast(traces), "t")  # components times frames
-    return j.groupBy("pix", F.col("k").alias("label")).agg(A.rounded(F.sum(F.col("y") * F.col("x")) - F.sum("y") * F.sum("x") / n, 4).alias("u"))
+def label_region(pixels: DataFrame) -> DataFrame:
+    """(pix, label): where a label may have weight, its own pixels and those next to them."""
+    pairs = neighbour_pairs(pixels.select("pix", "r", "c", "label"), ring(0, 2), "label")
+    return pairs.select("pix", F.col("n_label").alias("label")).distinct()
+
+
+def centred(y: Column) -> Column:
+    return A.given(A.mean(y), lambda m: F.transform(y, lambda x: x - m))
+
+
+def spatial_sums(pixels: DataFrame, region: DataFrame, traces: DataFrame) -> DataFrame:
+    """U = Y C' without the means, within the search region: (pix, label, u) from pixels, (pix, label) and (label, trace)."""
+    y = pixels.select("pix", centred(F.col("y")).alias("y"))
+    d = region.join(traces.select("label", centred(F.col("trace")).alias("x")), "label").join(y, "pix")
+    return d.select("pix", "label", A.rounded(A.dot(F.col("y"), F.col("x")), 4).alias("u"))
 
 
-def gram(traces: DataFrame) -> DataFrame:
-    """V = C C' without the means: (a, b, v)."""
-    other = traces.select(F.col("k").alias("b"), "t", F.col("x").alias("z"))
-    return traces.join(other, "t").groupBy(F.col("k").alias("a"), "b").agg(A.rounded(F.sum(F.col("x") * F.col("z")) - F.sum("x") * F.sum("z") / F.count("*"), 4).alias("v"))
+def gram(traces: DataFrame, pairs: DataFrame) -> DataFrame:
+    """V = C C' without the means for the given pairs, each component with itself among them: (a, b, v)."""
+    t = traces.select("label", centred(F.col("trace")).alias("x"))
+    d = pairs.select("a", "b").join(t.select(F.col("label").alias("a"), F.col("x").alias("xa")), "a").join(t.select(F.col("label").alias("b"), F.col("x").alias("xb")), "b")
+    return d.select("a", "b", A.rounded(A.dot(F.col("xa"), F.col("xb")), 4).alias("v"))
+
+
+def region_pairs(region: DataFrame) -> DataFrame:
+    """(a, b) of the labels that meet in a pixel, each with itself too."""
+    other = region.select("pix", F.col("label").alias("b"))
+    return region.select("pix", F.col("label").alias("a")).join(other, "pix").select("a", "b").distinct()
 
 
 def fast_projection(footprints: DataFrame, samples: DataFrame) -> DataFrame:
@@ -121,8 +182,68 @@ def fast_projection(footprints: DataFrame, samples: DataFrame) -> DataFrame:
 
 def order_by_snr(neurons: DataFrame) -> DataFrame:
     """(neuron, snr, rank): variance of the trace over that of the rest, largest first."""
-    w = Window.orderBy(F.desc("snr"), "neuron")
-    return neurons.select("neuron", A.rounded(F.col("signal") / F.when(F.col("rest") != 0, F.col("rest"))).alias("snr")).withColumn("rank", F.row_number().over(w))
+    return ranked(neurons.select("neuron", A.rounded(F.col("signal") / F.when(F.col("rest") != 0, F.col("rest"))).alias("snr")), F.desc("snr"), "neuron")
+
+
+def order_keys(footprints: DataFrame, traces: DataFrame) -> DataFrame:
+    """What components may be ordered by: (neuron, decay_time, mean, sparsity_spatial, sparsity_temporal, circularity, pnr, l4).
+
+    Sparsity is the norm of order 1 over that of order 2; circularity the ratio of the footprint's axes; l4 the peak of
+    the trace times the norm of order 4 of the footprint at unit norm.
+    """
+    v, r, c = F.col("val"), F.col("r"), F.col("c")
+    f = footprints.groupBy("neuron").agg(F.sum(v).alias("s"), F.sum(v * v).alias("s2"), F.sum(F.pow(v, F.lit(4))).alias("s4"), F.sum(v * r).alias("vr"), F.sum(v * c).alias("vc"), F.sum(v * r * r).alias("vrr"), F.sum(v * c * c).alias("vcc"), F.sum(v * r * c).alias("vrc"))
+    f = f.select("neuron", "s", "s2", "s4", (F.col("vrr") / F.col("s") - F.pow(F.col("vr") / F.col("s"), 2)).alias("a"), (F.col("vcc") / F.col("s") - F.pow(F.col("vc") / F.col("s"), 2)).alias("b"), (F.col("vrc") / F.col("s") - F.col("vr") * F.col("vc") / F.col("s") / F.col("s")).alias("k"))
+    half, spread = (F.col("a") + F.col("b")) / 2, F.sqrt(F.pow((F.col("a") - F.col("b")) / 2, 2) + F.pow("k", 2))
+    x = F.col("trace")
+    t = traces.select("neuron", A.rounded(decay_time(x), 4).alias("decay_time"), A.rounded(A.mean(x)).alias("mean"), A.rounded(A.total(F.transform(x, F.abs)) / F.sqrt(A.dot(x, x))).alias("sparsity_temporal"), A.rounded((F.array_max(x) - A.median(x)) / A.deviation(x)).alias("pnr"), F.array_max(x).alias("peak"))
+    d = f.join(t, "neuron")
+    return d.select("neuron", "decay_time", "mean", A.rounded(F.col("s") / F.sqrt("s2")).alias("sparsity_spatial"), "sparsity_temporal", A.rounded((half - spread) / (half + spread), 5).alias("circularity"), "pnr", A.rounded(F.col("peak") * F.pow("s4", F.lit(0.25)) / F.sqrt("s2")).alias("l4"))
+
+
+def ordered(keys: DataFrame, by: str) -> DataFrame:
+    """(neuron, key, rank) by one of order_keys: decay_time, sparsity_spatial and circularity rise, the others fall."""
+    up = by in ("decay_time", "sparsity_spatial", "circularity")
+    return ranked(keys.select("neuron", F.col(by).alias("key")), F.col("key") if up else F.desc("key"), "neuron")
+
+
+def active_share(footprints: DataFrame, active: DataFrame, least: float) -> DataFrame:
+    """(neuron, share, is_active): the part of a footprint's energy on the pixels (pix) that are active."""
+    e = F.col("val") * F.col("val")
+    d = footprints.join(active.select("pix", F.lit(1.0).alias("on")).distinct(), "pix", "left").groupBy("neuron").agg(A.rounded(F.sum(e * F.coalesce("on", F.lit(0.0))) / F.sum(e)).alias("share"))
+    return d.withColumn("is_active", F.col("share") >= least * least)
+
+
+def modelled(footprints: DataFrame, traces: DataFrame) -> DataFrame:
+    """A C: (pix, t, ac) from (neuron, pix, val) and (neuron, t, x)."""
+    return footprints.select("neuron", "pix", "val").join(traces, "neuron").groupBy("pix", "t").agg(F.sum(F.col("val") * F.col("x")).alias("ac"))
+
+
+def merge_audit(groups: DataFrame, footprints: DataFrame) -> DataFrame:
+    """What a merge does: (label, members, n_members, pixels_before, pixels_after) of each group (id, label)."""
+    d = groups.withColumnRenamed("id", "neuron").join(footprints.select("neuron", "pix"), "neuron")
+    return d.groupBy("label").agg(F.array_join(F.transform(F.sort_array(F.collect_set("neuron")), lambda x: x.cast("string")), ",").alias("members"), F.countDistinct("neuron").alias("n_members"), F.count("*").alias("pixels_before"), F.countDistinct("pix").alias("pixels_after"))
+
+
+def contours(footprints: DataFrame, share: float) -> DataFrame:
+    """(neuron, contour): the pixels that hold `share` of the energy, as a JSON text {"neuron":..,"pixels":[..]}."""
+    d = energy_pixels(footprints, share).groupBy("neuron").agg(F.sort_array(F.collect_list("pix")).alias("pixels"))
+    return d.select("neuron", F.to_json(F.struct("neuron", "pixels")).alias("contour"))
+
+
+def spike_competition(footprints: DataFrame, traces: DataFrame, reach: float, width: int, g: float) -> DataFrame:
+    """(neuron, t, z): the spikes, in deviations, that no neighbour within reach outdoes in the `width` frames around.
+
+    Neighbours come from grid cells; a spike is only compared with those of the same frames.
+    """
+    mass = lambda x: (F.sum(F.col(x) * F.col("val")) / F.sum("val")).alias(x)
+    near = near_pairs(footprints.groupBy(F.col("neuron").alias("id")).agg(mass("r"), mass("c")), reach)
+    both = near.select(F.col("a").alias("neuron"), "b").union(near.select(F.col("b").alias("neuron"), F.col("a").alias("b")))
+    s = traces.select("neuron", spikes(F.col("trace"), g).alias("s"))
+    z = s.select("neuron", F.posexplode(F.transform("s", lambda x: F.round(x / A.deviation(F.col("s")), 9))).alias("t", "z")).select("neuron", (F.col("t") + 1).alias("t"), "z").where("z > 0")
+    other = z.select(F.col("neuron").alias("b"), F.explode(F.sequence(F.col("t") - width, F.col("t") + width)).alias("t"), F.col("z").alias("other"))
+    top = both.join(other, "b").groupBy("neuron", "t").agg(F.max("other").alias("top"))
+    return z.join(top, ["neuron", "t"], "left").where(F.col("top").isNull() | (F.col("z") >= F.col("top"))).select("neuron", "t", A.rounded(F.col("z")).alias("z"))
 
 
 def search_ellipses(footprints: DataFrame, smallest: float, largest: float) -> DataFrame:
@@ -133,3 +254,18 @@ def search_ellipses(footprints: DataFrame, smallest: float, largest: float) -> D
     half, spread = (F.col("vr") + F.col("vc")) / 2, F.sqrt(F.pow((F.col("vr") - F.col("vc")) / 2, 2) + F.pow("cov", 2))
     axis = lambda v: F.sqrt(F.least(F.greatest(v, F.lit(smallest**2)), F.lit(largest**2)))
     return m.select("neuron", A.rounded(F.col("cr")).alias("cr"), A.rounded(F.col("cc")).alias("cc"), A.rounded(axis(half + spread)).alias("a"), A.rounded(axis(half - spread)).alias("b"), A.rounded(F.atan2(2 * F.col("cov"), F.col("vr") - F.col("vc")) / 2).alias("angle"))
+
+
+def appended(footprints: DataFrame, more: DataFrame) -> DataFrame:
+    """footprints and more, whose components get fresh ids after the largest there is."""
+    last = footprints.agg(F.coalesce(F.max("neuron"), F.lit(0)).alias("last"))  # one row
+    fresh = ranked(more.select("neuron").distinct(), "neuron").join(F.broadcast(last)).select(F.col("neuron").alias("old"), (F.col("last") + F.col("rank")).cast(footprints.schema["neuron"].dataType).alias("fresh"))
+    named = more.join(fresh, F.col("neuron") == F.col("old")).select(F.col("fresh").alias("neuron"), *[c for c in footprints.columns if c != "neuron"])
+    return footprints.unionByName(named)
+
+
+def merged_replace(footprints: DataFrame, groups: DataFrame) -> DataFrame:
+    """The components of each group (id, label) replaced by their sum under the group's label."""
+    g = groups.select(F.col("id").alias("neuron"), "label")
+    merged = footprints.join(g, "neuron").groupBy(F.col("label").alias("neuron"), "pix").agg(F.sum("val").alias("val"))
+    return footprints.join(g, "neuron", "left_anti").select("neuron", "pix", "val").unionByName(merged.select(F.col("neuron").cast(footprints.schema["neuron"].dataType).alias("neuron"), "pix", "val"))

@@ -11,11 +11,12 @@ from glimmer.functions import kernels as K
 
 
 def noise(traces: DataFrame, key: str, method: str = "logmexp") -> DataFrame:
-    """(key, sn): noise level by the power of the upper half of the spectrum."""
+    """(key, sn): noise level by the power of the upper half of the spectrum; method: logmexp, mean, median or short (windows)."""
+    estimate = K.short_window_noise if method == "short" else lambda y: K.noise_level(y, method=method)
 
     @F.pandas_udf("double")
     def level(y: pd.Series) -> pd.Series:
-        return pd.Series([float(K.noise_level(np.nan_to_num(np.asarray(x, float)), method=method)[0]) if x is not None and len(x) > 3 else None for x in y], dtype="float64")
+        return pd.Series([float(estimate(np.nan_to_num(np.asarray(x, float)))[0]) if x is not None and len(x) > 3 else None for x in y], dtype="float64")
 
     return traces.select(key, F.round(level("y"), 6).alias("sn"))
 
@@ -46,17 +47,47 @@ def time_constants(traces: DataFrame, key: str, p: int = 2) -> DataFrame:
     return traces.where(F.size("y") > 3).select(key, fit("y").alias("f")).select(key, F.round("f.sn", 6).alias("sn"), F.transform("f.g", lambda x: F.round(x, 6)).alias("g"))
 
 
-def deconvolved(traces: DataFrame, key: str, method: str = "constrained", **options) -> DataFrame:
-    """(key, c, s, b, g, sn, lam, smin) of each trace by an AR(1) model."""
+def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model: str = "ar1", **options) -> DataFrame:
+    """(key, c, s, b, g, sn, lam, smin) of each trace.
+
+    method: foopsi, constrained or thresholded. model: ar1; ar2, whose coefficients are estimated from the trace; exp2
+    with the options decay and rise, in frames; kernel with the option kernel.
+    """
     schema = "struct<c: array<double>, s: array<double>, b: double, g: double, sn: double, lam: double, smin: double>"
+    shape = {k: options.pop(k) for k in ("decay", "rise", "kernel", "g2") if k in options}
+
+    def one(y: np.ndarray) -> dict:
+        if model == "ar1":
+            return K.deconvolve_ar1(y, method, **options)
+        n = min(len(y), 200)
+        if model == "kernel":
+            h = np.asarray(shape["kernel"], float)
+        elif model == "exp2":
+            h = K.exp2_kernel(shape["decay"], shape["rise"], n)
+        else:
+            x = np.nan_to_num(y)
+            g = np.asarray(shape["g2"]) if "g2" in shape else K.ar_coefficients(x, 2, float(K.noise_level(x)[0]))
+            h = K.ar_kernel(g, n)
+        return K.deconvolve_kernel(y, h, method, **options)
 
     @F.pandas_udf(schema)
     def run(y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([K.deconvolve_ar1(np.asarray(x, float), method, **options) for x in y], columns=["c", "s", "b", "g", "sn", "lam", "smin"])
+        return pd.DataFrame([one(np.asarray(x, float)) for x in y], columns=["c", "s", "b", "g", "sn", "lam", "smin"])
 
     return traces.where(F.size("y") > 3).select(key, run("y").alias("d")).select(key, "d.*")
 
 
+def spectra(traces: DataFrame, key: str, bins: int = 8) -> DataFrame:
+    """(key, power): the logarithm of each trace's power in even bands of frequency."""
+
+    @F.pandas_udf("array<double>")
+    def run(y: pd.Series) -> pd.Series:
+        rows = (K.welch_density(np.nan_to_num(np.asarray(x, float)))[1][0] for x in y)
+        return pd.Series([[float(np.log(part.mean() + 1e-300)) for part in np.array_split(p, bins)] for p in rows])
+
+    return traces.where(F.size("y") > 3).select(key, run("y").alias("power"))
+
+
 def kernel_spikes(traces: DataFrame, key: str, kernel: list[float], window: int = 200, shift: int = 100) -> DataFrame:
     """(key, s): non-negative spikes for a given kernel."""
 

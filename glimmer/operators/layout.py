@@ -64,3 +64,36 @@ def distribute(pixels: DataFrame, path: str, height: int, size: int, halo: int)
         blocks = block_members(pixels, height, size, halo).join(pixels.select("pix", "r", "c", "y"), "pix")
         blocks.repartition("patch").write.mode("overwrite").partitionBy("patch").parquet(path)
     return spark.read.parquet(path)
+
+
+def downsampled_image(pixels: DataFrame, by: int) -> DataFrame:
+    """Means of by * by pixels, frame by frame: (r, c, t, y) with r and c of the small image."""
+    box = lambda x: F.floor(F.col(x) / by)
+    d = pixels.select(box("r").alias("r"), box("c").alias("c"), F.posexplode("y").alias("t", "y"))
+    return d.groupBy("r", "c", (F.col("t") + 1).alias("t")).agg(A.rounded(F.avg("y")).alias("y"))
+
+
+def nearest(small: DataFrame, pixels: DataFrame, by: int, column: str) -> DataFrame:
+    """(pix, column): a small image (r, c, column) at full size, each pixel as the small one that it lies in."""
+    s = small.select(F.col("r").alias("sr"), F.col("c").alias("sc"), column)
+    d = pixels.select("pix", F.floor(F.col("r") / by).alias("sr"), F.floor(F.col("c") / by).alias("sc"))
+    return d.join(s, ["sr", "sc"]).select("pix", A.rounded(F.col(column)).alias(column))
+
+
+def sliding_boxes(sizes: DataFrame, size: int, overlap: int, least: int) -> DataFrame:
+    """(r0, r1, c0, c1) of boxes that slide by size - overlap over an image (h, w); a rest under `least` joins the last box."""
+    step = size - overlap
+
+    def edges(n: str, name: str) -> DataFrame:
+        start = F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col(n) - least, F.lit(0)), F.lit(step).cast("long")))
+        d = sizes.select(F.col(n), start.alias(f"{name}0"))
+        end = F.when(F.col(f"{name}0") + step + least > F.col(n) - 1, F.col(n) - 1).otherwise(F.least(F.col(f"{name}0") + size, F.col(n)) - 1)
+        return d.select(f"{name}0", end.alias(f"{name}1"))
+
+    return edges("h", "r").join(edges("w", "c"))  # a grid, as large as the image has boxes
+
+
+def name_hash(name: Column) -> Column:
+    """h = 33 h + c modulo 2**32 - 1 over a name's characters, from 5381."""
+    codes = F.transform(F.sequence(F.lit(1), F.length(name)), lambda i: F.ascii(F.substring(name, i, F.lit(1))).cast("long"))
+    return F.aggregate(codes, F.lit(5381).cast("long"), lambda h, x: (h * 33 + x) % F.lit(4294967295))

@@ -70,3 +70,14 @@ def median_filtered(pixels: DataFrame, column: str, reach: int = 1) -> DataFrame
     square = [(a, b) for a in range(-reach, reach + 1) for b in range(-reach, reach + 1)]
     pairs = neighbour_pairs(pixels.select("pix", "r", "c", column), square, column)
     return pairs.groupBy("pix").agg(A.rounded(F.expr(f"percentile(n_{column}, 0.5)")).alias("m"), F.count("*").alias("n"))
+
+
+def filtered(pixels: DataFrame, column: str, taps: list[tuple[int, int, float]]) -> DataFrame:
+    """(pix, column): an image filtered by (dr, dc, weight); outside of it the border pixels go on."""
+    edge = pixels.agg(F.max("r").alias("h"), F.max("c").alias("w"))  # one row
+    kernel = F.array(*[F.struct(F.lit(a).alias("dr"), F.lit(b).alias("dc"), F.lit(v).alias("v")) for a, b, v in taps])
+    inside = lambda x, n: F.least(F.greatest(x, F.lit(0).cast("long")), n)
+    here = pixels.select("pix", "r", "c", F.explode(kernel).alias("k")).join(F.broadcast(edge))
+    here = here.select("pix", inside(F.col("r") + F.col("k.dr"), F.col("h")).alias("n_r"), inside(F.col("c") + F.col("k.dc"), F.col("w")).alias("n_c"), "k.v")
+    other = pixels.select(F.col("r").alias("n_r"), F.col("c").alias("n_c"), F.col(column).alias("x"))
+    return here.join(other, ["n_r", "n_c"]).groupBy("pix").agg(A.rounded(F.sum(F.col("v") * F.col("x")), 8).alias(column))

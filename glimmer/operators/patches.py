@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from glimmer.functions import images as I  # noqa: E741
 from glimmer.functions import kernels as K
 from glimmer.operators.layout import block_members
 
@@ -24,6 +25,142 @@ def _image(group: pd.DataFrame):
     return group, np.nan_to_num(np.vstack(group["y"].to_list()))
 
 
+def _stack(group: pd.DataFrame):
+    """The group's rows with the movie of their rectangle (r, c, frame); pixels that are not there are 0."""
+    group, y = _image(group)
+    r, c = group["r"].to_numpy() - group["r"].min(), group["c"].to_numpy() - group["c"].min()
+    stack = np.zeros((int(r.max()) + 1, int(c.max()) + 1, y.shape[1]))
+    stack[r, c] = y
+    return group, stack, r, c
+
+
+def _grid(group: pd.DataFrame, column: str, r, c, stack: np.ndarray) -> np.ndarray:
+    values = group[column].to_numpy()
+    out = np.full(stack.shape[:2], False if values.dtype == bool else -1)
+    out[r, c] = values
+    return out
+
+
+def smoothed(blocks: DataFrame, sigma: float, decay: float = 0.0) -> DataFrame:
+    """(pix, r, c, y): each frame blurred by a Gaussian; of a frame the part `decay` goes on into the next."""
+    x = np.arange(2 * int(np.ceil(2 * sigma)) + 1) - int(np.ceil(2 * sigma))
+    g = np.exp(-(x[:, None] ** 2 + x**2) / (2 * sigma**2))
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, stack, r, c = _stack(group)
+        stack = I.filtered(stack, g / g.sum())
+        for t in range(1, stack.shape[-1]):
+            stack[..., t] += decay * stack[..., t - 1]
+        out = stack[r, c]
+        return pd.DataFrame({"pix": group["pix"], "r": group["r"], "c": group["c"], "y": list(out)})[group["inside"].to_numpy()]
+
+    return blocks.groupBy("patch").applyInPandas(run, "pix long, r long, c long, y array<double>")
+
+
+def screened(stack: np.ndarray, sigma: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(filtered movie about its median, local correlation over three deviations of noise, peak-to-noise ratio)."""
+    hy = I.filtered(stack, I.centred_psf(sigma)) if sigma else stack.copy()
+    hy -= np.median(hy, -1, keepdims=True)
+    sn = K.noise_level(hy.reshape(-1, hy.shape[-1])).reshape(hy.shape[:2])
+    pnr = hy.max(-1) / np.where(sn > 0, sn, np.inf)
+    return hy, I.neighbour_correlation(np.where(hy < 3 * sn[..., None], 0.0, hy)), pnr
+
+
+def correlation_pnr(blocks: DataFrame, sigma: float | None) -> DataFrame:
+    """(pix, cn, pnr) by the filtered movie of each patch; where patches overlap, the larger value counts."""
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, stack, r, c = _stack(group)
+        _, cn, pnr = screened(stack, sigma)
+        return pd.DataFrame({"pix": group["pix"], "cn": cn[r, c], "pnr": pnr[r, c]})[group["inside"].to_numpy()]
+
+    found = blocks.groupBy("patch").applyInPandas(run, "pix long, cn double, pnr double")
+    return found.groupBy("pix").agg(F.round(F.max("cn"), 6).alias("cn"), F.round(F.max("pnr"), 6).alias("pnr"))
+
+
+def _extracted(hy: np.ndarray, y: np.ndarray, at: tuple[int, int]):
+    """(footprint, trace) of the source at a pixel of a box: the trace of what goes with the pixel in the filtered movie,
+    the footprint by regression on it and on the box's background; None if there is no such source."""
+    with np.errstate(invalid="ignore", divide="ignore"):
+        z = hy - hy.mean(-1, keepdims=True)
+        z /= np.sqrt((z**2).sum(-1, keepdims=True))
+        corr = np.nan_to_num(z @ z[at])
+    trace = hy[corr > 0.9].mean(0)
+    if not trace.any():
+        return None
+    far = y[corr < 0.3]
+    background = np.median(far, 0) if len(far) else np.zeros(y.shape[-1])
+    x = np.vstack([np.ones(y.shape[-1]), background, trace])
+    a = np.maximum(0.0, np.linalg.lstsq(x @ x.T, x @ y.reshape(-1, y.shape[-1]).T, rcond=None)[0][2]).reshape(y.shape[:2])
+    if not a.any():
+        return None
+    a = I.convex(a)
+    a = I.connected(a) if a.any() else a
+    if (a > 0).sum() < 5:
+        return None
+    b, sn = K.histogram_baseline(trace)
+    psd = float(K.noise_level(trace)[0])
+    if sn > psd:
+        rise = np.diff(trace, prepend=trace[0] + 1)
+        flat = trace[(rise >= 0) & (rise < psd)]
+        b = float(np.median(flat)) if len(flat) else 0.0
+    return a, trace - b
+
+
+def sources(blocks: DataFrame, sigma: float | None, size: int, min_corr: float, min_pnr: float, min_pixel: int = 5, border: int = 0, most: int | None = None) -> DataFrame:
+    """Seeding with background: (patch, pix, score, pixels, weights, trace) of the sources whose seed is in the patch.
+
+    The movie is filtered by a centred Gaussian; from the best local maximum of correlation times peak-to-noise ratio on,
+    a source is extracted, subtracted from the movie and, filtered, from the filtered movie, and the scores around it are
+    made anew. It ends when no maximum is over both thresholds, or after `most` sources.
+    """
+    psf = I.centred_psf(sigma) if sigma else None
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, y, r, c = _stack(group)
+        pix, inside = _grid(group, "pix", r, c, y), _grid(group, "inside", r, c, y)
+        hy, cn, pnr = screened(y, sigma)
+        sn = K.noise_level(hy.reshape(-1, hy.shape[-1])).reshape(hy.shape[:2])
+        free = pix >= 0
+        if border:
+            free[:border] = free[-border:] = free[:, :border] = free[:, -border:] = False
+        tie = 1e-10 * (10 * np.arange(y.shape[1])[None, :] + np.arange(y.shape[0])[:, None])
+        rows, done = [], 0
+        while most is None or done < most:
+            score = np.where((cn < min_corr) | (pnr < min_pnr), 0.0, cn * pnr)
+            v = np.where(free, I.median3(score) + tie, 0.0)
+            top = (v >= I.largest(v, max(1, round(size / 8)))) & (v > min_corr * min_pnr)
+            if not top.any():
+                break
+            k = tuple(np.unravel_index(np.argmax(np.where(top, v, -1)), v.shape))
+            free[k] = False
+            rise = np.diff(hy[k])
+            if rise.max(initial=0) < 3 * rise.std():
+                continue
+            box = tuple(slice(max(0, x - size), x + size + 1) for x in k)
+            found = _extracted(hy[box], y[box], tuple(x - b.start for x, b in zip(k, box, strict=True)))
+            if not found or found[0].sum() <= min_pixel or (found[0] > 0).sum() < min_pixel:
+                continue
+            a, trace = found
+            calcium = K.deconvolve_ar1(trace)["c"]
+            calcium = calcium if calcium.any() else np.maximum(trace, 0.0)
+            done += 1
+            free[box] &= a <= 0.5 * a.max()
+            if inside[k]:
+                on = a > 0
+                rows.append((int(key[0]), int(pix[k]), round(float(v[k]), 6), pix[box][on].tolist(), a[on].tolist(), trace.tolist()))
+            y[box] -= a[..., None] * calcium
+            wide = tuple(slice(max(0, x - 2 * size), x + 2 * size + 1) for x in k)
+            image = np.zeros(y.shape[:2])
+            image[box] = a
+            hy[wide] -= (I.filtered(image[wide][..., None], psf)[..., 0] if sigma else image[wide])[..., None] * calcium
+            cn[wide] = I.neighbour_correlation(np.where(hy[wide] < 3 * sn[wide][..., None], 0.0, hy[wide]))
+            pnr[wide] = hy[wide].max(-1) / np.where(sn[wide] > 0, sn[wide], np.inf)
+        return pd.DataFrame(rows, columns=["patch", "pix", "score", "pixels", "weights", "trace"], dtype=None if rows else object)
+
+    return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, score double, pixels array<long>, weights array<double>, trace array<double>")
+
+
 def seeds(blocks: DataFrame, radius: int, min_score: float, most: int | None = None) -> DataFrame:
     """Greedy seeding: (patch, rank, pix, score, trace).
 
@@ -33,27 +170,24 @@ def seeds(blocks: DataFrame, radius: int, min_score: float, most: int | None = N
     """
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        group, y = _image(group)
-        r, c, rows = group["r"].to_numpy(), group["c"].to_numpy(), []
-        near = (np.abs(r[:, None] - r) <= 1) & (np.abs(c[:, None] - c) <= 1) & ((r[:, None] != r) | (c[:, None] != c))
-        left = np.ones(len(y), bool)
-        y = y - np.median(y, 1, keepdims=True)
-        for rank in range(1, (len(y) if most is None else most) + 1):  # a pixel is a seed once at most
-            sd = y.std(1)
-            z = (y - y.mean(1, keepdims=True)) / np.where(sd > 0, sd, 1)[:, None]
-            cn = ((near @ z) * z).mean(1) / np.maximum(near.sum(1), 1)
-            score = np.where(left, cn * y.max(1) / np.where(sd > 0, sd, np.inf), -np.inf)
-            k = int(np.argmax(score))
-            if not score[k] >= min_score:
+        group, stack, r, c = _stack(group)
+        pix, inside, left, rows = _grid(group, "pix", r, c, stack), _grid(group, "inside", r, c, stack), np.ones(stack.shape[:2], bool), []
+        left[pix < 0] = False
+        stack = stack - np.median(stack, -1, keepdims=True)
+        for rank in range(1, (left.sum() if most is None else most) + 1):  # a pixel is a seed once at most
+            sd = stack.std(-1)
+            score = np.where(left, I.neighbour_correlation(stack) * stack.max(-1) / np.where(sd > 0, sd, np.inf), -np.inf)
+            k = min(np.argwhere(score == score.max()).tolist(), key=lambda x: (x[1], x[0]))  # of equals the first down the columns
+            if not score[*k] >= min_score:
                 break
-            left[k] = False
-            box = np.flatnonzero((np.abs(r - r[k]) <= radius) & (np.abs(c - c[k]) <= radius))
-            trace = y[k].copy()
-            a = np.maximum(0.0, y[box] @ trace / max(trace @ trace, 1e-300))
-            y[box] -= a[:, None] * trace
-            if group["inside"].iloc[k]:
-                rows.append((int(key[0]), rank, int(group["pix"].iloc[k]), round(float(score[k]), 6), trace))
-        return pd.DataFrame(rows, columns=["patch", "rank", "pix", "score", "trace"])
+            left[*k] = False
+            box = slice(max(0, k[0] - radius), k[0] + radius + 1), slice(max(0, k[1] - radius), k[1] + radius + 1)
+            trace = stack[*k].copy()
+            a = np.maximum(0.0, stack[box] @ trace / max(trace @ trace, 1e-300))
+            stack[box] -= a[..., None] * trace
+            if inside[*k]:
+                rows.append((int(key[0]), rank, int(pix[*k]), round(float(score[*k]), 6), trace))
+        return pd.DataFrame(rows, columns=["patch", "rank", "pix", "score", "trace"], dtype=None if rows else object)
 
     return blocks.groupBy("patch").applyInPandas(run, "patch long, rank int, pix long, score double, trace array<double>")
 
@@ -78,39 +212,159 @@ def ring_weights(blocks: DataFrame, inner: float, outer: float, ridge: float = 1
     return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, nbr_pix long, w double")
 
 
-def low_rank_background(blocks: DataFrame, rank: int) -> DataFrame:
-    """(patch, pix, share): how much of an inner pixel's variance the patch's leading components hold."""
+def ring_background(blocks: DataFrame, inner: float, outer: float, ridge: float = 1e-5, clip: float | None = None) -> DataFrame:
+    """(pix, b): each inner pixel's trace as its ring tells it, about its own mean.
+
+    clip: frames in which a pixel is over its ring's mean by so many deviations count as that mean in the regression.
+    """
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group, y = _image(group)
-        y = y - y.mean(1, keepdims=True)
-        gram = y @ y.T if len(y) <= y.shape[1] else y.T @ y
-        _, vectors = np.linalg.eigh(gram)
-        top = vectors[:, -rank:]
-        b = top @ (top.T @ y) if len(y) <= y.shape[1] else (y @ top) @ top.T
-        share = (b**2).sum(1) / np.maximum((y**2).sum(1), 1e-300)
+        mean = y.mean(1, keepdims=True)
+        y = y - mean
+        r, c, out = group["r"].to_numpy(), group["c"].to_numpy(), []
+        inside = np.flatnonzero(group["inside"].to_numpy())
+        for i in inside:
+            d = (r - r[i]) ** 2 + (c - c[i]) ** 2
+            ring = np.flatnonzero((d >= inner * inner) & (d < outer * outer))
+            if not len(ring):
+                out.append(np.full(y.shape[1], mean[i, 0]))
+                continue
+            x, target = np.vstack([y[ring], np.ones(y.shape[1])]), y[i]
+            if clip is not None:
+                around = y[ring].mean(0)
+                target = np.where(target - around > clip * np.std(target - around), around, target)
+            g = x @ x.T
+            w = np.linalg.solve(g + max(ridge * np.trace(g), 1e-300) * np.eye(len(g)), x @ target)[:-1]
+            out.append(w @ y[ring] + mean[i, 0])
+        return pd.DataFrame({"pix": group["pix"].to_numpy()[inside], "b": pd.Series(out, dtype=object)})
+
+    return blocks.groupBy("patch").applyInPandas(run, "pix long, b array<double>")
+
+
+def low_rank(blocks: DataFrame, rank: int, method: str = "svd") -> DataFrame:
+    """(patch, pix, share, b): what a patch's leading components say of an inner pixel, and their share of its variance.
+
+    method: svd about the pixels' means, or nmf by multiplicative updates that begin with a seed of the patch.
+    """
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, y = _image(group)
+        mean = y.mean(1, keepdims=True)
+        z = y - mean
+        if rank <= 0:
+            b = np.repeat(mean, y.shape[1], 1)
+        elif method == "nmf":
+            data, rng = np.maximum(y, 0.0), np.random.default_rng(int(key[0]))
+            w, h = rng.random((len(y), rank)) + 0.1, rng.random((rank, y.shape[1])) + 0.1
+            for _ in range(100):
+                h *= (w.T @ data) / np.maximum(w.T @ w @ h, 1e-12)
+                w *= (data @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+            b = w @ h
+        else:
+            _, vectors = np.linalg.eigh(z @ z.T if len(z) <= z.shape[1] else z.T @ z)
+            top = vectors[:, -rank:]
+            b = (top @ (top.T @ z) if len(z) <= z.shape[1] else (z @ top) @ top.T) + mean
+        share = 1 - ((y - b) ** 2).sum(1) / np.maximum((z**2).sum(1), 1e-300)
         inside = group["inside"].to_numpy()
-        return pd.DataFrame({"patch": int(key[0]), "pix": group["pix"].to_numpy()[inside], "share": np.round(share[inside], 6)})
+        return pd.DataFrame({"patch": int(key[0]), "pix": group["pix"].to_numpy()[inside], "share": np.round(share[inside], 6), "b": pd.Series(list(b[inside]), dtype=object)})
 
-    return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, share double")
+    return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, share double, b array<double>")
+
+
+def low_rank_background(blocks: DataFrame, rank: int) -> DataFrame:
+    """(patch, pix, share): how much of an inner pixel's variance the patch's leading components hold."""
+    return low_rank(blocks, rank).drop("b")
 
 
-def spatial_update(sums: DataFrame, gram: DataFrame, most: int = 5) -> DataFrame:
-    """Non-negative footprints pixel by pixel: (pix, label, a) from U (pix, label, u) and the Gram matrix V (a, b, v).
+def spatial_update(sums: DataFrame, gram: DataFrame, method: str = "nnls", most: int | None = 5, noise: DataFrame | None = None, start: DataFrame | None = None) -> DataFrame:
+    """Non-negative footprints pixel by pixel: (pix, label, a) from U (pix, label, u) and V (a, b, v).
 
-    V has a row for each pair of components and goes to every task; the pixels are independent of each other.
+    A pixel gets the part of V that its own labels have, by a join on label pairs. method: nnls (at most `most` labels a
+    pixel), hals (sweeps from `start` (pix, label, a), or from 0), or either with _thresh, by which weights under three
+    deviations of the noise (pix, sn) over the root of V's diagonal become 0; lars adds labels until the residual energy
+    is within the noise, noise then being (pix, sn, energy, frames).
     """
-    rows = gram.collect()  # components squared
-    names = sorted({r["a"] for r in rows})
-    place = {n: i for i, n in enumerate(names)}
-    v = np.zeros((len(names), len(names)))
-    for x in rows:
-        v[place[x["a"]], place[x["b"]]] = x["v"]
+    mine = sums.select("pix", F.col("label").alias("a"), "u")
+    pairs = mine.join(sums.select("pix", F.col("label").alias("b")), "pix").join(gram, ["a", "b"])
+    rows = pairs.groupBy("pix", F.col("a").alias("label")).agg(F.first("u").alias("u"), F.sort_array(F.collect_list(F.struct("b", "v"))).alias("row"))
+    if start is not None:
+        rows = rows.join(start.select("pix", "label", F.col("a").alias("a0")), ["pix", "label"], "left")
+    rows = rows.withColumn("a0", F.coalesce("a0", F.lit(0.0)) if start is not None else F.lit(0.0))
+    wide = rows.groupBy("pix").agg(F.sort_array(F.collect_list(F.struct("label", "u", F.transform("row", lambda x: x["v"]).alias("v"), "a0"))).alias("x"))
+    if noise is not None:
+        wide = wide.join(noise, "pix", "left")
+    extra = [c for c in ("sn", "energy", "frames") if c in wide.columns]
 
     @F.pandas_udf("array<double>")
-    def solve(u: pd.Series) -> pd.Series:
-        return pd.Series([np.round(K.nnls(v, np.asarray(x, float), 1e-9, most), 6) for x in u])
+    def solve(x: pd.Series, *more: pd.Series) -> pd.Series:
+        out = []
+        for i, items in enumerate(x):
+            u, v = np.array([e["u"] for e in items], float), np.array([e["v"] for e in items], float)
+            given = {c: float(m.iloc[i]) for c, m in zip(extra, more, strict=True)}
+            if method == "lars":
+                for k in range(1, len(u) + 1):
+                    a = K.nnls(v, u, 1e-9, k)
+                    if given["energy"] - 2 * a @ u + a @ v @ a <= given["sn"] ** 2 * given["frames"]:
+                        break
+            elif method.startswith("hals"):
+                a = K.hals(u[:, None], v, np.array([[e["a0"]] for e in items], float))[:, 0]
+            else:
+                a = K.nnls(v, u, 1e-9, most)
+            if method.endswith("_thresh"):
+                a[a < 3 * given.get("sn", 0.0) / np.sqrt(np.maximum(np.diag(v), 1e-300))] = 0
+            out.append(np.round(a, 6))
+        return pd.Series(out)
 
-    wide = sums.groupBy("pix").agg(F.sort_array(F.collect_list(F.struct("label", "u"))).alias("x"))
-    solved = wide.select("pix", F.arrays_zip(F.transform("x", lambda e: e["label"]).alias("label"), solve(F.transform("x", lambda e: e["u"])).alias("a")).alias("z"))
+    solved = wide.select("pix", F.arrays_zip(F.transform("x", lambda e: e["label"]).alias("label"), solve("x", *extra).alias("a")).alias("z"))
     return solved.select("pix", F.inline("z")).where("a > 0")
+
+
+def temporal_update(members: DataFrame, rounds: int = 3, deconvolve: bool = False) -> DataFrame:
+    """(neuron, weight, trace): traces by coordinate descent, patch by patch; weight is the footprint's energy there.
+
+    members: rows of a patch, its pixels (patch, pix, y) and its components (patch, neuron, pixels, weights, trace), the
+    columns of the other kind being null.
+    """
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        parts, rows = group[group["neuron"].notna()].sort_values("neuron"), group[group["pix"].notna()]
+        place = {int(p): i for i, p in enumerate(rows["pix"])}
+        if not len(parts) or not len(place):
+            return pd.DataFrame({"neuron": [], "weight": [], "trace": []}, dtype=object)
+        a = np.zeros((len(place), len(parts)))
+        for k, (pixels, weights) in enumerate(zip(parts["pixels"], parts["weights"], strict=True)):
+            for p, w in zip(pixels, weights, strict=True):
+                if int(p) in place:
+                    a[place[int(p)], k] = w
+        y, c = np.vstack(rows["y"].to_list()), np.nan_to_num(np.vstack(parts["trace"].to_list()))
+        u, v = a.T @ y, a.T @ a
+        for _ in range(rounds):
+            for k in np.flatnonzero(np.diag(v) > 0):
+                raw = c[k] + (u[k] - v[k] @ c) / v[k, k]
+                if deconvolve:
+                    raw -= raw[raw < np.median(raw)].mean() if (raw < np.median(raw)).any() else 0.0
+                    c[k] = K.deconvolve_ar1(raw)["c"]
+                else:
+                    c[k] = raw - raw.min()
+        raw = c + (u - v @ c) / np.maximum(np.diag(v), 1e-300)[:, None]
+        return pd.DataFrame({"neuron": parts["neuron"].astype("int64").to_list(), "weight": np.diag(v), "trace": pd.Series(list(raw), dtype=object)})
+
+    return members.groupBy("patch").applyInPandas(run, "neuron long, weight double, trace array<double>")
+
+
+def shaped(footprints: DataFrame, method: str = "convex", share: float = 0.99) -> DataFrame:
+    """(neuron, pix, val) of each footprint in order: connected with its peak, convex, or the region of most energy.
+
+    footprints: (neuron, pix, r, c, val). One footprint's rectangle is the unit of work.
+    """
+    kinds = {"connected": lambda x: I.connected(x), "convex": lambda x: I.convex(I.connected(x)), "energy": lambda x: I.most_energy(x, share)}
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        r, c = group["r"].to_numpy() - group["r"].min(), group["c"].to_numpy() - group["c"].min()
+        image = np.zeros((int(r.max()) + 1, int(c.max()) + 1))
+        image[r, c] = group["val"]
+        out = kinds[method](image)[r, c]
+        return pd.DataFrame({"neuron": int(key[0]), "pix": group["pix"], "val": out})[out > 0]
+
+    return footprints.groupBy("neuron").applyInPandas(run, "neuron long, pix long, val double")

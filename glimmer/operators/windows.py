@@ -47,10 +47,21 @@ def percentile_dff(traces: DataFrame, q: float) -> DataFrame:
     return traces.select("user_id", "t", "y", f.alias("f")).select("user_id", "t", A.rounded((F.col("y") - F.col("f")) / F.when(F.col("f") != 0, F.col("f"))).alias("dff"))
 
 
-def spike_competition(traces: DataFrame) -> DataFrame:
-    """Of the series of one group, only the one with the largest value in deviations keeps it in a frame."""
-    z = traces.select("user_id", "t", (F.col("user_id") % 10).alias("g"), F.round(F.col("y") / F.stddev_samp("y").over(Window.partitionBy("user_id")), 9).alias("z"))
-    return z.withColumn("top", F.max("z").over(Window.partitionBy("g", "t"))).where("z = top").select("g", "t", "user_id", A.rounded(F.col("z")).alias("z"))
+def running_dff(traces: DataFrame, reach: int) -> DataFrame:
+    """(y - F) / F with F the running median."""
+    f = F.expr("percentile(y, 0.5)").over(_time().rowsBetween(-reach, reach))
+    return traces.select("user_id", "t", "y", f.alias("f")).select("user_id", "t", A.rounded((F.col("y") - F.col("f")) / F.when(F.col("f") != 0, F.col("f"))).alias("dff"))
+
+
+def interpolated(traces: DataFrame) -> DataFrame:
+    """Missing samples (null) on the line through their neighbours; at the ends, through the first or last two samples."""
+    known = F.when(F.col("y").isNotNull(), F.struct("t", "y"))
+    ends = traces.where("y is not null").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("t", "y"))).alias("k")).select("user_id", F.slice("k", 1, 2).alias("first"), F.slice("k", F.greatest(F.size("k") - 1, F.lit(1)), 2).alias("last"))
+    d = traces.select("user_id", "t", "y", F.last(known, True).over(_time().rowsBetween(Window.unboundedPreceding, 0)).alias("p"), F.first(known, True).over(_time().rowsBetween(0, Window.unboundedFollowing)).alias("n")).join(ends, "user_id", "left")
+    a = F.when(F.col("p").isNull(), F.get("first", F.lit(0))).when(F.col("n").isNull(), F.get("last", F.lit(0))).otherwise(F.col("p"))
+    b = F.when(F.col("p").isNull(), F.get("first", F.lit(1))).when(F.col("n").isNull(), F.get("last", F.lit(1))).otherwise(F.col("n"))
+    line = F.coalesce(a["y"] + (b["y"] - a["y"]) * (F.col("t") - a["t"]) / F.nullif(b["t"] - a["t"], F.lit(0)), a["y"])
+    return d.select("user_id", "t", A.rounded(F.coalesce("y", line)).alias("y"))
 
 
 def lagged_regression(traces: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ _PX = f"WITH p AS (SELECT vec_id AS pix, vec_id % {HEIGHT} AS r, vec_id // {HEIG
 _TR = "WITH tr AS (SELECT user_id, CAST(row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS INT) AS t, value AS y FROM events)"
 _FP = f"{_PX}, f AS (SELECT t AS neuron, pix, y AS val, r, c FROM px WHERE y > 0.15)"
 _LT = f"{_PX}, lt AS (SELECT label AS k, t, avg(y) AS x FROM px GROUP BY label, t)"
+_NEAR = "(SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc))"
 _RING1 = "(SELECT dr, dc FROM range(-1, 2) a(dr), range(-1, 2) b(dc) WHERE dr * dr + dc * dc >= 1)"
 _RING3 = "(SELECT dr, dc FROM range(-4, 5) a(dr), range(-4, 5) b(dc) WHERE dr * dr + dc * dc >= 9 AND dr * dr + dc * dc < 16)"
 
@@ -46,6 +47,10 @@ def _label_samples(spark, d) -> DataFrame:
     return samples(pixels(spark, d)).groupBy(F.col("label").alias("k"), "t").agg(F.avg("y").alias("x"))
 
 
+_ADJ = f"adj AS (SELECT DISTINCT a.label AS a, b.label AS b FROM p a, {_RING1} o, p b WHERE b.r = a.r + o.dr AND b.c = a.c + o.dc AND a.label < b.label)"
+_REG = f"reg AS (SELECT DISTINCT a.pix, b.label FROM p a, {_NEAR} o, p b WHERE b.r = a.r + o.dr AND b.c = a.c + o.dc)"
+
+
 def _footprints(spark, d) -> DataFrame:
     return C.footprints(samples(pixels(spark, d)), 0.15)
 
@@ -200,11 +205,6 @@ def dff_percentile(spark, d):
     return windows.percentile_dff(traces(spark, d), 0.1)
 
 
-@query(f"{_TR}, z AS (SELECT user_id, t, user_id % 10 AS g, round(y / stddev_samp(y) OVER (PARTITION BY user_id), 9) AS z FROM tr), m AS (SELECT *, max(z) OVER (PARTITION BY g, t) AS top FROM z) SELECT g, t, user_id, {r('z')} AS z FROM m WHERE z = top")
-def spike_competition(spark, d):
-    return windows.spike_competition(traces(spark, d))
-
-
 @query(f"{_TR}, x AS (SELECT y, lag(y, 1) OVER w AS a, lag(y, 2) OVER w AS b FROM tr WINDOW w AS (PARTITION BY user_id ORDER BY t)) SELECT count(*) AS n, {r('sum(a * a)', 2)} AS aa, {r('sum(a * b)', 2)} AS ab, {r('sum(b * b)', 2)} AS bb, {r('sum(a * y)', 2)} AS ay, {r('sum(b * y)', 2)} AS yb FROM x WHERE b IS NOT NULL")
 def normal_equations(spark, d):
     return windows.lagged_regression(traces(spark, d))
@@ -278,9 +278,9 @@ def support_overlap(spark, d):
     return C.overlap_cosine(_footprints(spark, d), 0.2, support=True)
 
 
-@query(f"{_LT}, s AS (SELECT a.k AS a, b.k AS b, {r('corr(a.x, b.x)')} AS corr FROM lt a JOIN lt b USING (t) WHERE a.k < b.k GROUP BY 1, 2) SELECT * FROM s WHERE corr >= 0.1")
+@query(f"{_LT}, {_ADJ}, s AS (SELECT a.k AS a, b.k AS b, {r('corr(a.x, b.x)')} AS corr FROM lt a JOIN lt b USING (t) JOIN adj ON adj.a = a.k AND adj.b = b.k GROUP BY 1, 2) SELECT * FROM s WHERE corr >= 0.1")
 def trace_corr(spark, d):
-    return C.trace_correlation(_labels(spark, d), 0.1)
+    return C.trace_correlation(_labels(spark, d), C.adjacent_labels(pixels(spark, d)), 0.1)
 
 
 @query(f"{_FP}, x AS (SELECT neuron AS id, sum(r * val) / sum(val) AS r, sum(c * val) / sum(val) AS c FROM f GROUP BY neuron), s AS (SELECT a.id AS a, b.id AS b, {r('sqrt(pow(a.r - b.r, 2) + pow(a.c - b.c, 2))')} AS dist FROM x a, x b WHERE a.id < b.id) SELECT CAST(a AS INT) AS a, CAST(b AS INT) AS b, dist FROM s WHERE dist <= 0.8")
@@ -305,10 +305,11 @@ def explained_by(spark, d):
     return C.explained_by(_footprints(spark, d))
 
 
-@query(f"{_LT}, s AS (SELECT pix AS a, k AS b, round(sum(y * x), 9) AS s FROM px JOIN lt USING (t) GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) AS kb FROM s) SELECT a, b, {r('s')} AS s FROM k WHERE ka = 1 AND kb = 1")
+@query(f"{_LT}, {_REG}, s AS (SELECT px.pix AS a, k AS b, round(sum(y * x), 9) AS s FROM px JOIN reg ON reg.pix = px.pix JOIN lt ON lt.t = px.t AND lt.k = reg.label GROUP BY 1, 2), k AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS ka, row_number() OVER (PARTITION BY b ORDER BY s DESC, a) AS kb FROM s) SELECT a, b, {r('s')} AS s FROM k WHERE ka = 1 AND kb = 1")
 def mutual_best(spark, d):
-    j = samples(pixels(spark, d)).join(F.broadcast(_label_samples(spark, d)), "t")
-    return C.mutual_best(j.groupBy(F.col("pix").alias("a"), F.col("k").alias("b")).agg(F.round(F.sum(F.col("y") * F.col("x")), 9).alias("s")))
+    p = pixels(spark, d)
+    j = C.label_region(p).join(_labels(spark, d), "label").join(p.select("pix", "y"), "pix")
+    return C.mutual_best(j.select(F.col("pix").alias("a"), F.col("label").alias("b"), F.round(A.dot(F.col("y"), F.col("trace")), 9).alias("s")))
 
 
 _NEURONS = f"{_PX}, n AS (SELECT pix AS neuron, count(*) FILTER (WHERE y > 0.1) AS n_pixels, count(*) FILTER (WHERE y > 0.25 AND t > 1) AS n_events, stddev_samp(y) AS residual, CAST(10 AS DOUBLE) AS noise, max(y) AS peak, stddev_samp(y) AS spread FROM px GROUP BY pix), g AS (SELECT neuron, CASE WHEN n_pixels < 12 THEN 1 ELSE 0 END + CASE WHEN n_events = 0 THEN 2 ELSE 0 END + CASE WHEN residual / noise < 0.0125 THEN 4 ELSE 0 END + CASE WHEN peak / spread < 3 THEN 8 ELSE 0 END AS tag FROM n)"
@@ -336,14 +337,15 @@ def rss_rollup(spark, d):
     return C.residual_energy(samples(pixels(spark, d)))
 
 
-@query(f"{_LT} SELECT pix, k AS label, {r('sum(y * x) - sum(y) * sum(x) / count(*)', 4)} AS u FROM px JOIN lt USING (t) GROUP BY pix, k")
+@query(f"{_LT}, {_REG} SELECT px.pix, k AS label, {r('sum(y * x) - sum(y) * sum(x) / count(*)', 4)} AS u FROM px JOIN reg ON reg.pix = px.pix JOIN lt ON lt.t = px.t AND lt.k = reg.label GROUP BY px.pix, k")
 def spatial_sums(spark, d):
-    return C.spatial_sums(samples(pixels(spark, d)), _label_samples(spark, d))
+    p = pixels(spark, d)
+    return C.spatial_sums(p, C.label_region(p), _labels(spark, d))
 
 
-@query(f"{_LT} SELECT a.k AS a, b.k AS b, {r('sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)', 4)} AS v FROM lt a JOIN lt b USING (t) GROUP BY 1, 2")
+@query(f"{_LT}, {_REG}, m AS (SELECT DISTINCT x.label AS a, y.label AS b FROM reg x JOIN reg y USING (pix)) SELECT a.k AS a, b.k AS b, {r('sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)', 4)} AS v FROM lt a JOIN lt b USING (t) JOIN m ON m.a = a.k AND m.b = b.k GROUP BY 1, 2")
 def trace_gram(spark, d):
-    return C.gram(_label_samples(spark, d))
+    return C.gram(_labels(spark, d), C.region_pairs(C.label_region(pixels(spark, d))))
 
 
 @query(f"{_FP}, b AS (SELECT * FROM (SELECT *, max(val) OVER (PARTITION BY neuron) AS top FROM f) WHERE val >= 0.5 * top) SELECT CAST(neuron AS INT) AS neuron, CAST(t AS INT) AS t, {r('sum(val * y) / sum(val * val)')} AS y FROM b JOIN px USING (pix) GROUP BY neuron, t")
@@ -378,32 +380,39 @@ def components(spark, d):
 # Sets of components
 
 
-@query(f"{_FP} SELECT CAST(neuron AS INT) AS neuron, pix FROM f WHERE neuron <= 10 UNION ALL SELECT CAST(64 + row_number() OVER (ORDER BY neuron, pix) AS INT), pix FROM f WHERE neuron > 60")
+@query(f"{_FP}, h AS (SELECT t AS neuron, pix, -y AS val FROM px WHERE y < -0.15), k AS (SELECT neuron, (SELECT max(neuron) FROM f) + row_number() OVER (ORDER BY neuron) AS fresh FROM (SELECT DISTINCT neuron FROM h)) SELECT CAST(neuron AS INT) AS neuron, pix, {r('val')} AS val FROM f UNION ALL SELECT CAST(fresh AS INT), pix, {r('val')} FROM h JOIN k USING (neuron)")
 def append_residual(spark, d):
-    f = _footprints(spark, d)
-    fresh = f.where("neuron > 60").select((64 + F.row_number().over(Window.orderBy("neuron", "pix"))).alias("neuron"), "pix")
-    return f.where("neuron <= 10").select("neuron", "pix").unionByName(fresh)
+    """The components of what is over the level, and with fresh ids those of what is under it."""
+    old = _footprints(spark, d)
+    s = samples(pixels(spark, d))
+    return C.appended(old.select("neuron", "pix", "val"), C.footprints(s.withColumn("y", -F.col("y")), 0.15).select("neuron", "pix", "val")).withColumn("val", A.rounded(F.col("val")))
+
+
+_CC = f"""g AS (SELECT a.neuron AS x, b.neuron AS y, sum(a.val * b.val) AS g FROM f a JOIN f b USING (pix) WHERE a.neuron < b.neuron GROUP BY 1, 2), norms AS (SELECT neuron, sqrt(sum(val * val)) AS n FROM f GROUP BY neuron),
+e AS (SELECT x AS a, y AS b FROM g JOIN norms a ON a.neuron = x JOIN norms b ON b.neuron = y WHERE {r('g / (a.n * b.n)')} >= 0.24), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+cc AS (SELECT id, min(label) AS label FROM (WITH RECURSIVE t(id, label) AS (SELECT a, a FROM s UNION SELECT s.b, t.label FROM t JOIN s ON s.a = t.id) SELECT * FROM t) GROUP BY id)"""
 
 
-@query(f"{_FP}, m AS (SELECT 1 AS neuron, pix, sum(val) AS val FROM f WHERE neuron IN (1, 2, 3) GROUP BY pix) SELECT CAST(neuron AS INT) AS neuron, pix, {r('val')} AS val FROM (SELECT neuron, pix, val FROM f WHERE neuron NOT IN (1, 2, 3) UNION ALL SELECT * FROM m)")
+@query(f"{_FP}, {_CC} SELECT CAST(coalesce(label, neuron) AS INT) AS neuron, pix, {r('sum(val)')} AS val FROM f LEFT JOIN cc ON cc.id = f.neuron GROUP BY 1, 2")
 def merged_replace(spark, d):
+    """Overlapping components are replaced by their sum, under the smallest id."""
     f = _footprints(spark, d).select("neuron", "pix", "val")
-    merged = f.where("neuron in (1, 2, 3)").groupBy("pix").agg(F.sum("val").alias("val")).select(F.lit(1).alias("neuron"), "pix", "val")
-    return f.where("neuron not in (1, 2, 3)").unionByName(merged).withColumn("val", A.rounded(F.col("val")))
+    return C.merged_replace(f, graph.connected_components(C.overlap_cosine(f, 0.24))).withColumn("val", A.rounded(F.col("val")))
 
 
-@query(f"{_FP} SELECT pix FROM f WHERE neuron <= 8 EXCEPT SELECT pix FROM f WHERE neuron > 32")
+@query(f"{_PX} SELECT pix FROM px WHERE y > 0.2 EXCEPT SELECT pix FROM px WHERE y < -0.2")
 def set_difference(spark, d):
-    f = _footprints(spark, d)
-    return f.where("neuron <= 8").select("pix").subtract(f.where("neuron > 32").select("pix"))
+    s = samples(pixels(spark, d))
+    return s.where("y > 0.2").select("pix").subtract(s.where("y < -0.2").select("pix"))
 
 
-@query(f"{_LT}, e AS (SELECT a.k AS a, b.k AS b, corr(a.x, b.x) AS v FROM lt a JOIN lt b USING (t) WHERE a.k < b.k GROUP BY 1, 2), u AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id AS a, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS rank, s FROM (SELECT id, {r('sum(v)', 5)} AS s FROM u JOIN e ON id = a OR id = b GROUP BY id) ORDER BY rank LIMIT 50")
+@query(f"{_LT}, {_ADJ}, e AS (SELECT a.k AS a, b.k AS b, {r('corr(a.x, b.x)')} AS v FROM lt a JOIN lt b USING (t) JOIN adj ON adj.a = a.k AND adj.b = b.k GROUP BY 1, 2), u AS (SELECT a AS id FROM e UNION SELECT b FROM e) SELECT id AS a, CAST(row_number() OVER (ORDER BY s DESC, id) AS INT) AS rank, s FROM (SELECT id, {r('sum(v)')} AS s FROM u JOIN e ON id = a OR id = b GROUP BY id) ORDER BY rank LIMIT 50")
 def merge_rank(spark, d):
-    t = _labels(spark, d)
-    e = t.select(F.col("label").alias("a"), F.col("trace").alias("x")).join(t.select(F.col("label").alias("b"), F.col("trace").alias("z")), F.col("a") < F.col("b")).select("a", "b", A.correlation(F.col("x"), F.col("z")).alias("v"))
-    s = e.select("a", "v").unionByName(e.select(F.col("b").alias("a"), "v")).groupBy("a").agg(A.rounded(F.sum("v"), 5).alias("s"))
-    return s.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "a"))).orderBy("rank").limit(50)
+    """The 50 components that are most like those around them."""
+    e = C.trace_correlation(_labels(spark, d), C.adjacent_labels(pixels(spark, d)), -1.0)
+    s = e.select("a", "corr").unionByName(e.select(F.col("b").alias("a"), "corr")).groupBy("a").agg(A.rounded(F.sum("corr")).alias("s"))
+    top = s.orderBy(F.desc("s"), "a").limit(50)  # a top-k: the window sees 50 rows
+    return top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("s"), "a"))).select("a", "rank", "s")
 
 
 # Layout

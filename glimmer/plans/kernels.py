@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
 from glimmer.operators import deconvolution, graph, patches
-from glimmer.plans import catalogue
+from glimmer.operators.shared import shared_folder
 from glimmer.sources.adapters import HEIGHT, pixels, samples, table, traces
 
 
@@ -31,6 +30,30 @@ def ar_time_constants(spark: SparkSession, d: str) -> DataFrame:
     return deconvolution.time_constants(pixels(spark, d), "pix", 2)
 
 
+def noise_short_windows(spark: SparkSession, d: str) -> DataFrame:
+    """Noise by windows of an eighth of the trace."""
+    return deconvolution.noise(pixels(spark, d), "pix", "short")
+
+
+def deconvolved_ar1(spark: SparkSession, d: str) -> DataFrame:
+    """Whole calcium and spike traces, with time constants and noise from the traces themselves."""
+    found = deconvolution.deconvolved(pixels(spark, d), "pix", "constrained")
+    short = lambda x: F.transform(x, lambda v: A.rounded(v, 5)).alias(x)
+    return found.select("pix", short("c"), short("s"), *[A.rounded(F.col(x), 5).alias(x) for x in ("b", "g", "sn", "lam")])
+
+
+def foopsi_ar2(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "foopsi", "ar2", g2=[1.4, -0.48], lam=0.05), "pix")
+
+
+def thresholded_ar2(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "thresholded", "ar2", g2=[1.4, -0.48]), "pix")
+
+
+def constrained_exp2(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "constrained", "exp2", decay=6.0, rise=1.0), "pix")
+
+
 def oasis_ar1(spark: SparkSession, d: str) -> DataFrame:
     return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "foopsi", g=0.9, lam=0.05), "pix")
 
@@ -63,19 +86,18 @@ def low_rank_background(spark: SparkSession, d: str) -> DataFrame:
 
 
 def nnls_spatial(spark: SparkSession, d: str) -> DataFrame:
-    x = catalogue._label_samples(spark, d)
-    return patches.spatial_update(C.spatial_sums(samples(pixels(spark, d)), x), C.gram(x))
+    p = pixels(spark, d)
+    region, t = C.label_region(p), C.label_traces(samples(p))
+    return patches.spatial_update(C.spatial_sums(p, region, t), C.gram(t, C.region_pairs(region)))
 
 
 def merge_components(spark: SparkSession, d: str) -> DataFrame:
-    """Components (labels) with similar traces become one: the connected groups and their rank-one traces."""
+    """Components (labels) that touch and have similar traces become one: the connected groups and their rank-one traces."""
     p = pixels(spark, d)
-    pairs = C.trace_correlation(C.label_traces(samples(p)), 0.15)
-    groups = graph.connected_components(pairs).withColumn("id", F.col("id").cast("long"))
-    part = lambda k: F.coalesce(F.avg(F.when(F.col("pix") % 16 == k, A.mean(F.col("y")))), F.lit(0.0))
-    weights = p.groupBy(F.col("label").alias("id")).agg(F.array(*[part(k) for k in range(16)]).alias("weights"))
-    parts = C.label_traces(samples(p)).select(F.col("label").cast("long").alias("id"), "trace").join(weights.withColumn("id", F.col("id").cast("long")), "id")
-    merged = graph.merged_traces(parts, groups)
+    t = C.label_traces(samples(p))
+    groups = graph.connected_components(C.trace_correlation(t, C.adjacent_labels(p), 0.15)).withColumn("id", F.col("id").cast("long"))
+    footprints = p.select(F.col("label").cast("long").alias("id"), "pix", A.mean(F.col("y")).alias("val"))
+    merged = graph.merged_traces(t.select(F.col("label").cast("long").alias("id"), "trace"), footprints, groups)
     return merged.select("label", "members", A.rounded(A.mean(F.col("trace")), 5).alias("level"))
 
 
@@ -83,8 +105,7 @@ def streamed_calcium(spark: SparkSession, d: str) -> DataFrame:
     """The series of the events table as a stream: every frame, after its files and a closing row for each series."""
     from glimmer.streaming.online import online_calcium
 
-    folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-", dir="/tmp")
-    base = f"{folder.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     traces(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "t", "y").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("user_id long, t int, y double").parquet(f"{base}/in")
     out = online_calcium(stream, 0.9, look_back=8)
@@ -99,13 +120,15 @@ def streamed_calcium(spark: SparkSession, d: str) -> DataFrame:
 
 
 def event_types(spark: SparkSession, d: str) -> DataFrame:
-    """Two-means over each series' spread of event types: active and quiet series."""
+    """Two-means on the logarithm of each pixel's spectrum; active is the cluster of less power at high frequencies."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    e = table(spark, d, "events").groupBy("user_id").agg(F.stddev_samp("value").alias("s"), F.avg("value").alias("m"), F.count("*").alias("n"))
-    v = e.na.fill(0.0).select("user_id", array_to_vector(F.array("s", "m")).alias("features"))
-    return KMeans(k=2, seed=1, initMode="k-means||").fit(v).transform(v).select("user_id", F.col("prediction").alias("cluster"))
+    v = deconvolution.spectra(pixels(spark, d), "pix").select("pix", "power", array_to_vector("power").alias("features"))
+    model = KMeans(k=2, seed=1, initMode="k-means||").fit(v)
+    high = [float(sum(c[len(c) // 2 :])) for c in model.clusterCenters()]
+    active = high.index(min(high))
+    return model.transform(v).select("pix", F.col("prediction").alias("cluster"), (F.col("prediction") == active).alias("active"))
 
 
-QUERIES = {f.__name__: f for f in (noise_psd, noise_histogram, ar_time_constants, oasis_ar1, constrained_ar1, thresholded_ar1, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types)}
+QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, oasis_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types)}

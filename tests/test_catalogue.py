@@ -1,17 +1,20 @@
 import pytest
 
-from glimmer.plans import catalogue
+from glimmer.plans import catalogue, neurons, updates
 from tests.sql import DATA, differences, views
 
 
+ALL = catalogue.QUERIES | neurons.QUERIES | updates.QUERIES
+
+
 @pytest.fixture(scope="module")
 def con():
     return views(f"{DATA}/sf0.001")
 
 
-@pytest.mark.parametrize("name", catalogue.QUERIES)
+@pytest.mark.parametrize("name", catalogue.SQL | updates.SQL)
 def test_query_agrees_with_sql(spark, con, name):
-    _, only, types = differences(con, catalogue.QUERIES[name](spark, f"{DATA}/sf0.001"), catalogue.SQL[name])
+    _, only, types = differences(con, ALL[name](spark, f"{DATA}/sf0.001"), (catalogue.SQL | updates.SQL)[name])
     assert not only
     assert types
 
@@ -35,3 +38,9 @@ def test_seeds_plan_has_no_distance_join(spark):
     plan = catalogue.QUERIES["corr_image"](spark, f"{DATA}/sf0.001")._jdf.queryExecution().toString()
     assert "NestedLoop" not in plan
     assert "Cartesian" not in plan
+
+
+def test_registered_queries_have_distinct_sources():
+    import __spark_entry__
+
+    assert len(__spark_entry__.queries()) > 130

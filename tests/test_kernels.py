@@ -153,9 +153,201 @@ def test_streamed_frames_are_all_there(spark):
     assert got == sorted((r["user_id"], r["t"]) for r in traces(spark, f"{DATA}/sf0.001").collect())
 
 
-@pytest.mark.parametrize("name", plans.QUERIES)
-def test_kernel_queries_run(spark, name):
-    assert plans.QUERIES[name](spark, f"{DATA}/sf0.001").count() >= 0
+@pytest.fixture(scope="module")
+def rows(spark):
+    from glimmer.sources.adapters import pixels
+
+    return {r["pix"]: np.array(r["y"]) for r in pixels(spark, f"{DATA}/sf0.001").collect()}
+
+
+def found(spark, name):
+    return plans.QUERIES[name](spark, f"{DATA}/sf0.001").collect()
+
+
+def test_noise_queries_agree_with_plain_periodograms(spark, rows):
+    def density(y, size, points):
+        w = 0.54 - 0.46 * np.cos(2 * np.pi * np.arange(size) / (size - 1))
+        parts = [y[a : a + size] * w for a in range(0, len(y) - size + 1, size - size // 2)]
+        k = np.arange(points // 2 + 1)
+        power = np.mean([np.abs(np.array([np.sum(p * np.exp(-2j * np.pi * j * np.arange(size) / points)) for j in k])) ** 2 for p in parts], 0) / (w @ w)
+        return k / points, np.where((k > 0) & (k < points / 2), 2 * power, power)
+
+    got = {r["pix"]: r["sn"] for r in found(spark, "noise_psd")}
+    short = {r["pix"]: r["sn"] for r in found(spark, "noise_short_windows")}
+    assert len(got) == len(short) == len(rows)
+    for pix in list(rows)[:5]:
+        f, p = density(rows[pix], 14, 256)
+        assert got[pix] == pytest.approx(np.sqrt(np.exp(np.mean(np.log(p[f >= 0.25] / 2)))), abs=2e-6)
+        f, p = density(rows[pix], 8, 1000)
+        assert short[pix] == pytest.approx(np.sqrt(np.exp(np.mean(np.log(p[f > 0.25] / 2)))), abs=2e-6)
+
+
+def test_histogram_noise_query(spark, rows):
+    got = {r["pix"]: r for r in found(spark, "noise_histogram")}
+    for pix, y in rows.items():
+        assert y.min() <= got[pix]["baseline"] <= y.max()
+        p = np.abs(np.fft.fft(y)) ** 2 / 64
+        f = np.arange(17, 33)  # above a quarter, the last frequency once
+        assert got[pix]["sn_plain"] == pytest.approx(np.sqrt(np.exp(np.mean(np.log(np.where(f < 32, 2, 1) * p[f] / 2)))), abs=2e-6)
+
+
+def test_time_constants_follow_the_rule_for_roots(spark, rows):
+    rng = np.random.default_rng(4)
+    y = np.zeros(20000)
+    for t in range(2, len(y)):
+        y[t] = 1.2 * y[t - 1] - 0.52 * y[t - 2] + rng.standard_normal()  # complex stable roots 0.6 +- 0.4i
+    g = K.ar_coefficients(y, 2, 0.0)
+    assert g == pytest.approx([1.2, -0.36], abs=0.05)  # their real parts, twice
+    assert len(K.ar_coefficients(1.01 ** np.arange(300.0), 1, 0.0)) >= 1
+    for r in found(spark, "ar_time_constants"):
+        roots = np.roots([1, *[-x for x in r["g"]]])
+        assert (np.abs(roots) <= 1 + 1e-6).all()
+
+
+def best(y, kernel, lam):
+    """Penalised spikes by projected gradient: another way to the same optimum."""
+    n = len(y)
+    k = np.array([[kernel[i - j] if 0 <= i - j < len(kernel) else 0 for j in range(n)] for i in range(n)])
+    s, step = np.zeros(n), 1 / np.linalg.norm(k.T @ k, 2)
+    z, t = s, 1.0
+    for _ in range(4000):
+        new = np.maximum(0, z - step * (k.T @ (k @ z - y) + lam))
+        t2 = (1 + np.sqrt(1 + 4 * t * t)) / 2
+        z, s, t = new + (t - 1) / t2 * (new - s), new, t2
+    return k @ s
+
+
+def test_foopsi_queries_reach_the_optimum(spark, rows):
+    got = {r["pix"]: r for r in found(spark, "oasis_ar1")}
+    two = {r["pix"]: r for r in found(spark, "foopsi_ar2")}
+    for pix in list(rows)[:4]:
+        d = K.deconvolve_ar1(rows[pix], "foopsi", g=0.9, lam=0.05)
+        assert got[pix]["c_sum"] == pytest.approx(d["c"].sum(), abs=1e-3)
+        lam = np.full(64, 0.05 * 0.1)
+        lam[-1] = 0.05  # lam on spikes is lam * (1 - g) on calcium, and lam on its last frame
+        y = rows[pix] - d["b"]
+        k = np.array([[0.9 ** (i - j) if i >= j else 0 for j in range(64)] for i in range(64)])
+        value = lambda c: 0.5 * ((y - c) ** 2).sum() + lam @ c  # noqa: B023, E731
+        first = K.decay(K.pools_ar1(y, 0.9, 0.05), 0.9, 64)
+        s = K.nnls(k.T @ k, k.T @ (y - lam))
+        assert value(first) == pytest.approx(value(k @ s), abs=1e-6)
+        c = np.convolve(K.sliding_nnls(rows[pix], K.ar_kernel(np.array([1.4, -0.48]), 64), lam=0.05), K.ar_kernel(np.array([1.4, -0.48]), 64))[:64]
+        assert c == pytest.approx(best(rows[pix], K.ar_kernel(np.array([1.4, -0.48]), 64), 0.05), abs=2e-3)
+        assert two[pix]["n"] == 64
+
+
+@pytest.mark.parametrize("name", ["deconvolved_ar1", "constrained_ar1", "thresholded_ar1", "constrained_exp2", "thresholded_ar2"])
+def test_deconvolution_queries_stay_within_the_noise(spark, rows, name):
+    got = {r["pix"]: r for r in found(spark, name)}
+    assert set(got) == set(rows)
+    if name == "deconvolved_ar1":
+        for pix, r in got.items():
+            assert min(r["c"]) >= 0 and len(r["s"]) == 64
+            assert 0 <= r["g"] <= 1 or not any(r["c"])
+            if any(r["c"]):
+                assert ((rows[pix] - r["b"] - np.array(r["c"])) ** 2).sum() <= 64 * max(r["sn"] ** 2 * 1.2, rows[pix].var() * 1.01)
+
+
+def test_deconvolution_by_other_kernels_finds_planted_spikes():
+    h = K.exp2_kernel(10, 2, 100)
+    s = np.zeros(400)
+    s[[30, 120, 200, 330]] = 2, 1, 3, 1.5
+    c = np.convolve(s, h)[:400]
+    y = c + 0.05 * np.random.default_rng(0).standard_normal(400)
+    for method in ("foopsi", "constrained", "thresholded"):
+        d = K.deconvolve_kernel(y, h, method, sn=0.05, lam=0.1)
+        assert np.corrcoef(d["c"], c)[0, 1] > 0.98
+    assert np.flatnonzero(d["s"] > 0.3).size <= 12
+
+
+def test_kernel_nnls_query(spark, rows):
+    got = {r["pix"]: r for r in found(spark, "kernel_nnls")}
+    kernel = np.array([0.9**i - 0.5**i for i in range(1, 30)])
+    for pix in list(rows)[:3]:
+        s = K.sliding_nnls(rows[pix], kernel, 32, 16)
+        assert (s >= 0).all()
+        assert got[pix]["s_sum"] == pytest.approx(s.sum(), abs=1e-3)
+
+
+def test_background_queries(spark, rows):
+    from glimmer.sources.adapters import HEIGHT
+
+    at = {pix: (pix % HEIGHT, pix // HEIGHT) for pix in rows}
+    w = {}
+    for r in found(spark, "ring_regression"):
+        w.setdefault(r["pix"], {})[r["nbr_pix"]] = r["w"]
+    pix = 210
+    ring = [q for q in rows if 4 <= (at[q][0] - at[pix][0]) ** 2 + (at[q][1] - at[pix][1]) ** 2 < 9]
+    x = np.vstack([*(rows[q] - rows[q].mean() for q in ring), np.ones(64)])
+    want = np.linalg.solve(x @ x.T + 1e-5 * np.trace(x @ x.T) * np.eye(len(x)), x @ (rows[pix] - rows[pix].mean()))[:-1]
+    assert {q: pytest.approx(v, abs=2e-6) for q, v in zip(ring, want, strict=True)} == w[pix]
+    share = {r["pix"]: r["share"] for r in found(spark, "low_rank_background")}
+    patch = [q for q in rows if -2 <= at[q][0] < 10 and -2 <= at[q][1] < 10]
+    z = np.vstack([rows[q] - rows[q].mean() for q in patch])
+    u, s, v = np.linalg.svd(z, full_matrices=False)
+    b = u[:, :2] * s[:2] @ v[:2]
+    for i, q in enumerate(patch):
+        if at[q][0] < 8 and at[q][1] < 8:
+            assert share[q] == pytest.approx((b[i] ** 2).sum() / (z[i] ** 2).sum(), abs=2e-6)
+
+
+def test_spatial_queries_solve_each_pixel(spark, rows):
+    from glimmer.operators import components as C
+    from glimmer.sources.adapters import pixels, samples
+
+    p = pixels(spark, f"{DATA}/sf0.001")
+    t = {r["label"]: np.array(r["trace"]) - np.mean(r["trace"]) for r in C.label_traces(samples(p)).collect()}
+    region = {}
+    for r in C.label_region(p).collect():
+        region.setdefault(r["pix"], []).append(r["label"])
+    a = {}
+    for r in found(spark, "nnls_spatial"):
+        a.setdefault(r["pix"], {})[r["label"]] = r["a"]
+    for pix in list(rows)[:20]:
+        labels = sorted(region[pix])
+        x = np.vstack([t[k] for k in labels])
+        y = rows[pix] - rows[pix].mean()
+        got = np.array([a.get(pix, {}).get(k, 0.0) for k in labels])
+        slope = x @ (y - got @ x)
+        if (got > 0).sum() < 5:  # at most five labels a pixel
+            assert (slope <= 1e-2).all() and (np.abs(slope[got > 0]) < 1e-2).all()
+
+
+def test_greedy_seed_query_begins_with_the_best_pixel(spark, rows):
+    from glimmer.sources.adapters import HEIGHT
+
+    got = found(spark, "greedy_seeds")
+    assert got
+    block = [q for q in rows if q % HEIGHT < 10 and q // HEIGHT < 10]
+    z = {q: (rows[q] - rows[q].mean()) / rows[q].std() for q in block}
+
+    def score(q):
+        near = [p for p in block if p != q and abs(p % HEIGHT - q % HEIGHT) <= 1 and abs(p // HEIGHT - q // HEIGHT) <= 1]
+        y = rows[q] - np.median(rows[q])
+        return np.mean([z[p] @ z[q] / 64 for p in near]) * y.max() / y.std()
+
+    best = max(block, key=score)
+    first = [r for r in got if r["patch"] == 0 and r["rank"] == 1]
+    assert not first or (first[0]["pix"] == best and first[0]["score"] == pytest.approx(score(best), abs=1e-5))
+
+
+def test_merged_traces_are_of_rank_one(spark):
+    rng = np.random.default_rng(0)
+    a, c = rng.random((6, 3)), rng.random((3, 40))
+    traces = spark.createDataFrame([(k, c[k].tolist()) for k in range(3)], "id long, trace array<double>")
+    f = spark.createDataFrame([(k, p, float(a[p, k])) for k in range(3) for p in range(6)], "id long, pix long, val double")
+    groups = spark.createDataFrame([(k, 0) for k in range(3)], "id long, label long")
+    got = graph.merged_traces(traces, f, groups, 60).collect()[0]
+    _, _, v = np.linalg.svd(a @ c)
+    assert abs(np.corrcoef(got["trace"], v[0])[0, 1]) > 0.9999
+    assert len(found(spark, "merge_components")) >= 1
+
+
+def test_two_classes_by_the_spectrum(spark):
+    got = found(spark, "event_types")
+    assert len(got) == 500
+    assert len({r["cluster"] for r in got}) == 2
+    assert len({r["cluster"] for r in got if r["active"]}) == 1
 
 
 def test_deconvolution_of_short_and_missing_traces(spark):
