@@ -204,7 +204,7 @@ def nnls(gram: np.ndarray, target: np.ndarray, tol: float = 1e-9, most: int | No
     """x >= 0 that minimises x'Gx - 2 x'target, by active sets; at most `most` variables become positive."""
     n = len(target)
     x, free = np.zeros(n), np.zeros(n, bool)
-    for _ in range(3 * n + 10):
+    for _ in range(3 * n + 10 if n else 0):
         slope = target - gram @ x
         slope[free] = -np.inf
         k = int(np.argmax(slope))
