@@ -434,6 +434,36 @@ def test_held_out_accuracy(spark):
     assert n.get((0, 1), 0) <= 0.01 * n[0, 0]
 
 
+def test_scores_agree_with_a_plain_sum_over_words(spark, odd):
+    """The same fit, and then each text scored feature by feature in plain Python."""
+    rng = np.random.default_rng(3)
+    bad, good = ["scum", "idiots", "vermin"], ["garden", "window", "river"]
+    texts = [" ".join([*(f"w{x}" for x in rng.integers(0, 60, 12)), str(rng.choice(bad if i % 2 else good)), *(["women"] if i % 3 == 0 else [])]) for i in range(300)]
+    docs = spark.createDataFrame([*enumerate(texts), (None, "scum river"), (400, None), (401, "idiots " * 3)], "doc_id long, text string").unionByName(odd.select((F.col("doc_id") + 1000).alias("doc_id"), "text"))
+    labels = spark.createDataFrame([(i, i % 2) for i in range(300)], "doc_id long, toxic int")
+    held = lambda d: d is not None and zlib.crc32(str(d).encode()) % 5 == 0
+    rows = [(toxicity.document_features(t), None if (w := toxicity.swapped(t)) is None else toxicity.document_features(w), i % 2) for i, t in enumerate(texts) if not held(i)]
+    seen = collections.defaultdict(lambda: [0, 0])
+    for x, _, y in rows:
+        for f in x[0]:
+            seen[f][y] += 1
+    share, n = sum(y for *_, y in rows) / len(rows), len(rows)
+    told = {f for f, (a, b) in seen.items() if a + b >= 4 and abs(b - (a + b) * share) >= 4 * math.sqrt(max((a + b) * share * (1 - share), 1e-9))}
+    some = lambda x: None if x is None else (np.array([f for f in x[0] if f in told], int), np.array([c for f, c in zip(*x, strict=True) if f in told], float))
+    weights, bias = toxicity.fit([(some(x), some(s), y) for x, s, y in rows])
+    assert n and told
+
+    def score(text):
+        words = {re.sub(r"\W+", "", w.lower()) for w in (text or "").split()} - {""}
+        total = bias + sum(float(weights[zlib.crc32(f.encode()) % toxicity.BUCKETS]) for w in words for f in [f"={w}", *(f"^{w[:k]}" for k in (3, 4, 5, 6) if len(w) >= k)])
+        return 1 / (1 + math.exp(-max(-30.0, min(30.0, total))))
+
+    got = sorted((str(r["doc_id"]), r["held_out"], round(r["score"], 5), r["predicted"]) for r in toxicity.toxicity(docs, labels).collect())
+    want = sorted((str(r["doc_id"]), held(r["doc_id"]), round(score(r["text"]), 5), int(score(r["text"]) >= 0.5)) for r in docs.collect())
+    assert [(a, b, d) for a, b, _, d in got] == [(a, b, d) for a, b, _, d in want]
+    assert [c for *_, c, _ in got] == pytest.approx([c for *_, c, _ in want], abs=2e-4)
+
+
 def test_swaps_lower_the_score_change_of_identity_terms():
     rng = np.random.default_rng(0)
     rows = []
@@ -498,6 +528,52 @@ def test_classes_add_up_to_one():
     assert np.bincount(of, 10.0**within) == pytest.approx(np.ones(attention.CLASSES))
 
 
+def plain_score(w, of, within, ids):
+    """The log10 probability of a text's ids, one id and one head of attention at a time."""
+    total, step, context = 0.0, attention.STEP, attention.CONTEXT
+    for start in range(0, len(ids), step):
+        for i in range(start, min(start + step, len(ids))):
+            first = start - context  # the window's first place
+            seen = [(j, lm.BEGIN if j == 0 else ids[j - 1]) for j in range(max(first, 0), i + 1)]
+            z = np.array([w["e"][t] + w["p"][j - first] for j, t in seen], float)
+            q, k, v = z[-1] @ w["q"], z @ w["k"], z @ w["v"]
+            a = np.exp(k @ q / math.sqrt(attention.DIM))
+            h = z[-1] + (a @ v / a.sum()) @ w["o"]
+            g, m = divmod(int(of[ids[i]]), attention.MEMBERS)
+            for logits, chosen in ((h @ w["c"] + w["b"], g), (h @ w["c2"][g] + w["b2"][g], m)):
+                total += (logits[chosen] - math.log(np.exp(logits).sum())) / math.log(10)
+            total += within[ids[i]]
+    return total
+
+
+def test_scores_agree_with_one_id_at_a_time(spark, monkeypatch):
+    docs = spark.createDataFrame([(i, prose(5 + 23 * i, i)) for i in range(6)] + [(50, None), (51, "a")], "doc_id long, text string")
+    kept = {}
+    train = lm.train
+
+    def keep(*args):
+        kept["model"] = train(*args)
+        return kept["model"]
+
+    monkeypatch.setattr(lm, "train", keep)
+    got = {r["doc_id"]: r["score"] for r in lm.lm_scores(docs, queries.tokenizer()).collect()}
+    w, of, within = kept["model"].value
+    ids_of = word_ids(queries.tokenizer())
+    for r in docs.collect():
+        ids = np.append(np.frombuffer(ids_of.of(r["text"] or ""), "<u4"), lm.END).astype(int)
+        assert got[r["doc_id"]] == pytest.approx(plain_score(w, of, within, ids.tolist()), rel=1e-4, abs=1e-3)
+
+
+@pytest.mark.parametrize("n", [3, 200])
+def test_weights_are_averaged_level_by_level(spark, n):
+    share = np.array([1.0, 2.0], np.float32)
+    rows = [("e", 0, k, (np.full((2, 3), k, np.float32) * share[:, None]).tobytes(), share.tobytes()) for k in range(n)]
+    got = lm.averaged(spark.createDataFrame(rows, lm._SHARE), n).collect()
+    assert len(got) == 1
+    total, shares = (np.frombuffer(got[0][c], np.float32) for c in ("total", "share"))
+    assert total.reshape(2, 3) / shares[:, None] == pytest.approx(np.full((2, 3), (n - 1) / 2))
+
+
 @pytest.mark.parametrize("common", [400_000, 5])
 def test_base_scores_agree_with_brute_force(spark, odd, common, monkeypatch):
     monkeypatch.setattr(lm, "COMMON_WORDS", common)
@@ -563,22 +639,100 @@ def test_operators_and_stages_take_any_table(spark, kind, request):
 
 
 def test_pipeline_agrees_with_brute_force(spark):
-    """Each stage against its own brute force is above; here the stages follow each other on what the last one kept."""
+    """The whole pipeline over again in plain Python: rules, all pairs, chunks, edit distances, and ids by the tokenizer."""
     import corpus_pipeline
+    from tokenizers import Tokenizer
 
-    docs = table(spark, "documents")
-    kept = quality.clean_documents(docs)
-    ids = {r["doc_id"] for r in quality.quality_rules(docs).where("kept").collect()}
-    assert {r["doc_id"] for r in kept.collect()} == ids
-    joined = jaccard.without_near_duplicates(kept)
-    classes = jaccard.jaccard_join(kept).collect()
-    assert sorted(r["doc_id"] for r in joined.collect()) == sorted({r["class_id"] for r in classes})
-    cut = chunks.without_repeats(joined)
-    digests = {r["doc_id"]: r["kept_sha256"] for r in chunks.substring_dedup(joined).collect()}
-    assert {r["doc_id"]: hashlib.sha256(r["text"].encode()).hexdigest() for r in cut.collect()} == digests
-    bench = table(spark, "benchmark")
-    clean = decontamination.without_benchmark(cut, bench)
-    bad = {r["doc_id"] for r in decontamination.benchmark_matches(cut, bench).collect()}
-    assert {r["doc_id"] for r in clean.collect()} == set(digests) - bad
-    got = corpus_pipeline.run(spark, SF)
-    assert {r["doc_id"] for r in got.collect()} == set(digests) - bad
+    docs = {r["doc_id"]: r for r in table(spark, "documents").collect()}
+    assert len(docs) == table(spark, "documents").count()
+    norm = lambda line: " ".join(WORD.findall(line)).lower()
+    lines = {d: [norm(x) for x in (r["text"] or "").split("\n") if WORD.search(x)] for d, r in docs.items()}
+    often = collections.defaultdict(set)
+    for d, x in lines.items():
+        for line in x:
+            often[docs[d]["source"], line].add(tuple(x))
+    texts = {}
+    for d, r in docs.items():
+        w = WORD.findall(r["text"] or "")
+        c = collections.Counter(zip(w, w[1:], w[2:], strict=False))
+        covered = {i + k for i in range(len(w) - 2) if c[w[i], w[i + 1], w[i + 2]] > 1 for k in range(3)}
+        gone = lambda line, r=r: len(often[r["source"], norm(line)]) > 30
+        left = sum(len(WORD.findall(x)) for x in (r["text"] or "").split("\n") if not gone(x))
+        if len(w) >= 50 and 2 * len(covered) <= len(w) and left >= 0.3 * len(w):
+            texts[d] = "\n".join(x for x in r["text"].split("\n") if not gone(x))
+
+    hashes = jaccard.WordHashes()
+    sets = {d: jaccard.shingles(t, hashes) for d, t in texts.items()}
+    group = {d: d for d in texts}
+    for i, a in enumerate(ids := sorted(texts)):
+        for b in ids[i + 1 :]:
+            if min(len(sets[a]), len(sets[b])) >= 0.8 * max(len(sets[a]), len(sets[b])) and len(np.intersect1d(sets[a], sets[b])) >= 0.8 * len(np.union1d(sets[a], sets[b])):
+                old, new = max(group[a], group[b]), min(group[a], group[b])
+                group = {d: new if g == old else g for d, g in group.items()}
+    texts = {d: texts[d] for d in sorted(set(group.values()))}
+
+    seen = set()
+    for d in sorted(texts):
+        data, last, parts = texts[d].encode(), 0, []
+        for end in chunks.cuts(data):
+            if data[last:end] in seen:
+                parts.append({"start": last, "length": end - last})
+            last = end
+        last = 0
+        for end in chunks.cuts(data):
+            if data[last:end] in seen and {"start": last, "length": end - last} not in parts:
+                parts.append({"start": last, "length": end - last})
+            seen.add(data[last:end])
+            last = end
+        kept, last = [], 0
+        for start, length in chunks.runs_of(parts):
+            whole_at = lambda i, data=data: next(j for j in range(i, len(data) + 1) if j == len(data) or data[j] & 0xC0 != 0x80)
+            kept.append(data[last : whole_at(start) if start else 0])
+            last = whole_at(start + length)
+        texts[d] = (b"".join(kept) + data[last:]).decode()
+
+    items = [decontamination.normal(r["text"] or "") for r in table(spark, "benchmark").collect()]
+    for d in list(texts):
+        t = decontamination.normal(texts[d])
+        for item in filter(None, items):
+            k = int(0.08 * len(item))
+            pieces = [item[j * len(item) // (k + 1) : (j + 1) * len(item) // (k + 1)] for j in range(k + 1)]
+            if any(p in t for p in pieces) and levenshtein_in(item, t) <= k:
+                del texts[d]
+                break
+
+    t = Tokenizer.from_file(queries.tokenizer())
+    want = collections.Counter()
+    for d, text in texts.items():
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 2], "<u4")
+        want.update((d, a, len(p), zlib.crc32(p.tobytes()), len(ids)) for a in range(0, len(ids), 4096) for p in [ids[a : a + 4096]])
+    got = corpus_pipeline.run(spark, SF).collect()
+    assert collections.Counter((r["doc_id"], r["start"], r["length"], r["ids_crc32"], r["doc_tokens"]) for r in got) == want
+
+
+def test_recall_of_the_jaccard_join_against_all_pairs(spark):
+    """On the whole table of sf0.01: links between different texts, found by an inverted index over all n-grams."""
+    docs = spark.read.parquet(f"{DATA}/sf0.01/documents.parquet")
+    hashes, sets, copies = jaccard.WordHashes(), {}, collections.Counter()
+    for r in docs.select("text").collect():
+        copies[r["text"] or ""] += 1
+    for text in copies:
+        sets[text] = jaccard.shingles(text, hashes)
+    places = collections.defaultdict(list)
+    for text, s in sets.items():
+        for x in s.tolist():
+            places[x].append(text)
+    shared = collections.Counter()
+    for found in places.values():
+        for i, a in enumerate(found):
+            for b in found[i + 1 :]:
+                shared[a, b] += 1
+    links = collections.Counter({t: c - 1 for t, c in copies.items() if len(sets[t])})
+    for (a, b), n in shared.items():
+        if n >= 0.8 * (len(sets[a]) + len(sets[b]) - n):
+            links[a] += copies[b]
+            links[b] += copies[a]
+    want = sum(copies[t] * n for t, n in links.items())
+    got = jaccard.jaccard_join(docs).agg(F.sum("n_links")).head()[0]
+    print("links", got, "of", want)
+    assert 0.98 * want <= got <= want
