@@ -108,7 +108,7 @@ def streamed_calcium(spark: SparkSession, d: str) -> DataFrame:
     base = f"{shared_folder(spark)}/stream-{uuid.uuid4().hex}"
     traces(spark, d).select(F.col("user_id").cast("long").alias("user_id"), "t", "y").write.parquet(f"{base}/in")
     stream = spark.readStream.schema("user_id long, t int, y double").parquet(f"{base}/in")
-    out = online_calcium(stream, 0.9, look_back=8)
+    out = online_calcium(stream, 0.9)
     run = lambda: out.writeStream.format("parquet").option("path", f"{base}/out").option("checkpointLocation", f"{base}/state").trigger(availableNow=True).start().awaitTermination()
     run()
     closing = spark.read.parquet(f"{base}/in").select("user_id", F.lit(None).cast("int").alias("t"), F.lit(None).cast("double").alias("y")).distinct()

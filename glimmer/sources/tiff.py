@@ -19,17 +19,23 @@ FIELD = {1: "B", 3: "H", 4: "I", 16: "Q"}
 def pages(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
     """(height, width, values) of each page of an uncompressed grey TIFF, 8 to 64 bits, either byte order."""
     order = {b"II": "<", b"MM": ">"}.get(data[:2])
-    if order is None or struct.unpack_from(f"{order}H", data, 2)[0] != 42:
+    version = struct.unpack_from(f"{order}H", data, 2)[0] if order else 0
+    if version not in (42, 43):
         raise ValueError("not a TIFF file")
-    at = struct.unpack_from(f"{order}I", data, 4)[0]
+    # Files of the large kind have counts and offsets of 8 bytes.
+    size_of_offset, count_kind, entry = (4, "H", 12) if version == 42 else (8, "Q", 20)
+    offset_kind = "I" if version == 42 else "Q"
+    at = struct.unpack_from(f"{order}{offset_kind}", data, 4 if version == 42 else 8)[0]
     while at:
-        n = struct.unpack_from(f"{order}H", data, at)[0]
+        n = struct.unpack_from(f"{order}{count_kind}", data, at)[0]
+        first = at + struct.calcsize(count_kind)
         tags = {}
         for i in range(n):
-            tag, kind, count = struct.unpack_from(f"{order}HHI", data, at + 2 + 12 * i)
+            tag, kind, count = struct.unpack_from(f"{order}HH{offset_kind}", data, first + entry * i)
             if kind in FIELD:
+                value = first + entry * i + 4 + size_of_offset
                 size = struct.calcsize(FIELD[kind]) * count
-                place = at + 10 + 12 * i if size <= 4 else struct.unpack_from(f"{order}I", data, at + 10 + 12 * i)[0]
+                place = value if size <= size_of_offset else struct.unpack_from(f"{order}{offset_kind}", data, value)[0]
                 tags[tag] = struct.unpack_from(f"{order}{count}{FIELD[kind]}", data, place)
         if tags.get(COMPRESSION, (1,))[0] != 1 or tags.get(SAMPLES, (1,))[0] != 1:
             raise ValueError("compressed and colour pages are not read")
@@ -37,7 +43,7 @@ def pages(data: bytes) -> Iterator[tuple[int, int, np.ndarray]]:
         height, width = tags[HEIGHT][0], tags[WIDTH][0]
         raw = b"".join(data[a : a + b] for a, b in zip(tags[OFFSETS], tags[SIZES], strict=True))
         yield height, width, np.frombuffer(raw, f"{order}{kind}{tags.get(BITS, (8,))[0] // 8}")[: height * width].astype(float)
-        at = struct.unpack_from(f"{order}I", data, at + 2 + 12 * n)[0]
+        at = struct.unpack_from(f"{order}{offset_kind}", data, first + entry * n)[0]
 
 
 def read_frames(spark: SparkSession, path: str, first: int = 1, count: int | None = None) -> DataFrame:
@@ -57,6 +63,23 @@ def read_frames(spark: SparkSession, path: str, first: int = 1, count: int | Non
     return files.select("path", "content").mapInPandas(parse, "path string, t int, height int, width int, y array<double>")
 
 
+def written(frames: DataFrame) -> DataFrame:
+    """(path, content): each movie's frames as the bytes of a TIFF file of one strip a page, 64-bit floats."""
+
+    def pack(key, group: pd.DataFrame) -> pd.DataFrame:
+        out, place = bytearray(struct.pack("<2sHI", b"II", 42, 8)), 8
+        group = group.sort_values("t")
+        for k, (height, width, y) in enumerate(zip(group["height"], group["width"], group["y"], strict=True)):
+            data = np.asarray(y, "<f8").tobytes()
+            tags = [(WIDTH, width), (HEIGHT, height), (BITS, 64), (COMPRESSION, 1), (OFFSETS, place + 2 + 12 * 8 + 4), (SAMPLES, 1), (SIZES, len(data)), (FORMAT, 3)]
+            place += 2 + 12 * len(tags) + 4 + len(data)
+            out += struct.pack("<H", len(tags)) + b"".join(struct.pack("<HHII", tag, 4, 1, int(value)) for tag, value in tags)
+            out += struct.pack("<I", place if k + 1 < len(group) else 0) + data
+        return pd.DataFrame({"path": [key[0]], "content": [bytes(out)]})
+
+    return frames.groupBy("path").applyInPandas(pack, "path string, content binary")
+
+
 def one_movie(frames: DataFrame) -> DataFrame:
     """The files of a folder one after another in time, by name: t goes on from file to file."""
     lengths = frames.groupBy("path").agg(F.max("t").alias("n"))

@@ -1,4 +1,4 @@
-"""Deconvolution of a stream of samples: only the last pools of a series can still change."""
+"""Deconvolution of a stream of samples: only the pools of a series that are still open can change."""
 
 from __future__ import annotations
 
@@ -7,15 +7,12 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame
 
-#: Pools that stay open for each series; older ones are final and leave the state.
-LOOK_BACK = 32
-
-
-def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: int = LOOK_BACK) -> DataFrame:
+def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: int | None = None) -> DataFrame:
     """(user_id, t, c, spike) of the frames that are final, from a stream of (user_id, t, y) in time order per series.
 
-    The state of a series is its open pools and frame count. A pool that a later sample would reach further back than
-    look_back pools is final as it stands. A row without t ends its series: all its pools are final then.
+    The state of a series is its open pools, four numbers each, and its frame count. A row without t ends its series: all
+    its pools are final then, and the result is that of the whole trace. With look_back, a pool that many pools back is
+    final as it stands; that bounds the state and the delay, but a sample that would reach further back no longer does.
     """
 
     def update(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
@@ -41,7 +38,7 @@ def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: i
                     break
                 v2, w2, _, n2 = pools.pop()
                 pools[-1] = [v + v2 * g**n, w + w2 * g ** (2 * n), t, n + n2]
-            while len(pools) > look_back:
+            while look_back is not None and len(pools) > look_back:
                 leave()
         if frames["t"].isna().any():
             while pools:

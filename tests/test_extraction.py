@@ -2,6 +2,7 @@ import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from glimmer.operators import commands
 from glimmer.options import Options, updated
@@ -93,3 +94,131 @@ def test_splines_add_up_to_one():
     b = b_splines(50, 6)
     assert b.shape == (50, 8)
     assert b.sum(1) == pytest.approx(np.ones(50))
+
+
+def test_large_tiff_and_written_tiff(spark, tmp_path):
+    frames = np.random.default_rng(0).integers(0, 60000, (3, 2, 5))
+    out = bytearray(struct.pack("<2sHHHQ", b"II", 43, 8, 0, 16))
+    for k, f in enumerate(frames):
+        data = f.astype("<u2").tobytes()
+        place = len(out)
+        tags = [(256, 5), (257, 2), (258, 16), (259, 1), (273, place + 8 + 20 * 7 + 8), (277, 1), (279, len(data))]
+        out += struct.pack("<Q", len(tags)) + b"".join(struct.pack("<HHQQ", t, 16, 1, v) for t, v in tags)
+        out += struct.pack("<Q", len(out) + 8 + len(data) if k < 2 else 0) + data
+    assert [p[2].reshape(2, 5).tolist() for p in tiff.pages(bytes(out))] == frames.tolist()
+    (tmp_path / "a.tif").write_bytes(bytes(out))
+    again = tiff.written(tiff.read_frames(spark, str(tmp_path))).collect()[0]["content"]
+    assert [p[2].reshape(2, 5).tolist() for p in tiff.pages(bytes(again))] == frames.tolist()
+
+
+def test_synthetic_traces_are_deconvolved(spark):
+    from glimmer.operators import deconvolution
+    from glimmer.sources import synthetic
+
+    one = synthetic.traces(spark, 3, frames=600, noise=0.2)
+    two = synthetic.traces(spark, 3, (1.5, -0.55), 0.1, 400, wave=True)
+    for d, options in ((one, {"g": 0.95}), (two, {"model": "ar2", "g2": [1.5, -0.55]})):
+        got = deconvolution.deconvolved(d, "trace_id", "constrained", **options).join(d, "trace_id").collect()
+        for r in got:
+            assert np.corrcoef(r["c"], r["true_c"])[0, 1] > 0.9
+    assert sorted(r["trace_id"] for r in synthetic.traces(spark, 5, frames=10).repartition(3).collect()) == [1, 2, 3, 4, 5]
+
+
+def one_photon(spark, size=24, frames=300):
+    """Sources on a wide, slowly changing background, with a second image of one of them."""
+    rng = np.random.default_rng(8)
+    centres = [(6, 6), (6, 17), (17, 8), (16, 17)]
+    traces = [3 * np.array(np.convolve(rng.random(frames) < 0.03, 0.9 ** np.arange(60))[:frames]) for _ in centres]
+    drift = 5 + 2 * np.sin(np.arange(frames) / 30)
+    rows = []
+    for c in range(size):
+        for r in range(size):
+            y = drift * (1 + 0.01 * r + 0.02 * c) + 0.1 * rng.standard_normal(frames)
+            for (a, b), t in zip(centres, traces, strict=True):
+                y += np.exp(-((r - a) ** 2 + (c - b) ** 2) / 8) * t
+            rows.append((c * size + r, r, c, y.tolist()))
+    return spark.createDataFrame(rows, "pix long, r long, c long, y array<double>"), centres, traces
+
+
+def test_seeds_of_a_one_photon_movie(spark):
+    from glimmer.operators import patches
+
+    movie_, centres, traces = one_photon(spark)
+    found = patches.sources(patches.blocks(movie_, 24, 12, 8), 2.0, 7, 0.5, 5).collect()
+    for (a, b), t in zip(centres, traces, strict=True):
+        near = [r for r in found if abs(r["pix"] % 24 - a) <= 2 and abs(r["pix"] // 24 - b) <= 2]
+        assert near
+        assert max(np.corrcoef(r["trace"], t)[0, 1] for r in near) > 0.9
+
+
+@pytest.mark.parametrize("model", ["ring", "svd"])
+def test_demixing_finds_footprints_and_traces(spark, model):
+    from glimmer.plans import updates
+
+    movie_, centres, traces = one_photon(spark)
+    o = Options(gSiz=7, patch=12, min_corr=0.5, min_pnr=5, min_pixel=5, ring_radius=8, background_model=model, nb=1, merge_thr=0.7)
+    out = updates.demix(movie_, 24, o, 2.0, rounds=2)
+    f, t = out["footprints"].toPandas(), {r["neuron"]: np.array(r["trace"]) for r in out["traces"].collect()}
+    assert len(centres) <= len(t) <= 2 * len(centres)
+    for (a, b), want in zip(centres, traces, strict=True):
+        best = max(t, key=lambda k: np.corrcoef(t[k], want)[0, 1])
+        assert np.corrcoef(t[best], want)[0, 1] > 0.9
+        mine = f[f["neuron"] == best]
+        peak = mine.loc[mine["val"].idxmax(), "pix"]
+        assert abs(peak % 24 - a) <= 1 and abs(peak // 24 - b) <= 1
+    first = out["background"].toPandas().set_index("pix")["b"]
+    assert np.corrcoef(first[0], 5 + 2 * np.sin(np.arange(300) / 30))[0, 1] > 0.9
+
+
+def test_batches_go_on_from_their_tables(spark, tmp_path):
+    from glimmer.plans import updates
+
+    movie_, centres, _ = one_photon(spark)
+    o = Options(gSiz=7, patch=24, min_corr=0.5, min_pnr=5, min_pixel=5, ring_radius=8, background_model="svd", nb=1, merge_thr=0.7)
+    part = lambda k: movie_.withColumn("y", F.slice("y", 1 + 150 * k, 150))
+    one = updates.demix_batches(part, [0], 24, str(tmp_path), o, 2.0)
+    n = one["traces"].count()
+    assert n >= 3
+    both = updates.demix_batches(part, [0, 1], 24, str(tmp_path), o, 2.0)
+    assert both["traces"].where("batch = 0").count() == n
+    assert {r["neuron"] for r in one["traces"].collect()} <= {r["neuron"] for r in both["traces"].where("batch = 1").collect()} | {r["neuron"] for r in one["traces"].collect()}
+    assert both["footprints"].count() > 0
+
+
+def test_results_and_their_parts(spark, tmp_path):
+    from glimmer.sources import results
+
+    f = spark.createDataFrame([(1, 1, 1.0), (1, 2, 0.0), (2, 2, 3.0)], "neuron long, pix long, val double")
+    results.write(str(tmp_path / "run"), {"footprints": f}, by={"footprints": "neuron"})
+    back = results.read(spark, str(tmp_path / "run"), "footprints")
+    assert sorted((r["neuron"], r["pix"], r["val"]) for r in back.collect()) == [(1, 1, 1.0), (1, 2, 0.0), (2, 2, 3.0)]
+    assert results.compressed(f).count() == 2
+    assert results.subset({"f": f, "other": f.select("pix")}, f.where("neuron = 2"))["f"].count() == 1
+    for k in range(2):
+        results.audit(str(tmp_path / "run"), "merge", spark.createDataFrame([(k, "1,2")], "label long, members string"))
+    assert results.read(spark, str(tmp_path / "run"), "audit").count() == 2
+    assert results.existing(spark, [str(tmp_path), str(tmp_path), str(tmp_path / "no")]) == [str(tmp_path)]
+
+
+def test_images():
+    from glimmer.functions import images
+
+    stack = np.random.default_rng(0).standard_normal((9, 8, 50))
+    z = (stack - stack.mean(-1, keepdims=True)) / stack.std(-1, keepdims=True)
+    want = np.mean([(z[4, 4] * z[4 + i, 4 + j]).mean() for i in (-1, 0, 1) for j in (-1, 0, 1) if i or j])
+    assert images.neighbour_correlation(stack)[4, 4] == pytest.approx(want)
+    psf = images.centred_psf(1.0)
+    assert psf.sum() == pytest.approx(0, abs=1e-12)
+    flat = images.filtered(np.ones((7, 7, 2)), psf)
+    assert flat == pytest.approx(np.zeros((7, 7, 2)), abs=1e-12)
+    mask = np.zeros((8, 8), bool)
+    mask[0:2, 0:2] = mask[5:8, 5:8] = mask[2, 2] = True
+    assert len(np.unique(images.regions(mask))) == 4
+    assert len(np.unique(images.regions(mask, diagonal=True))) == 3
+    r, c = np.mgrid[:15, :15]
+    spot = np.exp(-((r - 7) ** 2 + (c - 7) ** 2) / 8)
+    other = spot + 0.8 * ((r == 1) & (c == 13))
+    assert images.connected(other)[1, 13] == 0
+    assert images.connected(other)[7, 7] == other[7, 7]
+    assert images.convex(np.where(spot > 0.05, other, 0))[1, 13] == 0
+    assert images.most_energy(other, 0.9)[1, 13] == 0
