@@ -158,14 +158,14 @@ def spatial_sums(pixels: DataFrame, region: DataFrame, traces: DataFrame) -> Dat
     """U = Y C' without the means, within the search region: (pix, label, u) from pixels, (pix, label) and (label, trace)."""
     y = pixels.select("pix", centred(F.col("y")).alias("y"))
     d = region.join(traces.select("label", centred(F.col("trace")).alias("x")), "label").join(y, "pix")
-    return d.select("pix", "label", A.rounded(A.dot(F.col("y"), F.col("x")), 4).alias("u"))
+    return d.select("pix", "label", A.dot(F.col("y"), F.col("x")).alias("u"))
 
 
 def gram(traces: DataFrame, pairs: DataFrame) -> DataFrame:
     """V = C C' without the means for the given pairs, each component with itself among them: (a, b, v)."""
     t = traces.select("label", centred(F.col("trace")).alias("x"))
     d = pairs.select("a", "b").join(t.select(F.col("label").alias("a"), F.col("x").alias("xa")), "a").join(t.select(F.col("label").alias("b"), F.col("x").alias("xb")), "b")
-    return d.select("a", "b", A.rounded(A.dot(F.col("xa"), F.col("xb")), 4).alias("v"))
+    return d.select("a", "b", A.dot(F.col("xa"), F.col("xb")).alias("v"))
 
 
 def region_pairs(region: DataFrame) -> DataFrame:

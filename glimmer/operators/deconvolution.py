@@ -77,6 +77,16 @@ def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model:
     return traces.where(F.size("y") > 3).select(key, run("y").alias("d")).select(key, "d.*")
 
 
+def modes(traces: DataFrame, key: str) -> DataFrame:
+    """(key, mode, bandwidth): where a trace's values are densest."""
+
+    @F.pandas_udf("struct<mode: double, bandwidth: double>")
+    def run(y: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([K.density_mode(np.nan_to_num(np.asarray(x, float))) for x in y], columns=["mode", "bandwidth"])
+
+    return traces.where(F.size("y") > 3).select(key, run("y").alias("m")).select(key, F.round("m.mode", 6).alias("mode"), F.round("m.bandwidth", 6).alias("bandwidth"))
+
+
 def spectra(traces: DataFrame, key: str, bins: int = 8) -> DataFrame:
     """(key, power): the logarithm of each trace's power in even bands of frequency."""
 

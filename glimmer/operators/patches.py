@@ -281,7 +281,8 @@ def spatial_update(sums: DataFrame, gram: DataFrame, method: str = "nnls", most:
     """Non-negative footprints pixel by pixel: (pix, label, a) from U (pix, label, u) and V (a, b, v).
 
     A pixel gets the part of V that its own labels have, by a join on label pairs. method: nnls (at most `most` labels a
-    pixel), hals (sweeps from `start` (pix, label, a), or from 0), or either with _thresh, by which weights under three
+    pixel), clamped (least squares, with what is below 0 set to 0), hals (sweeps from `start` (pix, label, a), or from 0),
+    or nnls or hals with _thresh, by which weights under three
     deviations of the noise (pix, sn) over the root of V's diagonal become 0; lars adds labels until the residual energy
     is within the noise, noise then being (pix, sn, energy, frames).
     """
@@ -307,6 +308,8 @@ def spatial_update(sums: DataFrame, gram: DataFrame, method: str = "nnls", most:
                     a = K.nnls(v, u, 1e-9, k)
                     if given["energy"] - 2 * a @ u + a @ v @ a <= given["sn"] ** 2 * given["frames"]:
                         break
+            elif method == "clamped":
+                a = np.maximum(np.linalg.lstsq(v, u, rcond=None)[0], 0.0)
             elif method.startswith("hals"):
                 a = K.hals(u[:, None], v, np.array([[e["a0"]] for e in items], float))[:, 0]
             else:

@@ -340,12 +340,12 @@ def rss_rollup(spark, d):
 @query(f"{_LT}, {_REG} SELECT px.pix, k AS label, {r('sum(y * x) - sum(y) * sum(x) / count(*)', 4)} AS u FROM px JOIN reg ON reg.pix = px.pix JOIN lt ON lt.t = px.t AND lt.k = reg.label GROUP BY px.pix, k")
 def spatial_sums(spark, d):
     p = pixels(spark, d)
-    return C.spatial_sums(p, C.label_region(p), _labels(spark, d))
+    return C.spatial_sums(p, C.label_region(p), _labels(spark, d)).withColumn("u", A.rounded(F.col("u"), 4))
 
 
 @query(f"{_LT}, {_REG}, m AS (SELECT DISTINCT x.label AS a, y.label AS b FROM reg x JOIN reg y USING (pix)) SELECT a.k AS a, b.k AS b, {r('sum(a.x * b.x) - sum(a.x) * sum(b.x) / count(*)', 4)} AS v FROM lt a JOIN lt b USING (t) JOIN m ON m.a = a.k AND m.b = b.k GROUP BY 1, 2")
 def trace_gram(spark, d):
-    return C.gram(_labels(spark, d), C.region_pairs(C.label_region(pixels(spark, d))))
+    return C.gram(_labels(spark, d), C.region_pairs(C.label_region(pixels(spark, d)))).withColumn("v", A.rounded(F.col("v"), 4))
 
 
 @query(f"{_FP}, b AS (SELECT * FROM (SELECT *, max(val) OVER (PARTITION BY neuron) AS top FROM f) WHERE val >= 0.5 * top) SELECT CAST(neuron AS INT) AS neuron, CAST(t AS INT) AS t, {r('sum(val * y) / sum(val * val)')} AS y FROM b JOIN px USING (pix) GROUP BY neuron, t")

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
-from glimmer.operators import deconvolution, graph, patches
+from glimmer.operators import deconvolution, graph, patches, stats
 from glimmer.operators.shared import shared_folder
 from glimmer.sources.adapters import HEIGHT, pixels, samples, table, traces
 
@@ -131,4 +131,23 @@ def event_types(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(v).select("pix", F.col("prediction").alias("cluster"), (F.col("prediction") == active).alias("active"))
 
 
-QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, oasis_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types)}
+def density_modes(spark: SparkSession, d: str) -> DataFrame:
+    return deconvolution.modes(pixels(spark, d), "pix")
+
+
+def preprocessed(spark: SparkSession, d: str) -> DataFrame:
+    """What is known of a pixel before the first seed: unsaturated, noise, active by its spectrum, and the movie's common AR(1) coefficient.
+
+    The coefficient is a sum over all pixels: lag-1 products over squares less the noise.
+    """
+    p = pixels(spark, d)
+    sn = deconvolution.histogram_noise(p, "pix").select("pix", "sn_plain")
+    z = p.select("pix", C.centred(F.col("y")).alias("z")).join(sn, "pix")
+    n = F.size("z")
+    lag = A.dot(F.slice("z", 1, n - 1), F.slice("z", 2, n - 1))
+    common = z.agg(A.rounded(F.sum(lag) / F.sum(A.dot(F.col("z"), F.col("z")) - n * F.pow("sn_plain", 2))).alias("g"))  # one row
+    d1 = stats.saturated_share(p, 0.2, 0.05).select("pix", "unsaturated").join(sn, "pix").join(event_types(spark, d).select("pix", "active"), "pix")
+    return d1.join(F.broadcast(common)).select("pix", "unsaturated", F.col("sn_plain").alias("sn"), "active", "g")
+
+
+QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, oasis_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types, density_modes, preprocessed)}

@@ -313,7 +313,7 @@ def _spatial(spark, d, method: str) -> DataFrame:
     noise = deconvolution.noise(p, "pix")
     if method == "lars":
         noise = noise.join(p.select("pix", A.dot(C.centred(F.col("y")), C.centred(F.col("y"))).alias("energy"), F.size("y").cast("double").alias("frames")), "pix")
-    return patches.spatial_update(C.spatial_sums(p, region, c), C.gram(c, C.region_pairs(region)), method, noise=noise if method != "nnls" and method != "hals" else None)
+    return patches.spatial_update(C.spatial_sums(p, region, c), C.gram(c, C.region_pairs(region)), method, noise=noise if method not in ("nnls", "hals", "clamped") else None)
 
 
 @query
@@ -331,6 +331,11 @@ def nnls_spatial_thresh(spark, d):
     return _spatial(spark, d, "nnls_thresh")
 
 
+@query
+def clamped_spatial(spark, d):
+    return _spatial(spark, d, "clamped")
+
+
 @query
 def lars_spatial(spark, d):
     return _spatial(spark, d, "lars")

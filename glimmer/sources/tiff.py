@@ -99,3 +99,19 @@ def to_pixels(frames: DataFrame) -> DataFrame:
 def size_of(frames: DataFrame) -> DataFrame:
     """(path, height, width, frames)."""
     return frames.groupBy("path").agg(F.max("height").alias("height"), F.max("width").alias("width"), F.count("*").alias("frames"))
+
+
+def ingest(spark: SparkSession, path: str, out: str) -> DataFrame:
+    """A folder of TIFF files as one movie in a table of pixels under out, written once; (pix, r, c, y, least) with the movie's least value."""
+    from glimmer.sources.results import existing
+
+    if not existing(spark, [f"{out}/_SUCCESS"]):
+        to_pixels(one_movie(read_frames(spark, path))).write.mode("overwrite").parquet(out)
+    pixels = spark.read.parquet(out)
+    return pixels.join(F.broadcast(pixels.agg(F.min(F.array_min("y")).alias("least"))))  # one row
+
+
+def unfinished(spark: SparkSession, path: str, done: DataFrame) -> DataFrame:
+    """(path) of the TIFF files below a folder that are not in done (path)."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.tif*").load(path)
+    return files.select("path").join(done.select("path"), "path", "left_anti")

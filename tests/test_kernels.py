@@ -354,3 +354,69 @@ def test_deconvolution_of_short_and_missing_traces(spark):
     got = deconvolution.deconvolved(d, "pix").collect()
     assert {r["pix"] for r in got} == {2, 3}
     assert all(x == 0 for r in got for x in r["c"])
+
+
+def test_density_modes(spark):
+    rng = np.random.default_rng(0)
+    y = np.concatenate([rng.normal(2, 0.5, 3000), rng.normal(9, 1, 500)])
+    mode, width = K.density_mode(y)
+    assert mode == pytest.approx(2, abs=0.15)
+    assert 0.05 < width < 0.6
+    assert len(found(spark, "density_modes")) == 500
+    assert K.density_mode(np.ones(9)) == (1.0, 0.0)
+
+
+def test_preprocessing(spark, rows):
+    got = {r["pix"]: r for r in found(spark, "preprocessed")}
+    assert set(got) == set(rows)
+    z = {p: y - y.mean() for p, y in rows.items()}
+    g = sum(v[1:] @ v[:-1] for v in z.values()) / sum(v @ v - 64 * got[p]["sn"] ** 2 for p, v in z.items())
+    assert all(r["g"] == pytest.approx(g, rel=1e-3) for r in got.values())
+
+
+def test_update_queries_agree_with_plain_solutions(spark, rows):
+    """Least squares, descent and thresholds of a pixel's labels, and turns of overlapping components."""
+    from glimmer.operators import components as C
+    from glimmer.plans import updates
+    from glimmer.sources.adapters import pixels, samples
+
+    sf = f"{DATA}/sf0.001"
+    p = pixels(spark, sf)
+    t = {r["label"]: np.array(r["trace"]) - np.mean(r["trace"]) for r in C.label_traces(samples(p)).collect()}
+    region = {}
+    for r in C.label_region(p).collect():
+        region.setdefault(r["pix"], []).append(r["label"])
+
+    def answers(name):
+        a = {}
+        for r in updates.QUERIES[name](spark, sf).collect():
+            a.setdefault(r["pix"], {})[r["label"]] = r["a"]
+        return a
+
+    hals, thresh, clamped = answers("hals_spatial"), answers("hals_spatial_thresh"), answers("clamped_spatial")
+    for pix in list(rows)[:15]:
+        labels = sorted(region[pix])
+        x = np.vstack([t[k] for k in labels])
+        y = rows[pix] - rows[pix].mean()
+        u, v = x @ y, x @ x.T
+        want = K.hals(u[:, None], v, np.zeros((len(u), 1)))[:, 0]
+        assert [hals.get(pix, {}).get(k, 0.0) for k in labels] == pytest.approx(want, abs=2e-3)
+        sn = float(K.noise_level(rows[pix])[0])
+        cut = np.where(want < 3 * sn / np.sqrt(np.diag(v)), 0, want)
+        assert [thresh.get(pix, {}).get(k, 0.0) for k in labels] == pytest.approx(cut, abs=2e-3)
+        assert [clamped.get(pix, {}).get(k, 0.0) for k in labels] == pytest.approx(np.maximum(np.linalg.solve(v, u), 0), abs=2e-3)
+    f = C.footprints(samples(p), 0.15)
+    turn = {r["id"]: r["turn"] for r in updates.update_order(spark, sf).collect()}
+    assert set(turn) == {r["neuron"] for r in f.select("neuron").distinct().collect()}
+    assert all(turn[r["a"]] != turn[r["b"]] for r in C.overlap_cosine(f, 0.2).collect())
+
+
+@pytest.mark.parametrize("model", ["ring", "svd", "nmf"])
+def test_background_update_queries(spark, rows, model):
+    from glimmer.plans import updates
+
+    got = {r["pix"]: r for r in updates.QUERIES[f"update_background_{model}"](spark, f"{DATA}/sf0.001").collect()}
+    assert set(got) == set(rows)
+    rest = {r["pix"]: r for r in updates.QUERIES["background_model_residual"](spark, f"{DATA}/sf0.001").collect()}
+    if model != "nmf":  # the models are about the mean
+        assert all(got[p]["level"] == pytest.approx(rest[p]["level"], abs=2e-5) for p in rows)
