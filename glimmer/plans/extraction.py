@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
 from glimmer.operators import deconvolution, graph, patches
+from glimmer.operators.shared import cut
 from glimmer.options import Options
 
 
@@ -20,7 +21,7 @@ def extract(pixels: DataFrame, height: int, options: Options | None = None) -> d
     o = options or Options()
     radius = o.gSiz or int(2 * o.gSig)
     centred = pixels.withColumn("y", A.given(A.median(F.col("y")), lambda m: F.transform("y", lambda x: F.nanvl(x, F.lit(0.0)) - m)))
-    centred = centred.checkpoint() if pixels.sparkSession.sparkContext.getCheckpointDir() else centred
+    centred = cut(centred)
     found = patches.seeds(patches.blocks(centred, height, o.patch, min(radius, o.patch)), radius, o.min_corr * o.min_pnr, o.seeds_per_patch)
     seeds = found.join(pixels.select("pix", "r", "c"), "pix").select(F.col("pix").alias("neuron"), "r", "c", "trace", "score")
 
