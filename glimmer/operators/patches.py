@@ -212,6 +212,64 @@ def ring_weights(blocks: DataFrame, inner: float, outer: float, ridge: float = 1
     return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, nbr_pix long, w double")
 
 
+def neighbour_weights(blocks: DataFrame, inner: float, outer: float, gamma: float = 1e-3) -> DataFrame:
+    """(patch, pix, nbr_pix, w): each inner pixel as a mean of its ring's pixels with weights that add up to 1 (locally linear)."""
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, y = _image(group)
+        r, c, pix, out = group["r"].to_numpy(), group["c"].to_numpy(), group["pix"].to_numpy(), []
+        for i in np.flatnonzero(group["inside"].to_numpy()):
+            d = (r - r[i]) ** 2 + (c - c[i]) ** 2
+            ring = np.flatnonzero((d >= inner * inner) & (d < outer * outer))
+            if len(ring):
+                z = y[ring] - y[i]
+                g = z @ z.T
+                w = np.linalg.solve(g + max(gamma * np.trace(g), 1e-300) * np.eye(len(g)), np.ones(len(g)))
+                out += [(int(key[0]), int(pix[i]), int(q), round(float(v), 6)) for q, v in zip(pix[ring], w / w.sum(), strict=True)]
+        return pd.DataFrame(out, columns=["patch", "pix", "nbr_pix", "w"])
+
+    return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, nbr_pix long, w double")
+
+
+def rank_one_sources(blocks: DataFrame, sigma: float, size: int, k: int, score: str = "energy", rounds: int = 5) -> DataFrame:
+    """k sources of each patch: (patch, rank, pix, pixels, weights, trace), those whose seed is in the patch.
+
+    The movie is blurred by a Gaussian; where it has most energy (or, by score "corr", where peak-to-noise ratio times
+    local correlation is largest), the box around is explained by one non-negative footprint and a trace, by turns, and
+    taken off.
+    """
+    x = np.arange(2 * int(np.ceil(2 * sigma)) + 1) - int(np.ceil(2 * sigma))
+    g = np.exp(-(x[:, None] ** 2 + x**2) / (2 * sigma**2))
+    g /= np.sqrt((g**2).sum())
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, y, r, c = _stack(group)
+        pix, inside, rows = _grid(group, "pix", r, c, y), _grid(group, "inside", r, c, y), []
+        y -= np.median(y, -1, keepdims=True)
+        free = pix >= 0
+        for rank in range(1, min(k, int(free.sum())) + 1):
+            blurred = I.filtered(y, g)
+            if score == "corr":
+                sn = K.noise_level(y.reshape(-1, y.shape[-1])).reshape(y.shape[:2])
+                v = I.neighbour_correlation(y) * y.max(-1) / np.where(sn > 0, sn, np.inf)
+            else:
+                v = (blurred**2).sum(-1)
+            at = tuple(np.unravel_index(np.argmax(np.where(free, v, -np.inf)), v.shape))
+            free[at] = False
+            box = tuple(slice(max(0, p - size), p + size + 1) for p in at)
+            trace = blurred[at]
+            for _ in range(rounds):
+                a = np.maximum(0.0, y[box] @ trace / max(trace @ trace, 1e-300))
+                trace = np.tensordot(a, y[box], 2) / max((a * a).sum(), 1e-300)
+            y[box] -= a[..., None] * trace
+            if inside[at]:
+                on = a > 0
+                rows.append((int(key[0]), rank, int(pix[at]), pix[box][on].tolist(), a[on].tolist(), trace.tolist()))
+        return pd.DataFrame(rows, columns=["patch", "rank", "pix", "pixels", "weights", "trace"], dtype=None if rows else object)
+
+    return blocks.groupBy("patch").applyInPandas(run, "patch long, rank int, pix long, pixels array<long>, weights array<double>, trace array<double>")
+
+
 def ring_background(blocks: DataFrame, inner: float, outer: float, ridge: float = 1e-5, clip: float | None = None) -> DataFrame:
     """(pix, b): each inner pixel's trace as its ring tells it, about its own mean.
 

@@ -283,6 +283,27 @@ def endoscope_sources(spark, d):
     return found.select("patch", "pix", "score", F.size("pixels").alias("n_pixels"), A.rounded(A.total(F.col("weights")), 4).alias("mass"))
 
 
+def _masses(found: DataFrame) -> DataFrame:
+    return found.select("patch", "rank", "pix", F.size("pixels").alias("n_pixels"), A.rounded(A.total(F.col("weights")), 4).alias("mass"))
+
+
+@query
+def rank_one_sources(spark, d):
+    """The three sources of most energy in each patch."""
+    return _masses(patches.rank_one_sources(patches.blocks(_blurred(spark, d), HEIGHT, 8, 4), 1.5, 3, 3))
+
+
+@query
+def rank_one_sources_corr(spark, d):
+    """The three sources of each patch that are most like their neighbours and stand out most."""
+    return _masses(patches.rank_one_sources(patches.blocks(_blurred(spark, d), HEIGHT, 8, 4), 1.5, 3, 3, "corr"))
+
+
+@query
+def neighbour_weights(spark, d):
+    return patches.neighbour_weights(patches.blocks(pixels(spark, d), HEIGHT, 8, 3), 2, 3)
+
+
 def _levels(d: DataFrame) -> DataFrame:
     return d.select("pix", A.rounded(A.mean(F.col("b")), 5).alias("level"), A.rounded(A.deviation(F.col("b")), 5).alias("spread"))
 

@@ -222,3 +222,27 @@ def test_images():
     assert images.connected(other)[7, 7] == other[7, 7]
     assert images.convex(np.where(spot > 0.05, other, 0))[1, 13] == 0
     assert images.most_energy(other, 0.9)[1, 13] == 0
+
+
+@pytest.mark.parametrize("score", ["energy", "corr"])
+def test_rank_one_sources_are_the_planted_ones(spark, score):
+    from glimmer.operators import patches
+
+    pixels, centres = movie(spark, 16, 200)
+    truth = {r["pix"]: np.array(r["y"]) for r in pixels.collect()}
+    found = patches.rank_one_sources(patches.blocks(pixels, 16, 16, 0), 1.5, 4, 2, score).collect()
+    assert len(found) == 2
+    for centre in centres:
+        best = max(np.corrcoef(r["trace"], truth[centre])[0, 1] for r in found)
+        assert best > 0.9
+
+
+def test_neighbour_weights_add_up_to_one(spark):
+    from glimmer.operators import patches
+
+    t = np.sin(np.arange(60) / 5)
+    rows = [(c * 12 + r, r, c, ((1 + 0.05 * r + 0.02 * c) * t).tolist()) for c in range(12) for r in range(12)]
+    w = patches.neighbour_weights(patches.blocks(spark.createDataFrame(rows, "pix long, r long, c long, y array<double>"), 12, 12, 0), 2, 3).toPandas()
+    assert w.groupby("pix")["w"].sum().to_numpy() == pytest.approx(np.ones(144), abs=1e-4)
+    one, y = w[w["pix"] == 65], {r[0]: np.array(r[3]) for r in rows}
+    assert sum(v * y[q] for q, v in zip(one["nbr_pix"], one["w"], strict=True)) == pytest.approx(y[65], abs=0.05)
