@@ -39,8 +39,8 @@ NEUTRAL_NAMES = set("site page global main top bottom left right inner outer wra
 SHARED, MIN_PAGES = 0.9, 3
 #: Up to so many pages all texts of a place are remembered, and beyond those that are shared so far.
 FIRST_PAGES = 8
-#: Template texts are left out of an article only if its slots hold this share of its text.
-MIN_SLOTS = 0.2
+#: Template texts are left out of an article only if this share of its text is not the template's: else pages are copies.
+MIN_SLOTS = 0.5
 #: Pages that are aligned one after another, and wrappers that are; their results are aligned in their turn.
 PAGES_AT_ONCE, WRAPPERS_AT_ONCE = 256, 64
 #: A part that under this share of the host's pages have is left out of the wrapper, which so stays bounded.
@@ -210,7 +210,7 @@ class Part:
     """A part of a wrapper: an element, a text ("#") or a group of several parts ("(...)").
 
     slot: whether pages have different texts there; value: hashes of the texts that they share, each with its number of
-    pages. pages: how many have the part; mass and links: their characters, and those in links.
+    pages and its length. pages: how many have the part; mass and links: their characters, and those in links.
     """
 
     __slots__ = ("children", "key", "links", "mass", "optional", "pages", "repeated", "slot", "value")
@@ -236,7 +236,7 @@ def outline(stream: list[Token]) -> Part:
             part = stack.pop()
             part.children = _folded(part.children)
         else:
-            stack[-1].children.append(Part("#", value={_hash(what): 1}, mass=len(what), links=links))
+            stack[-1].children.append(Part("#", value={_hash(what): (1, len(what))}, mass=len(what), links=links))
     root.children = _folded(root.children)
     return root
 
@@ -293,11 +293,12 @@ def _joined(a: Part, b: Part, same_page: bool) -> Part:
     if b.value or not same_page:
         slot = slot or (not same_page and a.value.keys() != b.value.keys())
         value = dict(a.value)
-        for h, n in b.value.items():
-            value[h] = max(value.get(h, 0), n) if same_page else value.get(h, 0) + n
+        for h, (n, length) in b.value.items():
+            before = value.get(h, (0, 0))[0]
+            value[h] = (max(before, n) if same_page else before + n, length)
     pages = max(a.pages, b.pages) if same_page else a.pages + b.pages
     if pages > FIRST_PAGES and not same_page:
-        value = {h: n for h, n in value.items() if n >= SHARED * pages}
+        value = {h: x for h, x in value.items() if x[0] >= SHARED * pages}
     return Part(a.key, a.optional or b.optional, a.repeated or b.repeated, slot, value, pages, a.mass + b.mass, a.links + b.links, _aligned(a.children, b.children, same_page))
 
 
@@ -338,7 +339,7 @@ def dumped(wrapper: Part) -> str:
     rows, stack = [], [wrapper]
     while stack:
         p = stack.pop()
-        rows.append([len(p.children), p.key, int(p.optional), int(p.repeated), int(p.slot), list(p.value.items()), p.pages, p.mass, p.links])
+        rows.append([len(p.children), p.key, int(p.optional), int(p.repeated), int(p.slot), [(h, *x) for h, x in p.value.items()], p.pages, p.mass, p.links])
         stack += reversed(p.children)
     return json.dumps(rows, separators=(",", ":"))
 
@@ -346,7 +347,7 @@ def dumped(wrapper: Part) -> str:
 def loaded(text: str) -> Part:
     root, open_parts = None, []
     for n, key, optional, repeated, slot, value, pages, mass, links in json.loads(text):
-        part = Part(key, bool(optional), bool(repeated), bool(slot), dict(value), pages, mass, links)
+        part = Part(key, bool(optional), bool(repeated), bool(slot), {h: (n, length) for h, n, length in value}, pages, mass, links)
         while open_parts and not open_parts[-1][1]:
             open_parts.pop()
         if open_parts:
@@ -420,16 +421,19 @@ def article(wrapper: Part) -> tuple[int, list[int]]:
                 break
             part, path = down, below(path, down.key)
 
-    slots = share = 0
+    def shared(part: Part) -> dict[int, tuple[int, int]]:
+        return {h: x for h, x in part.value.items() if x[0] >= max(MIN_PAGES, SHARED * part.pages)} if part.key == "#" else {}
+
+    template = every = 0
     stack = [part]
     while stack:
         x = stack.pop()
         stack += x.children
         if x.key == "#":
-            share += x.mass
-            slots += 0 if fixed(x) else x.mass
-    shared = [(at, h) for x, at, _ in order if x.key == "#" for h, n in x.value.items() if n >= max(MIN_PAGES, SHARED * x.pages)]
-    return path, sorted({_hash(f"{at}#{h}") for at, h in shared}) if slots >= MIN_SLOTS * share else []
+            every += x.mass
+            template += sum([n * length for n, length in shared(x).values()])
+    marks = {_hash(f"{at}#{h}") for x, at, _ in order for h in shared(x)}
+    return path, sorted(marks) if every - template >= MIN_SLOTS * every else []
 
 
 def _blocks(stream: list[Token], path: int, template: set[int]) -> list[str]:

@@ -129,6 +129,16 @@ def test_matches_agree_with_brute_force(spark, odd):
     assert decontamination.benchmark_matches(docs, bench.limit(0)).count() == 0
 
 
+def test_places_of_matches_and_ties(spark):
+    item = prose(20, 9)
+    changed = item[:40] + "#" + item[41:]
+    docs = spark.createDataFrame([(1, f"xx {item} yy {item}"), (2, f"xx {changed} yy {changed}"), (3, f"xx {item[:30]}{item[31:]} yy"), (4, prose(30_000, 4) + " " + changed)], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in decontamination.benchmark_matches(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()}
+    m = len(item)
+    assert [(got[i]["distance"], got[i]["first_char"], got[i]["last_char"]) for i in (1, 2, 3)] == [(0, 3, 3 + m), (1, 3, 3 + m), (1, 3, 2 + m)]  # of equal places the first
+    assert (got[4]["distance"], got[4]["last_char"] - got[4]["first_char"]) == (1, m)
+
+
 # Suffix dedup
 
 
@@ -325,7 +335,7 @@ def test_lines_that_stand_together_do_not_hide_each_other(spark):
 def test_url_rules_agree_with_brute_force(spark, nothing):
     rules = [*url_rules.RULES, ("block", "b.example.net", None), ("allow", "b.example.net", "/x"), ("block", None, "/"), ("block", "example.com", "/de/"), ("allow", "example.com", "/de/")]
     hosts = ["net", "example.net", "a.example.net", "b.example.net", "c.b.example.net", "xexample.net", "example.com", "org", "w.org", "NET", "fr.example.ORG:80", ""]
-    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/de/x", "/fr/?q#f", "/x/y?z", "?a", "#b")] + [None, "", "no host", "://", "a://b://net/", "http://example.net/en\n/"]
+    urls = [f"http://{h}{p}" for h in hosts for p in ("", "/", "/en/", "/de/x", "/fr/?q#f", "/x/y?z", "?a", "#b")] + [None, "", "no host", "://", "a://b://net/", "http://example.net/en\n/", "http://net/" + "a" * 100_000, "http://" + "b." * 500 + "org/fr/"]
     pages = spark.createDataFrame([(i if i % 7 else None, u) for i, u in enumerate(urls * 2)], "page_id long, url string")
 
     def parts(u):
@@ -407,6 +417,9 @@ def test_what_all_pages_of_a_host_have_is_the_template(spark):
     for i in range(600):
         assert got[i] == "\n".join([f"Title {i}", "Summary", *(f"Body {i} {j} of the page {prose(9, 40 * i + j)}" for j in range(i % 5 + 1))])
     assert "Body 7 0" in got[1000]  # copies of one page are one page and no template
+    copies = [(i, "http://three.org/", page(4).replace("Title 4", f"Title number {i}")) for i in range(5)]
+    near = wrappers.main_text(spark.createDataFrame(copies, "page_id long, url string, html string")).collect()
+    assert all("Body 4 3" in r["text"] and f"Title number {r['page_id']}" in r["text"] for r in near)  # nor are near copies
     wrapper = {r["host"]: r["wrapper"] for r in wrappers.infer_wrappers(df).collect()}["one.org"]
     assert len(wrapper) < 3000  # it does not grow with the pages
     other = {r["page_id"]: r["text"] for r in wrappers.main_text(df.repartition(7)).collect()}
@@ -677,11 +690,6 @@ def test_pipeline_agrees_with_brute_force(spark):
         for end in chunks.cuts(data):
             if data[last:end] in seen:
                 parts.append({"start": last, "length": end - last})
-            last = end
-        last = 0
-        for end in chunks.cuts(data):
-            if data[last:end] in seen and {"start": last, "length": end - last} not in parts:
-                parts.append({"start": last, "length": end - last})
             seen.add(data[last:end])
             last = end
         kept, last = [], 0
