@@ -78,3 +78,9 @@ def frame_outliers(pixels: DataFrame, factor: float, most: float) -> DataFrame:
     out = F.transform("y", lambda x: (F.abs(x - F.col("m")) > factor * F.col("s")).cast("int"))
     p = pixels.select("y", A.mean(F.col("y")).alias("m"), A.deviation(F.col("y")).alias("s")).select(F.posexplode(out).alias("t", "o"))
     return p.groupBy((F.col("t") + 1).alias("t")).agg(F.sum("o").alias("n_out"), (F.sum("o") <= most * F.count("*")).alias("kept"))
+
+
+def decayed(pixels: DataFrame, g: float) -> DataFrame:
+    """c_t = g * c_(t-1) + y_t, the response to a trace of spikes: (pix, t, c)."""
+    c = F.aggregate("y", F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + g * F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
+    return pixels.select("pix", F.posexplode(c).alias("t", "c")).select("pix", (F.col("t") + 1).alias("t"), A.rounded(F.col("c")).alias("c"))

@@ -131,6 +131,12 @@ def event_types(spark: SparkSession, d: str) -> DataFrame:
     return model.transform(v).select("pix", F.col("prediction").alias("cluster"), (F.col("prediction") == active).alias("active"))
 
 
+def pnr_psd(spark: SparkSession, d: str) -> DataFrame:
+    """Peak over the median in units of the noise by the spectrum."""
+    p = pixels(spark, d)
+    return stats.median_centred_peak(p).join(deconvolution.noise(p, "pix"), "pix").select("pix", A.rounded(F.col("peak") / F.col("sn"), 4).alias("pnr"))
+
+
 def density_modes(spark: SparkSession, d: str) -> DataFrame:
     return deconvolution.modes(pixels(spark, d), "pix")
 
@@ -150,4 +156,4 @@ def preprocessed(spark: SparkSession, d: str) -> DataFrame:
     return d1.join(F.broadcast(common)).select("pix", "unsaturated", F.col("sn_plain").alias("sn"), "active", "g")
 
 
-QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, oasis_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types, density_modes, preprocessed)}
+QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, oasis_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types, pnr_psd, density_modes, preprocessed)}

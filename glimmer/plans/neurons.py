@@ -167,6 +167,12 @@ def hazen_quantile(spark, d):
     return pixels(spark, d).select("pix", A.rounded(A.hazen(F.col("y"), 0.15)).alias("q"))
 
 
+@query(f"{_PX} SELECT pix, CAST(t AS INT) AS t, {r('pow(0.9, t) * sum(y * pow(0.9, -t)) OVER (PARTITION BY pix ORDER BY t ROWS UNBOUNDED PRECEDING)')} AS c FROM px")
+def decayed(spark, d):
+    """A trace through the decay of one frame into the next."""
+    return stats.decayed(pixels(spark, d), 0.9)
+
+
 # Resampling, layout, names
 
 

@@ -152,9 +152,7 @@ def demix(pixels: DataFrame, height: int, options: Options | None = None, sigma:
         if more and k == 0:
             f, t = residual_seeds(clean, f, t, height, o, sigma)
         f, t = cut(f), cut(t)
-    events = deconvolution.deconvolved(t.withColumnRenamed("trace", "y"), "neuron")
-    # A trace in which nothing was found stays as it is.
-    return {"footprints": f, "traces": t, "background": background, "events": cut(events)}
+    return {"footprints": f, "traces": t, "background": background, "events": cut(deconvolution.deconvolved_components(t))}
 
 
 def demix_batches(movie, ids: list[int], height: int, path: str, options: Options | None = None, sigma: float | None = None) -> dict[str, DataFrame]:

@@ -420,3 +420,31 @@ def test_background_update_queries(spark, rows, model):
     rest = {r["pix"]: r for r in updates.QUERIES["background_model_residual"](spark, f"{DATA}/sf0.001").collect()}
     if model != "nmf":  # the models are about the mean
         assert all(got[p]["level"] == pytest.approx(rest[p]["level"], abs=2e-5) for p in rows)
+
+
+def test_peak_to_noise_by_the_spectrum(spark, rows):
+    for r in found(spark, "pnr_psd"):
+        y = rows[r["pix"]]
+        assert r["pnr"] == pytest.approx((y.max() - np.median(y)) / K.noise_level(y)[0], rel=1e-3)
+
+
+def test_components_keep_their_trace_where_nothing_is_found(spark):
+    c, _, y = planted(300, 0.9, 0.05)
+    d = spark.createDataFrame([(1, y.tolist()), (2, [0.0, float("nan")] * 50)], "neuron long, trace array<double>")
+    got = {r["neuron"]: r for r in deconvolution.deconvolved_components(d).collect()}
+    assert np.corrcoef(got[1]["c"], c)[0, 1] > 0.9
+    assert got[1]["c_raw"] == pytest.approx(y - got[1]["b"])
+    assert got[2]["c"] == got[2]["c_raw"]
+
+
+def test_running_footprints_add_up_over_a_stream(spark, tmp_path):
+    from glimmer.streaming.online import running_footprints
+
+    parts = [[(1, 5, 2.0, 1.0), (1, 6, 1.0, 1.0)], [(1, 5, 4.0, 3.0)]]
+    schema = "neuron long, pix long, a double, e double"
+    for k, rows_ in enumerate(parts):
+        spark.createDataFrame(rows_, schema).write.mode("append").parquet(str(tmp_path / "in"))
+        sums = running_footprints(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+        sums.writeStream.format("memory").queryName(f"sums{k}").outputMode("complete").option("checkpointLocation", str(tmp_path / f"state{k}")).trigger(availableNow=True).start().awaitTermination()
+        got = {(r["neuron"], r["pix"]): r["ae"] / r["e"] for r in spark.table(f"sums{k}").collect()}
+        assert got == ({(1, 5): 2.0, (1, 6): 1.0}, {(1, 5): 3.5, (1, 6): 1.0})[k]
