@@ -121,10 +121,9 @@ def ar_coefficients(y: np.ndarray, p: int, sn: float, lags: int = 5, fudge: floa
     part counts.
     """
     y = np.asarray(y, float) - np.mean(y)
-    full, mid = np.correlate(y, y, "full") / len(y), len(y) - 1
     for order in range(p, NO_ORDER):
         lags += order
-        ac = np.array([full[mid + k] if k <= mid else 0.0 for k in range(lags + 1)])
+        ac = np.array([y[k:] @ y[: max(len(y) - k, 0)] / len(y) for k in range(lags + 1)])
         a = ac[np.abs(np.arange(lags)[:, None] - np.arange(order))] - sn**2 * np.eye(lags, order)
         g = np.linalg.pinv(a) @ ac[1:]
         roots = np.roots(np.concatenate([[1.0], -g]))
