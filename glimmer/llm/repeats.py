@@ -196,11 +196,11 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     # anything is told of a name, so that a passage of many documents is few rows.
     places = sample.where("times > 0")
     names = stored(places.groupBy("name").agg(F.sum("times").alias("all")).where(F.col("all") > 1).select("name"), "repeats-names")
-    places = stored(places.join(sized(names), "name"), "repeats-places")
+    places = stored(places.join(names, "name"), "repeats-places")
     first = F.struct((-F.col("times")).alias("order"), "doc_id", "k", "first", "n")
     equal = stored(places.groupBy("name", "high", "low").agg(F.sum("times").alias("all"), F.min(first).alias("at")), "repeats-equal")
     again = places.join(equal.where(F.col("all") > 1).select("name", "high", "low"), ["name", "high", "low"]).select("doc_id", "k", "first", "n")
-    several = equal.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name")
+    several = stored(equal.groupBy("name").agg(F.count("*").alias("c")).where("c > 1").select("name"), "repeats-several")
     compare = stored(equal.join(several, "name").select("at.doc_id", "at.k", "name", "at.first", "at.n", (F.col("all") > 1).alias("again")), "repeats-compare")
     large = compare.groupBy("name").agg(F.count("*").alias("c")).where(F.col("c") > LARGE).select("name", F.lit(True).alias("large"))
     compare = compare.join(large, "name", "left").select("doc_id", "k", F.struct("name", "first", "n", (~F.col("again")).alias("open"), F.coalesce("large", F.lit(False)).alias("large")).alias("w"))
