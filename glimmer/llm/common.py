@@ -8,7 +8,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,11 +31,34 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
-def stored(df: DataFrame, name: str) -> DataFrame:
-    """df, written once to the shared folder and read back: the lineage is cut, and a lost executor costs no recomputation."""
+def written(df: DataFrame, name: str) -> str:
+    """The path of a new table in the shared folder with the rows of df."""
     path = f"{shared_folder(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return path
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to the shared folder and read back: the lineage is cut, and a lost executor costs no recomputation."""
+    return df.sparkSession.read.schema(df.schema).parquet(written(df, name))
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Deletes a table that `written` made and nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def ranked(df: DataFrame, *order: Column, name: str = "ranked") -> DataFrame:
+    """df with rank (1, 2, ...): sorted in ranges, each after the rows of the ranges before it, so no task sees all rows.
+
+    Rows that are equal in the whole order are dealt to ranges by their place, however many they are.
+    """
+    place = F.monotonically_increasing_id()
+    rows = df.withColumn("_tie", place).orderBy(*order, "_tie").withColumn("_place", place)
+    rows = stored(rows.withColumn("_range", F.shiftright("_place", 33)).withColumn("_row", F.col("_place").bitwiseAND(F.lit((1 << 33) - 1))).drop("_tie", "_place"), name)
+    before = rows.groupBy("_range").agg(F.count("*").alias("n")).select("_range", (F.sum("n").over(Window.orderBy("_range")) - F.col("n")).alias("_before"))  # a row for each range
+    return rows.join(F.broadcast(before), "_range").withColumn("rank", F.col("_before") + F.col("_row") + 1).drop("_range", "_row", "_before")
 
 
 def sized(df: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from glimmer.llm import chunks, decontamination, jaccard, lm, packing, quality, repeats, toxicity, url_rules, wrappers
+from glimmer.llm import chunks, decontamination, jaccard, lm, mixing, packing, quality, repeats, resampling, toxicity, url_rules, vector_codes, wrappers
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -63,6 +63,18 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents"), tokenizer())
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.coded(_table(spark, sf_dir, "embeddings"))
+
+
+def op12_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark")).drop("n_words")
+
+
+def op13_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.taken_words(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_decontamination": op1_decontamination,
@@ -75,11 +87,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_quality_rules": op8_quality_rules,
         "op9_lm_scores": op9_lm_scores,
         "op10_packing": op10_packing,
+        "op11_vector_codes": op11_vector_codes,
+        "op12_importance_resampling": op12_importance_resampling,
+        "op13_source_mixing": op13_source_mixing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op7_url_rules": OP7, "op8_quality_rules": OP8}
+    return {"op7_url_rules": OP7, "op8_quality_rules": OP8, "op11_vector_codes": _op11(), "op12_importance_resampling": OP12}
 
 
 #: Every rule against every URL: the longest that fits.
@@ -121,3 +136,54 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
   NOT base_failed AND n_words - n_removed_words >= 0.3 * n_words AS kept, n_removed_words
 FROM failed
 """
+
+
+def _op11(rounds: int = 6) -> str:
+    """All entries against all parts, round by round."""
+    steps = []
+    for k in range(rounds + 1):
+        steps.append(f"""
+a{k} AS MATERIALIZED (
+  SELECT rid, p.part, p.x, min({{'d': list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - c.x[i]) * (p.x[i] - c.x[i])))::BIGINT, 'e': c.entry}}) AS best
+  FROM p JOIN c{k} c USING (part) GROUP BY rid, p.part, p.x)""")
+        if k < rounds:
+            steps.append(f"""
+s{k} AS (SELECT part, best.e AS entry, i, sum(x[i])::BIGINT AS s, count(*) AS n FROM a{k}, (SELECT unnest(range(1, (SELECT max(len(x)) FROM p) + 1)) AS i) GROUP BY ALL),
+m{k} AS (SELECT part, entry, list((s - (s % n + n) % n) // n ORDER BY i) AS x FROM s{k} GROUP BY ALL),
+c{k + 1} AS MATERIALIZED (SELECT part, entry, coalesce(m.x, c.x) AS x FROM c{k} c LEFT JOIN m{k} m USING (part, entry))""")
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS rid, vec_id, label, list_transform(embedding, lambda x: floor(4096 * x::DOUBLE)::BIGINT) AS q FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS MATERIALIZED (SELECT rid, vec_id, part, q[part * len(q) // 8 + 1 : (part + 1) * len(q) // 8] AS x FROM kept, range(8) AS t(part)),
+c0 AS (SELECT part, rid - 1 AS entry, x FROM p WHERE rid <= 16),{','.join(steps)},
+codes AS (SELECT rid, string_agg(printf('%02x', best.e), '' ORDER BY part) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY rid)
+SELECT vec_id, code, error, (sum(error) OVER (PARTITION BY label))::BIGINT AS label_error,
+  (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) FROM c{rounds}) AS codebooks_sha256
+FROM kept JOIN codes USING (rid)
+"""
+
+
+#: crc: the byte table of the polynomial 0xEDB88320, and the bytes of each different word through it.
+OP12 = r"""
+WITH words AS (
+  SELECT 'd' AS side, row_number() OVER () AS rid, doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w FROM documents
+  UNION ALL
+  SELECT 't', row_number() OVER (), NULL, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') FROM benchmark),
+bytes AS (SELECT list(list_reduce(range(8), lambda c, _k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i::BIGINT) ORDER BY i) AS t FROM range(256) AS r(i)),
+each AS MATERIALIZED (SELECT side, rid, unnest(w) AS word FROM words),
+crc AS MATERIALIZED (
+  SELECT word, xor(list_reduce(list_transform(range(0, len(hex(word)) // 2), lambda i: ('0x' || substr(hex(word), 2 * i + 1, 2))::BIGINT), lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) % 10000 AS bucket
+  FROM (SELECT DISTINCT word FROM each), bytes),
+counts AS (SELECT bucket, count(*) FILTER (side = 'd') AS s, count(*) FILTER (side = 't') AS t FROM each JOIN crc USING (word) GROUP BY bucket),
+sums AS (SELECT sum(s)::DOUBLE AS s, sum(t)::DOUBLE AS t FROM counts),
+gains AS (SELECT bucket, floor(1000 * ln((c.t + 1)::DOUBLE * (sums.s + 10000) / ((c.s + 1)::DOUBLE * (sums.t + 10000))))::BIGINT AS gain FROM counts c, sums),
+weights AS (SELECT rid, count(*) AS n, sum(gain)::BIGINT AS g FROM each JOIN crc USING (word) JOIN gains USING (bucket) WHERE side = 'd' GROUP BY rid),
+scored AS (
+  SELECT words.rid, doc_id, coalesce(n, 0) AS n_features, coalesce((g - (g % n + n) % n) // n, 0) AS weight,
+    floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296::DOUBLE)))::BIGINT AS noise
+  FROM words LEFT JOIN weights USING (rid) WHERE side = 'd'),
+top AS (
+  SELECT rid, row_number() OVER (ORDER BY weight + noise DESC, doc_id) AS rank, count(*) OVER () AS n FROM scored WHERE n_features >= 20)
+SELECT doc_id, n_features, weight, weight + noise AS score, CASE WHEN rank <= 10 * n // 100 THEN rank END AS rank FROM scored LEFT JOIN top USING (rid)
+"""
