@@ -67,3 +67,8 @@ def correlation(a: Column, b: Column) -> Column:
     centred = lambda y: given(mean(y), lambda m: F.transform(y, lambda x: x - m))
     both = lambda u: given(centred(b), lambda v: dot(u, v) / F.nullif(F.sqrt(dot(u, u) * dot(v, v)), F.lit(0.0)))
     return given(centred(a), both)
+
+
+def weighted_sum(items: Column, w: str = "w", x: str = "x") -> Column:
+    """The sum of the arrays of a collected column of structs (w, x), each times its weight; empty if there is none."""
+    return F.aggregate(items, F.array().cast("array<double>"), lambda s, e: F.when(F.size(s) == 0, F.transform(e[x], lambda v: v * e[w])).otherwise(F.zip_with(s, e[x], lambda a, v: a + v * e[w])))

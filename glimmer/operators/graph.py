@@ -29,7 +29,9 @@ def connected_components(edges: DataFrame) -> DataFrame:
 
 
 def merged_traces(traces: DataFrame, footprints: DataFrame, groups: DataFrame, rounds: int = 10) -> DataFrame:
-    """(label, members, trace): the rank-one trace of each group (id, label), by power iterations on what its members add up to.
+    """(label, members, trace, parts): the rank-one trace of each group (id, label), by power iterations on what its members add up to.
+
+    parts (id, part): the footprint that goes with the trace is the sum of the members' footprints in these parts.
 
     traces: (id, trace); footprints: (id, pix, val). The iterations need the members' traces and the Gram matrix of their
     footprints alone, which a join on pix sums up; so a group is a handful of rows, however many pixels it has.
@@ -47,13 +49,15 @@ def merged_traces(traces: DataFrame, footprints: DataFrame, groups: DataFrame, r
         for i, row in enumerate(group["row"]):
             for e in row:
                 v[i, place[e["id2"]]] = e["v"]
-        c = traces[0]
+        c = np.sqrt(np.maximum(np.diag(v), 0.0)) @ traces
         for _ in range(rounds):
-            part = traces @ c / max(c @ c, 1e-300)  # the footprint is the members' footprints in these parts
+            part = traces @ c / max(c @ c, 1e-300)
             c = part @ v @ traces / max(part @ v @ part, 1e-300)
-        return pd.DataFrame({"label": [key[0]], "members": [len(group)], "trace": [c]})
+        parts = [{"id": i, "part": float(p)} for i, p in zip(group["id"], traces @ c / max(c @ c, 1e-300), strict=True)]
+        return pd.DataFrame({"label": [key[0]], "members": [len(group)], "trace": [c], "parts": [parts]})
 
-    return rows.groupBy("label").applyInPandas(refit, "label long, members long, trace array<double>")
+    kind = footprints.schema["id"].dataType.simpleString()
+    return rows.groupBy("label").applyInPandas(refit, f"label long, members long, trace array<double>, parts array<struct<id: {kind}, part: double>>")
 
 
 def updated_traces(sums: DataFrame, rounds: int = 3) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from glimmer.functions import images as I  # noqa: E741
 from glimmer.functions import kernels as K
 from glimmer.operators.layout import block_members
+from glimmer.operators.shared import apart
 
 
 def blocks(pixels: DataFrame, height: int, size: int, halo: int) -> DataFrame:
@@ -212,6 +213,103 @@ def ring_weights(blocks: DataFrame, inner: float, outer: float, ridge: float = 1
     return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, nbr_pix long, w double")
 
 
+def fitted_ring_weights(blocks: DataFrame, weights: DataFrame, clip: float | None = None, noise: DataFrame | None = None, most: int = 100, ridge: float = 1e-5) -> DataFrame:
+    """(patch, pix, nbr_pix, w): the weights (pix, nbr_pix, w) of each pixel's neighbours fitted anew, where they were not 0.
+
+    blocks: Y - A C by patch, with a halo that holds all neighbours. clip: a value over what the old weights say by so
+    many deviations of the noise (pix, sn) counts as what they say; then, of a movie of over `most` frames a weight, only
+    those with the fewest such values are used.
+    """
+    w = weights.select("pix", "nbr_pix", "w")
+    w = w.join(blocks.where("inside").select("patch", "pix"), "pix")
+    given = noise is not None
+    if given:
+        blocks = blocks.join(noise.select("pix", "sn"), "pix", "left")
+
+    def run(key, group: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        group, y = _image(group)
+        y = y - y.mean(1, keepdims=True)
+        place = {p: i for i, p in enumerate(group["pix"].tolist())}
+        inside, rings, out = group["inside"].to_numpy(), {}, []
+        for p, part in weights[weights["w"] != 0].groupby("pix"):
+            at = [(q, place[q], v) for q, v in zip(part["nbr_pix"].tolist(), part["w"].tolist(), strict=True) if q in place]
+            if at:
+                rings[place[p]] = at
+        x, frames = y.copy(), np.ones(y.shape[1], bool)
+        if clip is not None:
+            over = np.zeros(y.shape[1])
+            sn = np.nan_to_num(group["sn"].to_numpy(float)) if given else K.noise_level(y)
+            for i, ring in rings.items():
+                told = np.array([v for _, _, v in ring]) @ y[[j for _, j, _ in ring]]
+                high = y[i] > told + clip * sn[i]
+                x[i] = np.where(high, told, y[i])
+                over += high
+            limit = most * max((len(r) for r in rings.values()), default=0)
+            if limit < y.shape[1]:
+                frames = over <= np.quantile(over, limit / y.shape[1], method="hazen")
+        x = x[:, frames]
+        for i, ring in rings.items():
+            if inside[i]:
+                z = np.vstack([x[[j for _, j, _ in ring]], np.ones(x.shape[1])])
+                g = z @ z.T
+                fit = np.linalg.solve(g + max(ridge * np.trace(g), 1e-300) * np.eye(len(g)), z @ x[i])[:-1]
+                out += [(int(key[0]), int(group["pix"].iloc[i]), int(q), float(v)) for (q, _, _), v in zip(ring, fit, strict=True)]
+        return pd.DataFrame(out, columns=["patch", "pix", "nbr_pix", "w"])
+
+    return blocks.groupBy("patch").cogroup(apart(w).groupBy("patch")).applyInPandas(run, "patch long, pix long, nbr_pix long, w double")
+
+
+def ring_product(blocks: DataFrame, weights: DataFrame) -> DataFrame:
+    """(pix, b): W (Y - mean) + mean for weights (pix, nbr_pix, w) and blocks whose halo holds all neighbours.
+
+    The movie is dealt to patches once; a join of traces on nbr_pix would send each of them once for every neighbour.
+    Pixels without weights keep their mean.
+    """
+    w = weights.select("pix", "nbr_pix", "w").join(blocks.where("inside").select("patch", "pix"), "pix")
+
+    def run(key, group: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        group, y = _image(group)
+        mean = y.mean(1, keepdims=True)
+        y = y - mean
+        pix, inside = group["pix"].to_numpy(), group["inside"].to_numpy()
+        place, b = {p: i for i, p in enumerate(pix.tolist())}, np.repeat(mean, y.shape[1], 1)
+        for p, part in weights.groupby("pix"):
+            at = [(place[q], v) for q, v in zip(part["nbr_pix"].tolist(), part["w"].tolist(), strict=True) if q in place]
+            b[place[p]] += np.array([v for _, v in at]) @ y[[j for j, _ in at]] if at else 0.0
+        return pd.DataFrame({"pix": pix[inside], "b": pd.Series(list(b[inside]), dtype=object)})
+
+    return blocks.groupBy("patch").cogroup(apart(w).groupBy("patch")).applyInPandas(run, "pix long, b array<double>")
+
+
+def known_background(blocks: DataFrame, footprints: DataFrame, background: DataFrame, method: str = "svd", rounds: int = 10) -> DataFrame:
+    """(pix, b): the background of known spatial components, their traces fitted together with those of the footprints.
+
+    blocks: without halo; footprints (neuron, pix, val); background (pix, j, val) of each patch. method: svd, by least
+    squares about the pixels' means, which are part of the background, or nmf, by non-negative descent on the values.
+    """
+    rows = blocks.select("patch", "pix")
+    parts = footprints.select(F.lit(0).alias("kind"), F.col("neuron").cast("long").alias("k"), "pix", "val").unionByName(background.select(F.lit(1).alias("kind"), F.col("j").cast("long").alias("k"), "pix", "val")).join(rows, "pix")
+
+    def run(key, group: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        group, y = _image(group)
+        pix = group["pix"].to_numpy()
+        place = {p: i for i, p in enumerate(pix.tolist())}
+        mean = y.mean(1, keepdims=True) if method == "svd" else np.zeros((len(y), 1))
+        names = sorted(set(zip(parts["kind"].tolist(), parts["k"].tolist(), strict=True)))
+        a = np.zeros((len(y), len(names)))
+        at = {n: i for i, n in enumerate(names)}
+        for kind, k, p, v in zip(parts["kind"].tolist(), parts["k"].tolist(), parts["pix"].tolist(), parts["val"].tolist(), strict=True):
+            a[place[p], at[kind, k]] = v
+        back = np.array([kind == 1 for kind, _ in names], bool)
+        if method == "svd":
+            c = np.linalg.lstsq(a.T @ a, a.T @ (y - mean), rcond=None)[0] if len(names) else np.zeros((0, y.shape[1]))
+        else:
+            c = K.hals(a.T @ y, a.T @ a, np.zeros((len(names), y.shape[1])), rounds)
+        return pd.DataFrame({"pix": pix, "b": pd.Series(list(a[:, back] @ c[back] + mean), dtype=object)})
+
+    return blocks.groupBy("patch").cogroup(apart(parts).groupBy("patch")).applyInPandas(run, "pix long, b array<double>")
+
+
 def neighbour_weights(blocks: DataFrame, inner: float, outer: float, gamma: float = 1e-3) -> DataFrame:
     """(patch, pix, nbr_pix, w): each inner pixel as a mean of its ring's pixels with weights that add up to 1 (locally linear)."""
 

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -20,11 +22,29 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """df written to the shared folder, with its lineage cut."""
-    context = df.sparkSession.sparkContext
-    if not context.getCheckpointDir():
-        context.setCheckpointDir(shared_folder(df.sparkSession))
-    return df.checkpoint()
+    """df written to the shared folder and read back, with its lineage cut.
+
+    A table and no checkpoint: a checkpoint hands on all that the planner has inferred of its columns, which in loops
+    grows with every round until planning takes longer than the work.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def apart(df: DataFrame) -> DataFrame:
+    """df with columns of their own, so that it can be grouped together with a table that it comes from."""
+    return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+#: A side is broadcast only below so many measured bytes; beyond, both sides are shuffled.
+BROADCAST_BYTES = 8 << 20
+
+
+def sized(df: DataFrame) -> DataFrame:
+    """df with a broadcast hint if its rows, and what its arrays hold, are measured to be small; df should be cut before."""
+    bytes_ = sum((16 + 8 * F.coalesce(F.size(f.name), F.lit(0)) if isinstance(f.dataType, T.ArrayType) else F.lit(16) for f in df.schema), F.lit(0))
+    return F.broadcast(df) if (df.agg(F.sum(bytes_.cast("long"))).head()[0] or 0) <= BROADCAST_BYTES else df
 
 
 def ranked(df: DataFrame, *order: Column | str) -> DataFrame:

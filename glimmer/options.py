@@ -20,6 +20,7 @@ class Options:
     num_neighbors: int | None = None
     background_model: str = "svd"
     nb: int = 1
+    bg_ssub: int = 1
     merge_thr: float = 0.85
     dmin: float = 1.0
     smin: float = 5.0

@@ -30,15 +30,10 @@ def query(f):
 # Steps. footprints: (neuron, pix, val); traces: (neuron, trace); pixels: (pix, r, c, y).
 
 
-def sum_of(arrays, weight=None):
-    """The sum of the arrays of a collected column of structs (w, x), each times its weight."""
-    return F.aggregate(arrays, F.array().cast("array<double>"), lambda s, e: F.when(F.size(s) == 0, F.transform(e["x"], lambda v: v * e["w"])).otherwise(F.zip_with(s, e["x"], lambda a, v: a + v * e["w"])))
-
-
 def model(footprints: DataFrame, traces: DataFrame) -> DataFrame:
     """A C by pixel: (pix, ac). The few components of a pixel add up in its row."""
     d = footprints.select("neuron", "pix", "val").join(traces.select("neuron", "trace"), "neuron")
-    return d.groupBy("pix").agg(sum_of(F.collect_list(F.struct(F.col("val").alias("w"), F.col("trace").alias("x")))).alias("ac"))
+    return d.groupBy("pix").agg(A.weighted_sum(F.collect_list(F.struct(F.col("val").alias("w"), F.col("trace").alias("x")))).alias("ac"))
 
 
 def residual(pixels: DataFrame, footprints: DataFrame, traces: DataFrame) -> DataFrame:
@@ -49,6 +44,11 @@ def residual(pixels: DataFrame, footprints: DataFrame, traces: DataFrame) -> Dat
 
 def update_background(pixels: DataFrame, footprints: DataFrame, traces: DataFrame, height: int, o: Options) -> DataFrame:
     """(pix, b): the background of what the components leave, by the ring, svd or nmf model of each patch."""
+    if o.background_model == "ring" and o.bg_ssub > 1:
+        from glimmer.plans import descents
+
+        weights, _ = descents.fit_ring(pixels, footprints, traces, height, o)
+        return descents.reconstructed_background(pixels, footprints, traces, cut(weights), height, o)
     rest = residual(pixels, footprints, traces)
     halo = min(o.ring_radius + 1, o.patch) if o.background_model == "ring" else 0
     blocks = patches.blocks(rest, height, o.patch, halo)
@@ -103,19 +103,26 @@ def update_temporal(clean: DataFrame, footprints: DataFrame, traces: DataFrame,
     parts = parts.select("patch", F.lit(None).cast("long").alias("pix"), F.lit(None).cast("array<double>").alias("y"), F.col("neuron").cast("long").alias("neuron"), F.col("f.pix").alias("pixels"), F.col("f.val").alias("weights"), "trace")
     rows = members.join(clean.select("pix", "y"), "pix").select("patch", "pix", "y", F.lit(None).cast("long").alias("neuron"), F.lit(None).cast("array<long>").alias("pixels"), F.lit(None).cast("array<double>").alias("weights"), F.lit(None).cast("array<double>").alias("trace"))
     found = patches.temporal_update(rows.unionByName(parts), rounds)
-    d = found.groupBy("neuron").agg(sum_of(F.collect_list(F.struct(F.col("weight").alias("w"), F.col("trace").alias("x")))).alias("x"), F.sum("weight").alias("w"))
+    d = found.groupBy("neuron").agg(A.weighted_sum(F.collect_list(F.struct(F.col("weight").alias("w"), F.col("trace").alias("x")))).alias("x"), F.sum("weight").alias("w"))
     return d.select("neuron", F.transform("x", lambda v: v / F.when(F.col("w") > 0, F.col("w")).otherwise(1.0)).alias("trace"))
 
 
 def merged(footprints: DataFrame, traces: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
-    """Components that overlap and have similar traces become one: footprints add up by peak, the brightest's trace stays for the next update."""
+    """Components that overlap and have similar traces become one: the footprint and trace of rank one that are nearest to
+    what they add up to, so that the model keeps its scale."""
     pairs = cut(C.overlap_cosine(footprints, 0.1).join(traces.select(F.col("neuron").alias("a"), F.col("trace").alias("x")), "a").join(traces.select(F.col("neuron").alias("b"), F.col("trace").alias("z")), "b").where(A.correlation(F.col("x"), F.col("z")) >= o.merge_thr).select("a", "b"))
     if not pairs.head(1):
         return footprints, traces
     groups = graph.connected_components(pairs)
-    f = C.merged_replace(footprints.select("neuron", "pix", "val"), groups)
-    named = traces.join(groups.withColumnRenamed("id", "neuron"), "neuron", "left").select(F.coalesce("label", "neuron").alias("neuron"), "trace")
-    return f, named.groupBy("neuron").agg(F.max_by("trace", F.array_max("trace")).alias("trace"))
+    named = lambda d: d.withColumnRenamed("neuron", "id")
+    fit = cut(graph.merged_traces(named(traces.select("neuron", "trace")), named(footprints.select("neuron", "pix", "val")), groups))
+    parts = fit.select("label", F.inline("parts")).withColumnRenamed("id", "neuron")
+    f = footprints.join(parts, "neuron").groupBy(F.col("label").alias("neuron"), "pix").agg(F.sum(F.col("val") * F.col("part")).alias("val")).where("val > 0")
+    gone = groups.select(F.col("id").alias("neuron"))
+    return (
+        footprints.select("neuron", "pix", "val").join(gone, "neuron", "left_anti").unionByName(f),
+        traces.select("neuron", "trace").join(gone, "neuron", "left_anti").unionByName(fit.select(F.col("label").alias("neuron"), "trace")),
+    )
 
 
 def seeded(pixels: DataFrame, height: int, o: Options, sigma: float | None) -> tuple[DataFrame, DataFrame]:
@@ -152,46 +159,96 @@ def demix(pixels: DataFrame, height: int, options: Options | None = None, sigma:
         if more and k == 0:
             f, t = residual_seeds(clean, f, t, height, o, sigma)
         f, t = cut(f), cut(t)
+    # Traces that fit the merged footprints, and the new ones, together.
+    t = cut(update_temporal(clean, f, t, height, o))
     return {"footprints": f, "traces": t, "background": background, "events": cut(deconvolution.deconvolved_components(t))}
 
 
-def demix_batches(movie, ids: list[int], height: int, path: str, options: Options | None = None, sigma: float | None = None) -> dict[str, DataFrame]:
-    """Batch after batch: footprints of the batches before go on, new ones come from the residual, means are kept as sums.
+# Batches of frames. The state is a folder for each table and batch under one path, and a mark when all of them are there.
+
+STATE = ("footprints", "traces", "weights", "offset", "neurons")
+
 
-    movie(batch) gives the pixels of a batch. The state is a table for each batch under path, so a run that stopped goes
-    on where it was. Footprints of all batches are averaged by the energy of their traces in each.
+def done_batches(spark: SparkSession, path: str) -> list[int]:
+    """The batches whose state is complete, in order."""
+    marks = f"{path.rstrip('/')}/done"
+    if not results.existing(spark, [marks]):
+        return []
+    return sorted(r["batch"] for r in spark.read.schema("batch int").option("recursiveFileLookup", "true").parquet(marks).select("batch").distinct().collect())
+
+
+def batch_state(spark: SparkSession, path: str, name: str, batch: int | None = None) -> DataFrame:
+    """A table of the state of one batch, or of all that are complete, with their number in `batch`: one read."""
+    d = spark.read.parquet(f"{path.rstrip('/')}/{name}")
+    return d.where(F.col("batch") == batch).drop("batch") if batch is not None else d.where(F.col("batch").isin(done_batches(spark, path)))
+
+
+def demix_batch(pixels: DataFrame, batch: int, height: int, path: str, options: Options | None = None, sigma: float | None = None) -> bool:
+    """Takes one batch of frames into the state; False, and nothing changes, if the state has it already.
+
+    The first batch is seeded from nothing. A later one starts with the footprints of the batch before and their traces
+    through its ring weights, then fits its background and seeds the residual; ids of earlier components stay, new ones
+    go on after the largest. The state of a batch that was not finished is written anew.
     """
-    o, f, spark = options or Options(), None, None
-    for k in ids:
-        p = movie(k)
-        spark = p.sparkSession
-        if results.existing(spark, [f"{path}/{k}/traces/_SUCCESS"]):
-            f = results.read(spark, f"{path}/{k}", "footprints")
-            continue
-        p = cut(p.select("pix", "r", "c", "y"))
-        if f is None:
-            f, t = seeded(p, height, o, sigma)
-        else:
-            t = C.fast_projection(f, samples(p)).groupBy("neuron").agg(F.transform(F.sort_array(F.collect_list(F.struct("t", "y"))), lambda x: x["y"]).alias("trace"))
-            f, t = residual_seeds(p, f, t, height, o, sigma)
+    from glimmer.plans import descents
+
+    o, spark = options or Options(), pixels.sparkSession
+    done = done_batches(spark, path)
+    if batch in done:
+        return False
+    before = max((k for k in done if k < batch), default=None)
+    p = cut(pixels.select("pix", "r", "c", F.transform("y", lambda x: F.nanvl(x, F.lit(0.0))).alias("y")))
+    ring = o.background_model == "ring"
+    if before is None:
+        f, t = seeded(p, height, o, sigma)
+        old, weights = f.select("neuron").limit(0), None
+    else:
+        f = cut(batch_state(spark, path, "footprints", before))
+        old = cut(batch_state(spark, path, "neurons", before))
+        weights = cut(batch_state(spark, path, "weights", before)) if ring else None
+        t = cut(descents.known_footprints(p, f, height, o, weights, rounds=2))
         clean = cut(without_background(p, update_background(p, f, t, height, o)))
-        t = cut(update_temporal(clean, f, t, height, o))
-        f = cut(update_spatial(clean, f, t, o))
-        results.write(f"{path}/{k}", {"footprints": f, "traces": t})
-        f = results.read(spark, f"{path}/{k}", "footprints")
-    parts = None
-    for k in ids:
-        energy = results.read(spark, f"{path}/{k}", "traces").select("neuron", A.dot(F.col("trace"), F.col("trace")).alias("e"))
-        part = results.read(spark, f"{path}/{k}", "footprints").join(energy, "neuron")
-        parts = part if parts is None else parts.unionByName(part)
+        f, t = residual_seeds(clean, f, t, height, o, sigma)
+    f, t = cut(f), cut(t)
+    if ring:
+        weights, offset = descents.fit_ring(p, f, t, height, o, weights)
+        weights = cut(weights)
+        background = descents.reconstructed_background(p, f, t, weights, height, o)
+    else:
+        background, offset = update_background(p, f, t, height, o), updated_offset(p, f, t)
+        weights = spark.createDataFrame([], "patch long, pix long, nbr_pix long, w double, ssub int")
+    clean = cut(without_background(p, background))
+    t = cut(update_temporal(clean, f, t, height, o))
+    f = cut(update_spatial(clean, f, t, o))
+    born = f.select(F.col("neuron").cast("long").alias("neuron")).distinct().join(old.select("neuron"), "neuron", "left_anti").withColumn("since", F.lit(batch))
+    neurons = born if before is None else old.unionByName(born)
+    tables = {"footprints": f.select(F.col("neuron").cast("long").alias("neuron"), "pix", "val"), "traces": t.select(F.col("neuron").cast("long").alias("neuron"), "trace"), "weights": weights, "offset": offset, "neurons": neurons}
+    for name in STATE:
+        tables[name].write.mode("overwrite").parquet(f"{path.rstrip('/')}/{name}/batch={batch}")
+    # The mark comes last, under its own name, so that marking a batch again changes nothing.
+    spark.createDataFrame([(batch,)], "batch int").write.mode("overwrite").parquet(f"{path.rstrip('/')}/done/{batch}")
+    return True
+
+
+def batch_results(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """Footprints of all batches, averaged by the energy of their traces in each, and the traces with their batch."""
+    traces = batch_state(spark, path, "traces")
+    energy = traces.select("neuron", "batch", A.dot(F.col("trace"), F.col("trace")).alias("e"))
+    parts = batch_state(spark, path, "footprints").join(energy, ["neuron", "batch"])
     mean = parts.groupBy("neuron", "pix").agg((F.sum(F.col("val") * F.col("e")) / F.sum("e")).alias("val"))
-    traces = None
-    for k in ids:
-        t = results.read(spark, f"{path}/{k}", "traces").withColumn("batch", F.lit(k))
-        traces = t if traces is None else traces.unionByName(t)
     return {"footprints": mean, "traces": traces}
 
 
+def demix_batches(movie, ids: list[int], height: int, path: str, options: Options | None = None, sigma: float | None = None) -> dict[str, DataFrame]:
+    """Batch after batch (see demix_batch): movie(batch) gives the pixels of a batch. A run that stopped goes on where it was."""
+    spark = None
+    for k in ids:
+        p = movie(k)
+        spark = p.sparkSession
+        demix_batch(p, k, height, path, options, sigma)
+    return batch_results(spark, path)
+
+
 # Queries on the given tables
 
 _OPTIONS = Options(gSiz=4, patch=8, min_corr=0.1, min_pnr=1.5, min_pixel=0, ring_radius=4, background_model="ring", nb=1)
