@@ -289,9 +289,9 @@ def sliding_nnls(y: np.ndarray, kernel: np.ndarray, window: int = 200, shift: in
 
 
 def exp2_kernel(decay: float, rise: float, n: int) -> np.ndarray:
-    """(d**t - r**t) / (d - r) with d and r the decay of a frame, t = 1 .. n."""
+    """(d**t - r**t) / (d - r) with d and r the decay of a frame, t = 1 .. n; its limit t d**(t-1) if they are equal."""
     d, r, t = np.exp(-1 / decay), np.exp(-1 / rise), np.arange(1, n + 1)
-    return (d**t - r**t) / (d - r)
+    return t * d ** (t - 1.0) if abs(d - r) < 1e-9 else (d**t - r**t) / (d - r)
 
 
 def deconvolve_kernel(y: np.ndarray, kernel: np.ndarray, method: str = "foopsi", sn: float | None = None, lam: float = 0.0, smin: float = 0.0, baseline: bool = True) -> dict:

@@ -10,10 +10,13 @@ from pyspark.sql import functions as F
 from glimmer.functions import kernels as K
 
 
-def spread(traces: DataFrame) -> DataFrame:
-    """Traces of a small file lie in one task; they are dealt to all cores. A large input has partitions enough and stays."""
-    n = traces.sparkSession.sparkContext.defaultParallelism
-    return traces.repartition(n) if traces.rdd.getNumPartitions() < n else traces
+def spread(traces: DataFrame, tasks: int | None = None) -> DataFrame:
+    """Traces dealt to `tasks` tasks (all cores, if not given), for a table whose small files would be one task.
+
+    What the functions below do for a trace takes long, so a caller who knows that the table is small deals it out; a
+    large one has partitions enough, and none of them deals its rows anew.
+    """
+    return traces.repartition(tasks or traces.sparkSession.sparkContext.defaultParallelism)
 
 
 def noise(traces: DataFrame, key: str, method: str = "logmexp") -> DataFrame:
@@ -24,7 +27,7 @@ def noise(traces: DataFrame, key: str, method: str = "logmexp") -> DataFrame:
     def level(y: pd.Series) -> pd.Series:
         return pd.Series([float(estimate(np.nan_to_num(np.asarray(x, float)))[0]) if x is not None and len(x) > 3 else None for x in y], dtype="float64")
 
-    return spread(traces).select(key, F.round(level("y"), 6).alias("sn"))
+    return traces.select(key, F.round(level("y"), 6).alias("sn"))
 
 
 def histogram_noise(traces: DataFrame, key: str) -> DataFrame:
@@ -35,7 +38,7 @@ def histogram_noise(traces: DataFrame, key: str) -> DataFrame:
         rows = [(*K.histogram_baseline(x), float(K.periodogram_noise(x)[0])) for x in (np.nan_to_num(np.asarray(x, float)) for x in y)]
         return pd.DataFrame(rows, columns=["baseline", "sn", "sn_plain"])
 
-    return spread(traces).where(F.size("y") > 3).select(key, fit("y").alias("f")).select(key, *[F.round(f"f.{x}", 6).alias(x) for x in ("baseline", "sn", "sn_plain")])
+    return traces.where(F.size("y") > 3).select(key, fit("y").alias("f")).select(key, *[F.round(f"f.{x}", 6).alias(x) for x in ("baseline", "sn", "sn_plain")])
 
 
 def time_constants(traces: DataFrame, key: str, p: int = 2) -> DataFrame:
@@ -50,7 +53,7 @@ def time_constants(traces: DataFrame, key: str, p: int = 2) -> DataFrame:
             rows.append((sn, K.ar_coefficients(x, p, sn)))
         return pd.DataFrame(rows, columns=["sn", "g"])
 
-    return spread(traces).where(F.size("y") > 3).select(key, fit("y").alias("f")).select(key, F.round("f.sn", 6).alias("sn"), F.transform("f.g", lambda x: F.round(x, 6)).alias("g"))
+    return traces.where(F.size("y") > 3).select(key, fit("y").alias("f")).select(key, F.round("f.sn", 6).alias("sn"), F.transform("f.g", lambda x: F.round(x, 6)).alias("g"))
 
 
 def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model: str = "ar1", **options) -> DataFrame:
@@ -80,7 +83,7 @@ def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model:
     def run(y: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([one(np.asarray(x, float)) for x in y], columns=["c", "s", "b", "g", "sn", "lam", "smin"])
 
-    return spread(traces).where(F.size("y") > 3).select(key, run("y").alias("d")).select(key, "d.*")
+    return traces.where(F.size("y") > 3).select(key, run("y").alias("d")).select(key, "d.*")
 
 
 def deconvolved_components(traces: DataFrame, **options) -> DataFrame:
@@ -97,7 +100,7 @@ def modes(traces: DataFrame, key: str) -> DataFrame:
     def run(y: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([K.density_mode(np.nan_to_num(np.asarray(x, float))) for x in y], columns=["mode", "bandwidth"])
 
-    return spread(traces).where(F.size("y") > 3).select(key, run("y").alias("m")).select(key, F.round("m.mode", 6).alias("mode"), F.round("m.bandwidth", 6).alias("bandwidth"))
+    return traces.where(F.size("y") > 3).select(key, run("y").alias("m")).select(key, F.round("m.mode", 6).alias("mode"), F.round("m.bandwidth", 6).alias("bandwidth"))
 
 
 def spectra(traces: DataFrame, key: str, bins: int = 8) -> DataFrame:
@@ -108,7 +111,7 @@ def spectra(traces: DataFrame, key: str, bins: int = 8) -> DataFrame:
         rows = (K.welch_density(np.nan_to_num(np.asarray(x, float)))[1][0] for x in y)
         return pd.Series([[float(np.log(part.mean() + 1e-300)) for part in np.array_split(p, bins)] for p in rows])
 
-    return spread(traces).where(F.size("y") > 3).select(key, run("y").alias("power"))
+    return traces.where(F.size("y") > 3).select(key, run("y").alias("power"))
 
 
 def kernel_spikes(traces: DataFrame, key: str, kernel: list[float], window: int = 200, shift: int = 100) -> DataFrame:
@@ -118,4 +121,4 @@ def kernel_spikes(traces: DataFrame, key: str, kernel: list[float], window: int
     def run(y: pd.Series) -> pd.Series:
         return pd.Series([K.sliding_nnls(np.nan_to_num(np.asarray(x, float)), np.asarray(kernel), window, shift) for x in y])
 
-    return spread(traces).select(key, run("y").alias("s"))
+    return traces.select(key, run("y").alias("s"))

@@ -411,11 +411,7 @@ def low_rank(blocks: DataFrame, rank: int, method: str = "svd") -> DataFrame:
         if rank <= 0:
             b = np.repeat(mean, y.shape[1], 1)
         elif method == "nmf":
-            data, rng = np.maximum(y, 0.0), np.random.default_rng(int(key[0]))
-            w, h = rng.random((len(y), rank)) + 0.1, rng.random((rank, y.shape[1])) + 0.1
-            for _ in range(100):
-                h *= (w.T @ data) / np.maximum(w.T @ w @ h, 1e-12)
-                w *= (data @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+            w, h = _multiplied(y, rank, int(key[0]))
             b = w @ h
         else:
             _, vectors = np.linalg.eigh(z @ z.T if len(z) <= z.shape[1] else z.T @ z)
@@ -428,6 +424,28 @@ def low_rank(blocks: DataFrame, rank: int, method: str = "svd") -> DataFrame:
     return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, share double, b array<double>")
 
 
+def _multiplied(data: np.ndarray, rank: int, seed: int, rounds: int = 100) -> tuple[np.ndarray, np.ndarray]:
+    """Non-negative factors of data by multiplicative updates."""
+    data, rng = np.maximum(data, 0.0), np.random.default_rng(seed)
+    w, h = rng.random((len(data), rank)) + 0.1, rng.random((rank, data.shape[1])) + 0.1
+    for _ in range(rounds):
+        h *= (w.T @ data) / np.maximum(w.T @ w @ h, 1e-12)
+        w *= (data @ h.T) / np.maximum(w @ (h @ h.T), 1e-12)
+    return w, h
+
+
+def factors(blocks: DataFrame, rank: int) -> DataFrame:
+    """(patch, k, pixels, weights, trace): the non-negative factors of each patch; k is patch * rank + which."""
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        group, y = _image(group)
+        w, h = _multiplied(y, rank, int(key[0]))
+        rows = [(int(key[0]), int(key[0]) * rank + j, group["pix"].tolist(), w[:, j].tolist(), h[j].tolist()) for j in range(rank)]
+        return pd.DataFrame(rows, columns=["patch", "k", "pixels", "weights", "trace"])
+
+    return blocks.groupBy("patch").applyInPandas(run, "patch long, k long, pixels array<long>, weights array<double>, trace array<double>")
+
+
 def low_rank_background(blocks: DataFrame, rank: int) -> DataFrame:
     """(patch, pix, share): how much of an inner pixel's variance the patch's leading components hold."""
     return low_rank(blocks, rank).drop("b")

@@ -296,3 +296,63 @@ def update_background_coarse(spark, d):
     p, f, t = updates._first(spark, d)
     w, _ = fit_ring(p, f, t, HEIGHT, o)
     return updates._levels(reconstructed_background(p, f, t, cut(w), HEIGHT, o))
+
+
+# The background of all patches, movies in files, batches as a stream
+
+_R1 = f"""{updates._MODEL}, f0 AS (SELECT t, avg(x) AS x FROM ct GROUP BY t)""" + "".join(
+    f""", e{k} AS (SELECT greatest(sum(x * x), 1e-300) AS e FROM f{k}), g{k} AS (SELECT neuron, sum(ct.x * f{k}.x) / any_value(e) AS g FROM ct JOIN f{k} USING (t), e{k} GROUP BY neuron), b{k} AS (SELECT pix, greatest(sum(val * g), 0) AS b FROM f JOIN g{k} USING (neuron) GROUP BY pix), v{k} AS (SELECT neuron, sum(val * b) AS v FROM f JOIN b{k} USING (pix) GROUP BY neuron), f{k + 1} AS (SELECT t, greatest(sum(v * x) / (SELECT greatest(sum(b * b), 1e-300) FROM b{k}), 0) AS x FROM ct JOIN v{k} USING (neuron) GROUP BY t)"""
+    for k in range(2)
+)
+
+
+@query(f"{_R1} SELECT CAST(t AS INT) AS t, {r('x')} AS x FROM f2")
+def rank_one_factor(spark, d):
+    """Two rounds of the rank-one fit to the labels' model."""
+    from glimmer.plans.extraction import rank_one_background
+
+    _, f, t = updates._first(spark, d)
+    _, g = rank_one_background(f.withColumnRenamed("neuron", "k"), t.withColumnRenamed("neuron", "k"), 2)
+    return g.select(F.posexplode("trace").alias("t", "x")).select((F.col("t") + 1).alias("t"), A.rounded(F.col("x")).alias("x"))
+
+
+@query()
+def extracted_by_patches(spark, d):
+    """Sources of each patch, merged to the end, over one background."""
+    from glimmer.plans.extraction import by_patches
+
+    out = by_patches(updates._blurred(spark, d), HEIGHT, updates._OPTIONS, 1.0)
+    return out["footprints"].groupBy("neuron").agg(F.count("*").alias("n_pixels"))
+
+
+@query(f"{_PX} SELECT CAST(t AS INT) AS t, CAST(count(*) AS INT) AS n, {r('sum(y)', 5)} AS total FROM px WHERE t BETWEEN 20 AND 40 GROUP BY t")
+def movie_file_frames(spark, d):
+    """The movie written as TIFF files by several tasks, and the frames from 20 to 40 read again by their ranges."""
+    import uuid
+
+    from glimmer.operators.shared import shared_folder
+    from glimmer.sources import movies
+
+    path = f"{shared_folder(spark)}/movie-{uuid.uuid4().hex}"
+    s = samples(pixels(spark, d)).groupBy("t").agg(F.transform(F.sort_array(F.collect_list(F.struct("pix", "y"))), lambda x: x["y"]).alias("y"))
+    movies.write(s.select("t", F.lit(1).alias("height"), F.size("y").alias("width"), "y"), path, 4)
+    back = movies.as_one(movies.read(spark, path, 8)).where(F.col("t").between(20, 40))
+    return back.select("t", (F.col("height") * F.col("width")).alias("n"), A.rounded(A.total(F.col("y")), 5).alias("total"))
+
+
+@query()
+def streamed_batches(spark, d):
+    """The loop over two batches of frames that arrive as a stream: components with the batch that they came in."""
+    import uuid
+    from dataclasses import replace
+
+    from glimmer.operators.shared import shared_folder
+    from glimmer.streaming.batches import demix_stream
+
+    base = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
+    p = updates._blurred(spark, d)
+    for k in range(2):
+        p.select("pix", "r", "c", F.slice("y", 1 + 32 * k, 32).alias("y"), F.lit(k).alias("batch")).coalesce(1).write.mode("append").parquet(f"{base}/in")
+    stream = spark.readStream.schema("pix long, r long, c long, y array<double>, batch int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
+    demix_stream(stream, HEIGHT, f"{base}/state", replace(updates._OPTIONS, background_model="svd"), 1.0).awaitTermination()
+    return updates.batch_state(spark, f"{base}/state", "neurons", 1)

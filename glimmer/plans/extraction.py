@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
-from glimmer.operators import deconvolution, graph, patches
+from glimmer.operators import deconvolution, descent, graph, patches
 from glimmer.operators.shared import cut
 from glimmer.options import Options
+from glimmer.plans import updates
 
 
 def extract(pixels: DataFrame, height: int, options: Options | None = None) -> dict[str, DataFrame]:
@@ -52,6 +53,57 @@ def extract(pixels: DataFrame, height: int, options: Options | None = None) -> d
     return {"footprints": footprints.select("neuron", "pix", "val"), "traces": traces.withColumnRenamed("y", "trace"), "neurons": neurons}
 
 
+def merged_to_the_end(footprints: DataFrame, traces: DataFrame, o: Options) -> tuple[DataFrame, DataFrame]:
+    """Merges (updates.merged) until no two components are left that overlap and have similar traces.
+
+    What a merge makes may be like another component that its parts were not like. The rounds end with the number of
+    components, which falls; the tables of a round are cut from those before.
+    """
+    count = lambda t: t.agg(F.count("*")).head()[0]
+    f, t = cut(footprints.select("neuron", "pix", "val")), cut(traces.select("neuron", "trace"))
+    before, n = None, count(t)
+    while n != before:
+        f, t = map(cut, updates.merged(f, t, o))
+        before, n = n, count(t)
+    return f, t
+
+
+def rank_one_background(background: DataFrame, factors: DataFrame, rounds: int = 10) -> tuple[DataFrame, DataFrame]:
+    """(b (pix, val), f (trace), one row): the non-negative rank-one fit to what the backgrounds of all patches add up to.
+
+    background: (k, pix, val), factors: (k, trace), k being a component of a patch. The fit never forms their product: b
+    needs each factor's product with f, and f the backgrounds' products with b, both sums by k or pix; only f, a trace,
+    meets all rows, as one row.
+    """
+    back, factors = cut(background.select("k", "pix", "val")), cut(factors.select("k", "trace"))
+    one = lambda d: F.broadcast(d)  # noqa: E731  a single row
+    mean = factors.select(F.posexplode("trace").alias("t", "x")).groupBy("t").agg(F.avg("x").alias("x"))
+    f = cut(descent.array_of(mean.withColumn("one", F.lit(1)), "one", "x", "f").select("f"))
+    b = None
+    for _ in range(rounds):
+        part = factors.join(one(f)).select("k", (A.dot(F.col("trace"), F.col("f")) / F.greatest(A.dot(F.col("f"), F.col("f")), F.lit(1e-300))).alias("g"))
+        b = cut(back.join(part, "k").groupBy("pix").agg(F.greatest(F.sum(F.col("val") * F.col("g")), F.lit(0.0)).alias("val")))
+        energy = b.agg(F.greatest(F.sum(F.col("val") * F.col("val")), F.lit(1e-300)).alias("e"))
+        links = back.join(b.withColumnRenamed("val", "b"), "pix").groupBy(F.col("k").alias("neuron")).agg(F.sum(F.col("val") * F.col("b")).alias("v"))
+        s = descent.combined(links.withColumn("k", F.lit(1)), factors.withColumnRenamed("k", "neuron"))
+        f = cut(s.join(one(energy)).select(F.transform("s", lambda x: F.greatest(x / F.col("e"), F.lit(0.0))).alias("f")))
+    return b, f.withColumnRenamed("f", "trace")
+
+
+def by_patches(pixels: DataFrame, height: int, options: Options | None = None, sigma: float | None = None) -> dict[str, DataFrame]:
+    """Extraction in which patches meet once: sources and background of each, merges to the end, one background of all.
+
+    Tables footprints, traces, background (pix, val) and factor (trace, one row).
+    """
+    o = options or Options()
+    y = cut(pixels.select("pix", "r", "c", F.transform("y", lambda x: F.nanvl(x, F.lit(0.0))).alias("y")))
+    f, t = merged_to_the_end(*updates.seeded(y, height, o, sigma), o)
+    t = cut(updates.update_temporal(cut(updates.without_background(y, updates.update_background(y, f, t, height, o))), f, t, height, o))
+    parts = cut(patches.factors(patches.blocks(updates.residual(y, f, t), height, o.patch, 0), max(o.nb, 1)))
+    b, g = rank_one_background(parts.select("k", F.inline(F.arrays_zip(F.col("pixels").alias("pix"), F.col("weights").alias("val")))), parts.select("k", "trace"))
+    return {"footprints": f, "traces": t, "background": b, "factor": g}
+
+
 def _near(pixels: DataFrame, seeds: DataFrame, radius: int) -> DataFrame:
     """Pixels and the seeds within the radius, by an equi join on grid cells of that size."""
     steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i in (-1, 0, 1) for j in (-1, 0, 1)])

@@ -14,61 +14,66 @@ from glimmer.operators.shared import shared_folder
 from glimmer.sources.adapters import HEIGHT, pixels, samples, table, traces
 
 
+def _dealt(spark: SparkSession, d: str) -> DataFrame:
+    """The pixels of a small file, dealt to all cores."""
+    return deconvolution.spread(pixels(spark, d))
+
+
 def _summary(d: DataFrame, key: str) -> DataFrame:
     return d.select(key, F.size("c").alias("n"), *[A.rounded(F.col(x), 5).alias(x) for x in ("b", "g", "sn")], A.rounded(A.total(F.col("c")), 4).alias("c_sum"), F.size(F.filter("s", lambda x: x > 0)).alias("n_spikes"))
 
 
 def noise_psd(spark: SparkSession, d: str) -> DataFrame:
-    return deconvolution.noise(pixels(spark, d), "pix")
+    return deconvolution.noise(_dealt(spark, d), "pix")
 
 
 def noise_histogram(spark: SparkSession, d: str) -> DataFrame:
-    return deconvolution.histogram_noise(pixels(spark, d), "pix")
+    return deconvolution.histogram_noise(_dealt(spark, d), "pix")
 
 
 def ar_time_constants(spark: SparkSession, d: str) -> DataFrame:
-    return deconvolution.time_constants(pixels(spark, d), "pix", 2)
+    return deconvolution.time_constants(_dealt(spark, d), "pix", 2)
 
 
 def noise_short_windows(spark: SparkSession, d: str) -> DataFrame:
     """Noise by windows of an eighth of the trace."""
-    return deconvolution.noise(pixels(spark, d), "pix", "short")
+    return deconvolution.noise(_dealt(spark, d), "pix", "short")
 
 
 def deconvolved_ar1(spark: SparkSession, d: str) -> DataFrame:
     """Whole calcium and spike traces, with time constants and noise from the traces themselves."""
-    found = deconvolution.deconvolved(pixels(spark, d), "pix", "constrained")
+    found = deconvolution.deconvolved(_dealt(spark, d), "pix", "constrained")
     short = lambda x: F.transform(x, lambda v: A.rounded(v, 5)).alias(x)
     return found.select("pix", short("c"), short("s"), *[A.rounded(F.col(x), 5).alias(x) for x in ("b", "g", "sn", "lam")])
 
 
 def foopsi_ar2(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "foopsi", "ar2", g2=[1.4, -0.48], lam=0.05), "pix")
+    return _summary(deconvolution.deconvolved(_dealt(spark, d), "pix", "foopsi", "ar2", g2=[1.4, -0.48], lam=0.05), "pix")
 
 
 def thresholded_ar2(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "thresholded", "ar2", g2=[1.4, -0.48]), "pix")
+    return _summary(deconvolution.deconvolved(_dealt(spark, d), "pix", "thresholded", "ar2", g2=[1.4, -0.48]), "pix")
 
 
 def constrained_exp2(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "constrained", "exp2", decay=6.0, rise=1.0), "pix")
+    return _summary(deconvolution.deconvolved(_dealt(spark, d), "pix", "constrained", "exp2", decay=6.0, rise=1.0), "pix")
 
 
-def oasis_ar1(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "foopsi", g=0.9, lam=0.05), "pix")
+def foopsi_ar1(spark: SparkSession, d: str) -> DataFrame:
+    return _summary(deconvolution.deconvolved(_dealt(spark, d), "pix", "foopsi", g=0.9, lam=0.05), "pix")
 
 
 def constrained_ar1(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "constrained", g=0.9), "pix")
+    return _summary(deconvolution.deconvolved(_dealt(spark, d), "pix", "constrained", g=0.9), "pix")
 
 
 def thresholded_ar1(spark: SparkSession, d: str) -> DataFrame:
-    return _summary(deconvolution.deconvolved(pixels(spark, d), "pix", "thresholded", g=0.9), "pix")
+    return _summary(deconvolution.deconvolved(_dealt(spark, d), "pix", "thresholded", g=0.9), "pix")
 
 
 def kernel_nnls(spark: SparkSession, d: str) -> DataFrame:
     kernel = [0.9**i - 0.5**i for i in range(1, 30)]
-    s = deconvolution.kernel_spikes(pixels(spark, d), "pix", kernel, 32, 16)
+    s = deconvolution.kernel_spikes(_dealt(spark, d), "pix", kernel, 32, 16)
     return s.select("pix", A.rounded(A.total(F.col("s")), 4).alias("s_sum"), F.size(F.filter("s", lambda x: x > 1e-6)).alias("n_spikes"))
 
 
@@ -124,7 +129,7 @@ def event_types(spark: SparkSession, d: str) -> DataFrame:
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    v = deconvolution.spectra(pixels(spark, d), "pix").select("pix", "power", array_to_vector("power").alias("features"))
+    v = deconvolution.spectra(_dealt(spark, d), "pix").select("pix", "power", array_to_vector("power").alias("features"))
     model = KMeans(k=2, seed=1, initMode="k-means||").fit(v)
     high = [float(sum(c[len(c) // 2 :])) for c in model.clusterCenters()]
     active = high.index(min(high))
@@ -138,7 +143,7 @@ def pnr_psd(spark: SparkSession, d: str) -> DataFrame:
 
 
 def density_modes(spark: SparkSession, d: str) -> DataFrame:
-    return deconvolution.modes(pixels(spark, d), "pix")
+    return deconvolution.modes(_dealt(spark, d), "pix")
 
 
 def preprocessed(spark: SparkSession, d: str) -> DataFrame:
@@ -156,4 +161,4 @@ def preprocessed(spark: SparkSession, d: str) -> DataFrame:
     return d1.join(F.broadcast(common)).select("pix", "unsaturated", F.col("sn_plain").alias("sn"), "active", "g")
 
 
-QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, oasis_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types, pnr_psd, density_modes, preprocessed)}
+QUERIES = {f.__name__: f for f in (noise_psd, noise_short_windows, noise_histogram, ar_time_constants, deconvolved_ar1, foopsi_ar1, constrained_ar1, thresholded_ar1, foopsi_ar2, thresholded_ar2, constrained_exp2, kernel_nnls, greedy_seeds, ring_regression, low_rank_background, nnls_spatial, merge_components, streamed_calcium, event_types, pnr_psd, density_modes, preprocessed)}

@@ -353,3 +353,55 @@ def test_coarse_background_agrees_with_the_fine_one_where_it_is_smooth(spark):
     # Weights of another grid are not gone on with.
     again, _ = descents.fit_ring(movie, f, t, size, Options(patch=12, ring_radius=6, bg_ssub=1), w)
     assert again.select("pix").distinct().count() == size * size
+
+
+# Merges to the end, and the background of all patches
+
+
+def test_merges_go_on_to_the_end(spark):
+    """A chain of parts: neighbours alike, and what a merge makes like the next."""
+    rng = np.random.default_rng(6)
+    c = np.convolve(rng.random(300) < 0.05, 0.9 ** np.arange(40))[:300]
+    other = np.convolve(rng.random(300) < 0.05, 0.9 ** np.arange(40))[:300]
+    a = np.zeros((40, 5))
+    for k in range(4):
+        a[4 * k : 4 * k + 8, k] = 1.0
+    a[30:38, 4] = 2.0
+    traces = [c + 0.02 * rng.standard_normal(300) for _ in range(4)] + [other]
+    t = spark.createDataFrame([(k, x.tolist()) for k, x in enumerate(traces)], "neuron long, trace array<double>")
+    from glimmer.plans import extraction
+
+    f, t = extraction.merged_to_the_end(table_of(spark, a), t, Options(merge_thr=0.8))
+    found = {r["neuron"]: np.array(r["trace"]) for r in t.collect()}
+    assert set(found) == {0, 4}
+    said = np.zeros((40, 300))
+    for r in f.collect():
+        said[r["pix"]] += r["val"] * found[r["neuron"]]
+    assert said == pytest.approx(a @ np.array([c, c, c, c, other]), abs=0.4)
+
+
+def test_rank_one_background_of_patches(spark):
+    from glimmer.plans import extraction
+
+    rng = np.random.default_rng(7)
+    b, f = 1 + rng.random(40), 2 + np.sin(np.arange(80) / 7)
+    scales = [1.0, 3.0, 0.5, 2.0]
+    back = spark.createDataFrame([(k, 10 * k + i, float(b[10 * k + i] * s)) for k, s in enumerate(scales) for i in range(10)], "k long, pix long, val double")
+    factors = spark.createDataFrame([(k, (f / s).tolist()) for k, s in enumerate(scales)], "k long, trace array<double>")
+    got, factor = extraction.rank_one_background(back, factors, 4)
+    g = np.array(factor.head()["trace"])
+    assert np.outer([r["val"] for r in sorted(got.collect(), key=lambda r: r["pix"])], g) == pytest.approx(np.outer(b, f))
+
+
+def test_extraction_by_patches_finds_sources_and_background(spark):
+    from glimmer.plans import extraction
+
+    movie, centres, traces = one_photon(spark)
+    o = Options(gSiz=7, patch=12, min_corr=0.5, min_pnr=5, min_pixel=5, background_model="svd", nb=1, merge_thr=0.7)
+    out = extraction.by_patches(movie, 24, o, 2.0)
+    found = {r["neuron"]: np.array(r["trace"]) for r in out["traces"].collect()}
+    assert len(centres) <= len(found) <= len(centres) + 2
+    for want in traces:
+        assert max(np.corrcoef(x, want)[0, 1] for x in found.values()) > 0.9
+    assert np.corrcoef(out["factor"].head()["trace"], 5 + 2 * np.sin(np.arange(300) / 30))[0, 1] > 0.95
+    assert out["background"].count() == 576

@@ -217,7 +217,7 @@ def best(y, kernel, lam):
 
 
 def test_foopsi_queries_reach_the_optimum(spark, rows):
-    got = {r["pix"]: r for r in found(spark, "oasis_ar1")}
+    got = {r["pix"]: r for r in found(spark, "foopsi_ar1")}
     two = {r["pix"]: r for r in found(spark, "foopsi_ar2")}
     for pix in list(rows)[:4]:
         d = K.deconvolve_ar1(rows[pix], "foopsi", g=0.9, lam=0.05)
