@@ -18,6 +18,9 @@ from glimmer.operators.shared import apart, cut, sized
 
 #: Frames of a patch that one task holds at a time.
 FRAMES = 1024
+#: Rows of V, some 24 bytes each, that may go to all tasks; and values of a range of frames that a task then holds.
+LINKS = 1 << 18
+FRAME_VALUES = 1 << 22
 
 
 def _difference(a: DataFrame, b: DataFrame) -> DataFrame:
@@ -78,19 +81,81 @@ def turns_of(gram: DataFrame) -> DataFrame:
     return graph.update_order(gram.where("a < b").select("a", "b"), gram.select(F.col("a").alias("id")))
 
 
-def temporal_sweeps(sums: DataFrame, gram: DataFrame, turns: DataFrame, start: DataFrame | None = None, rounds: int = 5, rule: str = "clip") -> DataFrame:
+def _turns_here(rows: list) -> dict[int, int]:
+    """The turns of turns_of for the rows (a, b, v, h) of a small Gram matrix, h being the hash of a."""
+    key = {r["a"]: (r["h"], r["a"]) for r in rows}
+    near: dict[int, set[int]] = {k: set() for k in key}
+    for r in rows:
+        if r["a"] != r["b"]:
+            near[r["a"]].add(r["b"])
+    turns, left, turn = {}, set(key), 0
+    while left:
+        turn += 1
+        mine = [k for k in left if all(key[k] > key[n] for n in near[k] & left)]
+        turns.update(dict.fromkeys(mine, turn))
+        left.difference_update(mine)
+    return turns
+
+
+def temporal_sweeps(sums: DataFrame, gram: DataFrame, start: DataFrame | None = None, rounds: int = 5, rule: str = "clip", most_links: int = LINKS) -> DataFrame:
     """(neuron, trace) that minimise |Y - A C|, by sweeps over U (neuron, u) and V (a, b, v), turn by turn.
 
-    Components of one turn do not see each other, so a turn is one join, and a sweep gives what a serial sweep in the
-    order of the turns gives. A task has a component with the traces of those that overlap it. rule: clip, values below
-    0 become 0; shift, the trace's least value becomes 0 (for traces on an unknown baseline); free, as it comes.
-    Components without energy are left out.
+    Components of one turn share no pixel, so they move together, and a sweep gives what a serial sweep in the order of
+    the turns gives. rule: clip, values below 0 become 0; shift, the trace's least value becomes 0 (for traces on an
+    unknown baseline); free, as it comes. Components without energy are left out.
+
+    V has no frames. If its rows are counted to be few (most_links), it goes to all tasks, each of which sweeps over a
+    range of frames of all components, as frames do not see each other; U is shuffled twice in all. Else a turn is a join,
+    in which a task has a component with the traces of those that overlap it. Both give the same.
     """
+    # A shift adds a constant to a trace, which others answer with constants: the frames go as if there were none.
+    inner = "free" if rule == "shift" else rule
     size = gram.where("a = b and v > 0").select(F.col("a").alias("neuron"), F.col("v").alias("d"))
-    state = sums.select("neuron", "u").join(size, "neuron").join(turns.select(F.col("id").alias("neuron"), "turn"), "neuron")
     zero = F.transform("u", lambda x: F.lit(0.0))
+    state = sums.select("neuron", "u").join(size, "neuron")
     state = state.join(start.select("neuron", F.col("trace").alias("c")), "neuron", "left").withColumn("c", F.coalesce("c", zero)) if start is not None else state.withColumn("c", zero)
-    state, links = cut(state), cut(gram.where("a <> b"))
+    few = gram.select("a", "b", "v", F.xxhash64("a").alias("h")).limit(most_links + 1).collect()
+    found = _swept_by_frames(state, few, rounds, inner) if len(few) <= most_links else _swept_by_turns(state, gram, rounds, inner)
+    return found.select("neuron", F.transform("trace", lambda x: x - F.array_min("trace")).alias("trace")) if rule == "shift" else found
+
+
+def _swept_by_frames(state: DataFrame, links: list, rounds: int, rule: str) -> DataFrame:
+    turns = _turns_here(links)
+    order = sorted(turns, key=lambda k: (turns[k], k))
+    frames = min(FRAMES, max(1, FRAME_VALUES // max(len(order), 1)))
+    rows = {k: ([], []) for k in order}
+    for r in links:
+        rows[r["a"]][0].append(r["b"])
+        rows[r["a"]][1].append(r["v"])
+    known = state.sparkSession.sparkContext.broadcast((order, {k: (i, np.array(v)) for k, (i, v) in rows.items()}))
+    parts = F.explode(F.sequence(F.lit(0), F.greatest(F.ceil(F.size("u") / frames) - 1, F.lit(0)).cast("int")))
+    cut_ = lambda x: F.slice(x, F.col("part") * frames + 1, frames).alias(x)
+    d = state.select(F.col("neuron").cast("long").alias("neuron"), "u", "c", parts.alias("part")).select("part", "neuron", cut_("u"), cut_("c"))
+
+    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+        order, rows = known.value
+        place = {k: i for i, k in enumerate(group["neuron"].tolist())}
+        u, c = np.vstack(group["u"].to_list()), np.vstack(group["c"].to_list())
+        todo = []
+        for k in order:
+            if k in place:
+                at = np.array([j in place for j in rows[k][0]])
+                others = np.array([place[j] for j in rows[k][0] if j in place])
+                todo.append((place[k], others, rows[k][1][at]))
+        for _ in range(rounds):
+            for i, others, v in todo:
+                c[i] += (u[i] - v @ c[others]) / v[others == i][0]
+                if rule == "clip":
+                    np.maximum(c[i], 0.0, out=c[i])
+        return pd.DataFrame({"neuron": group["neuron"], "part": int(key[0]), "c": list(c)})
+
+    found = d.groupBy("part").applyInPandas(run, "neuron long, part int, c array<double>")
+    return found.groupBy("neuron").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("part", "c"))), lambda x: x["c"])).alias("trace"))
+
+
+def _swept_by_turns(state: DataFrame, gram: DataFrame, rounds: int, rule: str) -> DataFrame:
+    turns = turns_of(gram)
+    state, links = cut(state.join(turns.select(F.col("id").alias("neuron"), "turn"), "neuron")), cut(gram.where("a <> b"))
     last = turns.agg(F.max("turn")).head()[0] or 0
     for _ in range(rounds):
         for turn in range(1, last + 1):
@@ -105,9 +170,7 @@ def temporal_sweeps(sums: DataFrame, gram: DataFrame, turns: DataFrame, start: D
 def _moved(rule: str) -> Column:
     rest = F.when(F.col("s").isNull(), F.col("u")).otherwise(F.zip_with("u", "s", lambda u, s: u - s))
     raw = F.transform(rest, lambda x: x / F.col("d"))
-    if rule == "clip":
-        return F.transform(raw, lambda x: F.greatest(x, F.lit(0.0)))
-    return A.given(raw, lambda c: F.transform(c, lambda x: x - F.array_min(c))) if rule == "shift" else raw
+    return F.transform(raw, lambda x: F.greatest(x, F.lit(0.0))) if rule == "clip" else raw
 
 
 def cross_gram(a: DataFrame, b: DataFrame) -> DataFrame:

@@ -84,10 +84,9 @@ def reconstructed_background(pixels: DataFrame, footprints: DataFrame, traces: D
     return d.select("pix", F.transform("y", lambda x: x + F.col("b0")).alias("b"))
 
 
-def _system(clean: DataFrame, left: DataFrame, right: DataFrame, height: int, o: Options) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """(U, V, turns) of footprints `left`, whose product with the movie is that of `right`."""
-    gram = cut(descent.footprint_gram(left))
-    return descent.projected(clean, right, height, o.patch), gram, descent.turns_of(gram)
+def _system(clean: DataFrame, left: DataFrame, right: DataFrame, height: int, o: Options) -> tuple[DataFrame, DataFrame]:
+    """(U, V) of footprints `left`, whose product with the movie is that of `right`."""
+    return descent.projected(clean, right, height, o.patch), cut(descent.footprint_gram(left))
 
 
 def _about_mean(pixels: DataFrame) -> DataFrame:
@@ -105,14 +104,14 @@ def known_footprints(pixels: DataFrame, footprints: DataFrame, height: int, o: O
     if weights is not None:
         w = cut(weights.select("pix", "nbr_pix", "w"))
         left = cut(descent.without_ring(f, w))
-        u, v, turns = _system(_about_mean(pixels), left, descent.without_ring_transposed(left, w), height, o)
+        u, v = _system(_about_mean(pixels), left, descent.without_ring_transposed(left, w), height, o)
     else:
         clean = _about_mean(pixels)
         if background is not None:
             blocks = patches.blocks(pixels, height, o.patch, 0).where("inside")
             clean = updates.without_background(pixels, patches.known_background(blocks, f, background, method))
-        u, v, turns = _system(clean, f, f, height, o)
-    return descent.temporal_sweeps(u, v, turns, rounds=rounds, rule="shift")
+        u, v = _system(clean, f, f, height, o)
+    return descent.temporal_sweeps(u, v, rounds=rounds, rule="shift")
 
 
 def initial_traces(*args, **options) -> DataFrame:
@@ -171,16 +170,16 @@ def alternate(pixels: DataFrame, footprints: DataFrame, traces: DataFrame, backg
     values = [objective(y, f, t, b, factors)]
     for _ in range(rounds):
         f, t = map(cut, _alive(f, t))
-        u, v, turns = _system(y, f, f, height, o)
+        u, v = _system(y, f, f, height, o)
         links = descent.cross_gram(f, b).select(F.col("neuron").alias("k"), F.col("j").alias("neuron"), "v")
-        t = descent.temporal_sweeps(_less(u, links, as_neurons(factors), "neuron"), v, turns, t, sweeps)
+        t = descent.temporal_sweeps(_less(u, links, as_neurons(factors), "neuron"), v, t, sweeps)
         f, t = map(cut, _alive(f, t))
         live = cut(region.join(t.select(F.col("neuron").alias("label")), "label", "left_semi"))
         start = f.select("pix", F.col("neuron").alias("label"), F.col("val").alias("a"))
         f = cut(_spatial(y, live, t.withColumnRenamed("neuron", "label"), start, b.withColumnRenamed("j", "k"), factors.withColumnRenamed("j", "k")).select(F.col("label").alias("neuron"), "pix", F.col("a").alias("val")))
-        u, v, turns = _system(y, as_neurons(b), as_neurons(b), height, o)
+        u, v = _system(y, as_neurons(b), as_neurons(b), height, o)
         links = descent.cross_gram(f, b).select(F.col("j").alias("k"), "neuron", "v")
-        factors = cut(descent.temporal_sweeps(_less(u, links, t, "neuron"), v, turns, as_neurons(factors), sweeps).withColumnRenamed("neuron", "j"))
+        factors = cut(descent.temporal_sweeps(_less(u, links, t, "neuron"), v, as_neurons(factors), sweeps).withColumnRenamed("neuron", "j"))
         start = b.select("pix", F.col("j").alias("label"), F.col("val").alias("a"))
         b = cut(_spatial(y, everywhere, factors.withColumnRenamed("j", "label"), start, f.withColumnRenamed("neuron", "k"), t.withColumnRenamed("neuron", "k")).select(F.col("label").alias("j"), "pix", F.col("a").alias("val")))
         values.append(objective(y, f, t, b, factors))

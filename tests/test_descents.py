@@ -91,8 +91,8 @@ def serial(u, v, order, rounds, rule):
     return c, seen
 
 
-@pytest.mark.parametrize("rule", ["clip", "shift", "free"])
-def test_turns_give_what_a_serial_sweep_gives(spark, rule):
+@pytest.mark.parametrize(("rule", "links"), [("clip", 0), ("shift", 0), ("clip", 1000), ("shift", 1000), ("free", 1000)])
+def test_turns_give_what_a_serial_sweep_gives(spark, monkeypatch, rule, links):
     movie, y = small_movie(spark)
     a = spots()
     f = table_of(spark, a)
@@ -100,7 +100,8 @@ def test_turns_give_what_a_serial_sweep_gives(spark, rule):
     turns = descent.turns_of(gram)
     order = [r["id"] for r in sorted(turns.collect(), key=lambda r: (r["turn"], r["id"]))]
     assert turns.agg(F.max("turn")).head()[0] < 5  # some move together
-    got = descent.temporal_sweeps(descent.projected(movie, f, 12, 6), gram, turns, rounds=3, rule=rule)
+    monkeypatch.setattr(descent, "FRAME_VALUES", 35)  # seven frames a task
+    got = descent.temporal_sweeps(descent.projected(movie, f, 12, 6), gram, rounds=3, rule=rule, most_links=links)
     want, seen = serial(a.T @ (y - 0), a.T @ a, order, 3, rule)
     found = {r["neuron"]: r["trace"] for r in got.collect()}
     assert np.array([found[k] for k in range(5)]) == pytest.approx(want)
@@ -112,10 +113,17 @@ def test_a_component_without_energy_is_left_out(spark):
     movie, _ = small_movie(spark, frames=5)
     f = spark.createDataFrame([(1, 5, 1.0), (2, 7, 0.0)], FOOT)
     gram = descent.footprint_gram(f)
-    got = descent.temporal_sweeps(descent.projected(movie, f, 12, 6), gram, descent.turns_of(gram), rounds=1)
-    assert [r["neuron"] for r in got.collect()] == [1]
+    for links in (0, 1000):
+        got = descent.temporal_sweeps(descent.projected(movie, f, 12, 6), gram, rounds=1, most_links=links)
+        assert [r["neuron"] for r in got.collect()] == [1]
     nothing = f.limit(0)
-    assert descent.temporal_sweeps(descent.projected(movie, nothing, 12, 6), descent.footprint_gram(nothing), descent.turns_of(descent.footprint_gram(nothing)), rounds=1).count() == 0
+    assert descent.temporal_sweeps(descent.projected(movie, nothing, 12, 6), descent.footprint_gram(nothing), rounds=1).count() == 0
+
+
+def test_turns_of_a_small_matrix_are_those_of_the_joins(spark):
+    gram = descent.footprint_gram(table_of(spark, spots()))
+    rows = gram.select("a", "b", "v", F.xxhash64("a").alias("h")).collect()
+    assert descent._turns_here(rows) == {r["id"]: r["turn"] for r in descent.turns_of(gram).collect()}
 
 
 def test_alternation_falls_and_drops_what_is_empty(spark):
