@@ -149,12 +149,13 @@ def test_resampling_of_odd_tables(spark, odd, nothing):
 
 
 def test_resampling_prefers_what_is_like_the_target(spark):
-    like = [prose(80, 5) for _ in range(3)]
-    rows = [(i, prose(100, 100 + i)) for i in range(300)] + [(1000 + i, " ".join(random.Random(i).sample(like[0].split(), 60))) for i in range(20)]
-    got = resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(x,) for x in like], "text string"))
+    """A tenth of all is drawn; of ten texts in the target's words more than half. The noise has a deviation of 1283."""
+    like = prose(80, 5)
+    rows = [(i, prose(100, 100 + i)) for i in range(300)] + [(1000 + i, " ".join(random.Random(i).sample(like.split(), 60))) for i in range(10)]
+    got = resampling.resample(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame([(like,)] * 60, "text string"))
     top = {r["doc_id"] for r in got.where("rank is not null").collect()}
-    assert len(top) == 32
-    assert len([i for i in top if i >= 1000]) >= 12
+    assert len(top) == 31
+    assert len([i for i in top if i >= 1000]) > 5
 
 
 # Mixing
