@@ -32,12 +32,21 @@ def neighbour_pairs(pixels: DataFrame, offsets: list[tuple[int, int]], *columns:
 
 
 def correlation_image(pixels: DataFrame, offsets: list[tuple[int, int]] | None = None) -> DataFrame:
-    """Mean over time of a standardised pixel times the mean of its neighbours in the image: (pix, cn, n_neighbours)."""
+    """Mean over time of a standardised pixel times the mean of its neighbours in the image: (pix, cn, n_neighbours).
+
+    Where offsets come with their opposites, as those around a pixel do, a trace is sent along one half of them and each
+    product counts for both pixels.
+    """
     centred = A.given(A.mean(F.col("y")), lambda m: F.transform("y", lambda x: x - m))
     p = pixels.select("pix", "r", "c", centred.alias("z"))
     p = p.select("pix", "r", "c", A.given(F.sqrt(A.dot(F.col("z"), F.col("z")) / F.size("z")), lambda s: F.transform("z", lambda x: x / F.when(s == 0, 1.0).otherwise(s))).alias("z"))
-    pairs = neighbour_pairs(p, offsets or ring(1, 2), "z")
-    return pairs.groupBy("pix").agg(A.rounded(F.avg(A.dot(F.col("z"), F.col("n_z")) / F.size("z"))).alias("cn"), F.count("*").alias("n_neighbours"))
+    offsets = offsets or ring(1, 2)
+    mutual = (0, 0) not in offsets and all((-a, -b) in offsets for a, b in offsets)
+    pairs = neighbour_pairs(p, [o for o in offsets if o > (0, 0)] if mutual else offsets, "z")
+    found = pairs.select("pix", "n_pix", (A.dot(F.col("z"), F.col("n_z")) / F.size("z")).alias("x"))
+    if mutual:
+        found = found.select(F.explode(F.array("pix", "n_pix")).alias("pix"), "x")
+    return found.groupBy("pix").agg(A.rounded(F.avg("x")).alias("cn"), F.count("*").alias("n_neighbours"))
 
 
 def ring_background(pixels: DataFrame, inner: float, outer: float, k: int | None = None) -> DataFrame:
