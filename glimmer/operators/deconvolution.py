@@ -88,7 +88,8 @@ def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model:
 
 def deconvolved_components(traces: DataFrame, **options) -> DataFrame:
     """(neuron, c_raw, c, s, b, g, sn) from (neuron, trace): c_raw is the trace less its baseline; where nothing was found, c is c_raw."""
-    found = deconvolved(traces.withColumnRenamed("trace", "y"), "neuron", **options).join(traces, "neuron")
+    # Components are few and each takes long: they are dealt out, as a table of them may be one small file.
+    found = deconvolved(spread(traces.withColumnRenamed("trace", "y")), "neuron", **options).join(traces, "neuron")
     d = found.withColumn("c_raw", F.transform("trace", lambda x: F.nanvl(x, F.lit(0.0)) - F.col("b")))
     return d.select("neuron", "c_raw", F.when(F.exists("c", lambda x: x != 0), F.col("c")).otherwise(F.col("c_raw")).alias("c"), "s", "b", "g", "sn")
 
