@@ -49,6 +49,14 @@ def trace_correlation(components: DataFrame, pairs: DataFrame, least: float, key
     return d.select("a", "b", A.rounded(A.correlation(F.col("x"), F.col("z"))).alias("corr")).where(F.col("corr") >= least)
 
 
+def trace_cosine(components: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(a, b, similarity): the cosine of the traces (neuron, trace) of the given pairs (a, b)."""
+    x, z = F.col("x"), F.col("z")
+    a, b = components.select(F.col("neuron").alias("a"), F.col("trace").alias("x")), components.select(F.col("neuron").alias("b"), F.col("trace").alias("z"))
+    d = pairs.select("a", "b").join(a, "a").join(b, "b")
+    return d.select("a", "b", A.rounded(A.dot(x, z) / F.sqrt(A.dot(x, x) * A.dot(z, z))).alias("similarity"))
+
+
 def spikes(trace: Column, g: float) -> Column:
     """What a trace rises over its own decay, from its second frame on."""
     return F.transform(trace, lambda x, i: F.when(i > 0, F.greatest(x - g * F.get(trace, i - 1), F.lit(0.0))).otherwise(0.0))

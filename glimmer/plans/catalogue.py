@@ -30,10 +30,11 @@ def r(x: str, digits: int = 6) -> str:
     return f"(round({x}, {digits}) + 0.0)"
 
 
-def query(sql: str, name: str | None = None):
+def query(sql: str | None, name: str | None = None):
     def add(f):
         QUERIES[name or f.__name__] = f
-        SQL[name or f.__name__] = sql
+        if sql:
+            SQL[name or f.__name__] = sql
         return f
 
     return add

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
-from glimmer.operators import graph, layout, neighbours, stats, windows
-from glimmer.operators.shared import shared_folder
+from glimmer.operators import clusters, graph, layout, neighbours, stats, windows
+from glimmer.operators.shared import cut, shared_folder
 from glimmer.plans import catalogue
 from glimmer.plans.catalogue import _CC, _CN, _FP, _PX, _TR, _footprints, query, r
 from glimmer.sources import results
@@ -102,6 +102,22 @@ def order_events(spark, d):
     return C.ranked(n, F.desc("n"), "user_id")
 
 
+@query(None)
+def order_spatial_cluster(spark, d):
+    """By clusters of footprints (cosine, complete linkage), starting from the order by peak-to-noise ratio."""
+    f = _footprints(spark, d)
+    ranks = C.ordered(C.order_keys(f, neuron_traces(spark, d)), "pnr")
+    return clusters.order_by_clusters(ranks, C.overlap_cosine(f, 0.0).select("a", "b", F.col("cosine").alias("similarity")))
+
+
+@query(None)
+def order_temporal_cluster(spark, d):
+    """By clusters of traces (cosine, complete linkage) of components that share pixels, starting as order_spatial_cluster does."""
+    f, t = _footprints(spark, d), cut(neuron_traces(spark, d))
+    ranks = C.ordered(C.order_keys(f, t), "pnr")
+    return clusters.order_by_clusters(ranks, C.trace_cosine(t, C.overlap_cosine(f, 0.0)))
+
+
 # Model, residual, classes
 
 
