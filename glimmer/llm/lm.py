@@ -107,8 +107,9 @@ FAN_IN = 64
 
 
 def _added(group):
-    """Weighted weights and their shares, added up over tasks."""
-    total, share = ([np.frombuffer(x.as_py(), np.float32) for x in group[n]] for n in ("total", "share"))
+    """Weighted weights and their shares, added up over tasks in an order that does not depend on which came first."""
+    rows = sorted(zip(group["total"].to_pylist(), group["share"].to_pylist(), strict=True))
+    total, share = ([np.frombuffer(row[i], np.float32) for row in rows] for i in (0, 1))
     out = {n: [group[n][0].as_py()] for n in ("name", "part", "task")}
     out |= {n: [np.sum(x, 0, np.float64).astype(np.float32).tobytes()] for n, x in (("total", total), ("share", share))}
     return pa.table(out, pa.schema([("name", pa.string()), ("part", pa.int32()), ("task", pa.int32()), ("total", pa.binary()), ("share", pa.binary())]))
@@ -131,7 +132,9 @@ def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds:
     weights = attention.first_weights(TOKENS, of, counts)
     model = spark.sparkContext.broadcast((weights, of, within))
     for r in range(rounds):
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select(whole().alias("text")).repartition(tasks)
+        # Dealt and sorted by what the rows say: a task that runs again, or on other partitions, learns in the same order.
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select(whole().alias("text"), F.xxhash64(whole(), "doc_id").alias("order"))
+        part = part.repartition(tasks, "order").sortWithinPartitions("order", "text").select("text")
         rows = averaged(part.mapInArrow(_train(path, model), _SHARE), tasks).collect()  # one set of weights
         weights = {n: x.copy() for n, x in weights.items()}
         for row in rows:

@@ -577,6 +577,18 @@ def test_scores_agree_with_one_id_at_a_time(spark, monkeypatch):
         assert got[r["doc_id"]] == pytest.approx(plain_score(w, of, within, ids.tolist()), rel=1e-4, abs=1e-3)
 
 
+def test_scores_do_not_depend_on_how_rows_lie(spark, monkeypatch):
+    monkeypatch.setattr(lm, "TASK_WORDS", 4000)
+    docs = table(spark, "documents").select("doc_id", "text")
+    docs = docs.unionByName(docs.limit(7))
+    other = docs.orderBy(F.desc(F.xxhash64("text"))).repartition(3)
+    one, two = ({r["doc_id"]: r for r in lm.lm_scores(d, queries.tokenizer()).collect()} for d in (docs, other))
+    assert one.keys() == two.keys()
+    for k, r in one.items():
+        assert two[k]["score"] == pytest.approx(r["score"], rel=1e-5)
+        assert two[k]["base_score"] == pytest.approx(r["base_score"])
+
+
 @pytest.mark.parametrize("n", [3, 200])
 def test_weights_are_averaged_level_by_level(spark, n):
     share = np.array([1.0, 2.0], np.float32)
