@@ -188,6 +188,16 @@ def fast_projection(footprints: DataFrame, samples: DataFrame) -> DataFrame:
     return samples.select("pix", "t", "y").join(bright, "pix").groupBy("neuron", "t").agg(A.rounded(F.sum(F.col("val") * F.col("y")) / F.sum(F.col("val") * F.col("val"))).alias("y"))
 
 
+def projected(footprints: DataFrame, pixels: DataFrame) -> DataFrame:
+    """(neuron, t, b): the traces y of pixels (pix, y) on each footprint, sum(a y) / sum(a a) over its pixels; frames count from 1.
+
+    Sums by neuron and frame are partial before they are shuffled, so no task holds the traces of a footprint.
+    """
+    d = footprints.select("neuron", "pix", "val").join(pixels.select("pix", "y"), "pix").select("neuron", "val", F.posexplode("y").alias("t", "y"))
+    s = d.groupBy("neuron", "t").agg(F.sum(F.col("val") * F.col("y")).alias("s"), F.sum(F.col("val") * F.col("val")).alias("e"))
+    return s.select("neuron", (F.col("t") + 1).alias("t"), (F.col("s") / F.col("e")).alias("b"))
+
+
 def order_by_snr(neurons: DataFrame) -> DataFrame:
     """(neuron, snr, rank): variance of the trace over that of the rest, largest first."""
     return ranked(neurons.select("neuron", A.rounded(F.col("signal") / F.when(F.col("rest") != 0, F.col("rest"))).alias("snr")), F.desc("snr"), "neuron")

@@ -68,10 +68,22 @@ def weighted_background(weights: DataFrame, samples: DataFrame) -> DataFrame:
     return weights.join(samples.select(F.col("pix").alias("nbr_pix"), "t", "y"), "nbr_pix").groupBy("pix", "t").agg(A.rounded(F.sum(F.col("w") * F.col("y"))).alias("b"))
 
 
-def border_excluded(pixels: DataFrame, bd: int) -> DataFrame:
-    """Pixels that lie bd or more from all four sides of the image."""
+def border_excluded(pixels: DataFrame, bd: int | tuple[int, int, int, int]) -> DataFrame:
+    """Pixels that lie bd or more from all four sides of the image, or so far from each: (top, bottom, left, right)."""
+    top, bottom, left, right = (bd,) * 4 if isinstance(bd, int) else bd
     edge = pixels.agg(F.max("r").alias("r1"), F.max("c").alias("c1"))  # one row
-    return pixels.join(F.broadcast(edge)).where((F.col("r") >= bd) & (F.col("c") >= bd) & (F.col("r") <= F.col("r1") - bd) & (F.col("c") <= F.col("c1") - bd)).select("pix", "r", "c")
+    return pixels.join(F.broadcast(edge)).where((F.col("r") >= top) & (F.col("c") >= left) & (F.col("r") <= F.col("r1") - bottom) & (F.col("c") <= F.col("c1") - right)).select("pix", "r", "c")
+
+
+def dilated(footprints: DataFrame, pixels: DataFrame, reach: int) -> DataFrame:
+    """(neuron, pix): the pixels within a disk around any pixel of a component's footprint (neuron, r, c).
+
+    Each task drops the positions that its own pixels share before anything is shuffled.
+    """
+    disk = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= reach * reach]
+    steps = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in disk])
+    near = footprints.select("neuron", "r", "c", F.explode(steps).alias("s")).select("neuron", (F.col("r") + F.col("s.i")).alias("r"), (F.col("c") + F.col("s.j")).alias("c")).distinct()
+    return near.join(pixels.select("pix", "r", "c"), ["r", "c"]).select("neuron", "pix")
 
 
 def median_filtered(pixels: DataFrame, column: str, reach: int = 1) -> DataFrame:

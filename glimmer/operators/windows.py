@@ -53,6 +53,17 @@ def running_dff(traces: DataFrame, reach: int) -> DataFrame:
     return traces.select("user_id", "t", "y", f.alias("f")).select("user_id", "t", A.rounded((F.col("y") - F.col("f")) / F.when(F.col("f") != 0, F.col("f"))).alias("dff"))
 
 
+def background_dff(traces: DataFrame, background: DataFrame, q: float, reach: int | None = None) -> DataFrame:
+    """(neuron, t, base, dff): traces (neuron, t, x) over the q-quantile of what the background (neuron, t, b) has at their components.
+
+    The quantile is that of the whole trace, or with `reach` that of so many frames before and after each.
+    """
+    w = Window.partitionBy("neuron") if reach is None else Window.partitionBy("neuron").orderBy("t").rowsBetween(-reach, reach)
+    base = background.select("neuron", "t", F.expr(f"percentile(b, {q})").over(w).alias("base"))
+    d = traces.join(base, ["neuron", "t"])
+    return d.select("neuron", "t", A.rounded("base").alias("base"), A.rounded(F.col("x") / F.when(F.col("base") != 0, F.col("base"))).alias("dff"))
+
+
 def interpolated(traces: DataFrame) -> DataFrame:
     """Missing samples (null) on the line through their neighbours; at the ends, through the first or last two samples."""
     known = F.when(F.col("y").isNotNull(), F.struct("t", "y"))

@@ -151,6 +151,12 @@ def border_exclusion(spark, d):
     return neighbours.border_excluded(pixels(spark, d), 2)
 
 
+@query(f"{_PX} SELECT pix, r, c FROM p WHERE r >= 1 AND c >= 3 AND r <= (SELECT max(r) FROM p) - 2 AND c <= (SELECT max(c) FROM p)")
+def border_of_four_widths(spark, d):
+    """A patch that lies inside of the movie on one side keeps that side's pixels."""
+    return neighbours.border_excluded(pixels(spark, d), (1, 2, 3, 0))
+
+
 _SEEDS = f"{_CN}, pnr AS (SELECT pix, label, (max(y) - quantile_cont(y, 0.5)) / stddev_samp(y) AS v FROM px GROUP BY pix, label), s AS (SELECT pnr.label, pix, {r('cn.cn * ' + r('pnr.v'))} AS score FROM pnr JOIN cn USING (pix))"
 
 
@@ -356,9 +362,9 @@ def fast_projection(spark, d):
 
 @query(f"{_PX}, m AS (SELECT label, max(greatest(y, 0)) AS top FROM px GROUP BY label) SELECT pix, CAST(t AS INT) AS t, {r('greatest(y, 0) / top')} AS y FROM px JOIN m USING (label)")
 def nonneg_clip_norm(spark, d):
-    s = samples(pixels(spark, d)).withColumn("y", F.greatest("y", F.lit(0.0)))
-    top = F.broadcast(s.groupBy("label").agg(F.max("y").alias("top")))  # a row for each label
-    return s.join(top, "label").select("pix", "t", A.rounded(F.col("y") / F.col("top")).alias("y"))
+    p = pixels(spark, d)
+    top = p.groupBy("label").agg(F.greatest(F.max(F.array_max("y")), F.lit(0.0)).alias("top"))
+    return samples(p.join(top, "label")).select("pix", "t", A.rounded(F.greatest("y", F.lit(0.0)) / F.col("top")).alias("y"))
 
 
 @query(f"{_PX}, s AS (SELECT pix AS neuron, {r('var_pop(y) / CASE WHEN avg(abs(y)) <> 0 THEN avg(abs(y)) END')} AS snr FROM px GROUP BY pix) SELECT neuron, snr, CAST(row_number() OVER (ORDER BY snr DESC, neuron) AS INT) AS rank FROM s")

@@ -15,7 +15,7 @@ from glimmer.functions import arrays as A
 from glimmer.operators import components as C
 from glimmer.operators import clusters, graph, layout, neighbours, stats, windows
 from glimmer.operators.shared import cut, shared_folder
-from glimmer.plans import catalogue
+from glimmer.plans import catalogue, updates
 from glimmer.plans.catalogue import _CC, _CN, _FP, _PX, _TR, _footprints, query, r
 from glimmer.sources import results
 from glimmer.sources.adapters import HEIGHT, pixels, samples, table, traces
@@ -170,6 +170,38 @@ def dff_running(spark, d):
     return windows.running_dff(traces(spark, d), 7)
 
 
+_BACK = f"""{_NT}, ac AS (SELECT f.pix, t, sum(val * x) AS ac FROM f JOIN nt USING (neuron) GROUP BY 1, 2),
+e AS (SELECT px.pix, px.t, y - coalesce(ac, 0) AS e FROM px LEFT JOIN ac ON ac.pix = px.pix AND ac.t = px.t),
+bg AS (SELECT neuron, t, sum(val * e) / sum(val * val) AS b FROM f JOIN e USING (pix) GROUP BY 1, 2)"""
+
+
+def _background(spark, d):
+    """(neuron, t, b): what the components leave of the movie, seen through each footprint."""
+    f, t = _footprints(spark, d), neuron_traces(spark, d)
+    left = updates.residual(pixels(spark, d), f, t)
+    return C.projected(f, left), _long(t)
+
+
+@query(f"{_BACK}, q AS (SELECT neuron, t, quantile_cont(b, 0.5) OVER (PARTITION BY neuron) AS base FROM bg) SELECT CAST(neuron AS INT) AS neuron, CAST(t AS INT) AS t, {r('base')} AS base, {r('x / CASE WHEN base <> 0 THEN base END')} AS dff FROM q JOIN nt USING (neuron, t)")
+def dff_background(spark, d):
+    """Traces over the median of the background at their footprints."""
+    background, long = _background(spark, d)
+    return windows.background_dff(long, background, 0.5)
+
+
+@query(f"{_BACK}, q AS (SELECT neuron, t, quantile_cont(b, 0.2) OVER (PARTITION BY neuron ORDER BY t ROWS BETWEEN 7 PRECEDING AND 7 FOLLOWING) AS base FROM bg) SELECT CAST(neuron AS INT) AS neuron, CAST(t AS INT) AS t, {r('base')} AS base, {r('x / CASE WHEN base <> 0 THEN base END')} AS dff FROM q JOIN nt USING (neuron, t)")
+def dff_background_running(spark, d):
+    """Traces over a running quantile of the background at their footprints."""
+    background, long = _background(spark, d)
+    return windows.background_dff(long, background, 0.2, 7)
+
+
+@query(f"{_FP}, n AS (SELECT neuron, r, c FROM f), s AS (SELECT DISTINCT neuron, n.r + i AS r, n.c + j AS c FROM n, (SELECT unnest(range(-2, 3)) AS i) a, (SELECT unnest(range(-2, 3)) AS j) b WHERE i * i + j * j <= 4) SELECT CAST(neuron AS INT) AS neuron, p.pix FROM s JOIN p ON p.r = s.r AND p.c = s.c")
+def dilated_regions(spark, d):
+    """Search regions by dilation: the pixels within two of a component's footprint."""
+    return neighbours.dilated(_footprints(spark, d), pixels(spark, d), 2)
+
+
 @query(f"{_TR}, g AS (SELECT user_id, t, CASE WHEN y <= avg(y) OVER (PARTITION BY user_id) + stddev_samp(y) OVER (PARTITION BY user_id) THEN y END AS y FROM tr), e AS (SELECT user_id, list(t ORDER BY t) AS ts, list(y ORDER BY t) AS ys FROM g WHERE y IS NOT NULL GROUP BY user_id), w AS (SELECT user_id, t, y, last_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS UNBOUNDED PRECEDING) AS pt, first_value(CASE WHEN y IS NOT NULL THEN t END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY t ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS nt FROM g), k AS (SELECT w.*, ts, ys, CASE WHEN pt IS NULL THEN 1 WHEN nt IS NULL THEN greatest(len(ts) - 1, 1) ELSE list_position(ts, pt) END AS i, CASE WHEN pt IS NULL THEN 2 WHEN nt IS NULL THEN len(ts) ELSE list_position(ts, nt) END AS j FROM w LEFT JOIN e USING (user_id)) SELECT user_id, t, {r('coalesce(y, ys[i] + (ys[j] - ys[i]) * (t - ts[i]) / nullif(ts[j] - ts[i], 0), ys[i])')} AS y FROM k")
 def interpolated(spark, d):
     """Samples over the mean by a deviation count as missing and are interpolated."""
