@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from glimmer.functions import arrays as A
+from glimmer.operators.shared import cut
 
 
 def median_centred_peak(pixels: DataFrame) -> DataFrame:
@@ -84,3 +85,25 @@ def decayed(pixels: DataFrame, g: float) -> DataFrame:
     """c_t = g * c_(t-1) + y_t, the response to a trace of spikes: (pix, t, c)."""
     c = F.aggregate("y", F.array().cast("array<double>"), lambda s, x: F.concat(s, F.array(x + g * F.coalesce(F.try_element_at(s, F.lit(-1)), F.lit(0.0)))))
     return pixels.select("pix", F.posexplode(c).alias("t", "c")).select("pix", (F.col("t") + 1).alias("t"), A.rounded(F.col("c")).alias("c"))
+
+
+def two_means(rows: DataFrame, column: str, bins: int, rounds: int = 50) -> DataFrame:
+    """rows with cluster: 0 and 1 by the nearer of two means of an array column of `bins` values; ties and equal rows are 0.
+
+    The means start from the rows whose upper half of values adds up to no more than all rows' mean, and from the others,
+    so the outcome does not depend on how rows lie. Only the two means come to the driver.
+    """
+    rows = cut(rows)
+    level = A.total(F.slice(column, bins // 2 + 1, bins - bins // 2))
+    middle = rows.agg(F.avg(level)).head()[0]
+    cluster = (level > F.lit(middle if middle is not None else 0.0)).cast("int")
+    before: dict[int, list[float]] = {}
+    for _ in range(rounds):
+        sums = rows.groupBy(cluster.alias("cluster")).agg(F.array(*[F.avg(F.get(column, F.lit(i))) for i in range(bins)]).alias("mean"))
+        means = {r["cluster"]: [round(x, 9) for x in r["mean"]] for r in sums.collect()}  # two rows
+        if len(means) < 2 or means == before:
+            break
+        before = means
+        far = [sum(((F.get(column, F.lit(i)) - F.lit(m)) * (F.get(column, F.lit(i)) - F.lit(m)) for i, m in enumerate(means[k])), F.lit(0.0)) for k in (0, 1)]
+        cluster = (far[1] < far[0]).cast("int")
+    return rows.withColumn("cluster", cluster)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from glimmer.functions import arrays as A
 from glimmer.operators import components as C
 from glimmer.operators import deconvolution, graph, patches, stats
-from glimmer.operators.shared import shared_folder
+from glimmer.operators.shared import cut, shared_folder
 from glimmer.sources.adapters import HEIGHT, pixels, samples, table, traces
 
 
@@ -126,14 +126,10 @@ def streamed_calcium(spark: SparkSession, d: str) -> DataFrame:
 
 def event_types(spark: SparkSession, d: str) -> DataFrame:
     """Two-means on the logarithm of each pixel's spectrum; active is the cluster of less power at high frequencies."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.functions import array_to_vector
-
-    v = deconvolution.spectra(_dealt(spark, d), "pix").select("pix", "power", array_to_vector("power").alias("features"))
-    model = KMeans(k=2, seed=1, initMode="k-means||").fit(v)
-    high = [float(sum(c[len(c) // 2 :])) for c in model.clusterCenters()]
-    active = high.index(min(high))
-    return model.transform(v).select("pix", F.col("prediction").alias("cluster"), (F.col("prediction") == active).alias("active"))
+    found = cut(stats.two_means(deconvolution.spectra(_dealt(spark, d), "pix", 8), "power", 8))
+    high = A.total(F.slice("power", 5, 4))
+    active = found.groupBy("cluster").agg(F.avg(high).alias("high")).agg(F.min_by("cluster", F.struct("high", "cluster")).alias("least"))  # one row
+    return found.join(F.broadcast(active)).select("pix", "cluster", (F.col("cluster") == F.col("least")).alias("active"))
 
 
 def pnr_psd(spark: SparkSession, d: str) -> DataFrame:

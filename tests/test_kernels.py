@@ -4,7 +4,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from glimmer.functions import kernels as K
-from glimmer.operators import deconvolution, graph, layout, patches
+from glimmer.operators import deconvolution, graph, layout, patches, stats
 from glimmer.plans import kernels as plans
 from tests.sql import DATA
 
@@ -349,6 +349,30 @@ def test_two_classes_by_the_spectrum(spark):
     assert len({r["cluster"] for r in got if r["active"]}) == 1
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_two_means_are_those_of_a_plain_loop(spark, seed):
+    rng = np.random.default_rng(seed)
+    x = np.vstack([rng.normal(0, 1, (60, 4)), rng.normal(1.5, 1, (40, 4))]).round(3)
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "pix long, power array<double>")
+    high = x[:, 2:].sum(1)
+    want = high > high.mean()
+    while True:
+        means = [x[want == k].mean(0) for k in (False, True)]
+        new = ((x - means[1]) ** 2).sum(1) < ((x - means[0]) ** 2).sum(1)
+        if (new == want).all():
+            break
+        want = new
+    for d in (rows, rows.repartition(7)):
+        got = {r["pix"]: r["cluster"] for r in stats.two_means(d, "power", 4).collect()}
+        assert got == {i: int(k) for i, k in enumerate(want)}
+
+
+def test_two_means_of_equal_and_of_no_rows(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(5)], "pix long, power array<double>")
+    assert {r["cluster"] for r in stats.two_means(same, "power", 2).collect()} == {0}
+    assert stats.two_means(same.limit(0), "power", 2).count() == 0
+
+
 def test_deconvolution_of_short_and_missing_traces(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0]), (2, [float("nan")] * 20), (3, [0.0] * 20)], "pix long, y array<double>")
     got = deconvolution.deconvolved(d, "pix").collect()
