@@ -6,6 +6,8 @@ the movie: (I - W) is moved to the footprints, which have no frames, so ((I - W)
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -119,6 +121,27 @@ def temporal_sweeps(sums: DataFrame, gram: DataFrame, start: DataFrame | None =
     return found.select("neuron", F.transform("trace", lambda x: x - F.array_min("trace")).alias("trace")) if rule == "shift" else found
 
 
+def converged_sweeps(sums: DataFrame, gram: DataFrame, start: DataFrame | None = None, tolerance: float = 1e-3, most: int = 100, rule: str = "clip") -> tuple[DataFrame, DataFrame]:
+    """(traces (neuron, trace), changes (sweep, change)): temporal_sweeps, one at a time, until the traces stay.
+
+    The change of a sweep is the norm of what it moved over the norm of the traces after it; it ends once that is at the
+    tolerance or below, or after `most` sweeps. Each sweep's traces are a table, and the change is one number.
+    """
+    sums, gram = cut(sums), cut(gram)
+    before, changes = start, []
+    while len(changes) < most:
+        after = cut(temporal_sweeps(sums, gram, before, 1, rule))
+        old = before.select("neuron", F.col("trace").alias("old")) if before is not None else after.select("neuron", F.transform("trace", lambda x: F.lit(0.0)).alias("old"))
+        d = after.join(apart(old), "neuron", "left").withColumn("old", F.coalesce("old", F.transform("trace", lambda x: F.lit(0.0))))
+        moved = F.zip_with("trace", "old", lambda x, z: x - z)
+        sizes = d.agg(F.sum(A.dot(moved, moved)).alias("moved"), F.sum(A.dot(F.col("trace"), F.col("trace"))).alias("all")).head()
+        before = after
+        changes.append(math.sqrt((sizes["moved"] or 0.0) / sizes["all"]) if sizes["all"] else 0.0)
+        if changes[-1] <= tolerance:
+            break
+    return before, sums.sparkSession.createDataFrame(list(enumerate(changes, 1)), "sweep int, change double")
+
+
 def _swept_by_frames(state: DataFrame, links: list, rounds: int, rule: str) -> DataFrame:
     turns = _turns_here(links)
     order = sorted(turns, key=lambda k: (turns[k], k))

@@ -230,6 +230,14 @@ def known_footprints_temporal(spark, d):
     return out.select("neuron", A.rounded(A.mean(F.col("c_raw")), 5).alias("level"), F.size(F.filter("s", lambda x: x > 0)).alias("n_events"))
 
 
+@query()
+def converged_traces(spark, d):
+    """Traces of the labels' footprints, swept until a sweep moves them by a thousandth."""
+    p, f, _ = updates._first(spark, d)
+    traces, _ = descent.converged_sweeps(descent.projected(p, f, HEIGHT, 8), descent.footprint_gram(f))
+    return traces.select("neuron", F.posexplode("trace").alias("t", "x")).select("neuron", (F.col("t") + 1).alias("t"), A.rounded(F.col("x"), 5).alias("x"))
+
+
 @query(f"{updates._MODEL}, w AS (SELECT a.pix, b.pix AS q, 1.0 / count(*) OVER (PARTITION BY a.pix) AS w FROM p a, {_RING3} o, p b WHERE b.r = a.r + o.dr AND b.c = a.c + o.dc), e AS (SELECT px.pix, px.t, y - val * x AS y FROM px JOIN f ON f.pix = px.pix JOIN ct ON ct.neuron = f.neuron AND ct.t = px.t), m AS (SELECT pix, avg(y) AS b0 FROM e GROUP BY pix) SELECT w.pix, CAST(e.t AS INT) AS t, {r('sum(w * (e.y - m.b0)) + any_value(o.b0)')} AS b FROM w JOIN e ON e.pix = w.q JOIN m ON m.pix = w.q JOIN m o ON o.pix = w.pix GROUP BY w.pix, e.t")
 def ring_reconstruction(spark, d):
     """W (Y - A C - b0) + b0 by pixel and frame."""

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import kernels as K
 from glimmer.operators import deconvolution, descent, neighbours, patches
+from glimmer.operators.shared import cut
 from glimmer.options import Options
 from glimmer.plans import descents, updates
 from tests.sql import DATA, differences, views
@@ -120,6 +121,28 @@ def test_a_component_without_energy_is_left_out(spark):
     assert descent.temporal_sweeps(descent.projected(movie, nothing, 12, 6), descent.footprint_gram(nothing), rounds=1).count() == 0
 
 
+def test_sweeps_end_by_themselves_at_the_same_place(spark):
+    rng = np.random.default_rng(3)
+    a, frames = spots(), 40
+    y = a @ np.maximum(0, rng.standard_normal((5, frames))) + 0.1 * rng.standard_normal((144, frames))
+    movie = spark.createDataFrame([(q * 12 + r, r, q, y[q * 12 + r].tolist()) for q in range(12) for r in range(12)], PIX)
+    foot = table_of(spark, a)
+    u, v = cut(descent.projected(movie, foot, 12, 6)), cut(descent.footprint_gram(foot))
+    far = spark.createDataFrame([(k, (10 * rng.random(frames)).tolist()) for k in range(4)], "neuron long, trace array<double>")
+    ends = []
+    for start in (None, far):
+        traces, changes = descent.converged_sweeps(u, v, start, tolerance=1e-6)
+        change = [r["change"] for r in changes.orderBy("sweep").collect()]
+        assert change[-1] <= 1e-6 < min(change[:-1]) and len(change) < 100
+        ends.append(np.array([r["trace"] for r in traces.orderBy("neuron").collect()]))
+    assert ends[0] == pytest.approx(ends[1], abs=1e-4)
+    slope = a.T @ (a @ ends[0] - y)  # the conditions of the optimum
+    assert (slope > -1e-3).all() and (np.abs(slope[ends[0] > 1e-6]) < 1e-3).all()
+    few, changes = descent.converged_sweeps(u, v, tolerance=0.0, most=2)
+    assert changes.count() == 2
+    assert descent.converged_sweeps(u.limit(0), v.limit(0))[0].count() == 0
+
+
 def test_turns_of_a_small_matrix_are_those_of_the_joins(spark):
     gram = descent.footprint_gram(table_of(spark, spots()))
     rows = gram.select("a", "b", "v", F.xxhash64("a").alias("h")).collect()
