@@ -6,37 +6,35 @@ import uuid
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from glimmer.operators.shared import cut, ranked, shared_folder
+from glimmer.operators.shared import apart, cut, ranked, shared_folder
 
 
 def _mutual(pairs: DataFrame) -> DataFrame:
     """(a, b, w), a < b: the pairs that are each other's most similar; of equally similar ones the smaller ids first."""
     both = pairs.select("a", "b", "w").unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), "w"))
     order = F.struct((-F.col("w")).alias("w"), F.least("a", "b").alias("low"), F.greatest("a", "b").alias("high"))
-    best = cut(both.groupBy("a").agg(F.min(order).alias("o")).select("a", F.when(F.col("a") == F.col("o.low"), F.col("o.high")).otherwise(F.col("o.low")).alias("b"), (-F.col("o.w")).alias("w")))
-    other = best.select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("too"))
+    best = both.groupBy("a").agg(F.min(order).alias("o")).select("a", F.when(F.col("a") == F.col("o.low"), F.col("o.high")).otherwise(F.col("o.low")).alias("b"), (-F.col("o.w")).alias("w"))
+    other = apart(best).select(F.col("b").alias("a"), F.col("a").alias("b"), F.lit(True).alias("too"))
     return best.where("a < b").join(other, ["a", "b"]).select("a", "b", "w")
 
 
-def _turned(merges: DataFrame, clusters: DataFrame, links: DataFrame) -> DataFrame:
+def _turned(merges: DataFrame, leaves: DataFrame, links: DataFrame) -> DataFrame:
     """The merges with how either side is turned, so that the leaves that come to lie beside each other are most similar.
 
-    turn_a, turn_b: whether a side's leaves go backwards; n_a and n_b: how many leaves it has; first and last: the ends of
-    both together.
+    turn_a, turn_b: whether a side's leaves go backwards; n_a and n_b: how many leaves it has.
     """
-    side = lambda x: clusters.select(F.col("label").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"), F.col("last").alias(f"last_{x}"))
+    ends = leaves.groupBy("label").agg(F.count("*").alias("n"), F.min_by("id", "place").alias("first"), F.max_by("id", "place").alias("last"))
+    side = lambda x: ends.select(F.col("label").alias(x), F.col("n").alias(f"n_{x}"), F.col("first").alias(f"first_{x}"), F.col("last").alias(f"last_{x}"))
     d = merges.join(side("a"), "a").join(side("b"), "b")
     ways = [F.struct(F.lit(k).alias("k"), F.lit(k >= 2).alias("turn_a"), F.lit(k % 2 == 1).alias("turn_b"), F.col("first_a" if k >= 2 else "last_a").alias("p"), F.col("last_b" if k % 2 else "first_b").alias("q")) for k in range(4)]
     d = d.withColumn("way", F.explode(F.array(*ways))).withColumns({"low": F.least("way.p", "way.q"), "high": F.greatest("way.p", "way.q")})
     beside = links.select(F.col("a").alias("low"), F.col("b").alias("high"), F.col("w").alias("beside"))
     d = d.join(beside, ["low", "high"], "left")
     best = F.min(F.struct((-F.coalesce("beside", F.lit(0.0))).alias("beside"), F.col("way.k").alias("k"), F.col("way.turn_a").alias("turn_a"), F.col("way.turn_b").alias("turn_b"))).alias("best")
-    d = d.groupBy("a", "b").agg(best, *[F.first(c).alias(c) for c in ("w", "n_a", "n_b", "first_a", "last_a", "first_b", "last_b")])
-    return d.select(
-        "a", "b", "w", "n_a", "n_b", "best.turn_a", "best.turn_b",
-        F.when(F.col("best.turn_a"), F.col("last_a")).otherwise(F.col("first_a")).alias("first"), F.when(F.col("best.turn_b"), F.col("first_b")).otherwise(F.col("last_b")).alias("last"),
-    )
+    d = d.groupBy("a", "b").agg(best, *[F.first(c).alias(c) for c in ("w", "n_a", "n_b")])
+    return d.select("a", "b", "w", "n_a", "n_b", "best.turn_a", "best.turn_b")
 
 
 def complete_linkage(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -54,27 +52,24 @@ def complete_linkage(nodes: DataFrame, edges: DataFrame) -> tuple[DataFrame, Dat
     part of the other. No task holds a cluster, and rows become fewer with every round.
     """
     spark = nodes.sparkSession
-    found = f"{shared_folder(spark)}/merges-{uuid.uuid4().hex}"
     named = edges.where((F.col("a") != F.col("b")) & (F.col("similarity") > 0)).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.col("similarity").cast("double").alias("w"))
     links = pairs = cut(named.groupBy("a", "b").agg(F.max("w").alias("w")))
     leaves = cut(nodes.select("id").distinct().select("id", F.col("id").alias("label"), F.lit(0).cast("long").alias("place")))
-    clusters = leaves.select("label", F.lit(1).cast("long").alias("n"), F.col("id").alias("first"), F.col("id").alias("last"))
-    kind = nodes.schema["id"].dataType.simpleString()
-    spark.createDataFrame([], f"round int, a {kind}, b {kind}, similarity double").write.parquet(found)
-    turn = 0
+    found, turn = f"{shared_folder(spark)}/merges-{uuid.uuid4().hex}", 0
     while True:
-        merged = cut(_turned(_mutual(pairs), clusters, links))
-        if not merged.head(1):
-            return leaves, spark.read.parquet(found)
         turn += 1
-        merged.select(F.lit(turn).alias("round"), "a", "b", F.col("w").alias("similarity")).write.mode("append").parquet(found)
+        merged = _turned(_mutual(pairs), leaves, links)
+        merged.write.parquet(f"{found}/round={turn}")
+        merged = spark.read.schema(merged.schema).parquet(f"{found}/round={turn}")
+        if not merged.head(1):
+            every = spark.read.schema(T.StructType([*merged.schema, T.StructField("round", T.IntegerType())])).parquet(found)
+            return leaves, every.select("round", "a", "b", F.col("w").alias("similarity"))
         moves = merged.select(F.explode(F.array(
             F.struct(F.col("a").alias("label"), F.col("a").alias("to"), F.col("turn_a").alias("back"), F.col("n_a").alias("n_own"), F.lit(0).cast("long").alias("shift")),
             F.struct(F.col("b").alias("label"), F.col("a").alias("to"), F.col("turn_b").alias("back"), F.col("n_b").alias("n_own"), F.col("n_a").alias("shift")),
         )).alias("m")).select("m.*")
         place = F.col("shift") + F.when(F.col("back"), F.col("n_own") - 1 - F.col("place")).otherwise(F.col("place"))
         leaves = cut(leaves.join(moves, "label", "left").select("id", F.coalesce("to", "label").alias("label"), F.coalesce(place, "place").alias("place")))
-        clusters = cut(clusters.join(moves.select("label"), "label", "left_anti").unionByName(merged.select(F.col("a").alias("label"), (F.col("n_a") + F.col("n_b")).alias("n"), "first", "last")))
         to = lambda x: moves.select(F.col("label").alias(x), F.col("to").alias(f"to_{x}"))
         moved = pairs.join(to("a"), "a", "left").join(to("b"), "b", "left")
         parts = F.when(F.col("to_a").isNull(), 1).otherwise(2) * F.when(F.col("to_b").isNull(), 1).otherwise(2)
