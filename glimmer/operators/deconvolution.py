@@ -99,7 +99,7 @@ def modes(traces: DataFrame, key: str) -> DataFrame:
 
     @F.pandas_udf("struct<mode: double, bandwidth: double>")
     def run(y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([K.density_mode(np.nan_to_num(np.asarray(x, float))) for x in y], columns=["mode", "bandwidth"])
+        return pd.DataFrame(K.density_modes([np.nan_to_num(np.asarray(x, float)) for x in y]), columns=["mode", "bandwidth"])
 
     return traces.where(F.size("y") > 3).select(key, run("y").alias("m")).select(key, F.round("m.mode", 6).alias("mode"), F.round("m.bandwidth", 6).alias("bandwidth"))
 

@@ -472,3 +472,10 @@ def test_running_footprints_add_up_over_a_stream(spark, tmp_path):
         sums.writeStream.format("memory").queryName(f"sums{k}").outputMode("complete").option("checkpointLocation", str(tmp_path / f"state{k}")).trigger(availableNow=True).start().awaitTermination()
         got = {(r["neuron"], r["pix"]): r["ae"] / r["e"] for r in spark.table(f"sums{k}").collect()}
         assert got == ({(1, 5): 2.0, (1, 6): 1.0}, {(1, 5): 3.5, (1, 6): 1.0})[k]
+
+
+def test_density_modes_of_many_traces_are_those_of_each():
+    rng = np.random.default_rng(5)
+    traces = [rng.standard_normal(64) * s for s in (0.1, 1, 30)] + [np.round(rng.standard_normal(200), 1), np.ones(5), np.concatenate([rng.normal(0, 1, 300), rng.normal(8, 0.3, 500)]), np.array([0.0, 1.0, 1.0, 1.0])]
+    for got, y in zip(K.density_modes(traces), traces, strict=True):
+        assert got == pytest.approx(K.density_mode(y), abs=1e-9)
