@@ -65,9 +65,13 @@ def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model:
     schema = "struct<c: array<double>, s: array<double>, b: double, g: double, sn: double, lam: double, smin: double>"
     shape = {k: options.pop(k) for k in ("decay", "rise", "kernel", "g2") if k in options}
 
-    def one(y: np.ndarray) -> dict:
+    def all_(ys: list[np.ndarray]) -> list[dict]:
         if model == "ar1":
-            return K.deconvolve_ar1(y, method, **options)
+            return [K.deconvolve_ar1(y, method, **options) for y in ys]
+        known = {}  # a kernel that all traces of a length share has its Gram matrices made once
+        return [one(y, known) for y in ys]
+
+    def one(y: np.ndarray, known: dict) -> dict:
         n = min(len(y), 200)
         if model == "kernel":
             h = np.asarray(shape["kernel"], float)
@@ -77,11 +81,12 @@ def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model:
             x = np.nan_to_num(y)
             g = np.asarray(shape["g2"]) if "g2" in shape else K.ar_coefficients(x, 2, float(K.noise_level(x)[0]))
             h = K.ar_kernel(g, n)
-        return K.deconvolve_kernel(y, h, method, **options)
+        shared = model != "ar2" or "g2" in shape
+        return K.deconvolve_kernel(y, h, method, known=known.setdefault(len(h), {}) if shared else None, **options)
 
     @F.pandas_udf(schema)
     def run(y: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(np.asarray(x, float)) for x in y], columns=["c", "s", "b", "g", "sn", "lam", "smin"])
+        return pd.DataFrame(all_([np.asarray(x, float) for x in y]), columns=["c", "s", "b", "g", "sn", "lam", "smin"])
 
     return traces.where(F.size("y") > 3).select(key, run("y").alias("d")).select(key, "d.*")
 

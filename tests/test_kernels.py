@@ -479,3 +479,23 @@ def test_density_modes_of_many_traces_are_those_of_each():
     traces = [rng.standard_normal(64) * s for s in (0.1, 1, 30)] + [np.round(rng.standard_normal(200), 1), np.ones(5), np.concatenate([rng.normal(0, 1, 300), rng.normal(8, 0.3, 500)]), np.array([0.0, 1.0, 1.0, 1.0])]
     for got, y in zip(K.density_modes(traces), traces, strict=True):
         assert got == pytest.approx(K.density_mode(y), abs=1e-9)
+
+
+def halved(energy, goal, low, high, rounds):
+    """The plain search: the largest of the halvings whose energy is within goal."""
+    for _ in range(rounds):
+        mid = (low + high) / 2
+        low, high = (mid, high) if energy(mid) <= goal else (low, mid)
+    return low
+
+
+def test_the_penalty_of_a_kernel_is_that_of_plain_halving():
+    h = K.exp2_kernel(6.0, 1.0, 64)
+    for seed in range(6):
+        y = planted(64, 0.9, 0.2, seed)[2]
+        d = K.deconvolve_kernel(y, h, "constrained", sn=0.3, baseline=False)
+        spikes = lambda x: K.sliding_nnls(y, h, lam=x)  # noqa: B023, E731
+        energy = lambda x: ((y - np.convolve(spikes(x), h)[:64]) ** 2).sum()  # noqa: B023, E731
+        want = halved(energy, 0.3**2 * 64, 0.0, float(np.linalg.norm(h) * np.ptp(y)) + 1e-9, 12) if energy(0.0) < 0.3**2 * 64 else 0.0
+        assert d["lam"] == pytest.approx(want, abs=1e-12)
+        assert d["s"] == pytest.approx(spikes(want), abs=1e-9)
