@@ -67,7 +67,7 @@ def deconvolved(traces: DataFrame, key: str, method: str = "constrained", model:
 
     def all_(ys: list[np.ndarray]) -> list[dict]:
         if model == "ar1":
-            return [K.deconvolve_ar1(y, method, **options) for y in ys]
+            return K.deconvolve_ar1_all(ys, method, **options)
         known = {}  # a kernel that all traces of a length share has its Gram matrices made once
         return [one(y, known) for y in ys]
 

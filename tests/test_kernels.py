@@ -474,11 +474,19 @@ def test_running_footprints_add_up_over_a_stream(spark, tmp_path):
         assert got == ({(1, 5): 2.0, (1, 6): 1.0}, {(1, 5): 3.5, (1, 6): 1.0})[k]
 
 
-def test_density_modes_of_many_traces_are_those_of_each():
-    rng = np.random.default_rng(5)
-    traces = [rng.standard_normal(64) * s for s in (0.1, 1, 30)] + [np.round(rng.standard_normal(200), 1), np.ones(5), np.concatenate([rng.normal(0, 1, 300), rng.normal(8, 0.3, 500)]), np.array([0.0, 1.0, 1.0, 1.0])]
-    for got, y in zip(K.density_modes(traces), traces, strict=True):
-        assert got == pytest.approx(K.density_mode(y), abs=1e-9)
+@pytest.mark.parametrize("method", ["foopsi", "constrained", "thresholded"])
+@pytest.mark.parametrize("g", [None, 0.9])
+def test_traces_deconvolved_together_and_alone_agree(method, g):
+    rng = np.random.default_rng(4)
+    traces = [planted(64, 0.9, 0.3, k)[2] for k in range(20)] + [planted(40, 0.8, 0.2, k)[2] for k in range(9)]
+    traces += [np.zeros(64), np.full(64, np.nan), rng.standard_normal(64), np.ones(2), np.arange(64.0)]
+    together = K.deconvolve_ar1_all(traces, method, g, sn=0.3, lam=0.05)
+    for y, d in zip(traces, together, strict=True):
+        if len(y):
+            alone = K.deconvolve_ar1(y, method, g, sn=0.3, lam=0.05)
+            for k in ("c", "s", "b", "lam", "smin", "sn"):
+                assert d[k] == pytest.approx(alone[k], abs=1e-9), k
+            assert ((d["s"] > 0) == (alone["s"] > 0)).all()
 
 
 def halved(energy, goal, low, high, rounds):
@@ -489,6 +497,17 @@ def halved(energy, goal, low, high, rounds):
     return low
 
 
+@given(st.lists(st.floats(-3, 3), min_size=3, max_size=50), st.floats(0.2, 0.97), st.floats(0.05, 1))
+@settings(max_examples=60, deadline=None)
+def test_the_penalty_is_that_of_plain_halving(y, g, sn):
+    y = np.array(y)
+    d = K.deconvolve_ar1(y, "constrained", g, sn, baseline=False)
+    energy = lambda x: ((y - K.decay(K.pools_ar1(y, g, x), g, len(y))) ** 2).sum()
+    high = max(0.0, y.max()) + 1e-9
+    want = halved(energy, sn**2 * len(y), 0.0, high, 30) if energy(0.0) < sn**2 * len(y) else 0.0
+    assert energy(d["lam"]) == pytest.approx(energy(want), abs=1e-6)
+
+
 def test_the_penalty_of_a_kernel_is_that_of_plain_halving():
     h = K.exp2_kernel(6.0, 1.0, 64)
     for seed in range(6):
@@ -499,3 +518,19 @@ def test_the_penalty_of_a_kernel_is_that_of_plain_halving():
         want = halved(energy, 0.3**2 * 64, 0.0, float(np.linalg.norm(h) * np.ptp(y)) + 1e-9, 12) if energy(0.0) < 0.3**2 * 64 else 0.0
         assert d["lam"] == pytest.approx(want, abs=1e-12)
         assert d["s"] == pytest.approx(spikes(want), abs=1e-9)
+
+
+def test_density_modes_of_many_traces_are_those_of_each():
+    rng = np.random.default_rng(5)
+    traces = [rng.standard_normal(64) * s for s in (0.1, 1, 30)] + [np.round(rng.standard_normal(200), 1), np.ones(5), np.concatenate([rng.normal(0, 1, 300), rng.normal(8, 0.3, 500)]), np.array([0.0, 1.0, 1.0, 1.0])]
+    for got, y in zip(K.density_modes(traces), traces, strict=True):
+        assert got == pytest.approx(K.density_mode(y), abs=1e-9)
+
+
+def test_searches_evaluate_few_penalties(monkeypatch):
+    # One trace took 150 evaluations and more of the pools; a query over many traces grew by that.
+    calls = []
+    plain = K.pools_ar1
+    monkeypatch.setattr(K, "pools_ar1", lambda *a: calls.append(1) or plain(*a))
+    K.deconvolve_ar1(planted(64, 0.9, 0.3)[2], "constrained", 0.9, 0.3)
+    assert len(calls) < 80
