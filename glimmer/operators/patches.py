@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from glimmer.functions import images as I  # noqa: E741
 from glimmer.functions import kernels as K
-from glimmer.operators.layout import block_members
+from glimmer.operators.layout import block_members, patch_of
 from glimmer.operators.shared import apart
 
 
@@ -497,6 +497,37 @@ def spatial_update(sums: DataFrame, gram: DataFrame, method: str = "nnls", most:
     return solved.select("pix", F.inline("z")).where("a > 0")
 
 
+def spatial_descent(pixels: DataFrame, region: DataFrame, traces: DataFrame, start: DataFrame, height: int, size: int, rounds: int = 3) -> DataFrame:
+    """spatial_update by hals with the sums and Gram matrix of each patch formed in place: (pix, label, a).
+
+    pixels: (pix, r, c, y), region: (pix, label), traces: (label, trace), start: (pix, label, a). Where many regions meet in
+    a pixel, rows for the pairs of its labels grow with their square; a patch needs each of its traces once.
+    """
+    where = pixels.select("pix", patch_of(F.col("r"), F.col("c"), height, size).alias("patch"))
+    own = region.select("pix", "label").join(start.select("pix", "label", F.col("a").alias("a0")), ["pix", "label"], "left").join(where, "pix")
+    own = own.groupBy("patch", "pix").agg(F.collect_list(F.struct(F.col("label").cast("long").alias("label"), F.coalesce("a0", F.lit(0.0)).alias("a0"))).alias("own"))
+    rows = own.join(pixels.select("pix", "y"), "pix").select("patch", "pix", "y", F.col("own.label").alias("labels"), F.col("own.a0").alias("starts"))
+    there = region.join(where, "pix").select("patch", "label").distinct().join(traces.select("label", "trace"), "label").select("patch", F.col("label").cast("long").alias("label"), "trace")
+
+    def run(key, group: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        parts = parts.sort_values("label")
+        names = parts["label"].to_numpy()
+        if not len(group) or not len(names):
+            return pd.DataFrame({"pix": [], "label": [], "a": []}, dtype=object)
+        pix, c, y = group["pix"].to_numpy(), np.vstack(parts["trace"].to_list()), np.vstack(group["y"].to_list())
+        c, y = c - c.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
+        x, mask = np.zeros((len(names), len(pix))), np.zeros((len(names), len(pix)), bool)
+        for i, (labels, values) in enumerate(zip(group["labels"], group["starts"], strict=True)):
+            given = np.isin(labels, names)
+            at = np.searchsorted(names, np.asarray(labels)[given])
+            x[at, i], mask[at, i] = np.asarray(values)[given], True
+        a = np.round(K.hals(c @ y.T, c @ c.T, x, rounds, mask), 6)
+        k, i = np.nonzero(a > 0)
+        return pd.DataFrame({"pix": pix[i], "label": names[k], "a": a[k, i]})
+
+    return rows.groupBy("patch").cogroup(apart(there).groupBy("patch")).applyInPandas(run, "pix long, label long, a double")
+
+
 def temporal_update(members: DataFrame, rounds: int = 3, deconvolve: bool = False) -> DataFrame:
     """(neuron, weight, trace): traces by coordinate descent, patch by patch; weight is the footprint's energy there.
 

@@ -77,15 +77,18 @@ def search_region(footprints: DataFrame, pixels: DataFrame, smallest: float, lar
     return d.where(F.pow(along / F.col("a"), 2) + F.pow(across / F.col("b"), 2) <= dist * dist).select("pix", F.col("neuron").alias("label"))
 
 
-def update_spatial(clean: DataFrame, footprints: DataFrame, traces: DataFrame, o: Options, method: str = "hals", shape: str | None = "convex") -> DataFrame:
+def update_spatial(clean: DataFrame, footprints: DataFrame, traces: DataFrame, height: int, o: Options, method: str = "hals", shape: str | None = "convex") -> DataFrame:
     """New footprints (neuron, pix, val) from Y - B: regressions within the search region, and their shapes put in order."""
     placed = footprints.select("neuron", "pix", "val").join(clean.select("pix", "r", "c"), "pix")
     region = cut(search_region(placed, clean, 3, 8, 3))
     t = traces.select(F.col("neuron").alias("label"), "trace")
-    sums, v = C.spatial_sums(clean, region, t), C.gram(t, C.region_pairs(region))
-    noise = deconvolution.noise(clean, "pix") if method.endswith("_thresh") else None
     start = footprints.select("pix", F.col("neuron").alias("label"), F.col("val").alias("a")) if method.startswith("hals") else None
-    a = patches.spatial_update(sums, v, method, noise=noise, start=start).select(F.col("label").alias("neuron"), "pix", F.col("a").alias("val"))
+    if method == "hals":
+        a = patches.spatial_descent(clean, region, t, start, height, o.patch)
+    else:
+        noise = deconvolution.noise(clean, "pix") if method.endswith("_thresh") else None
+        a = patches.spatial_update(C.spatial_sums(clean, region, t), C.gram(t, C.region_pairs(region)), method, noise=noise, start=start)
+    a = a.select(F.col("label").alias("neuron"), "pix", F.col("a").alias("val"))
     return patches.shaped(a.join(clean.select("pix", "r", "c"), "pix"), shape) if shape else a
 
 
@@ -153,7 +156,7 @@ def demix(pixels: DataFrame, height: int, options: Options | None = None, sigma:
     for k in range(rounds):
         background = cut(update_background(pixels, f, t, height, o))
         clean = cut(without_background(pixels, background))
-        f = cut(update_spatial(clean, f, t, o))
+        f = cut(update_spatial(clean, f, t, height, o))
         t = cut(update_temporal(clean, f, t.join(f.select("neuron").distinct(), "neuron", "left_semi"), height, o))
         f, t = merged(f, t, o)
         if more and k == 0:
@@ -219,7 +222,7 @@ def demix_batch(pixels: DataFrame, batch: int, height: int, path: str, options:
         weights = spark.createDataFrame([], "patch long, pix long, nbr_pix long, w double, ssub int")
     clean = cut(without_background(p, background))
     t = cut(update_temporal(clean, f, t, height, o))
-    f = cut(update_spatial(clean, f, t, o))
+    f = cut(update_spatial(clean, f, t, height, o))
     born = f.select(F.col("neuron").cast("long").alias("neuron")).distinct().join(old.select("neuron"), "neuron", "left_anti").withColumn("since", F.lit(batch))
     neurons = born if before is None else old.unionByName(born)
     tables = {"footprints": f.select(F.col("neuron").cast("long").alias("neuron"), "pix", "val"), "traces": t.select(F.col("neuron").cast("long").alias("neuron"), "trace"), "weights": weights, "offset": offset, "neurons": neurons}

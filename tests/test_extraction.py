@@ -4,7 +4,8 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from glimmer.operators import commands
+from glimmer.operators import commands, patches
+from glimmer.operators import components as C
 from glimmer.options import Options, updated
 from glimmer.plans.extraction import extract
 from glimmer.sources import tiff
@@ -246,3 +247,20 @@ def test_neighbour_weights_add_up_to_one(spark):
     assert w.groupby("pix")["w"].sum().to_numpy() == pytest.approx(np.ones(144), abs=1e-4)
     one, y = w[w["pix"] == 65], {r[0]: np.array(r[3]) for r in rows}
     assert sum(v * y[q] for q, v in zip(one["nbr_pix"], one["w"], strict=True)) == pytest.approx(y[65], abs=0.05)
+
+
+def test_footprints_of_patches_are_those_pixel_by_pixel(spark):
+    # Many regions meet in each pixel: rows for pairs of labels grew with the square of their number.
+    rng = np.random.default_rng(8)
+    t = rng.standard_normal((12, 40)).cumsum(1)
+    movie = spark.createDataFrame([(int(c * 9 + r), int(r), int(c), [float(v) for v in rng.standard_normal(40) + t[(r + c) % 12]]) for c in range(13) for r in range(9)], "pix long, r long, c long, y array<double>")
+    traces = spark.createDataFrame([(k, [float(v) for v in t[k]]) for k in range(12)], "label long, trace array<double>")
+    near = [(p, k) for p in range(117) for k in range(12) if (p * 7 + k * 5) % 4]
+    region = spark.createDataFrame(near, "pix long, label long")
+    start = spark.createDataFrame([(p, k, 0.5) for p, k in near if (p + k) % 3 == 0], "pix long, label long, a double")
+    got = patches.spatial_descent(movie, region, traces, start, 9, 4)
+    want = patches.spatial_update(C.spatial_sums(movie, region, traces), C.gram(traces, C.region_pairs(region)), "hals", start=start)
+    values = lambda d: {(r["pix"], r["label"]): r["a"] for r in d.collect()}
+    got, want = values(got), values(want)
+    assert {k for k, v in want.items() if v > 2e-6} <= got.keys() and {k for k, v in got.items() if v > 2e-6} <= want.keys()
+    assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got.keys() & want.keys())
