@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 
+
 def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: int | None = None) -> DataFrame:
     """(user_id, t, c, spike) of the frames that are final, from a stream of (user_id, t, y) in time order per series.
 
@@ -28,9 +30,11 @@ def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: i
                 rows.append((key[0], t + i + 1, c * g**i, max(0.0, c - g * before) if i == 0 and t else 0.0))
             before = c * g ** (n - 1)
 
-        frames = pd.concat(list(frames)).sort_values("t")
-        for y in frames["y"][frames["t"].notna()]:
-            pools.append([float(y), 1.0, count, 1])
+        parts = list(frames)
+        at, values = (np.concatenate([p[k].to_numpy(float) for p in parts]) for k in ("t", "y"))
+        ends = bool(np.isnan(at).any())
+        for y in values[np.argsort(at)][: int(np.isfinite(at).sum())].tolist():
+            pools.append([y, 1.0, count, 1])
             count += 1
             while len(pools) > 1:
                 v, w, t, n = pools[-2]
@@ -40,7 +44,7 @@ def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: i
                 pools[-1] = [v + v2 * g**n, w + w2 * g ** (2 * n), t, n + n2]
             while look_back is not None and len(pools) > look_back:
                 leave()
-        if frames["t"].isna().any():
+        if ends:
             while pools:
                 leave()
             if state.exists:
@@ -48,7 +52,8 @@ def online_calcium(samples: DataFrame, g: float, smin: float = 0.0, look_back: i
         else:
             columns = [list(x) for x in zip(*pools, strict=True)]
             state.update((count, *columns, before))
-        yield pd.DataFrame(rows, columns=["user_id", "t", "c", "spike"])
+        if rows:  # most series end in one call; an empty table for each of the others costs as much as its samples
+            yield pd.DataFrame(dict(zip(("user_id", "t", "c", "spike"), map(list, zip(*rows, strict=True)), strict=True)))
 
     out = "user_id long, t long, c double, spike double"
     held = "count long, v array<double>, w array<double>, t array<long>, l array<long>, before double"

@@ -534,3 +534,32 @@ def test_searches_evaluate_few_penalties(monkeypatch):
     monkeypatch.setattr(K, "pools_ar1", lambda *a: calls.append(1) or plain(*a))
     K.deconvolve_ar1(planted(64, 0.9, 0.3)[2], "constrained", 0.9, 0.3)
     assert len(calls) < 80
+
+
+def test_a_series_that_goes_on_yields_no_empty_table():
+    import pandas as pd
+
+    from glimmer.streaming.online import online_calcium
+
+    class Samples:
+        def groupBy(self, key):
+            return self
+
+        def applyInPandasWithState(self, update, *_):
+            return update
+
+    class State:
+        exists, get = False, None
+
+        def update(self, value):
+            self.exists, self.get = True, value
+
+        def remove(self):
+            self.exists = False
+
+    update, state = online_calcium(Samples(), 0.9), State()
+    parts = [pd.DataFrame({"user_id": 1, "t": [3.0, 1.0], "y": [0.5, 1.0]}), pd.DataFrame({"user_id": 1, "t": [2.0], "y": [2.0]})]
+    assert list(update((1,), iter(parts), state)) == []
+    (done,) = update((1,), iter([pd.DataFrame({"user_id": [1], "t": [np.nan], "y": [np.nan]})]), state)
+    assert done["t"].tolist() == [1, 2, 3] and not state.exists
+    assert done["c"] == pytest.approx(K.decay(K.pools_ar1(np.array([1.0, 2.0, 0.5]), 0.9), 0.9, 3))
