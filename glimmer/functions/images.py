@@ -42,15 +42,19 @@ def neighbour_correlation(stack: np.ndarray) -> np.ndarray:
     z = stack - stack.mean(-1, keepdims=True)
     sd = np.sqrt((z**2).mean(-1, keepdims=True))
     z /= np.where(sd > 0, sd, 1)
-    near, count = np.zeros_like(z), np.zeros(stack.shape[:2])
+    near, (h, w) = np.zeros_like(z), z.shape[:2]
     for i, j in _AROUND:
-        near += shifted(z, i, j)
-        count += shifted(np.ones(stack.shape[:2]), i, j)
-    return (near * z).mean(-1) / np.maximum(count, 1)
+        near[max(0, i) : h + min(0, i), max(0, j) : w + min(0, j)] += z[max(0, -i) : h + min(0, -i), max(0, -j) : w + min(0, -j)]
+    beside = lambda n: 3 - (np.arange(n) == 0) - (np.arange(n) == n - 1)  # noqa: E731  rows or columns about each, its own with them
+    return (near * z).mean(-1) / np.maximum(np.outer(beside(h), beside(w)) - 1, 1)
 
 
 def _square(image: np.ndarray, reach: int, pick) -> np.ndarray:
-    return pick([shifted(image, i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1)])
+    """pick of the values at each place of the square around a pixel, 0 outside."""
+    h, w = image.shape
+    wide = np.zeros((h + 2 * reach, w + 2 * reach), image.dtype)
+    wide[reach : reach + h, reach : reach + w] = image
+    return pick([wide[i : i + h, j : j + w] for i in range(2 * reach, -1, -1) for j in range(2 * reach, -1, -1)])
 
 
 def median3(image: np.ndarray) -> np.ndarray:
@@ -77,13 +81,17 @@ def closed(mask: np.ndarray, reach: int = 1) -> np.ndarray:
 
 def regions(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
     """A number for each connected region of the mask, 0 outside."""
-    label = np.where(mask, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
+    (h, w), on = mask.shape, np.asarray(mask) != 0
+    label = np.where(on, np.arange(1, mask.size + 1).reshape(mask.shape), 0)
     steps = _AROUND if diagonal else [(-1, 0), (1, 0), (0, -1), (0, 1)]
+    # Each shift goes on from the one before; the largest number of a region is where all of them end.
+    places = [((slice(max(0, i), h + min(0, i)), slice(max(0, j), w + min(0, j))), (slice(max(0, -i), h + min(0, -i)), slice(max(0, -j), w + min(0, -j)))) for i, j in steps]
     while True:
-        new = np.where(mask, np.max([label, *(shifted(label, *s) for s in steps)], 0), 0)
-        if (new == label).all():
+        before = label.copy()
+        for to, of in places:
+            label[to] = np.maximum(label[to], label[of] * on[to])
+        if (label == before).all():
             return label
-        label = new
 
 
 def connected(image: np.ndarray, share: float = 0.01, reach: int = 2) -> np.ndarray:

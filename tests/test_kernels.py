@@ -563,3 +563,26 @@ def test_a_series_that_goes_on_yields_no_empty_table():
     (done,) = update((1,), iter([pd.DataFrame({"user_id": [1], "t": [np.nan], "y": [np.nan]})]), state)
     assert done["t"].tolist() == [1, 2, 3] and not state.exists
     assert done["c"].tolist() == pytest.approx(K.decay(K.pools_ar1(np.array([1.0, 2.0, 0.5]), 0.9), 0.9, 3))
+
+
+def test_penalties_are_looked_up_on_pools(monkeypatch):
+    # Each look at a penalty solved the whole trace anew: 26 times and more for one trace.
+    _, _, y = planted(300)
+    solved, pools_ar1 = [], K.pools_ar1
+    monkeypatch.setattr(K, "pools_ar1", lambda *a: solved.append(a) or pools_ar1(*a))
+    assert K.deconvolve_ar1(y)["c"].any()
+    assert len(solved) <= 12  # two for each of the baselines
+
+
+@pytest.mark.parametrize("g", [0.05, 0.6, 0.95])
+def test_energy_on_merging_pools_is_that_of_the_whole_trace(g):
+    for n in (3, 40, 300):
+        y = planted(n, seed=n)[2] - 0.1
+        pools = K.pools_ar1(y, g)
+        at = K._shrinking(pools, g, y - K.decay(pools, g, n))
+        rest = lambda x: float(((y - K.decay(K.pools_ar1(y, g, x), g, n)) ** 2).sum())  # noqa: B023, E731
+        for x in (0.0, 0.01, 0.1, 0.5, 2.0):
+            energy, slope, _ = at(x)
+            assert energy == pytest.approx(rest(x), rel=1e-9)
+            if x:
+                assert 2 * slope == pytest.approx((rest(x + 1e-6) - rest(x - 1e-6)) / 2e-6, rel=1e-3, abs=1e-5)
