@@ -134,7 +134,8 @@ def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds:
     for r in range(rounds):
         # Dealt and sorted by what the rows say: a task that runs again, or on other partitions, learns in the same order.
         part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select(whole().alias("text"), F.xxhash64(whole(), "doc_id").alias("order"))
-        part = part.repartition(tasks, "order").sortWithinPartitions("order", "text").select("text")
+        # By number and not by key: a cluster with more partitions than tasks would train, and send, weights for each of them.
+        part = part.repartitionById(tasks, F.pmod(F.hash("order"), F.lit(tasks))).sortWithinPartitions("order", "text").select("text")
         rows = averaged(part.mapInArrow(_train(path, model), _SHARE), tasks).collect()  # one set of weights
         weights = {n: x.copy() for n, x in weights.items()}
         for row in rows:

@@ -637,6 +637,27 @@ def test_model_learns_from_every_training_text_once(spark, n_words, monkeypatch)
     assert (texts.value, total.value) == (400, sum(range(400)))
 
 
+def test_more_partitions_train_no_more_weights(spark, monkeypatch):
+    # Each partition that had texts trained and sent weights of its own, up to the cluster's number of partitions.
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(400)], "doc_id long, text string")
+    parts, texts = spark.sparkContext.accumulator(0), spark.sparkContext.accumulator(0)
+
+    def counted(path, model):
+        def run(batches):
+            n = sum(b.num_rows for b in batches)
+            parts.add(n > 0)
+            texts.add(n)
+            yield from ()
+
+        return run
+
+    monkeypatch.setattr(lm, "_train", counted)
+    plain = type(docs).repartition
+    monkeypatch.setattr(type(docs), "repartition", lambda self, n, *by: plain(self, max(n, 32), *by))
+    lm.train(docs, queries.tokenizer(), np.ones(lm.TOKENS), 3 * lm.ROUNDS * lm.TASK_WORDS)
+    assert (parts.value, texts.value) == (3 * lm.ROUNDS, 400)
+
+
 # Edges
 
 
