@@ -59,24 +59,38 @@ def _square(image: np.ndarray, reach: int, pick) -> np.ndarray:
 
 def median3(image: np.ndarray) -> np.ndarray:
     """3 by 3 median, 0 outside."""
-    return _square(image, 1, lambda x: np.median(x, 0))
+    return _square(image, 1, lambda x: np.partition(x, 4, 0)[4])
+
+
+def _extreme(image: np.ndarray, reach: int, pick) -> np.ndarray:
+    """np.maximum or np.minimum over the square around each pixel, 0 outside: along one axis and then the other."""
+    for axis in (0, 1):
+        n = image.shape[axis]
+        wide = np.zeros((n + 2 * reach, image.shape[1]) if axis == 0 else (len(image), n + 2 * reach), image.dtype)
+        parts = [wide[i : i + n] if axis == 0 else wide[:, i : i + n] for i in range(2 * reach + 1)]
+        parts[reach][...] = image
+        image = parts[0] if reach else image
+        for part in parts[1:]:
+            image = pick(image, part)
+    return image
 
 
 def largest(image: np.ndarray, reach: int) -> np.ndarray:
     """The largest value of the square around each pixel."""
-    return _square(image, reach, lambda x: np.max(x, 0))
+    return _extreme(image, reach, np.maximum)
 
 
 def opened(image: np.ndarray, reach: int) -> np.ndarray:
     """Grey opening by a square: the smallest value around, and then the largest of those."""
-    padded = np.pad(image, reach, constant_values=image.max(initial=0))
-    low = _square(padded, reach, lambda x: np.min(x, 0))[reach:-reach, reach:-reach]
-    return largest(low, reach)
+    h, w = image.shape
+    padded = np.full((h + 2 * reach, w + 2 * reach), image.max(initial=0), image.dtype)
+    padded[reach : reach + h, reach : reach + w] = image
+    return largest(_extreme(padded, reach, np.minimum)[reach : reach + h, reach : reach + w], reach)
 
 
 def closed(mask: np.ndarray, reach: int = 1) -> np.ndarray:
-    wide = _square(np.pad(mask, 2 * reach), reach, lambda x: np.max(x, 0))
-    return _square(wide, reach, lambda x: np.min(x, 0))[2 * reach : -2 * reach, 2 * reach : -2 * reach]
+    wide = _extreme(np.pad(mask, 2 * reach), reach, np.maximum)
+    return _extreme(wide, reach, np.minimum)[2 * reach : -2 * reach, 2 * reach : -2 * reach]
 
 
 def regions(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
@@ -94,11 +108,38 @@ def regions(mask: np.ndarray, diagonal: bool = False) -> np.ndarray:
             return label
 
 
+def region_of(mask: np.ndarray, at: tuple[int, int]) -> np.ndarray:
+    """The connected region of the mask that holds a place; what is outside the mask if the place is.
+
+    The mask is a whole number, a bit a pixel and one between rows; the region grows from the place by shifts of it.
+    """
+    if not mask[at]:
+        return ~mask
+    h, w = mask.shape
+    wide = np.zeros((h, w + 1), bool)
+    wide[:, :w] = mask
+    bits = int.from_bytes(np.packbits(wide, bitorder="little").tobytes(), "little")
+    found, before = 1 << (int(at[0]) * (w + 1) + int(at[1])), 0
+    while found != before:
+        before = found
+        found = (found | found << 1 | found >> 1 | found << w + 1 | found >> w + 1) & bits
+    out = np.frombuffer(found.to_bytes(-(-h * (w + 1) // 8), "little"), np.uint8)
+    return np.unpackbits(out, bitorder="little")[: h * (w + 1)].reshape(h, w + 1)[:, :w].astype(bool)
+
+
+def _slopes(image: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """np.gradient of an image of two lines or more each way."""
+    out = np.empty_like(image), np.empty_like(image)
+    for to, of in zip((out[0], out[1].T), (image, image.T), strict=True):
+        to[1:-1] = (of[2:] - of[:-2]) / 2
+        to[0], to[-1] = of[1] - of[0], of[-1] - of[-2]
+    return out
+
+
 def connected(image: np.ndarray, share: float = 0.01, reach: int = 2) -> np.ndarray:
     """Only what the opened image connects with the peak."""
     peak = np.unravel_index(np.argmax(image), image.shape)
-    label = regions(opened(image, reach) > image.max() * share)
-    return np.where(label == label[peak], image, 0.0)
+    return np.where(region_of(opened(image, reach) > image.max() * share, peak), image, 0.0)
 
 
 def convex(image: np.ndarray) -> np.ndarray:
@@ -109,11 +150,10 @@ def convex(image: np.ndarray) -> np.ndarray:
     box = slice(r.min(), r.max() + 1), slice(c.min(), c.max() + 1)
     part = image[box].copy()
     peak = np.unravel_index(np.argmax(part), part.shape)
-    gr, gc = np.gradient(part)
+    gr, gc = _slopes(part)
     away = gr * (peak[0] - np.arange(part.shape[0]))[:, None] + gc * (peak[1] - np.arange(part.shape[1]))
     part[(away < 0) & (part < part[peak] / 3)] = 0
-    label = regions(part > 0)
-    part[largest((label == label[peak]) * 1, 1) == 0] = 0
+    part[~largest(region_of(part > 0, peak), 1)] = 0
     out = np.zeros_like(image)
     out[box] = median3(part)
     return out

@@ -42,6 +42,22 @@ def _grid(group: pd.DataFrame, column: str, r, c, stack: np.ndarray) -> np.ndarr
     return out
 
 
+def _whole(batches, key: str):
+    """(key, rows) of each group of a partition that is sorted by key; a group may lie in several batches."""
+    parts, last = [], None
+    for batch in batches:
+        names = batch[key].to_numpy()
+        edges = np.flatnonzero(np.concatenate([[True], names[1:] != names[:-1], [True]])) if len(names) else np.zeros(0, int)
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if parts and names[a] != last:
+                yield last, pd.concat(parts) if len(parts) > 1 else parts[0]
+                parts = []
+            last = names[a]
+            parts.append(batch.iloc[a:b])
+    if parts:
+        yield last, pd.concat(parts) if len(parts) > 1 else parts[0]
+
+
 def smoothed(blocks: DataFrame, sigma: float, decay: float = 0.0) -> DataFrame:
     """(pix, r, c, y): each frame blurred by a Gaussian; of a frame the part `decay` goes on into the next."""
     x = np.arange(2 * int(np.ceil(2 * sigma)) + 1) - int(np.ceil(2 * sigma))
@@ -58,13 +74,13 @@ def smoothed(blocks: DataFrame, sigma: float, decay: float = 0.0) -> DataFrame:
     return blocks.groupBy("patch").applyInPandas(run, "pix long, r long, c long, y array<double>")
 
 
-def screened(stack: np.ndarray, sigma: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(filtered movie about its median, local correlation over three deviations of noise, peak-to-noise ratio)."""
+def screened(stack: np.ndarray, sigma: float | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """(filtered movie about its median, local correlation over three deviations of noise, peak-to-noise ratio, noise)."""
     hy = I.filtered(stack, I.centred_psf(sigma)) if sigma else stack.copy()
     hy -= np.median(hy, -1, keepdims=True)
     sn = K.noise_level(hy.reshape(-1, hy.shape[-1])).reshape(hy.shape[:2])
     pnr = hy.max(-1) / np.where(sn > 0, sn, np.inf)
-    return hy, I.neighbour_correlation(np.where(hy < 3 * sn[..., None], 0.0, hy)), pnr
+    return hy, I.neighbour_correlation(np.where(hy < 3 * sn[..., None], 0.0, hy)), pnr, sn
 
 
 def correlation_pnr(blocks: DataFrame, sigma: float | None) -> DataFrame:
@@ -72,7 +88,7 @@ def correlation_pnr(blocks: DataFrame, sigma: float | None) -> DataFrame:
 
     def run(key, group: pd.DataFrame) -> pd.DataFrame:
         group, stack, r, c = _stack(group)
-        _, cn, pnr = screened(stack, sigma)
+        _, cn, pnr, _ = screened(stack, sigma)
         return pd.DataFrame({"pix": group["pix"], "cn": cn[r, c], "pnr": pnr[r, c]})[group["inside"].to_numpy()]
 
     found = blocks.groupBy("patch").applyInPandas(run, "pix long, cn double, pnr double")
@@ -82,30 +98,79 @@ def correlation_pnr(blocks: DataFrame, sigma: float | None) -> DataFrame:
 def _extracted(hy: np.ndarray, y: np.ndarray, at: tuple[int, int]):
     """(footprint, trace) of the source at a pixel of a box: the trace of what goes with the pixel in the filtered movie,
     the footprint by regression on it and on the box's background; None if there is no such source."""
-    with np.errstate(invalid="ignore", divide="ignore"):
-        z = hy - hy.mean(-1, keepdims=True)
-        z /= np.sqrt((z**2).sum(-1, keepdims=True))
-        corr = np.nan_to_num(z @ z[at])
-    trace = hy[corr > 0.9].mean(0)
+    flat = hy.reshape(-1, hy.shape[-1])
+    z = flat - flat.mean(-1, keepdims=True)
+    own = z[at[0] * hy.shape[1] + at[1]]
+    scale = np.sqrt(np.einsum("ij,ij->i", z, z) * (own @ own))
+    corr = z @ own / np.where(scale > 0, scale, np.inf)
+    trace = flat[corr > 0.9].mean(0)
     if not trace.any():
         return None
-    far = y[corr < 0.3]
+    rows = y.reshape(-1, y.shape[-1])
+    far = rows[corr < 0.3]
     background = np.median(far, 0) if len(far) else np.zeros(y.shape[-1])
     x = np.vstack([np.ones(y.shape[-1]), background, trace])
-    a = np.maximum(0.0, np.linalg.lstsq(x @ x.T, x @ y.reshape(-1, y.shape[-1]).T, rcond=None)[0][2]).reshape(y.shape[:2])
+    a = np.maximum(0.0, np.linalg.lstsq(x @ x.T, x @ rows.T, rcond=None)[0][2]).reshape(y.shape[:2])
     if not a.any():
         return None
     a = I.convex(a)
     a = I.connected(a) if a.any() else a
     if (a > 0).sum() < 5:
         return None
-    b, sn = K.histogram_baseline(trace)
-    psd = float(K.noise_level(trace)[0])
-    if sn > psd:
+    return a, trace
+
+
+def _risen(traces: np.ndarray) -> np.ndarray:
+    """The traces (rows) less their baselines: the histogram's peak, or the middle of small rises where it is wide."""
+    b, sn = K.histogram_baselines(traces)
+    psd = K.noise_level(traces)
+    for i in np.flatnonzero(sn > psd):
+        trace = traces[i]
         rise = np.diff(trace, prepend=trace[0] + 1)
-        flat = trace[(rise >= 0) & (rise < psd)]
-        b = float(np.median(flat)) if len(flat) else 0.0
-    return a, trace - b
+        flat = trace[(rise >= 0) & (rise < psd[i])]
+        b[i] = float(np.median(flat)) if len(flat) else 0.0
+    return traces - b[:, None]
+
+
+#: Samples of the patches that a task seeds side by side.
+SEEDED_AT_ONCE = 1 << 22
+
+
+def _side_by_side(begin):
+    """A function for mapInPandas on rows sorted by patch: begin(patch, rows) is a generator that yields the trace of a
+    source and is sent that trace above its baseline and its calcium; it returns the patch's rows.
+
+    The patches of a task, some SEEDED_AT_ONCE samples at a time, go step by step together, so that the traces they
+    yield are deconvolved together; a patch's rows do not depend on the patches beside it.
+    """
+
+    def finished(groups: list[tuple[int, pd.DataFrame]], columns: list[str]) -> pd.DataFrame:
+        waiting, rows = [(begin(k, g), None) for k, g in groups], []
+        while waiting:
+            asked = []
+            for patch, answer in waiting:
+                try:
+                    asked.append((patch, patch.send(answer)))
+                except StopIteration as end:
+                    rows += end.value
+            waiting = []
+            if asked:
+                risen = _risen(np.array([t for _, t in asked]))
+                waiting = [(patch, found) for (patch, _), *found in zip(asked, risen, K.calcium_ar1(risen), strict=True)]
+        return pd.DataFrame(rows, columns=columns, dtype=None if rows else object)
+
+    def run(batches, columns: list[str]):
+        groups, samples = [], 0
+        for patch, rows in _whole(batches, "patch"):
+            groups.append((int(patch), rows))
+            samples += len(rows) * len(rows["y"].iloc[0])
+            if samples >= SEEDED_AT_ONCE:
+                yield finished(groups, columns)
+                groups, samples = [], 0
+        if groups:
+            yield finished(groups, columns)
+
+    return run
 
 
 def sources(blocks: DataFrame, sigma: float | None, size: int, min_corr: float, min_pnr: float, min_pixel: int = 5, border: int = 0, most: int | None = None) -> DataFrame:
@@ -117,11 +182,10 @@ def sources(blocks: DataFrame, sigma: float | None, size: int, min_corr: float,
     """
     psf = I.centred_psf(sigma) if sigma else None
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
+    def seeded(patch: int, group: pd.DataFrame):
         group, y, r, c = _stack(group)
         pix, inside = _grid(group, "pix", r, c, y), _grid(group, "inside", r, c, y)
-        hy, cn, pnr = screened(y, sigma)
-        sn = K.noise_level(hy.reshape(-1, hy.shape[-1])).reshape(hy.shape[:2])
+        hy, cn, pnr, sn = screened(y, sigma)
         free = pix >= 0
         if border:
             free[:border] = free[-border:] = free[:, :border] = free[:, -border:] = False
@@ -142,14 +206,14 @@ def sources(blocks: DataFrame, sigma: float | None, size: int, min_corr: float,
             found = _extracted(hy[box], y[box], tuple(x - b.start for x, b in zip(k, box, strict=True)))
             if not found or found[0].sum() <= min_pixel or (found[0] > 0).sum() < min_pixel:
                 continue
-            a, trace = found
-            calcium = K.deconvolve_ar1(trace)["c"]
+            a = found[0]
+            trace, calcium = yield found[1]
             calcium = calcium if calcium.any() else np.maximum(trace, 0.0)
             done += 1
             free[box] &= a <= 0.5 * a.max()
             if inside[k]:
                 on = a > 0
-                rows.append((int(key[0]), int(pix[k]), round(float(v[k]), 6), pix[box][on].tolist(), a[on].tolist(), trace.tolist()))
+                rows.append((patch, int(pix[k]), round(float(v[k]), 6), pix[box][on].tolist(), a[on].tolist(), trace.tolist()))
             y[box] -= a[..., None] * calcium
             wide = tuple(slice(max(0, x - 2 * size), x + 2 * size + 1) for x in k)
             image = np.zeros(y.shape[:2])
@@ -157,9 +221,11 @@ def sources(blocks: DataFrame, sigma: float | None, size: int, min_corr: float,
             hy[wide] -= (I.filtered(image[wide][..., None], psf)[..., 0] if sigma else image[wide])[..., None] * calcium
             cn[wide] = I.neighbour_correlation(np.where(hy[wide] < 3 * sn[wide][..., None], 0.0, hy[wide]))
             pnr[wide] = hy[wide].max(-1) / np.where(sn[wide] > 0, sn[wide], np.inf)
-        return pd.DataFrame(rows, columns=["patch", "pix", "score", "pixels", "weights", "trace"], dtype=None if rows else object)
+        return rows
 
-    return blocks.groupBy("patch").applyInPandas(run, "patch long, pix long, score double, pixels array<long>, weights array<double>, trace array<double>")
+    columns, run = ["patch", "pix", "score", "pixels", "weights", "trace"], _side_by_side(seeded)
+    rows = blocks.repartition("patch").sortWithinPartitions("patch")
+    return rows.mapInPandas(lambda batches: run(batches, columns), "patch long, pix long, score double, pixels array<long>, weights array<double>, trace array<double>")
 
 
 def seeds(blocks: DataFrame, radius: int, min_score: float, most: int | None = None) -> DataFrame:
@@ -497,6 +563,28 @@ def spatial_update(sums: DataFrame, gram: DataFrame, method: str = "nnls", most:
     return solved.select("pix", F.inline("z")).where("a > 0")
 
 
+def _descended(group: pd.DataFrame, names: np.ndarray, traces: np.ndarray, mask: np.ndarray, rounds: int) -> pd.DataFrame:
+    """(pix, label, a) of a patch's pixels, with labels and starts in their rows; mask: where a name (a row) may be."""
+    pix, c, y = group["pix"].to_numpy(), traces - traces.mean(1, keepdims=True), np.vstack(group["y"].to_list())
+    y = y - y.mean(1, keepdims=True)
+    x = np.zeros(mask.shape)
+    sizes = [0 if labels is None else len(labels) for labels in group["labels"]]
+    if any(sizes):
+        label, value = (np.concatenate([v for v, n in zip(group[k], sizes, strict=True) if n]) for k in ("labels", "starts"))
+        i, at = np.repeat(np.arange(len(pix)), sizes), np.minimum(np.searchsorted(names, label), len(names) - 1)
+        given = (names[at] == label) & mask[at, i]
+        x[at[given], i[given]] = value[given]
+    a = np.round(K.hals(c @ y.T, c @ c.T, x, rounds, mask), 6)
+    k, i = np.nonzero(a > 0)
+    return pd.DataFrame({"pix": pix[i], "label": names[k], "a": a[k, i]})
+
+
+def _started(pixels: DataFrame, start: DataFrame, height: int, size: int) -> DataFrame:
+    """(patch, pix, r, c, y, labels, starts): the pixels with the weights that they begin with."""
+    own = start.groupBy("pix").agg(F.collect_list(F.struct(F.col("label").cast("long").alias("label"), "a")).alias("own"))
+    return pixels.join(own, "pix", "left").select("pix", patch_of(F.col("r"), F.col("c"), height, size).alias("patch"), "r", "c", "y", F.col("own.label").alias("labels"), F.col("own.a").alias("starts"))
+
+
 def spatial_descent(pixels: DataFrame, region: DataFrame, traces: DataFrame, start: DataFrame, height: int, size: int, rounds: int = 3) -> DataFrame:
     """spatial_update by hals with the sums and Gram matrix of each patch formed in place: (pix, label, a).
 
@@ -504,30 +592,48 @@ def spatial_descent(pixels: DataFrame, region: DataFrame, traces: DataFrame, sta
     a pixel, rows for the pairs of its labels grow with their square; a patch needs each of its traces once.
     """
     where = pixels.select("pix", patch_of(F.col("r"), F.col("c"), height, size).alias("patch"))
-    own = region.select("pix", "label").join(start.select("pix", "label", F.col("a").alias("a0")), ["pix", "label"], "left").join(where, "pix")
-    own = own.groupBy("patch", "pix").agg(F.collect_list(F.struct(F.col("label").cast("long").alias("label"), F.coalesce("a0", F.lit(0.0)).alias("a0"))).alias("own"))
-    rows = own.join(pixels.select("pix", "y"), "pix").select("patch", "pix", "y", F.col("own.label").alias("labels"), F.col("own.a0").alias("starts"))
-    there = region.join(where, "pix").select("patch", "label").distinct().join(traces.select("label", "trace"), "label").select("patch", F.col("label").cast("long").alias("label"), "trace")
+    there = region.join(where, "pix").groupBy("patch", "label").agg(F.collect_list("pix").alias("pixels"))
+    there = there.join(traces.select("label", "trace"), "label").select("patch", F.col("label").cast("long").alias("label"), "trace", "pixels")
 
     def run(key, group: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
         parts = parts.sort_values("label")
-        names = parts["label"].to_numpy()
-        if not len(group) or not len(names):
+        if not len(group) or not len(parts):
             return pd.DataFrame({"pix": [], "label": [], "a": []}, dtype=object)
-        pix, c, y = group["pix"].to_numpy(), np.vstack(parts["trace"].to_list()), np.vstack(group["y"].to_list())
-        c, y = c - c.mean(1, keepdims=True), y - y.mean(1, keepdims=True)
-        x, mask = np.zeros((len(names), len(pix))), np.zeros((len(names), len(pix)), bool)
-        for i, (labels, values) in enumerate(zip(group["labels"], group["starts"], strict=True)):
-            given = np.isin(labels, names)
-            at = np.searchsorted(names, np.asarray(labels)[given])
-            x[at, i], mask[at, i] = np.asarray(values)[given], True
-        a = np.round(K.hals(c @ y.T, c @ c.T, x, rounds, mask), 6)
-        k, i = np.nonzero(a > 0)
-        return pd.DataFrame({"pix": pix[i], "label": names[k], "a": a[k, i]})
+        mask = np.array([np.isin(group["pix"].to_numpy(), pixels) for pixels in parts["pixels"]])
+        return _descended(group, parts["label"].to_numpy(), np.vstack(parts["trace"].to_list()), mask, rounds)
 
+    rows = _started(pixels, start, height, size)
     return rows.groupBy("patch").cogroup(apart(there).groupBy("patch")).applyInPandas(run, "pix long, label long, a double")
 
 
+def spatial_descent_in_ellipses(pixels: DataFrame, ellipses: DataFrame, dist: float, traces: DataFrame, start: DataFrame, height: int, size: int, rounds: int = 3) -> DataFrame:
+    """spatial_descent with each label's region given by its ellipse (label, cr, cc, a, b, angle), dist times as large.
+
+    A patch gets the ellipses that may reach it, a row each, and no row for each of their pixels.
+    """
+    reach = F.greatest(F.col("a"), F.col("b")) * dist + 1
+    side = lambda x: F.explode(F.sequence(F.floor((F.col(x) - reach) / size), F.floor((F.col(x) + reach) / size)))
+    rows = -(-height // size)
+    there = ellipses.withColumn("pr", side("cr")).where(F.col("pr").between(0, rows - 1)).withColumn("pc", side("cc")).where("pc >= 0")
+    there = there.select((F.col("pc") * rows + F.col("pr")).alias("patch"), F.col("label").cast("long").alias("label"), "cr", "cc", "a", "b", "angle").join(traces.select("label", "trace"), "label")
+
+    def run(key, group: pd.DataFrame, parts: pd.DataFrame) -> pd.DataFrame:
+        if not len(group) or not len(parts):
+            return pd.DataFrame({"pix": [], "label": [], "a": []}, dtype=object)
+        parts = parts.sort_values("label")
+        cr, cc, a, b, angle = parts[["cr", "cc", "a", "b", "angle"]].to_numpy(float).T[:, :, None]
+        r, c = group["r"].to_numpy() - cr, group["c"].to_numpy() - cc
+        along, across = r * np.cos(angle) + c * np.sin(angle), c * np.cos(angle) - r * np.sin(angle)
+        mask = (along / a) ** 2 + (across / b) ** 2 <= dist * dist
+        some = mask.any(1)
+        if not some.any():
+            return pd.DataFrame({"pix": [], "label": [], "a": []}, dtype=object)
+        return _descended(group, parts["label"].to_numpy()[some], np.vstack(parts["trace"][some].to_list()), mask[some], rounds)
+
+    movie = _started(pixels, start, height, size)
+    return movie.groupBy("patch").cogroup(apart(there).groupBy("patch")).applyInPandas(run, "pix long, label long, a double")
+
+
 def temporal_update(members: DataFrame, rounds: int = 3, deconvolve: bool = False) -> DataFrame:
     """(neuron, weight, trace): traces by coordinate descent, patch by patch; weight is the footprint's energy there.
 
@@ -568,11 +674,14 @@ def shaped(footprints: DataFrame, method: str = "convex", share: float = 0.99) -
     """
     kinds = {"connected": lambda x: I.connected(x), "convex": lambda x: I.convex(I.connected(x)), "energy": lambda x: I.most_energy(x, share)}
 
-    def run(key, group: pd.DataFrame) -> pd.DataFrame:
-        r, c = group["r"].to_numpy() - group["r"].min(), group["c"].to_numpy() - group["c"].min()
-        image = np.zeros((int(r.max()) + 1, int(c.max()) + 1))
-        image[r, c] = group["val"]
-        out = kinds[method](image)[r, c]
-        return pd.DataFrame({"neuron": int(key[0]), "pix": group["pix"], "val": out})[out > 0]
-
-    return footprints.groupBy("neuron").applyInPandas(run, "neuron long, pix long, val double")
+    def run(batches):
+        for neuron, group in _whole(batches, "neuron"):
+            r, c, pix = (group[k].to_numpy() for k in ("r", "c", "pix"))
+            r, c = r - r.min(), c - c.min()
+            image = np.zeros((int(r.max()) + 1, int(c.max()) + 1))
+            image[r, c] = group["val"]
+            out = kinds[method](image)[r, c]
+            on = out > 0
+            yield pd.DataFrame({"neuron": np.full(int(on.sum()), int(neuron)), "pix": pix[on], "val": out[on]})
+
+    return footprints.repartition("neuron").sortWithinPartitions("neuron").mapInPandas(run, "neuron long, pix long, val double")

@@ -586,3 +586,57 @@ def test_energy_on_merging_pools_is_that_of_the_whole_trace(g):
             assert energy == pytest.approx(rest(x), rel=1e-9)
             if x:
                 assert 2 * slope == pytest.approx((rest(x + 1e-6) - rest(x - 1e-6)) / 2e-6, rel=1e-3, abs=1e-5)
+
+
+@pytest.mark.parametrize("n", [2, 7, 64, 200])
+def test_calcium_of_all_rows_is_that_of_each(n):
+    rng = np.random.default_rng(4)
+    y = (rng.random((60, n)) < 0.1) * rng.random((60, n)) * 3
+    for t in range(1, n):
+        y[:, t] += 0.85 * y[:, t - 1]
+    y += rng.standard_normal(y.shape) * 0.3 + 1
+    y[0], y[1], y[2, n // 2] = 0, np.arange(n), np.nan
+    assert K.calcium_ar1(y) == pytest.approx(np.array([K.deconvolve_ar1(x)["c"] for x in y]), abs=1e-12)
+    assert K.calcium_ar1(y[:0]).shape == (0, n)
+
+
+def test_baselines_of_all_rows_are_those_of_each():
+    rng = np.random.default_rng(5)
+    y = rng.standard_normal((50, 64)) * rng.random((50, 1)) * 10 + rng.standard_normal((50, 1))
+    y[:20] += 5 * (rng.random((20, 64)) < 0.2)
+    y[0], y[1], y[2] = 3, np.repeat([1.0, 2.0], 32), 0
+    b, sn = K.histogram_baselines(y)
+    assert np.column_stack([b, sn]) == pytest.approx(np.array([K.histogram_baseline(x) for x in y]), rel=1e-7, abs=1e-9)
+
+
+def test_patches_that_are_seeded_side_by_side_are_deconvolved_together(monkeypatch):
+    import pandas as pd
+
+    def seeding(patch, rows):  # as many sources as the patch's number says
+        out = []
+        for k in range(patch):
+            trace, calcium = yield rows["y"].iloc[0] * (k + 1)
+            out.append((patch, k, float(trace.sum()), float(calcium.sum())))
+        return out
+
+    rng, calls, whole = np.random.default_rng(6), [], K.calcium_ar1
+    rows = pd.DataFrame({"patch": np.repeat(np.arange(5), 3), "y": list(rng.standard_normal((15, 40)).cumsum(1))})
+    columns = ["patch", "k", "trace", "calcium"]
+    alone = pd.concat(patches._side_by_side(seeding)(iter([rows[rows["patch"] == k]]), columns).__next__() for k in range(5))
+    monkeypatch.setattr(patches.K, "calcium_ar1", lambda y: calls.append(len(y)) or whole(y))
+    beside = pd.concat(patches._side_by_side(seeding)(iter([rows[:4], rows[4:4], rows[4:]]), columns))
+    assert calls == [4, 3, 2, 1]
+    by = lambda d: d.sort_values(["patch", "k"])[columns].to_numpy(float)
+    assert by(beside) == pytest.approx(by(alone), abs=1e-9) and len(beside) == 10
+    monkeypatch.setattr(patches, "SEEDED_AT_ONCE", 200)  # two patches of 3 pixels and 40 frames
+    assert by(pd.concat(patches._side_by_side(seeding)(iter([rows]), columns))) == pytest.approx(by(alone), abs=1e-9)
+
+
+def test_the_region_of_a_place_is_the_one_that_labels_give():
+    from glimmer.functions import images as I  # noqa: E741
+
+    rng = np.random.default_rng(7)
+    for _ in range(200):
+        mask = rng.random(rng.integers(1, 12, 2)) < 0.6
+        at, label = tuple(rng.integers(0, mask.shape)), I.regions(mask)
+        assert np.array_equal(I.region_of(mask, at), label == label[at])
