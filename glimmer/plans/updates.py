@@ -80,12 +80,12 @@ def search_region(footprints: DataFrame, pixels: DataFrame, smallest: float, lar
 def update_spatial(clean: DataFrame, footprints: DataFrame, traces: DataFrame, height: int, o: Options, method: str = "hals", shape: str | None = "convex") -> DataFrame:
     """New footprints (neuron, pix, val) from Y - B: regressions within the search region, and their shapes put in order."""
     placed = footprints.select("neuron", "pix", "val").join(clean.select("pix", "r", "c"), "pix")
-    region = cut(search_region(placed, clean, 3, 8, 3))
     t = traces.select(F.col("neuron").alias("label"), "trace")
     start = footprints.select("pix", F.col("neuron").alias("label"), F.col("val").alias("a")) if method.startswith("hals") else None
     if method == "hals":
-        a = patches.spatial_descent(clean, region, t, start, height, o.patch)
+        a = patches.spatial_descent_in_ellipses(clean, C.search_ellipses(placed, 3, 8).withColumnRenamed("neuron", "label"), 3, t, start, height, o.patch)
     else:
+        region = cut(search_region(placed, clean, 3, 8, 3))
         noise = deconvolution.noise(clean, "pix") if method.endswith("_thresh") else None
         a = patches.spatial_update(C.spatial_sums(clean, region, t), C.gram(t, C.region_pairs(region)), method, noise=noise, start=start)
     a = a.select(F.col("label").alias("neuron"), "pix", F.col("a").alias("val"))

@@ -264,3 +264,30 @@ def test_footprints_of_patches_are_those_pixel_by_pixel(spark):
     got, want = values(got), values(want)
     assert {k for k, v in want.items() if v > 2e-6} <= got.keys() and {k for k, v in got.items() if v > 2e-6} <= want.keys()
     assert all(got[k] == pytest.approx(want[k], abs=2e-6) for k in got.keys() & want.keys())
+
+
+def test_footprints_in_ellipses_are_those_of_the_search_region(spark):
+    from glimmer.plans.updates import search_region
+
+    rng = np.random.default_rng(9)
+    movie = spark.createDataFrame([(int(c * 21 + r), int(r), int(c), [float(v) for v in rng.standard_normal(30).cumsum()]) for c in range(40) for r in range(21)], "pix long, r long, c long, y array<double>")
+    found = [(k, int(c * 21 + r), int(r), int(c), float(rng.random() + 0.1)) for k in range(15) for r, c in {(int(min(20, k + a)), int(min(39, 2 * k + b))) for a, b in rng.integers(0, 4, (6, 2))}]
+    footprints = spark.createDataFrame(found, "neuron long, pix long, r long, c long, val double")
+    traces = spark.createDataFrame([(k, [float(v) for v in rng.standard_normal(30).cumsum()]) for k in range(15)], "label long, trace array<double>")
+    start = footprints.select("pix", F.col("neuron").alias("label"), F.col("val").alias("a"))
+    want = patches.spatial_descent(movie, search_region(footprints, movie, 1, 2, 3), traces, start, 21, 4)
+    got = patches.spatial_descent_in_ellipses(movie, C.search_ellipses(footprints, 1, 2).withColumnRenamed("neuron", "label"), 3, traces, start, 21, 4)
+    values = lambda d: {(r["pix"], r["label"]): r["a"] for r in d.collect()}
+    got, want = values(got), values(want)
+    assert len(want) > 100 and got == pytest.approx(want, abs=2e-6)
+
+
+def test_footprints_take_no_row_for_each_pixel_of_a_region(spark, monkeypatch):
+    from glimmer.plans import updates
+
+    monkeypatch.setattr(updates, "search_region", lambda *a: pytest.fail("a row for each pixel and region"))
+    movie = spark.createDataFrame([(int(c * 9 + r), int(r), int(c), [float(r + c), 0.0, 1.0, float(c)]) for c in range(9) for r in range(9)], "pix long, r long, c long, y array<double>")
+    footprints = spark.createDataFrame([(7, 40 + k, 1.0) for k in (-9, -1, 0, 1, 9)], "neuron long, pix long, val double")
+    traces = spark.createDataFrame([(7, [8.0, 0.0, 1.0, 4.0])], "neuron long, trace array<double>")
+    found = updates.update_spatial(movie, footprints, traces, 9, Options(patch=4), shape=None)
+    assert found.count() > 50
