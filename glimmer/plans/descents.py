@@ -359,7 +359,8 @@ def streamed_batches(spark, d):
     base = f"{shared_folder(spark)}/batches-{uuid.uuid4().hex}"
     p = updates._blurred(spark, d)
     for k in range(2):
-        p.select("pix", "r", "c", F.slice("y", 1 + 32 * k, 32).alias("y"), F.lit(k).alias("batch")).coalesce(1).write.mode("append").parquet(f"{base}/in")
-    stream = spark.readStream.schema("pix long, r long, c long, y array<double>, batch int").option("maxFilesPerTrigger", 1).parquet(f"{base}/in")
-    demix_stream(stream, HEIGHT, f"{base}/state", replace(updates._OPTIONS, background_model="svd"), 1.0).awaitTermination()
+        # A batch arrives as as many files as it has tasks, and the stream takes what has arrived in one micro-batch.
+        p.select("pix", "r", "c", F.slice("y", 1 + 32 * k, 32).alias("y"), F.lit(k).alias("batch")).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema("pix long, r long, c long, y array<double>, batch int").parquet(f"{base}/in")
+        demix_stream(stream, HEIGHT, f"{base}/state", replace(updates._OPTIONS, background_model="svd"), 1.0).awaitTermination()
     return updates.batch_state(spark, f"{base}/state", "neurons", 1)

@@ -154,3 +154,28 @@ def test_a_stopped_stream_goes_on_to_the_same_tables(spark, tmp_path, monkeypatc
     born = {r["neuron"]: r["since"] for r in updates.batch_state(spark, str(tmp_path / "state"), "neurons", 1).collect()}
     assert set(born) == {r["neuron"] for r in got["traces"].select("neuron").distinct().collect()} | {k for k, s in born.items() if s == 0}
     movie.unpersist()
+
+
+def test_streamed_batches_arrive_in_several_files(spark, monkeypatch):
+    from pathlib import Path
+
+    from glimmer.plans import descents, updates
+    from glimmer.streaming import batches
+
+    blurred = spark.range(0, 90, 1, 3).selectExpr("id AS pix", "id % 9 AS r", "id DIV 9 AS c", "array_repeat(1D, 64) AS y")
+    monkeypatch.setattr(updates, "_blurred", lambda *a: blurred)
+    monkeypatch.setattr(updates, "batch_state", lambda spark, path, name, batch: (name, batch))
+    seen = []
+
+    class Ended:
+        def awaitTermination(self):
+            pass
+
+    def arrived(stream, height, path, *_, **__):
+        files = list(Path(path).parent.glob("in/*.parquet"))
+        seen.append((len(files), sorted(r["batch"] for r in spark.read.parquet(str(Path(path).parent / "in")).select("batch").distinct().collect())))
+        return Ended()
+
+    monkeypatch.setattr(batches, "demix_stream", arrived)
+    assert descents.QUERIES["streamed_batches"](spark, "") == ("neurons", 1)
+    assert seen == [(3, [0]), (6, [0, 1])]
