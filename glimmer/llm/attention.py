@@ -63,7 +63,21 @@ def windows_of(texts: list[np.ndarray], begin: int) -> tuple[np.ndarray, np.ndar
         starts.append(at + STEP * np.arange(n))
         at += CONTEXT + STEP * n
     index = np.concatenate(starts)[:, None] + np.arange(WINDOW) if starts else np.zeros((0, WINDOW), np.int64)
-    return x[index], y[index][:, CONTEXT:], np.repeat(np.arange(len(texts)), sizes)
+    return np.take(x, index), np.take(y, index[:, CONTEXT:]), np.repeat(np.arange(len(texts)), sizes)
+
+
+def _swapped(m: np.ndarray) -> np.ndarray:
+    """The matrices of a stack transposed, in memory too: products of small matrices take twice as long on a mere view."""
+    return np.ascontiguousarray(m.transpose(0, 2, 1))
+
+
+def _over_rows(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """a.T @ b for long and narrow a and b, by blocks of rows that fit the cache."""
+    n = len(a) // 128 * 128
+    out = a[n:].T @ b[n:]
+    if n:
+        out += np.matmul(a[:n].reshape(n // 128, 128, -1).transpose(0, 2, 1), b[:n].reshape(n // 128, 128, -1)).sum(0)
+    return out
 
 
 def _attend(w: dict[str, np.ndarray], x: np.ndarray):
@@ -71,13 +85,13 @@ def _attend(w: dict[str, np.ndarray], x: np.ndarray):
     z = np.take(w["e"], np.maximum(x, 0), axis=0)
     z += w["p"]
     zq = np.ascontiguousarray(z[:, CONTEXT:]).reshape(-1, DIM)
-    kv = (z.reshape(-1, DIM) @ np.hstack([w["k"], w["v"]])).reshape(len(x), WINDOW, 2 * DIM)
-    k, v = kv[:, :, :DIM], kv[:, :, DIM:]
+    k, v = ((z.reshape(-1, DIM) @ w[n]).reshape(len(x), WINDOW, DIM) for n in "kv")
     q = (zq @ (w["q"] * np.float32(DIM**-0.5))).reshape(len(x), STEP, DIM)
-    a = q @ k.transpose(0, 2, 1)
+    a = q @ _swapped(k)
     a += _CAUSAL
-    if x.min(initial=0) < 0:
-        a += np.where(x < 0, np.float32(-1e9), np.float32(0))[:, None, :]
+    if x.min(initial=0) < 0:  # the windows where a text begins or ends
+        rows = np.flatnonzero(x.min(1) < 0)
+        a[rows] += np.where(x[rows] < 0, np.float32(-1e9), np.float32(0))[:, None, :]
     if a.max(initial=0) > 60:  # else no exponential overflows
         a -= a.max(-1, keepdims=True)
     np.exp(a, out=a)
@@ -98,22 +112,36 @@ def _log_softmax(logits: np.ndarray, chosen: np.ndarray) -> np.ndarray:
     return value - np.log(np.maximum(logits @ _ONES[: logits.shape[1]], np.float32(1e-37)))[:, 0]
 
 
+def _by_group(t: np.ndarray, of: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple[int, int, int]]]:
+    """(group, member, places in the order of their groups, (group, from, to) of those that have places) of the targets' classes."""
+    classes = np.take(of, np.maximum(t, 0))
+    group = classes // MEMBERS
+    member = classes - group * MEMBERS
+    sizes = np.bincount(group, minlength=GROUPS)
+    ends = np.cumsum(sizes)
+    return group, member, np.argsort(group.astype(np.uint8), kind="stable"), [(g, b - n, b) for g, (b, n) in enumerate(zip(ends.tolist(), sizes.tolist(), strict=True)) if n]
+
+
+def _second_logits(w: dict[str, np.ndarray], h: np.ndarray, spans: list[tuple[int, int, int]]) -> np.ndarray:
+    """Logits of the members of each place's own group, for states in the order of their groups."""
+    logits = np.empty((len(h), MEMBERS), h.dtype)
+    for g, i, j in spans:
+        np.matmul(h[i:j], w["c2"][g], out=logits[i:j])
+        logits[i:j] += w["b2"][g]
+    return logits
+
+
 def class_log10(w: dict[str, np.ndarray], x: np.ndarray, y: np.ndarray, of: np.ndarray) -> np.ndarray:
     """log10 probability of each target's class given the inputs up to its place; 0 where there is no target."""
     out = np.zeros(y.shape, np.float32)
     for i in range(0, len(x), _CHUNK):
         h = _attend(w, x[i : i + _CHUNK])[-1]
         t = y[i : i + _CHUNK].reshape(-1)
-        group, member = np.divmod(of[np.maximum(t, 0)], MEMBERS)
-        score = _log_softmax(h @ w["c"] + w["b"], group)
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        h, m, second = np.take(h, order, axis=0), member[order], np.empty(len(t), np.float32)
-        for g in range(GROUPS):
-            a, b = edges[g], edges[g + 1]
-            if b > a:
-                second[a:b] = _log_softmax(h[a:b] @ w["c2"][g] + w["b2"][g], m[a:b])
-        score[order] += second
+        group, member, order, spans = _by_group(t, of)
+        logits = h @ w["c"]
+        logits += w["b"]
+        score = _log_softmax(logits, group)
+        score[order] += _log_softmax(_second_logits(w, np.take(h, order, axis=0), spans), member[order])
         out[i : i + _CHUNK] = np.where(t < 0, 0, score / np.float32(np.log(10))).reshape(-1, STEP)
     return out
 
@@ -142,7 +170,8 @@ class Learner:
         t = y.reshape(-1)
         real = t >= 0
         weight = real.astype(np.float32) / np.float32(max(int(real.sum()), 1))
-        group, member = np.divmod(of[np.maximum(t, 0)], MEMBERS)
+        group, member, order, spans = _by_group(t, of)
+        ones = np.ones(len(t), np.float32)  # sums over places are products with it
 
         def error(logits, chosen, weight):
             if logits.max(initial=0) > 60:
@@ -152,34 +181,39 @@ class Learner:
             logits[np.arange(len(logits)), chosen] -= weight
             return logits
 
-        p = error(h @ w["c"] + w["b"], group, weight)
+        logits = h @ w["c"]
+        logits += w["b"]
+        p = error(logits, group, weight)
         dh = p @ w["c"].T
         c2, b2 = np.zeros_like(w["c2"]), np.zeros_like(w["b2"])
-        order = np.argsort(group.astype(np.uint8), kind="stable")
-        edges = np.searchsorted(group[order], np.arange(GROUPS + 1))
-        sorted_h, member, weight, second = np.take(h, order, axis=0), member[order], weight[order], np.empty_like(h)
-        for g in range(GROUPS):
-            i, j = edges[g], edges[g + 1]
-            if j > i:
-                e = error(sorted_h[i:j] @ w["c2"][g] + w["b2"][g], member[i:j], weight[i:j])
-                c2[g], b2[g] = sorted_h[i:j].T @ e, e.sum(0)
-                second[i:j] = e @ w["c2"][g].T
+        sorted_h, second = np.take(h, order, axis=0), np.empty_like(h)
+        e = error(_second_logits(w, sorted_h, spans), member[order], weight[order])
+        for g, i, j in spans:
+            np.matmul(sorted_h[i:j].T, e[i:j], out=c2[g])
+            np.matmul(ones[i:j], e[i:j], out=b2[g])
+            np.matmul(e[i:j], w["c2"][g].T, out=second[i:j])
         back = np.empty_like(order)
         back[order] = np.arange(len(order))
         dh += np.take(second, back, axis=0)
         do = dh @ w["o"].T
         gathered = ((do * o) @ _ONES[:DIM]).reshape(len(x), STEP, 1)  # what the attention's own change of sum takes back
         do = do.reshape(len(x), STEP, DIM)
-        ds = do @ v.transpose(0, 2, 1)
+        ds = do @ _swapped(v)
         ds -= gathered
         ds *= a
         # q is scaled already; the scale of its own gradient comes with the weights.
-        dq = (ds @ k).reshape(-1, DIM) * np.float32(DIM**-0.5)
-        dk, dv = (ds.transpose(0, 2, 1) @ q).reshape(-1, DIM), (a.transpose(0, 2, 1) @ do).reshape(-1, DIM)
-        dz = dk @ w["k"].T
-        dz += dv @ w["v"].T
-        dz.reshape(len(x), WINDOW, DIM)[:, CONTEXT:] += (dh + dq @ w["q"].T).reshape(len(x), STEP, DIM)
-        for name, grad in {"c": h.T @ p, "b": p.sum(0), "c2": c2, "b2": b2, "o": o.T @ dh, "q": zq.T @ dq, "k": z.T @ dk, "v": z.T @ dv, "p": dz.reshape(len(x), WINDOW, DIM).sum(0)}.items():
+        scale = np.float32(DIM**-0.5)
+        dq = (ds @ k).reshape(-1, DIM)
+        dkv = np.empty((len(x), WINDOW, 2 * DIM), ds.dtype)
+        np.matmul(ds.transpose(0, 2, 1), q, out=dkv[:, :, :DIM])
+        np.matmul(a.transpose(0, 2, 1), do, out=dkv[:, :, DIM:])
+        dkv = dkv.reshape(-1, 2 * DIM)
+        dz = dkv @ np.hstack([w["k"], w["v"]]).T
+        dh_z = dq @ (w["q"] * scale).T
+        dh_z += dh
+        dz.reshape(len(x), WINDOW, DIM)[:, CONTEXT:] += dh_z.reshape(len(x), STEP, DIM)
+        of_kv = _over_rows(z, dkv)
+        for name, grad in {"c": _over_rows(h, p), "b": ones @ p, "c2": c2, "b2": b2, "o": _over_rows(o, dh), "q": _over_rows(zq, dq) * scale, "k": of_kv[:, :DIM], "v": of_kv[:, DIM:], "p": dz.reshape(len(x), WINDOW, DIM).sum(0)}.items():
             self._step(name, grad)
         ids = x.reshape(-1) + 1  # 0: nothing there
         order = np.argsort(ids.astype(np.uint16) if len(w["e"]) < 65_535 else ids, kind="stable")

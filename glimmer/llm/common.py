@@ -86,10 +86,14 @@ def ascii_lower(text: Column) -> Column:
 
 
 def pieces_of(batches: Iterator[pa.RecordBatch], text: str = "text", limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """The same rows in batches of about `limit` bytes of text (one row at least), so that what a task holds stays small."""
+    """The same rows in batches of about `limit` bytes of text (one row at least), so that what a task holds stays small.
+
+    A column `text` of whole numbers says how many bytes each row counts for.
+    """
     for batch in batches:
         n, start, held = batch.num_rows, 0, 0
-        lengths = pc.fill_null(pc.binary_length(batch.column(batch.schema.get_field_index(text))), 0).to_numpy(zero_copy_only=False)
+        column = batch.column(batch.schema.get_field_index(text))
+        lengths = pc.fill_null(column if pa.types.is_integer(column.type) else pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
         for i in range(n):
             if i > start and held + lengths[i] > limit:
                 yield batch.slice(start, i - start)

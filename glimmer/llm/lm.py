@@ -8,6 +8,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -24,6 +25,10 @@ ROUNDS = 2
 TASK_WORDS = 800_000
 TOKENS, BEGIN, END = 49_408, 49_406, 49_407
 _ROWS_A_PART = 4096
+#: Texts are encoded about so many bytes at a time: each different word of them is looked up once.
+_ENCODE_BYTES = 4 << 20
+#: Encoded words that a worker remembers: those that are asked for are different or rare, so that few come again.
+_MEMO_WORDS = 100_000
 
 
 def held_out() -> Column:
@@ -56,30 +61,81 @@ def word_counts(docs: DataFrame) -> DataFrame:
     return docs.select(whole().alias("text")).mapInArrow(_count, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
 
 
-def _token_counts(path: str):
+def _of_words(words: list[bytes], ids_of) -> pa.Array:
+    """The ids of each word as 16-bit numbers, a binary a word."""
+    if len(ids_of) > _MEMO_WORDS:
+        ids_of.clear()
+    ids = [ids_of[word.decode()] for word in words]
+    data = np.frombuffer(b"".join(ids), "<u4").astype("<u2")
+    ends = np.cumsum([0] + [len(x) // 2 for x in ids]).astype(np.int32)
+    return pa.Array.from_buffers(pa.binary(), len(ids), [None, pa.py_buffer(ends), pa.py_buffer(data)])
+
+
+def _word_ids(path: str):
     def run(batches: Iterator[pa.RecordBatch]):
-        ids_of, total = word_ids(path), np.zeros(TOKENS)
         for batch in batches:
-            ids = [ids_of[word.decode()] for word in batch.column(0).to_pylist()]
-            times = np.repeat(batch.column(1).to_numpy(), [len(x) // 4 for x in ids])
-            total += np.bincount(np.frombuffer(b"".join(ids), "<u4").astype(np.int64), times, TOKENS)
-        there = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there].astype(np.int64))], ["token", "c"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, _of_words(batch.column(0).to_pylist(), word_ids(path))], ["word", "c", "ids"])
+
+    return run
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]):
+    total = np.zeros(TOKENS)
+    for batch in batches:
+        ids = batch.column(1).to_pylist()
+        times = np.repeat(batch.column(0).to_numpy(), [len(x) // 2 for x in ids])
+        total += np.bincount(np.frombuffer(b"".join(ids), "<u2"), times, TOKENS)
+    there = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(there), pa.array(total[there].astype(np.int64))], ["token", "c"])
+
+
+_TEXTS = "rid long, doc_id long, held_out boolean, order long, size int, n_tokens long, n_known long, base_score double, rare array<binary>, ids binary"
+
+
+def _encode(path: str, common, base: float):
+    """base: log10 of the unigram's denominator."""
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        known, logs, known_ids = common.value
+        logs = np.append(logs, 0.0)  # of every other word
+        for batch in pieces_of(batches, limit=_ENCODE_BYTES):
+            n = batch.num_rows
+            # Arrow's kernels lower and split as `words` does, but give an empty word at a blank end.
+            split = pc.ascii_split_whitespace(pc.ascii_lower(batch.column(batch.num_columns - 1)))
+            flat, owner = pc.list_flatten(split), pc.list_parent_indices(split)
+            filled = pc.greater(pc.binary_length(flat), 0)
+            flat, owner = pc.filter(flat, filled).cast(pa.binary()), pc.filter(owner, filled).to_numpy(zero_copy_only=False)
+            place = pc.fill_null(pc.index_in(flat, value_set=known), len(known)).to_numpy(zero_copy_only=False)
+            other = place == len(known)
+            rest = pc.filter(flat, pa.array(other))
+            coded = pc.dictionary_encode(rest)
+            n_words, n_known = np.bincount(owner, minlength=n), np.bincount(owner[~other], minlength=n)
+            base_score = np.bincount(owner, logs[place], n) - base * n_known
+            rare = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *(n_words - n_known)]), pa.int32()), rest)
+
+            ids_at = place.copy()
+            ids_at[other] += coded.indices.to_numpy(zero_copy_only=False)
+            # The words' ids, one after another, are those of the texts.
+            ids = pa.concat_arrays([known_ids, _of_words(coded.dictionary.to_pylist(), word_ids(path))]).take(pa.array(ids_at))
+            ends = np.frombuffer(ids.buffers()[1], np.int32)[np.cumsum([0, *n_words])]
+            ids = pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(ends), ids.buffers()[2]])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:5], pa.array(n_words + 1), pa.array(n_known), pa.array(base_score), rare, ids], ["rid", "doc_id", "held_out", "order", "size", "n_tokens", "n_known", "base_score", "rare", "ids"])
 
     return run
 
 
-def _ids(texts: list[str], ids_of) -> list[np.ndarray]:
-    return [np.append(np.frombuffer(ids_of.of(t), "<u4"), END).astype(np.int64) for t in texts]
+def _ids(texts: list[str] | list[bytes], path: str | None = None) -> list[np.ndarray]:
+    """The ids of each text with its end; texts that are bytes are encoded already, but for the end."""
+    return [np.append(np.frombuffer(t, "<u2") if isinstance(t, bytes) else np.frombuffer(word_ids(path).of(t), "<u4"), END).astype(np.int64) for t in texts]
 
 
 def _train(path: str, model):
     def run(batches: Iterator[pa.RecordBatch]):
-        ids_of, (weights, of, _) = word_ids(path), model.value
+        weights, of, _ = model.value
         learner, n = attention.Learner(weights), 0
         rng = np.random.default_rng(1)
-        for batch in pieces_of(batches):
-            x, y, _ = attention.windows_of(_ids(batch.column(0).to_pylist(), ids_of), BEGIN)
+        for batch in pieces_of(batches, "size"):
+            x, y, _ = attention.windows_of(_ids(batch.column(0).to_pylist(), path), BEGIN)
             order = rng.permutation(len(x))
             for a in range(0, len(order), 256):
                 learner.learn(x[order[a : a + 256]], y[order[a : a + 256]], of)
@@ -124,8 +180,18 @@ def averaged(trained: DataFrame, tasks: int) -> DataFrame:
             return trained
 
 
+def _by_text() -> list[Column]:
+    """What decides where a text is learnt: its place in the order, and the bytes that fill a task's pieces."""
+    return [F.xxhash64(whole(), "doc_id").alias("order"), F.octet_length(whole()).alias("size")]
+
+
 def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds: int = ROUNDS):
-    """A broadcast (weights, class of each token, log10 probability in the class), trained once on every row of docs, of n_words words."""
+    """A broadcast (weights, class of each token, log10 probability in the class), trained once on every row of docs, of n_words words.
+
+    docs: (doc_id, text), or (doc_id, order, size, ids) with the texts encoded already.
+    """
+    if "ids" not in docs.columns:
+        docs = docs.select("doc_id", *_by_text(), whole().alias("ids"))
     spark = docs.sparkSession
     tasks = max(1, round(n_words / rounds / TASK_WORDS))
     of, within = attention.token_classes(counts)
@@ -133,9 +199,9 @@ def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds:
     model = spark.sparkContext.broadcast((weights, of, within))
     for r in range(rounds):
         # Dealt and sorted by what the rows say: a task that runs again, or on other partitions, learns in the same order.
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select(whole().alias("text"), F.xxhash64(whole(), "doc_id").alias("order"))
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(rounds)) == r).select("ids", "size", "order")
         # By number and not by key: a cluster with more partitions than tasks would train, and send, weights for each of them.
-        part = part.repartitionById(tasks, F.pmod(F.hash("order"), F.lit(tasks))).sortWithinPartitions("order", "text").select("text")
+        part = part.repartitionById(tasks, F.pmod(F.hash("order"), F.lit(tasks))).sortWithinPartitions("order", "ids").select("ids", "size")
         rows = averaged(part.mapInArrow(_train(path, model), _SHARE), tasks).collect()  # one set of weights
         weights = {n: x.copy() for n, x in weights.items()}
         for row in rows:
@@ -148,29 +214,15 @@ def train(docs: DataFrame, path: str, counts: np.ndarray, n_words: int, rounds:
     return model
 
 
-def _scores(path: str, model, common, base: float):
-    """base: log10 of the unigram's denominator."""
-
+def _scores(model):
     def run(batches: Iterator[pa.RecordBatch]):
-        ids_of, (weights, of, within), known = word_ids(path), model.value, common.value
-        for batch in pieces_of(batches):
-            texts = batch.column(batch.num_columns - 1).to_pylist()
-            n_tokens, n_known, base_score, rare = [], [], [], []
-            for text in texts:
-                w = words(text)
-                found = list(map(known.get, w))
-                missing = [x for x, c in zip(w, found, strict=True) if c is None] if None in found else []
-                logs = [c for c in found if c is not None] if missing else found
-                n_tokens.append(len(w) + 1)
-                n_known.append(len(logs))
-                base_score.append(math.fsum(logs) - base * len(logs))
-                rare.append(missing)
-            ids = _ids(texts, ids_of)
+        weights, of, within = model.value
+        for batch in pieces_of(batches, "ids"):
+            ids = _ids(batch.column(batch.num_columns - 1).to_pylist())
             x, y, owner = attention.windows_of(ids, BEGIN)
-            score = np.bincount(owner, attention.class_log10(weights, x, y, of).sum(1, dtype=np.float64), len(texts))
+            score = np.bincount(owner, attention.class_log10(weights, x, y, of).sum(1, dtype=np.float64), len(ids))
             score += [within[i].sum() for i in ids]
-            names = ["rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "score", "rare"]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(n_tokens, pa.int64()), pa.array(n_known, pa.int64()), pa.array(base_score, pa.float64()), pa.array(score, pa.float64()), pa.array(rare, pa.list_(pa.binary()))], names)
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(score, pa.float64())], [*batch.schema.names[:-1], "score"])
 
     return run
 
@@ -187,17 +239,16 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
     training = docs.where(~F.coalesce(held_out(), F.lit(False)))
-    counts = stored(word_counts(training), "lm-words")
+    counts = stored(word_counts(training).mapInArrow(_word_ids(tokenizer), "word binary, c long, ids binary"), "lm-words")
     n_docs = training.count()
     n_words, n_distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).head()
     n, v = n_words + n_docs, n_distinct + (n_docs > 0)
     base = math.log10(n + v + 1)
 
     subwords = np.zeros(TOKENS)
-    for r in counts.mapInArrow(_token_counts(tokenizer), "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect():  # as many rows as the tokenizer has ids
+    for r in counts.select("c", "ids").mapInArrow(_token_counts, "token long, c long").groupBy("token").agg(F.sum("c").alias("c")).collect():  # as many rows as the tokenizer has ids
         subwords[r["token"]] = r["c"]
     subwords[END] += n_docs
-    model = train(training, tokenizer, subwords, n_words)
 
     # Words above the smallest count that COMMON_WORDS of them or fewer exceed; counts are met in bins of a 16th of an octave.
     bins = sorted(((r["b"], r["n"]) for r in counts.groupBy(F.floor(16 * F.log2("c")).alias("b")).agg(F.count("*").alias("n")).collect()), reverse=True)
@@ -208,12 +259,15 @@ def lm_scores(docs: DataFrame, tokenizer: str) -> DataFrame:
         least = b
     common = counts.where(F.floor(16 * F.log2("c")) >= least) if bins and least < math.inf else counts.limit(0)
     table = common.toArrow()
-    known = dict(zip(table["word"].to_pylist(), np.log10(table["c"].to_numpy() + 1.0).tolist(), strict=True))
-    known = spark.sparkContext.broadcast(known)
-
-    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), whole().alias("text"))
-    scored = stored(rows.mapInArrow(_scores(tokenizer, model, known, base), "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>"), "lm-scores")
-    rare = scored.select("rid", F.explode("rare").alias("word")).join(counts, "word", "left")
+    known = spark.sparkContext.broadcast((table["word"].combine_chunks(), np.log10(table["c"].to_numpy() + 1.0), table["ids"].combine_chunks()))
+
+    # Texts are encoded once, for training and scoring.
+    rows = docs.select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), *_by_text(), whole().alias("text"))
+    texts = stored(rows.mapInArrow(_encode(tokenizer, known, base), _TEXTS), "lm-texts")
+    model = train(texts.where(~F.col("held_out")).select("doc_id", "order", "size", "ids"), tokenizer, subwords, n_words)
+    kept = "rid long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double"
+    scored = stored(texts.select("rid", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "ids").mapInArrow(_scores(model), f"{kept}, score double"), "lm-scores")
+    rare = texts.select("rid", F.explode("rare").alias("word")).join(counts.select("word", "c"), "word", "left")
     # Decimals add up to the same in any order.
     rare = rare.groupBy("rid").agg(F.sum(F.log10(F.coalesce("c", F.lit(0)) + 1).cast("decimal(20,14)")).cast("double").alias("logs"), F.count("*").alias("more"), F.count("c").alias("found"))
     end = math.log10(n_docs + 1) - base

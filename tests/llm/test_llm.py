@@ -5,6 +5,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -658,6 +659,45 @@ def test_more_partitions_train_no_more_weights(spark, monkeypatch):
     assert (parts.value, texts.value) == (3 * lm.ROUNDS, 400)
 
 
+def test_texts_are_encoded_by_word_as_the_tokenizer_encodes_them_whole(monkeypatch):
+    monkeypatch.setattr(lm, "_ENCODE_BYTES", 40)
+    texts = ["", "  The Cat\x0bsat,\x1con\x85the mat. ", "\n \n", "İstanbul ΑΣ 日本語 the THE", "the the zzqx Zzqx don't", " ".join(map(str, range(90)))]
+    path, known = queries.tokenizer(), [b"the", b"cat"]
+
+    class Common:
+        value = (pa.array(known, pa.binary()), np.array([0.5, 2.0]), lm._of_words(known, word_ids(path)))
+
+    n = len(texts)
+    columns = [pa.array(range(n)), pa.array(range(n)), pa.array([False] * n), pa.array(range(n)), pa.array([len(t) for t in texts]), pa.array(texts)]
+    batch = pa.RecordBatch.from_arrays(columns, ["rid", "doc_id", "held_out", "order", "size", "text"])
+    got = [r for b in lm._encode(path, Common, 3.0)(iter([batch])) for r in b.to_pylist()]
+    assert [r["rid"] for r in got] == list(range(n))
+    for r, text in zip(got, texts, strict=True):
+        w = lm.words(text)
+        assert np.frombuffer(r["ids"], "<u2").tolist() == np.frombuffer(word_ids(path).of(text), "<u4").tolist()
+        assert (r["n_tokens"], r["n_known"], r["rare"]) == (len(w) + 1, sum(x in known for x in w), [x for x in w if x not in known])
+        assert r["base_score"] == pytest.approx(sum({b"the": -2.5, b"cat": -1.0}.get(x, 0) for x in w))
+
+
+def test_training_takes_encoded_texts_and_needs_no_tokenizer_for_them(spark, monkeypatch):
+    # Each text was encoded again in training and in scoring.
+    monkeypatch.setattr(lm, "TASK_WORDS", 300)
+    docs = spark.createDataFrame([(i, prose(40, i)) for i in range(20)], "doc_id long, text string")
+    path = queries.tokenizer()
+    ids = [(r["doc_id"], bytearray(np.frombuffer(word_ids(path).of(r["text"]), "<u4").astype("<u2").tobytes())) for r in docs.collect()]
+    encoded = docs.select("doc_id", *lm._by_text()).join(spark.createDataFrame(ids, "doc_id long, ids binary"), "doc_id")
+    one, two = (lm.train(d, p, np.ones(lm.TOKENS), 800).value[0] for d, p in ((docs, path), (encoded, "/nowhere")))
+    for name in one:
+        assert one[name] == pytest.approx(two[name], abs=1e-5), name
+
+
+def test_products_over_rows_leave_out_no_row():
+    rng = np.random.default_rng(0)
+    for n in (0, 1, 127, 128, 300):
+        a, b = rng.standard_normal((n, 24)), rng.standard_normal((n, 32))
+        assert attention._over_rows(a, b) == pytest.approx(a.T @ b)
+
+
 # Edges
 
 
